@@ -145,3 +145,25 @@ def _powers(n: int) -> np.ndarray:
         steps[0] = 1
         _POWERS = np.cumprod(steps)
     return _POWERS
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], column: int, rows: int) -> Iterator[pa.Table]:
+    """Batches sorted by a column of longs as tables of about `rows` rows, or a longer group, that end between groups."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n <= rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        key = table.column(column).to_numpy()
+        while len(key) > rows:
+            end = int(np.searchsorted(key, key[rows], "left")) or int(np.searchsorted(key, key[0], "right"))
+            if end == len(key):
+                break
+            yield table.slice(0, end)
+            table, key = table.slice(end), key[end:]
+        held, n = table.to_batches(), len(key)
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import suffix_dedup
+from . import jaccard, packing, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,5 +20,20 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES: dict[str, Query] = {"op3_suffix_dedup": op3_suffix_dedup}
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
+QUERIES: dict[str, Query] = {
+    "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op10_best_fit_packing": op10_best_fit_packing,
+}
 ORACLE_SQL: dict[str, str] = {}
