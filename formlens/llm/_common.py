@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it was counted and has at most so many bytes.
@@ -167,3 +167,20 @@ def whole_groups(batches: Iterator[pa.RecordBatch], column: int, rows: int) -> I
         held, n = table.to_batches(), len(key)
     if n:
         yield pa.Table.from_batches(held).combine_chunks()
+
+
+def numbered(rows: DataFrame, name: str, by: str, order: list[str], together: int = 20_000) -> DataFrame:
+    """rows, which must be staged, with the long `name`: gapless numbers from 0 for each value of `by`.
+
+    Rows are numbered in buckets of about `together` by hash of `order`, after the rows of the buckets before; so no
+    value's rows have to meet, however many.
+    """
+    most = rows.groupBy(by).count().agg(F.max("count")).first()[0] or 0
+    bucket, before, size = (fresh(rows, x) for x in ("_bucket", "_before", "_size"))
+    rows = rows.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(max(1, -(-most // together)))))
+    sizes = rows.groupBy(by, bucket).agg(F.count("*").alias(size))
+    earlier = Window.partitionBy(by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(by, bucket, F.coalesce(F.sum(size).over(earlier), F.lit(0)).alias(before))
+    within = Window.partitionBy(by, bucket).orderBy(*order)
+    out = rows.withColumn(name, (F.row_number().over(within) - 1).cast("long")).join(small(stage(starts, "starts"), 32), [by, bucket])
+    return out.withColumn(name, F.col(name) + F.col(before)).drop(bucket, before)

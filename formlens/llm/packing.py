@@ -18,15 +18,13 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stage
+from ._common import numbered, stage
 
 #: Words that a worker remembers the ids of, at most.
 REMEMBERED = 1_000_000
-#: Rows of one length that are ranked together.
-RANKED = 20_000
 
 
 def pack(docs: DataFrame, tokenizer: str, column: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
@@ -48,15 +46,7 @@ def pack(docs: DataFrame, tokenizer: str, column: str = "text", capacity: int =
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = docs.sparkSession.createDataFrame(plan(counts, capacity), "length long, first long, n long, sequence long, offset long")
 
-    # Ranks within a length: those within a bucket of rows, after the rows of earlier buckets.
-    buckets = max(1, -(-max(counts.values(), default=1) // RANKED))
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), F.lit(buckets)))
-    sizes = pieces.groupBy("length", "bucket").agg(F.count("*").alias("size"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("length", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "bucket").orderBy("start", "ids_crc32")
-    ranked = pieces.withColumn("rank", F.row_number().over(within) - 1).join(starts, ["length", "bucket"])
-    ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = numbered(pieces, "rank", "length", ["row", "piece", "start", "ids_crc32"])
     at = (ranked.length == runs.length) & (ranked["rank"] >= runs["first"]) & (ranked["rank"] < runs["first"] + runs["n"])
     placed = ranked.join(F.broadcast(runs), at).select("row", "piece", "start", ranked.length, "ids_crc32", (runs["sequence"] + ranked["rank"] - runs["first"]).alias("sequence_id"), runs["offset"], *["ids"] * with_ids)
     return placed.select(*[F.col("row").getField(c).alias(c) for c in own], *made)
