@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh
-
 #: Words: runs without space, tab, LF, VT, FF, CR.
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
@@ -24,7 +23,7 @@ el los las y del se por con para su no lo una como más
 
 
 class Rule(NamedTuple):
-    """A row fails under `least` or over `most`; the measure is SQL over the columns of measures()."""
+    """A row fails under `least` or over `most`; the measure is SQL over what measures() gives."""
 
     name: str
     measure: str
@@ -42,42 +41,55 @@ RULES = (
 )
 
 
-def measures(docs: DataFrame, column: str = "text") -> DataFrame:
-    """docs with the struct `_m`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words, n_loud_words (longs)."""
-    t, w, p, s = (fresh(docs, x) for x in ("_t", "_words", "_wins", "_sorted"))
-    text = F.coalesce(F.col(column).cast("string"), F.lit(""))
-    out = docs.withColumn(t, text).withColumn(w, F.array_remove(F.split(t, f"{BLANK}+"), ""))
-    # Hashes of the 8-word windows; only a text with an equal pair has them sorted by hash and place.
-    hashes = F.transform(w, lambda x: F.xxhash64(x))
-    out = out.withColumn(s, hashes)
-    n = F.size(w)
-    windows = F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice(s, i, WINDOW)))
-    out = out.withColumn(p, F.when(n >= WINDOW, windows).otherwise(F.array().cast("array<bigint>"))).drop(s)
-    placed = F.array_sort(F.transform(p, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    out = out.withColumn(s, F.when(F.size(F.array_distinct(p)) < F.size(p), placed))
-    same = lambda a, b: F.coalesce(F.get(F.col(s), a)["h"] == F.get(F.col(s), b)["h"], F.lit(False))
-    again = F.filter(F.transform(s, lambda x, k: F.when(same(k, k - 1) | same(k, k + 1), x["i"])), lambda i: i.isNotNull())
-    out = out.withColumn(p, F.array_sort(again))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _windows(h: Column) -> Column:
+    """Hashes of the windows of 8 words with hashes h."""
+    return F.transform(F.sequence(F.lit(1), F.size(h) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(h, i, WINDOW)))
+
+
+def _covered(s: Column) -> Column:
+    """Words in the windows of s, sorted structs of hash h and place i, that have an equal neighbour."""
+    same = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
+    again = F.transform(s, lambda x, k: F.when(same(x, k - 1) | same(x, k + 1), x["i"]))
     # Each repeated window covers its words up to the next repeated window.
-    covered = F.aggregate(F.transform(p, lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col(p), k + 1) - i, F.lit(WINDOW)))), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
-    out = out.withColumn(s, lines)
+    words = lambda q: F.transform(q, lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(q, k + 1) - i, F.lit(WINDOW))))
+    return _let(F.sort_array(F.filter(again, lambda i: i.isNotNull())), lambda q: F.aggregate(words(q), F.lit(0), lambda a, x: a + x))
+
+
+def _repeats(w: Column) -> Column:
+    """Words in 8-word windows that are found twice or more; only a text with equal windows has them sorted."""
+    placed = lambda p: F.sort_array(F.transform(p, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    found = lambda p: F.when(F.size(F.array_distinct(p)) < F.size(p), _let(placed(p), _covered)).otherwise(0)
+    hashes = F.transform(w, lambda x: F.xxhash64(x))
+    return F.when(F.size(w) >= WINDOW, _let(hashes, lambda h: _let(_windows(h), found))).otherwise(0)
+
+
+def measures(text: Column) -> Column:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words, n_loud_words (longs) of a text."""
     stops = [*STOP_WORDS, *[x.capitalize() for x in STOP_WORDS]]
-    told = {
-        "n_words": n,
-        "word_chars": F.length(F.regexp_replace(t, f"{BLANK}+", "")),
-        "n_symbols": F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]+", "")),
-        "n_dup_lines": F.size(s) - F.size(F.array_distinct(s)),
-        "n_repeat_words": F.coalesce(covered, F.lit(0)),
-        "n_lines": F.size(s),
+    struct = lambda told: F.struct(*[c.cast("bigint").alias(k) for k, c in told.items()])
+    of_words = lambda w: struct({
+        "n_words": F.size(w),
+        "n_repeat_words": _repeats(w),
         "n_stop_words": F.size(F.filter(w, lambda x: F.rtrim(x, F.lit(".,;:")).isin(stops))),
         "n_loud_words": F.size(F.filter(w, lambda x: x.endswith("!!"))),
-    }
-    return out.withColumn("_m", F.struct(*[c.cast("bigint").alias(k) for k, c in told.items()])).drop(t, w, p, s)
+    })
+    of_lines = lambda x: struct({"n_lines": F.size(x), "n_dup_lines": F.size(x) - F.size(F.array_distinct(x))})
+    of_text = struct({
+        "word_chars": F.length(F.regexp_replace(text, f"{BLANK}+", "")),
+        "n_symbols": F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", "")),
+    })
+    words = _let(F.array_remove(F.split(text, f"{BLANK}+"), ""), of_words)
+    lines = _let(F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)), of_lines)
+    return F.struct(words.alias("words"), lines.alias("lines"), of_text.alias("chars"))
 
 
 def broken(rules: tuple[Rule, ...] = RULES) -> Column:
-    """Whether any rule is broken, over the columns of measures()."""
+    """Whether any rule is broken, over what measures() gives."""
     tests = [F.lit(False)]
     for r in rules:
         measure = F.expr(r.measure)
@@ -98,9 +110,10 @@ def judge(docs: DataFrame, column: str = "text", rules: tuple[Rule, ...] = RULES
     that are named as a result column are replaced.
     """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    own = [c for c in docs.columns if c.lower() not in (*names, "base_failed", "kept", "_m")]
-    nested = measures(docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(column).alias("text")))
-    with_sums = nested.select("row", "_m.*")
+    own = [c for c in docs.columns if c.lower() not in (*names, "base_failed", "kept")]
+    row = F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.struct(F.lit(0).alias("none"))
+    nested = docs.select(row.alias("row"), measures(F.coalesce(F.col(column).cast("string"), F.lit(""))).alias("m"))
+    with_sums = nested.select("row", "m.words.*", "m.lines.*", "m.chars.*")
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = with_sums.select("row", *names, base.alias("base_failed"), (~base & ~broken(rules)).alias("kept"))
     return out.select(*[F.col("row").getField(c).alias(c) for c in own], *names, "base_failed", "kept")
@@ -112,12 +125,12 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(t
 g AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d WHERE len(ws) >= 8)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
 c AS (SELECT doc_id, sum(x) AS n FROM (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS x FROM r) GROUP BY doc_id),
-l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 m AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines,
-  len(list_filter(ws, x -> list_contains([STOPS], rtrim(x, '.,;:')))) AS n_stop_words,
-  len(list_filter(ws, x -> ends_with(x, '!!'))) AS n_loud_words
+  len(list_filter(ws, lambda x: list_contains([STOPS], rtrim(x, '.,;:')))) AS n_stop_words,
+  len(list_filter(ws, lambda x: ends_with(x, '!!'))) AS n_loud_words
   FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed

@@ -4,7 +4,8 @@ Differencing keeps partial partitions, at first one for each group, and again an
 spread, the larger parts of one to the smaller of the other. One heap for all groups would be one task, so groups are
 dealt by hash into cells that are differenced on their own; a cell's result is again a partial partition, and the
 cells' partitions are differenced in the same way, cell by cell, until one is left. A group that fills a shard by
-itself gets one: no partition is more even.
+itself gets one: no partition is more even. Other groups of an eighth of a shard or more, at most eight times as many
+as shards, are differenced first; each cell then starts from its share of their partition, so it fills what they leave.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from ._common import fresh, numbered, small, stage, whole_groups
 
 #: Partial partitions that one task joins, about.
 CELL = 4096
+#: Groups of at least so small a part of a shard are placed before the cells.
+HEAVY = 8
 
 
 def text_size(column: str = "text") -> Column:
@@ -59,17 +62,22 @@ def partition(weights: DataFrame, shards: int, cell: int = CELL) -> DataFrame:
             break
         alone.append(r.item)
         total -= r.weight
+    n -= len(alone)
     k = shards - len(alone)
-    own = weights.sparkSession.createDataFrame([(bytes(x), k + i) for i, x in enumerate(alone)], "item binary, shard int")
+    large = weights.filter(F.col("weight") * (HEAVY * k) >= total).filter(~F.col("item").isin(alone) if alone else F.lit(True)).collect()
+    parts, taken = differenced([[r.weight] for r in large], k)
+    own = [(bytes(x), k + i) for i, x in enumerate(alone)] + [(bytes(r.item), p[0]) for r, p in zip(large, parts, strict=True)]
+    own = weights.sparkSession.createDataFrame(own, "item binary, shard int")
     items = weights.join(F.broadcast(own), "item", "left_anti").select("item", F.array("weight").alias("sums"))
     levels = []
     while True:
         cells = max(1, -(-n // cell))
         dealt = items.withColumn("cell", F.pmod(F.xxhash64("item", F.lit(len(levels))), F.lit(cells)))
         joined = dealt.select("cell", "item", "sums").repartition(cells, "cell").sortWithinPartitions("cell")
-        level = stage(joined.mapInArrow(partial(_difference, k=k), "cell long, item binary, parts array<int>, sums array<long>"), "level")
+        beside = [x / max(1, total - sum(taken)) for x in taken] if large else None
+        level = stage(joined.mapInArrow(partial(_difference, k=k, beside=beside), "cell long, item binary, parts array<int>, sums array<long>"), "level")
         levels.append(level.select("cell", "item", "parts"))
-        if cells == 1:
+        if cells == 1 or large:
             break
         items, n = level.filter("sums is not null").select(F.encode(F.col("cell").cast("string"), "utf-8").alias("item"), "sums"), cells
     # Down again: where the parts of a cell have gone.
@@ -81,11 +89,20 @@ def partition(weights: DataFrame, shards: int, cell: int = CELL) -> DataFrame:
     return stage(where.select("item", F.get("parts", F.lit(0)).alias("shard")).unionByName(own), "shards")
 
 
-def _difference(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Columns: cell, item, sums, sorted by cell. For each item the cell's part that each of its parts went to; the cell's sums once."""
+def _difference(batches: Iterator[pa.RecordBatch], k: int, beside: list[float] | None) -> Iterator[pa.RecordBatch]:
+    """Columns: cell, item, sums, sorted by cell. For each item the cell's part that each of its parts went to; the cell's sums once.
+
+    beside: what the shards hold already, each as a share of all that the cells hold; parts are then those shards.
+    """
     for table in whole_groups(batches, 0, 1):
         sums = table.column(2).to_pylist()
-        parts, total = differenced(sums, k)
+        if beside:
+            whole = sum(x[0] for x in sums)
+            parts, total = differenced([[round(whole * x) for x in beside], *sums], k)
+            shard_of = {p: i for i, p in enumerate(parts[0])}
+            parts = [[shard_of[p] for p in x] for x in parts[1:]]
+        else:
+            parts, total = differenced(sums, k)
         rows = len(parts)
         told = [total, *[None] * (rows - 1)]
         yield pa.RecordBatch.from_arrays([table.column(0).combine_chunks(), table.column(1).combine_chunks(), pa.array(parts, pa.list_(pa.int32())), pa.array(told, pa.list_(pa.int64()))], ["cell", "item", "parts", "sums"])
@@ -113,7 +130,7 @@ def differenced(items: list[list[int]], k: int) -> tuple[list[list[int]], list[i
         below.append((a, order, b, back[order]))
         heapq.heappush(heap, (int(both.min() - both.max()), len(sums) - 1))
     to = {len(sums) - 1: np.arange(k)} if sums else {}
-    parts: list[list[int]] = [[]] * len(items)
+    parts: list[list[int]] = [[] for _ in items]
     for node in range(len(sums) - 1, -1, -1):
         own = to.pop(node)
         a, in_a, b, in_b = below[node]

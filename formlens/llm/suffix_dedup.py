@@ -3,9 +3,8 @@
 Two equal windows of `length` bytes hold the same least 64-gram (by fingerprint, leftmost of equals) at the same
 place. So the suffixes that start at these anchors, about one in 170 bytes, are sorted into initial 64-gram buckets
 by Spark. A bucket of one suffix can't repeat. A bucket whose suffixes all have the same surroundings repeats as a
-whole. The rest, at the edges of repeats, is refined: buckets of equal g-grams are sorted on the bucket identifiers
-at the later offset g to give those of 2g-grams, again and again up to `length`; each round takes only positions
-that still share a bucket.
+whole. The rest, at the edges of repeats, is refined: the bucket of a 2g-gram is named by the bucket of its g-gram and
+that at the later offset g, and these names are used again for 4g-grams, up to `length`; then the buckets are sorted.
 
 A bucket with more than `bucket_rows` different surroundings is split by Spark into runs of window starts: a run goes
 on in the bucket of the bytes that all its windows share, equal runs are counted and one stays. At a run of one window
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_marks, chunks, flat, joined, mixed, small, stage
+from ._common import byte_marks, chunks, flat, joined, mixed, small, stage, whole_groups
 
 GRAM = 64
 #: Runs of window starts that a crowded bucket is split into, each time.
@@ -35,8 +34,8 @@ _SPAN = "fp binary, low int, high int"
 _RESULT = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
-def remove_repeats(docs: DataFrame, column: str = "text", length: int = 400, bucket_rows: int = 4096) -> DataFrame:
-    """docs with `n_bytes`, `n_removed`, `n_spans` (longs), `kept_sha256` and `kept` (binary, the bytes that stay).
+def remove_repeats(docs: DataFrame, column: str = "text", length: int = 400, bucket_rows: int = 4096, with_kept: bool = True) -> DataFrame:
+    """docs with `n_bytes`, `n_removed`, `n_spans` (longs), `kept_sha256` and `kept` (binary, the bytes that stay; null without with_kept).
 
     Each byte that a string of `length` bytes covers goes if that string also starts anywhere else, in the same row
     or another; overlaps count, and strings are judged on the input. Matches never cross rows.
@@ -57,7 +56,7 @@ def remove_repeats(docs: DataFrame, column: str = "text", length: int = 400, buc
     doc = doc.withColumn("fp", F.unhex(F.md5("_text")))
     doc = doc.join(_sized(spans, "_spans", 8), "fp", "left").select("_row", "_text", "_spans")
     kind = doc.schema["_row"].dataType.simpleString()
-    out = doc.mapInArrow(_cut, f"_row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = doc.mapInArrow(partial(_cut, with_kept=with_kept), f"_row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.select(*[F.col("_row").getField(c).alias(c) for c in own], *_RESULT)
 
 
@@ -67,19 +66,27 @@ def _sized(rows: DataFrame, items: str, item_bytes: int) -> DataFrame:
     return small(rows, 48 + item_bytes * (total or 0) // max(1, n))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], with_kept: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text, offsets = flat(batch.column(1))
-        sizes, counts, digests, kept = np.diff(offsets), [], [], []
-        for k, spans in enumerate(batch.column(2).to_pylist()):
+        spans = batch.column(2)  # a null has no items
+        at = np.asarray(spans.offsets)
+        covers = np.stack([np.asarray(spans.values.field(k)) for k in (0, 1)], 1).astype(np.int64)
+        counts, digests, kept, left = [], [], [], []
+        for k in range(batch.num_rows):
             own = text[offsets[k] : offsets[k + 1]]
-            runs = merged(np.array([(x["low"], x["end"]) for x in spans or ()], np.int64).reshape(-1, 2))
-            stays = np.concatenate([[0], runs.ravel(), [len(own)]]).reshape(-1, 2)
-            kept.append(b"".join(own[a:b].tobytes() for a, b in stays))
-            counts.append(len(runs))
-            digests.append(hashlib.sha256(kept[-1]).hexdigest())
-        removed = sizes - np.array([len(x) for x in kept], np.int64)
-        longs = [pa.array(x, pa.int64()) for x in (sizes, removed, counts)]
+            if at[k] == at[k + 1]:
+                stays, n = own.tobytes(), 0
+            else:
+                runs = merged(covers[at[k] : at[k + 1]])
+                ends, n = np.concatenate([[0], runs.ravel(), [len(own)]]).reshape(-1, 2), len(runs)
+                stays = b"".join(own[a:b].tobytes() for a, b in ends)
+            counts.append(n)
+            left.append(len(stays))
+            digests.append(hashlib.sha256(stays).hexdigest())
+            kept.append(stays if with_kept else None)
+        sizes = np.diff(offsets)
+        longs = [pa.array(x, pa.int64()) for x in (sizes, sizes - np.array(left, np.int64), counts)]
         yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(digests, pa.string()), pa.array(kept, pa.binary())], ["_row", *_RESULT])
 
 
@@ -234,24 +241,10 @@ def _split(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         yield _batch(out)
 
 
-def _refine(batches: Iterator[pa.RecordBatch], length: int, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+def _refine(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Takes pieces sorted by bucket; gives the starts, from low to high, whose windows repeat in their bucket."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        table = pa.Table.from_batches(held)
-        bucket = table.column(0).to_numpy()
-        while len(bucket) > rows:  # at the last end of a bucket within `rows`, or after a longer bucket
-            end = int(np.searchsorted(bucket, bucket[rows], "left")) or int(np.searchsorted(bucket, bucket[0], "right"))
-            if end == len(bucket):
-                break
-            yield _repeats(table.slice(0, end), length)
-            table, bucket = table.slice(end), bucket[end:]
-        held = table.combine_chunks().to_batches()
-    if held:
-        yield _repeats(pa.Table.from_batches(held), length)
+    for table in whole_groups(batches, 0, 512):
+        yield _repeats(table, length)
 
 
 def _repeats(pieces: pa.Table, length: int) -> pa.RecordBatch:
@@ -263,12 +256,15 @@ def _repeats(pieces: pa.Table, length: int) -> pa.RecordBatch:
     piece = np.repeat(np.arange(len(n)), n)
     start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     p = offsets[piece] + start
-    ids = refined(data, p, length)
-    group = np.unique(bucket, return_inverse=True)[1][piece] * np.int64(length) + (at[piece] - low[piece] - start)
-    live = np.flatnonzero(ids >= 0)
-    _, back, count = np.unique(np.stack([group[live], ids[live]], 1), axis=0, return_inverse=True, return_counts=True) if len(live) else (None, np.zeros(0, int), np.zeros(0, int))
+    names = bucket_names(data, length)[p]
+    # Only windows at the same distance to the same anchor gram are compared.
+    place = np.unique(bucket, return_inverse=True)[1][piece] * np.int64(length) + (at[piece] - low[piece] - start)
+    names = joined(names, mixed(place.astype(np.uint64)))
+    order = np.argsort(names)
+    names, place = names[order], place[order]
+    same = np.flatnonzero((names[1:] == names[:-1]) & (place[1:] == place[:-1]))
     twice = np.zeros(len(p) + 1, bool)
-    twice[live] = count[back.ravel()] > 1
+    twice[order[same]] = twice[order[same + 1]] = True
     twice[:-1] &= ~many[piece]
     edge = np.concatenate([[True], piece[1:] != piece[:-1], [True]])
     first = np.flatnonzero(twice[:-1] & (edge[:-1] | ~np.concatenate([[False], twice[:-2]])))
@@ -278,35 +274,14 @@ def _repeats(pieces: pa.Table, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pieces.column(1).combine_chunks().take(pa.array(k)), *ints], ["fp", "low", "high"])
 
 
-def refined(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Bucket identifiers of the `length` bytes at each start, -1 where no other start could share them.
+def bucket_names(data: np.ndarray, length: int) -> np.ndarray:
+    """The name of the bucket of the `length` bytes at each place.
 
-    Identifiers of g-grams, at first the eight bytes themselves, and of those g later make the identifiers of
-    2g-grams. A position alone in its bucket stays alone, so it and those that lead to it leave the next rounds.
+    The bucket of a 2g-gram is named by those of its g-gram and of the g-gram g later, again and again; the last two
+    overlap. A name is a fingerprint of the pair of names, so a round needs no sort of its own.
     """
-    n, g = len(data), 8
-    if not len(starts):
-        return np.zeros(0, np.int64)
-    keys = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    for k in (1, 2, 4):
-        keys[: len(keys) - k] |= keys[k:] << np.uint64(8 * k)
-    ids = np.full(n + length, -1, np.int64)
-    live = np.arange(n)
-    _sort(ids, live, keys[:n])
-    while g < length:
-        step = min(g, length - g)
-        live = np.flatnonzero(ids[:n] >= 0) if g * 2 < length else np.unique(starts)
-        live = live[(ids[live] >= 0) & (ids[live + step] >= 0)]
-        keys = ids[live] * np.int64(n + 1) + ids[live + step]
-        ids[:] = -1
-        _sort(ids, live, keys)
-        g += step
-    return ids[starts]
-
-
-def _sort(ids: np.ndarray, live: np.ndarray, keys: np.ndarray) -> None:
-    """Gives each live position the number of its key's bucket, if it isn't alone there."""
-    if len(live):
-        _, back, count = np.unique(keys, return_inverse=True, return_counts=True)
-        shared = count[back] > 1
-        ids[live[shared]] = back[shared]
+    h, g = _gram_marks(data), GRAM
+    while 2 * g <= length:
+        h, g = joined(h[:-g], h[g:]), 2 * g
+    rest = length - g
+    return joined(h[:-rest], h[rest:]) if rest else h

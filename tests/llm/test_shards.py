@@ -37,7 +37,16 @@ def test_shards(spark):
             assert of.setdefault(r.text or "", r.shard) == r.shard
         assert all(sorted(x) == list(range(len(x))) for x in slots.values())
         total.sort()
-        assert total[8] - total[0] <= 40 and total[9] < 600_000
+        assert total[9] - total[0] <= (40 if cell == 4096 else 3000)
+
+
+def test_group_that_fills_a_shard(spark):
+    rng = random.Random(6)
+    texts = [str(i) + "y" * rng.randint(0, 900) for i in range(2000)] + ["hot" * 40] * 3000
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for cell in (4096, 90):
+        total = sorted(r.total for r in shard(docs, 8, cell=cell).groupBy("shard").agg({"size": "sum"}).withColumnRenamed("sum(size)", "total").collect())
+        assert total[7] == 3000 * 136 and total[6] - total[0] <= 500
 
 
 def test_empty(spark):
