@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_main, jaccard, mixing, packing, quality, shards, suffix_dedup, token_counts
+from . import html_main, jaccard, mixing, packing, quality, shards, suffix_dedup, token_counts, url_templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,10 @@ def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "copy", "order_key")
 
 
+def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op6_kk_sharding": op6_kk_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op8_poisson_mixing": op8_poisson_mixing,
+    "op9_url_templates": op9_url_templates,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op7_quality_rules": quality.ORACLE_SQL, "op8_poisson_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_quality_rules": quality.ORACLE_SQL, "op8_poisson_mixing": mixing.ORACLE_SQL, "op9_url_templates": url_templates.ORACLE_SQL}
