@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_main, jaccard, mixing, packing, quality, shards, suffix_dedup, token_counts, url_templates
+from . import html_main, jaccard, mixing, packing, prefix_forest, quality, shards, suffix_dedup, token_counts, url_templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op5_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 40).drop("text")
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_html_extraction": op4_html_extraction,
+    "op5_prefix_forest": op5_prefix_forest,
     "op6_kk_sharding": op6_kk_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op8_poisson_mixing": op8_poisson_mixing,
