@@ -33,11 +33,11 @@ class Rule(NamedTuple):
 
 #: A text is kept if it breaks no rule. No rule has an upper bound on length.
 RULES = (
-    Rule("word_length", "word_chars / n_words", 1.5, 16),
-    Rule("symbols", "n_symbols / n_words", None, 0.1),
-    Rule("stop_words", "n_stop_words / n_words", 0.04, None),
-    Rule("shouting", "n_loud_words / n_words", None, 0.4),
-    Rule("duplicate_lines", "n_dup_lines / n_lines", None, 0.5),
+    Rule("word_length", "try_divide(word_chars, n_words)", 1.5, 16),
+    Rule("symbols", "try_divide(n_symbols, n_words)", None, 0.1),
+    Rule("stop_words", "try_divide(n_stop_words, n_words)", 0.04, None),
+    Rule("shouting", "try_divide(n_loud_words, n_words)", None, 0.4),
+    Rule("duplicate_lines", "try_divide(n_dup_lines, n_lines)", None, 0.5),
 )
 
 

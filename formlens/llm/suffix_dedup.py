@@ -31,11 +31,12 @@ PARTS = 8
 _ANCHOR = "gram long, around long, fp binary, at int, low int, high int"
 _PIECE = "bucket long, around long, fp binary, at int, low int, high int, near int, far int, many boolean, bytes binary"
 _SPAN = "fp binary, low int, high int"
-_RESULT = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+_RESULT = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")
 
 
 def remove_repeats(docs: DataFrame, column: str = "text", length: int = 400, bucket_rows: int = 4096, with_kept: bool = True) -> DataFrame:
-    """docs with `n_bytes`, `n_removed`, `n_spans` (longs), `kept_sha256` and `kept` (binary, the bytes that stay; null without with_kept).
+    """docs with `n_bytes`, `n_removed`, `n_spans` (longs), `kept_sha256`, `kept` (binary, the bytes that stay) and `kept_text`
+    (string, the characters of which all bytes stay). Without with_kept the last two are null.
 
     Each byte that a string of `length` bytes covers goes if that string also starts anywhere else, in the same row
     or another; overlaps count, and strings are judged on the input. Matches never cross rows.
@@ -56,7 +57,7 @@ def remove_repeats(docs: DataFrame, column: str = "text", length: int = 400, buc
     doc = doc.withColumn("fp", F.unhex(F.md5("_text")))
     doc = doc.join(_sized(spans, "_spans", 8), "fp", "left").select("_row", "_text", "_spans")
     kind = doc.schema["_row"].dataType.simpleString()
-    out = doc.mapInArrow(partial(_cut, with_kept=with_kept), f"_row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = doc.mapInArrow(partial(_cut, with_kept=with_kept), f"_row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string")
     return out.select(*[F.col("_row").getField(c).alias(c) for c in own], *_RESULT)
 
 
@@ -72,22 +73,24 @@ def _cut(batches: Iterator[pa.RecordBatch], with_kept: bool) -> Iterator[pa.Reco
         spans = batch.column(2)  # a null has no items
         at = np.asarray(spans.offsets)
         covers = np.stack([np.asarray(spans.values.field(k)) for k in (0, 1)], 1).astype(np.int64)
-        counts, digests, kept, left = [], [], [], []
+        counts, digests, kept, texts, left = [], [], [], [], []
         for k in range(batch.num_rows):
             own = text[offsets[k] : offsets[k + 1]]
             if at[k] == at[k + 1]:
-                stays, n = own.tobytes(), 0
+                parts, n = [own.tobytes()], 0
             else:
                 runs = merged(covers[at[k] : at[k + 1]])
                 ends, n = np.concatenate([[0], runs.ravel(), [len(own)]]).reshape(-1, 2), len(runs)
-                stays = b"".join(own[a:b].tobytes() for a, b in ends)
+                parts = [own[a:b].tobytes() for a, b in ends]
+            stays = b"".join(parts)
             counts.append(n)
             left.append(len(stays))
             digests.append(hashlib.sha256(stays).hexdigest())
             kept.append(stays if with_kept else None)
+            texts.append("".join(x.decode("utf-8", "ignore") for x in parts) if with_kept else None)
         sizes = np.diff(offsets)
         longs = [pa.array(x, pa.int64()) for x in (sizes, sizes - np.array(left, np.int64), counts)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(digests, pa.string()), pa.array(kept, pa.binary())], ["_row", *_RESULT])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(digests, pa.string()), pa.array(kept, pa.binary()), pa.array(texts, pa.string())], ["_row", *_RESULT])
 
 
 def merged(runs: np.ndarray) -> np.ndarray:

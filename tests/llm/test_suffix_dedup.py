@@ -49,7 +49,13 @@ def test_as_brute_force(spark, bucket_rows):
 def test_empty_table_and_clashing_names(spark):
     none = spark.createDataFrame([], "doc_id long, text string, kept string, fp int, N_BYTES int")
     out = remove_repeats(none)
-    assert out.columns == ["doc_id", "text", "fp", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    assert out.columns == ["doc_id", "text", "fp", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"]
     assert out.count() == 0
     one = spark.createDataFrame([(1, "t", 5, "x" * 900)], "low int, at string, fp int, text string")
     assert remove_repeats(one).first().n_removed == 900
+
+
+def test_cut_characters_are_left_out(spark):
+    shared = "\u00a9" + "q" * 398  # 400 bytes; its first byte is also that of the other character
+    out = remove_repeats(spark.createDataFrame([("ab" + shared,), ("\u00c3" + shared[1:] + "\u00a9" * 2,), ("w" * 3 + "\u00a9" + shared[1:] + "z",)], "text string")).collect()
+    assert sorted(r.kept_text for r in out) == sorted(["ab", "\u00c3" + shared[1:] + "\u00a9" * 2, "wwwz"])
