@@ -1,15 +1,56 @@
-"""The corpus pipeline: each stage is one operator, takes documents and gives documents."""
+"""The corpus pipeline: each stage is one operator, takes documents and gives documents; the last gives packed pieces."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from formlens.llm import jaccard, mixing, packing, quality, suffix_dedup
+from formlens.llm._common import stage
+
+#: No SQL: the near-duplicate join and byte-pair encoding can't be expressed in it.
 ORACLE_SQL = None
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality.judge(docs).filter("kept").select(docs.columns)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return jaccard.one_of_each(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose their repeated strings, and characters cut in two; a text may be left empty."""
+    out = suffix_dedup.remove_repeats(docs).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long"))
+    return out.select(docs.columns)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as their source's weight draws them."""
+    return mixing.mix(docs).select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents with their places in sequences."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", ngram_jaccard),
+    ("suffix-array dedup", suffix_array_dedup),
+    ("mixing sources", mixing_sources),
+    ("best-fit packing", best_fit_packing),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over the documents; what one gives is written and read again, so it is computed once."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, step) in enumerate(STAGES):
+        docs = step(spark, stage(docs, f"stage{k}") if k else docs, sf_dir)
     return docs
