@@ -1,10 +1,478 @@
-"""The queries over the driver's tables, by name."""
+"""The queries over the driver's tables, by name, and the SQL that they are held against."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import linear
+from ..operators import cohort_model, masks, moments, overlap, transforms
+from ..sources import cohorts
+
+SHAPE = (cohorts.GRID,) * 3
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+_MANY, _FEW = cohorts.oracle_cte("supplier"), cohorts.oracle_cte("nation")
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in names})
+
+
+def r(text: str, digits: int = 6) -> str:
+    return f"round({text}, {digits}) + 0e0"
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings as features."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("mask_id"), F.col("embedding").cast("array<double>").alias("features"))
+
+
+# Masks
+
+
+@query(f"{_MANY} SELECT mask_id, x, y, z FROM voxel")
+def mask_voxels(spark, sf_dir):
+    return cohorts.masks(spark, sf_dir, "supplier")[1]
+
+
+@query(f"""{_MANY} SELECT mask_id, count(*) AS n, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z
+FROM voxel GROUP BY mask_id""")
+def mask_volume_bbox(spark, sf_dir):
+    return masks.bounding_boxes(cohorts.masks(spark, sf_dir, "supplier")[1])
+
+
+@query(f"{_MANY} SELECT mask_id, (CASE WHEN side = 'left' THEN 15 - x ELSE x END)::INT AS x, y, z FROM voxel JOIN par USING (mask_id)")
+def mask_flip_left(spark, sf_dir):
+    return masks.flip_left(*cohorts.masks(spark, sf_dir, "supplier"), SHAPE[0])
+
+
+_OFFSETS = "o(i, j, k) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))"
+_SURFACE = f"""{_FEW}, {_OFFSETS}, sp AS (SELECT mask_id, 2 * x + i AS x2, 2 * y + j AS y2, 2 * z + k AS z2 FROM voxel v, o
+  WHERE x + i BETWEEN 0 AND 15 AND y + j BETWEEN 0 AND 15 AND z + k BETWEEN 0 AND 15
+  AND NOT EXISTS (FROM voxel w WHERE w.mask_id = v.mask_id AND w.x = v.x + i AND w.y = v.y + j AND w.z = v.z + k))"""
+
+
+@query(f"{_SURFACE} SELECT mask_id, x2, y2, z2 FROM sp")
+def surface_points(spark, sf_dir):
+    return masks.surface_points(cohorts.masks(spark, sf_dir, "nation")[1], SHAPE)
+
+
+_DILATED = f"""{_FEW}, {_OFFSETS}, d AS (SELECT DISTINCT mask_id, x + i AS x, y + j AS y, z + k AS z FROM voxel, (FROM o UNION ALL SELECT 0, 0, 0)
+  WHERE x + i BETWEEN 0 AND 15 AND y + j BETWEEN 0 AND 15 AND z + k BETWEEN 0 AND 15)"""
+_KEEP = "NOT EXISTS (FROM o WHERE NOT EXISTS (FROM {0} w WHERE w.mask_id = v.mask_id AND w.x = v.x + i AND w.y = v.y + j AND w.z = v.z + k))"
+
+
+@query(f"{_DILATED} SELECT mask_id, x, y, z FROM d")
+def dilate(spark, sf_dir):
+    return masks.dilate(cohorts.masks(spark, sf_dir, "nation")[1], SHAPE)
+
+
+@query(f"""{_FEW}, {_OFFSETS}, c AS (SELECT v.mask_id, v.x, v.y, v.z, count(*) AS n FROM voxel v, o JOIN voxel w
+  ON w.mask_id = v.mask_id AND w.x = v.x + i AND w.y = v.y + j AND w.z = v.z + k GROUP BY ALL) SELECT mask_id, x, y, z FROM c WHERE n = 6""")
+def erode(spark, sf_dir):
+    return masks.erode(cohorts.masks(spark, sf_dir, "nation")[1])
+
+
+@query(f"""{_DILATED}, c AS (SELECT v.mask_id, v.x, v.y, v.z, count(*) AS n FROM d v, o JOIN d w
+  ON w.mask_id = v.mask_id AND w.x = v.x + i AND w.y = v.y + j AND w.z = v.z + k GROUP BY ALL) SELECT mask_id, x, y, z FROM c WHERE n = 6""")
+def close(spark, sf_dir):
+    return masks.close(cohorts.masks(spark, sf_dir, "nation")[1], SHAPE)
+
+
+def _hollow(voxel: DataFrame) -> DataFrame:
+    """Without the inner voxels, so holes are left to fill."""
+    return voxel.join(masks.erode(voxel), ["mask_id", "x", "y", "z"], "left_anti")
+
+
+@query(f"{_FEW} SELECT mask_id, x, y, z FROM voxel")
+def fill_holes(spark, sf_dir):
+    """Shells of the masks, filled: the masks again."""
+    meta, voxel = cohorts.masks(spark, sf_dir, "nation")
+    return masks.fill_holes(meta, _hollow(voxel), SHAPE)
+
+
+@query(f"{_FEW} SELECT mask_id, count(*) AS n, 1::BIGINT AS components FROM voxel GROUP BY mask_id")
+def largest_component(spark, sf_dir):
+    """Ellipsoids are in one piece."""
+    parts = masks.components(*cohorts.masks(spark, sf_dir, "nation"), SHAPE)
+    return parts.groupBy("mask_id", "component").agg(F.count("*").alias("n")).groupBy("mask_id").agg(F.max("n").alias("n"), F.count("*").alias("components"))
+
+
+@query(f"""{_DILATED}, c AS (SELECT v.mask_id, v.x, v.y, v.z, count(*) AS n FROM d v, o JOIN d w
+  ON w.mask_id = v.mask_id AND w.x = v.x + i AND w.y = v.y + j AND w.z = v.z + k GROUP BY ALL) SELECT mask_id, count(*) AS n FROM c WHERE n = 6 GROUP BY mask_id""")
+def preprocess_volume(spark, sf_dir):
+    """Ellipsoids are in one piece and have no holes, so only the closing changes them."""
+    done = masks.preprocess(*cohorts.masks(spark, sf_dir, "nation"), SHAPE, min_size=100, closing_radius=1)
+    return done.groupBy("mask_id").agg(F.count("*").alias("n"))
+
+
+# Pairs
+
+_COO = """, n AS (SELECT mask_id, count(*) AS n FROM voxel GROUP BY mask_id),
+i AS (SELECT a.mask_id AS id_a, b.mask_id AS id_b, count(*) AS i FROM voxel a JOIN voxel b ON a.x = b.x AND a.y = b.y AND a.z = b.z AND a.mask_id <= b.mask_id GROUP BY ALL),
+p AS (SELECT a.mask_id AS id_a, b.mask_id AS id_b, a.n AS na, b.n AS nb, coalesce(i, 0) AS i FROM n a JOIN n b ON a.mask_id <= b.mask_id LEFT JOIN i ON id_a = a.mask_id AND id_b = b.mask_id)"""
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    meta, voxel = cohorts.masks(spark, sf_dir, "supplier")
+    return meta, masks.volumes(meta, voxel), masks.packed(voxel, SHAPE)
+
+
+@query(f"{_MANY}{_COO} SELECT id_a, id_b, 2e0 * i / (na + nb) AS dice FROM p")
+def dice_matrix_packed(spark, sf_dir):
+    return overlap.dice_packed(*_packed(spark, sf_dir))
+
+
+@query(f"{_MANY}{_COO} SELECT id_a, id_b, 2e0 * i / (na + nb) AS dice FROM p")
+def dice_matrix_gram(spark, sf_dir):
+    return overlap.dice_gram(*_packed(spark, sf_dir))
+
+
+@query(f"{_MANY}{_COO} SELECT id_a, id_b, {r('2e0 * i / (na + nb + 1e-9)', 9)} AS dice FROM p")
+def dice_eps_variant(spark, sf_dir):
+    return rounded(overlap.dice_packed(*_packed(spark, sf_dir), epsilon=1e-9), 9, "dice")
+
+
+@query("""WITH voxel AS (SELECT DISTINCT l_suppkey AS mask_id, l_partkey AS v FROM lineitem), n AS (SELECT mask_id, count(*) AS n FROM voxel GROUP BY mask_id),
+i AS (SELECT a.mask_id AS id_a, b.mask_id AS id_b, count(*) AS i FROM voxel a JOIN voxel b ON a.v = b.v AND a.mask_id <= b.mask_id GROUP BY ALL)
+SELECT a.mask_id AS id_a, b.mask_id AS id_b, 2e0 * coalesce(i, 0) / (a.n + b.n) AS dice
+FROM n a JOIN n b ON a.mask_id <= b.mask_id LEFT JOIN i ON id_a = a.mask_id AND id_b = b.mask_id""")
+def dice_sparse_supplier_parts(spark, sf_dir):
+    """Suppliers as sets of parts: the same operator on a long, sparse axis."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("mask_id"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("l_partkey").alias("z"))
+    words = masks.packed(items, (1, 1, 1))
+    sizes = words.groupBy("mask_id").agg(F.sum(F.bit_count("bits").cast("long")).alias("n"))
+    return overlap.dice_packed(sizes.select("mask_id"), sizes, words)
+
+
+@query(f"""{_MANY}{_COO} SELECT a.label AS label_a, b.label AS label_b, count(*) AS pairs, {r('avg(2e0 * i / (na + nb))')} AS mean_dice, min(2e0 * i / (na + nb)) AS min_dice
+FROM p JOIN par a ON a.mask_id = id_a JOIN par b ON b.mask_id = id_b GROUP BY ALL""")
+def label_pair_dice_summary(spark, sf_dir):
+    meta, sizes, words = _packed(spark, sf_dir)
+    dice = overlap.dice_gram(meta, sizes, words)
+    for side in "ab":
+        dice = dice.join(meta.select(F.col("mask_id").alias(f"id_{side}"), F.col("label").alias(f"label_{side}")), f"id_{side}")
+    out = dice.groupBy("label_a", "label_b").agg(F.count("*").alias("pairs"), F.avg("dice").alias("mean_dice"), F.min("dice").alias("min_dice"))
+    return rounded(out, 6, "mean_dice")
+
+
+@query(f"""{_MANY}{_COO}, m AS (SELECT id_a, id_b, 2e0 * i / (na + nb) AS dice FROM p WHERE id_a < id_b UNION ALL SELECT id_b, id_a, 2e0 * i / (na + nb) FROM p WHERE id_a < id_b)
+SELECT id_a, id_b, dice, rank FROM (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY dice DESC, id_b)::INT AS rank FROM m) WHERE rank <= 3""")
+def nearest_mask_topk(spark, sf_dir):
+    from pyspark.sql import Window
+
+    both = overlap.mirrored(overlap.dice_gram(*_packed(spark, sf_dir))).filter("id_a != id_b")
+    rank = F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("dice"), "id_b"))
+    return both.withColumn("rank", rank).filter("rank <= 3")
+
+
+_NEAR = """, near AS (SELECT a.mask_id AS id_a, b.mask_id AS id_b, a.x2, a.y2, a.z2, min((a.x2-b.x2)*(a.x2-b.x2) + (a.y2-b.y2)*(a.y2-b.y2) + (a.z2-b.z2)*(a.z2-b.z2)) AS d2 FROM sp a, sp b GROUP BY ALL),
+way AS (SELECT id_a, id_b, max(d2) AS far, avg(sqrt(d2) / 2) AS mean FROM (SELECT DISTINCT id_a, id_b, x2, y2, z2, d2 FROM near) GROUP BY ALL)"""
+
+
+@query(f"{_SURFACE}{_NEAR} SELECT id_a, id_b, sqrt(max(far)) / 2 AS hausdorff FROM (SELECT least(id_a, id_b) AS id_a, greatest(id_a, id_b) AS id_b, far FROM way) GROUP BY ALL")
+def hausdorff_matrix(spark, sf_dir):
+    meta, voxel = cohorts.masks(spark, sf_dir, "nation")
+    return overlap.surface_distances(meta, masks.surface_points(voxel, SHAPE).distinct()).select("id_a", "id_b", "hausdorff")
+
+
+@query(f"{_SURFACE}{_NEAR} SELECT id_a, id_b, {r('avg(mean)')} AS mean_dist FROM (SELECT least(id_a, id_b) AS id_a, greatest(id_a, id_b) AS id_b, mean FROM way) GROUP BY ALL")
+def mean_surface_distance(spark, sf_dir):
+    meta, voxel = cohorts.masks(spark, sf_dir, "nation")
+    out = overlap.surface_distances(meta, masks.surface_points(voxel, SHAPE).distinct()).select("id_a", "id_b", "mean_dist")
+    return rounded(out, 6, "mean_dist")
+
+
+# Moments and alignment
+
+_P = ("xx", "yy", "zz", "xy", "xz", "yz")
+_COV = ", ".join(f"{r(f'covar_samp({p[0]}, {p[1]})')} AS c_{p}" for p in _P)
+
+
+@query(f"{_MANY} SELECT mask_id, count(*) AS n, {r('avg(x)')} AS m_x, {r('avg(y)')} AS m_y, {r('avg(z)')} AS m_z, {_COV} FROM voxel GROUP BY mask_id")
+def centroid_covariance(spark, sf_dir):
+    out = moments.covariances(cohorts.masks(spark, sf_dir, "supplier")[1])
+    return rounded(out, 6, *[c for c in out.columns if c[:2] in ("m_", "c_")])
+
+
+@query(f"""{_MANY}, c AS (SELECT mask_id, {', '.join(f'covar_samp({p[0]}, {p[1]}) AS {p}' for p in _P)} FROM voxel GROUP BY mask_id),
+q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM c),
+s AS (SELECT *, sqrt(((xx-q)*(xx-q) + (yy-q)*(yy-q) + (zz-q)*(zz-q) + 2 * (xy*xy + xz*xz + yz*yz)) / 6) AS p,
+  (xx-q)*((yy-q)*(zz-q) - yz*yz) - xy*(xy*(zz-q) - yz*xz) + xz*(xy*yz - (yy-q)*xz) AS d FROM q),
+e AS (SELECT *, CASE WHEN p < 1e-9 THEN q ELSE q + 2 * p * cos(acos(greatest(-1e0, least(1e0, d / (2 * p * p * p)))) / 3) END AS l1,
+  CASE WHEN p < 1e-9 THEN q ELSE q + 2 * p * cos(acos(greatest(-1e0, least(1e0, d / (2 * p * p * p)))) / 3 + 2.0943951023931953e0) END AS l3 FROM s)
+SELECT mask_id, {r('l1')} AS l1, {r('3 * q - l1 - l3')} AS l2, {r('l3')} AS l3 FROM e""")
+def principal_variances(spark, sf_dir):
+    return rounded(moments.principal_variances(cohorts.masks(spark, sf_dir, "supplier")[1]), 6, "l1", "l2", "l3")
+
+
+_W = ", ".join(f"{r(f'sum((1e0 + x) * {p[0]} * {p[1]}) - sum((1e0 + x) * {p[0]}) * sum((1e0 + x) * {p[1]}) / sum(1e0 + x)', 4)} AS i_{p}" for p in _P)
+
+
+@query(f"{_MANY} SELECT mask_id, sum(1e0 + x) AS mass, {', '.join(f'{r(f"sum((1e0 + x) * {c}) / sum(1e0 + x)")} AS m_{c}' for c in 'xyz')}, {_W} FROM voxel GROUP BY mask_id")
+def weighted_inertia(spark, sf_dir):
+    volume = cohorts.masks(spark, sf_dir, "supplier")[1].withColumn("v", 1.0 + F.col("x"))
+    out = rounded(moments.weighted_inertia(volume), 6, "m_x", "m_y", "m_z")
+    return rounded(out, 4, *[f"i_{p}" for p in _P])
+
+
+_OFF = """, s AS (SELECT mask_id, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(z) AS sz FROM voxel GROUP BY mask_id),
+d AS (SELECT mask_id, (n * x - sx)::DOUBLE AS dx, (n * y - sy)::DOUBLE AS dy, (n * z - sz)::DOUBLE AS dz FROM voxel JOIN s USING (mask_id))"""
+
+
+@query(f"""{_MANY}{_OFF}, c AS (SELECT mask_id, count(*) FILTER (WHERE dz > 0 AND dz * dz >= 0.5e0 * (dx*dx + dy*dy + dz*dz)) AS forward,
+  count(*) FILTER (WHERE dz < 0 AND dz * dz >= 0.5e0 * (dx*dx + dy*dy + dz*dz)) AS backward FROM d GROUP BY mask_id)
+SELECT mask_id, forward, backward, CASE WHEN forward + backward > 0 THEN abs(forward - backward) / (forward + backward) ELSE 0e0 END AS skew, forward > backward AS flip FROM c""")
+def cone_orientation(spark, sf_dir):
+    return moments.cone_orientation(cohorts.masks(spark, sf_dir, "supplier")[1])
+
+
+@query(f"""{_FEW}{_OFF}, t AS (SELECT mask_id, g, dx * cos(radians(g)) + dy * sin(radians(g)) AS along, dx*dx + dy*dy + dz*dz AS n2 FROM d, range(180) gg(g)),
+c AS (SELECT mask_id, g, least(count(*) FILTER (WHERE along < 0), count(*) FILTER (WHERE along >= 0)) AS m FROM t WHERE n2 > 0 AND along * along >= pow(cos(radians(15)), 2) * n2 GROUP BY ALL)
+SELECT mask_id, min(m) AS min_mass, count(*) FILTER (WHERE m = least_m) AS n_directions FROM (SELECT *, min(m) OVER (PARTITION BY mask_id) AS least_m FROM c) GROUP BY mask_id""")
+def cone_sweep(spark, sf_dir):
+    return moments.cone_sweep(cohorts.masks(spark, sf_dir, "nation")[1]).select("mask_id", "min_mass", "n_directions")
+
+
+@query(f"{_FEW} SELECT mask_id, 1e0 AS det, 0e0 AS off, {r('avg(x)')} AS cx FROM voxel GROUP BY mask_id")
+def canonical_axes(spark, sf_dir):
+    """The axes are orthonormal and right-handed: determinant 1, and nothing off the diagonal of their products."""
+    out = moments.canonical_axes(*cohorts.masks(spark, sf_dir, "nation"), SHAPE)
+    a = lambda i, j: F.col("axes")[3 * i + j]
+    det = sum(a(0, j) * (a(1, (j + 1) % 3) * a(2, (j + 2) % 3) - a(1, (j + 2) % 3) * a(2, (j + 1) % 3)) for j in range(3))
+    off = sum(F.abs(sum(a(k, i) * a(k, j) for k in range(3))) for i, j in ((0, 1), (0, 2), (1, 2)))
+    return rounded(out.select("mask_id", det.alias("det"), off.alias("off"), "cx"), 6, "det", "off", "cx")
+
+
+@query(f"""{_FEW}, ref AS (SELECT x, y, z FROM voxel WHERE mask_id = 0), a(angle, c, s) AS (VALUES (0e0, 1, 0), (90e0, 0, 1), (180e0, -1, 0), (270e0, 0, -1)),
+t AS (SELECT mask_id, angle, (c * (2 * gx.x - 15) + s * (2 * gy.y - 15) + 15) // 2 AS sx, (-s * (2 * gx.x - 15) + c * (2 * gy.y - 15) + 15) // 2 AS sy, gx.x AS ox, gy.y AS oy
+  FROM (SELECT DISTINCT mask_id FROM par), a, range(16) gx(x), range(16) gy(y)),
+m AS (SELECT t.mask_id, angle, ox, oy, v.z FROM t JOIN voxel v ON v.mask_id = t.mask_id AND v.x = sx AND v.y = sy),
+d AS (SELECT m.mask_id, angle, 2e0 * count(ref.x) / (count(*) + (SELECT count(*) FROM ref)) AS dice FROM m LEFT JOIN ref ON ref.x = ox AND ref.y = oy AND ref.z = m.z GROUP BY ALL)
+SELECT mask_id, angle, dice FROM (SELECT *, row_number() OVER (PARTITION BY mask_id ORDER BY dice DESC, angle) AS k FROM d) WHERE k = 1""")
+def rotate_to_ref(spark, sf_dir):
+    meta, voxel = cohorts.masks(spark, sf_dir, "nation")
+    reference = masks.dense(voxel.filter("mask_id = 0").toPandas(), SHAPE)  # the reference: one mask of a known grid
+    return moments.rotate_to(reference, meta, voxel, step=90.0)
+
+
+@query(f"""WITH par AS ({_MANY.split("AS (", 1)[1].split("),", 1)[0]}) SELECT mask_id, i, j, (CASE WHEN i = 3 THEN CASE WHEN j = 3 THEN 1 ELSE 0 END
+  WHEN j = (i + mask_id) % 3 THEN 2 + j WHEN j = 3 THEN CASE (i + mask_id) % 3 WHEN 0 THEN a - cx WHEN 1 THEN b - cy ELSE c - cz END ELSE 0 END)::DOUBLE AS v
+  FROM par, range(4) gi(i), range(4) gj(j)""")
+def affine_compose(spark, sf_dir):
+    """An affine of spacings 2, 3, 4 and origin (a, b, c), taken into permuted axes about (cx, cy, cz)."""
+    shapes = cohorts.ellipsoids(spark, sf_dir, "supplier")
+    number = lambda c: c.cast("double")
+    affine = F.array(*[F.array(*[F.lit(float(2 + i)) if i == j else number(F.col("abc"[i])) if j == 3 else F.lit(0.0) for j in range(4)]) for i in range(3)], F.array(*[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)]))
+    axes = F.array(*[F.array(*[F.when((i + F.col("mask_id")) % 3 == j, 1.0).otherwise(0.0) for j in range(3)]) for i in range(3)])
+    centre = F.array(*[number(F.col(c)) for c in ("cx", "cy", "cz")])
+    out = shapes.select("mask_id", linear.affine_product(linear.into_axes(axes, centre), affine).alias("m"))
+    out = out.select("mask_id", F.posexplode("m").alias("i", "row")).select("mask_id", F.col("i").cast("long"), F.posexplode("row").alias("j", "v"))
+    return out.select("mask_id", "i", F.col("j").cast("long").alias("j"), (F.col("v") + 0.0).alias("v"))
+
+
+@query(f"{_FEW} SELECT DISTINCT mask_id, true AS close FROM voxel")
+def normalize_resample(spark, sf_dir):
+    """The resampled masks have the target volume, within what a grid of 32 cells can resolve."""
+    meta, voxel = cohorts.masks(spark, sf_dir, "nation")
+    flipped = masks.flip_left(meta, voxel, SHAPE[0])
+    out = moments.normalised(meta, flipped, SHAPE, size=32, volume=1000.0)
+    return out.groupBy("mask_id").agg(F.count("*").between(900, 1100).alias("close"))
+
+
+# Distances and transforms
+
+_EDT = f"""{_FEW}, cell AS (SELECT g.mask_id, g.x, g.y, g.z, v.x IS NOT NULL AS own FROM (SELECT mask_id, gx.x::INT AS x, gy.y::INT AS y, gz.z::INT AS z FROM par, range(16) gx(x), range(16) gy(y), range(16) gz(z)) g
+  LEFT JOIN voxel v ON v.mask_id = g.mask_id AND v.x = g.x AND v.y = g.y AND v.z = g.z),
+e1 AS (SELECT mask_id, own, u AS x, y, z, min((u - x) * (u - x)) AS f FROM cell, range(16) gu(u) GROUP BY mask_id, own, u, y, z),
+e2 AS (SELECT mask_id, own, x, u AS y, z, min(f + (u - y) * (u - y)) AS f FROM e1, range(16) gu(u) GROUP BY mask_id, own, x, u, z),
+e3 AS (SELECT mask_id, own, x, y, u AS z, min(f + (u - z) * (u - z)) AS f FROM e2, range(16) gu(u) GROUP BY mask_id, own, x, y, u),
+sdf AS (SELECT c.mask_id, c.x, c.y, c.z, (CASE WHEN c.own THEN -f ELSE f END)::BIGINT AS d2 FROM cell c JOIN e3 ON e3.mask_id = c.mask_id AND e3.x = c.x AND e3.y = c.y AND e3.z = c.z AND e3.own != c.own)"""
+
+
+@query(f"{_EDT} SELECT mask_id, x, y, z, d2 FROM sdf")
+def edt_sdf(spark, sf_dir):
+    return transforms.distance_fields(*cohorts.masks(spark, sf_dir, "nation"), SHAPE)
+
+
+def _root(d2: Column) -> Column:
+    return F.signum(d2) * F.sqrt(F.abs(d2).cast("double"))
+
+
+@query(f"{_EDT} SELECT mask_id, x, y, z, {r('5e0 * tanh(sign(d2) * sqrt(abs(d2)) / 5e0)')} AS v FROM sdf")
+def sdf_saturated(spark, sf_dir):
+    fields = transforms.distance_fields(*cohorts.masks(spark, sf_dir, "nation"), SHAPE)
+    return rounded(fields.select("mask_id", "x", "y", "z", (5.0 * F.tanh(_root(F.col("d2")) / 5.0)).alias("v")), 6, "v")
+
+
+@query(f"""{_EDT} SELECT mask_id, count(*) FILTER (WHERE abs(d2) < 4) AS boundary, count(*) FILTER (WHERE d2 < -4) AS inside,
+count(*) FILTER (WHERE d2 > 4) AS outside, count(*) FILTER (WHERE abs(d2) = 4) AS none FROM sdf GROUP BY mask_id""")
+def narrow_band_counts(spark, sf_dir):
+    d = _root(F.col("d2"))
+    fields = transforms.distance_fields(*cohorts.masks(spark, sf_dir, "nation"), SHAPE)
+    bands = {"boundary": F.abs(d) < 2, "inside": d < -2, "outside": d > 2, "none": F.abs(d) == 2}
+    return fields.groupBy("mask_id").agg(*[F.count_if(c).alias(k) for k, c in bands.items()])
+
+
+def _dct_sql(order: int, value: str) -> str:
+    return f"""{_EDT}, b AS (SELECT k::INT AS k, n::INT AS n, cos(pi() * (2 * n + 1) * k / 32) * CASE WHEN k = 0 THEN sqrt(1e0 / 16) ELSE sqrt(2e0 / 16) END AS w FROM range({order}) gk(k), range(16) gn(n)),
+c1 AS (SELECT mask_id, k AS i, y, z, sum(w * {value}) AS v FROM sdf JOIN b ON n = x GROUP BY ALL),
+c2 AS (SELECT mask_id, i, k AS j, z, sum(w * v) AS v FROM c1 JOIN b ON n = y GROUP BY ALL),
+c3 AS (SELECT mask_id, i, j, k, sum(w * v) AS v FROM c2 JOIN b ON n = z GROUP BY ALL)"""
+
+
+_TANH, _PLAIN = "5e0 * tanh(sign(d2) * sqrt(abs(d2)) / 5e0)", "sign(d2) * sqrt(abs(d2))"
+
+
+@query(f"{_dct_sql(5, _TANH)} SELECT mask_id, i, j, k, {r('v', 4)} AS value FROM c3 WHERE i*i + j*j + k*k <= 25")
+def dct_features(spark, sf_dir):
+    features = transforms.dct_features(*cohorts.masks(spark, sf_dir, "nation"), SHAPE, order=5)
+    return rounded(transforms.long_features(features, 5), 4, "value")
+
+
+@query(f"{_dct_sql(4, _PLAIN)} SELECT mask_id, i, j, k, {r('v', 4)} AS value FROM c3")
+def dct_cube_features(spark, sf_dir):
+    features = transforms.dct_features(*cohorts.masks(spark, sf_dir, "nation"), SHAPE, order=4, sphere=False, saturation=None)
+    return rounded(transforms.long_features(features, 4, sphere=False), 4, "value")
+
+
+def _back_sql(where: str) -> str:
+    return f""", k3 AS (SELECT * FROM c3 WHERE {where}), r1 AS (SELECT mask_id, n AS x, j, k3.k, sum(w * v) AS v FROM k3 JOIN b ON b.k = i GROUP BY ALL),
+r2 AS (SELECT mask_id, x, n AS y, r1.k, sum(w * v) AS v FROM r1 JOIN b ON b.k = j GROUP BY ALL),
+r3 AS (SELECT mask_id, x, y, n AS z, sum(w * v) AS v FROM r2 JOIN b ON b.k = r2.k GROUP BY ALL)"""
+
+
+@query(f"{_dct_sql(6, _TANH)}{_back_sql('i*i + j*j + k*k <= 36')} SELECT mask_id, x, y, z FROM r3 WHERE v < 0")
+def dct_smooth_mask(spark, sf_dir):
+    return transforms.smoothed(*cohorts.masks(spark, sf_dir, "nation"), SHAPE, order=6)
+
+
+@query(f"{_dct_sql(4, _PLAIN)}{_back_sql('true')} SELECT mask_id, x, y, z FROM r3 WHERE v < 0")
+def dct_cube_smooth_mask(spark, sf_dir):
+    return transforms.smoothed(*cohorts.masks(spark, sf_dir, "nation"), SHAPE, order=4, sphere=False, saturation=None)
+
+
+@query("SELECT i::INT AS i, j::INT AS j, k::INT AS k, ((i * 16 + j) * 16 + k)::INT AS n FROM range(16) gi(i), range(16) gj(j), range(16) gk(k) WHERE i*i + j*j + k*k <= 256")
+def spectral_mask(spark, sf_dir):
+    return transforms.coefficients(spark, 16)
+
+
+def _terms_sql(order: int) -> str:
+    return f"(SELECT i::INT AS i, j::INT AS j, k::INT AS k, (row_number() OVER (ORDER BY i, j, k) - 1)::INT AS idx FROM range({order + 1}) gi(i), range({order + 1}) gj(j), range({order + 1}) gk(k) WHERE i + j + k <= {order})"
+
+
+@query(f"SELECT i, j, k, idx, pow(2e0, i) * pow(3e0, j) * pow(0.5e0, k) AS value FROM {_terms_sql(8)}")
+def monomial_basis(spark, sf_dir):
+    """The terms of order 8 and their values at (0.5, 3, 2)."""
+    return transforms.basis_terms(spark, 8).withColumn("value", F.pow(F.lit(2.0), "i") * F.pow(F.lit(3.0), "j") * F.pow(F.lit(0.5), "k"))
+
+
+@query(f"SELECT i, j, k, idx, {r('cos(i * acos(0.3e0)) * cos(j * acos(-0.7e0)) * cos(k * acos(0.9e0))')} AS value FROM {_terms_sql(15)}")
+def cheby_basis(spark, sf_dir):
+    """The terms of order 15 and their values at (0.9, -0.7, 0.3), by the recurrence."""
+    at = [F.array(*[F.lit(float(v)) for v in transforms.chebyshev(np.array([x]), 15)[:, 0]]) for x in (0.3, -0.7, 0.9)]
+    terms = transforms.basis_terms(spark, 15)
+    value = at[0][F.col("i")] * at[1][F.col("j")] * at[2][F.col("k")]
+    return rounded(terms.withColumn("value", value), 6, "value")
+
+
+def _fit(spark: SparkSession, sf_dir: str, order: int, cheby: bool, alpha: float) -> DataFrame:
+    meta, voxel = cohorts.masks(spark, sf_dir, "nation")
+    return transforms.polynomial_features(meta, voxel, SHAPE, order, cheby, alpha)
+
+
+@query(f"{_FEW} SELECT DISTINCT mask_id, 816 AS n, 8e0 AS scale FROM voxel")
+def cheby_fit(spark, sf_dir):
+    return _fit(spark, sf_dir, 15, True, 1e-3).select("mask_id", F.size("features").alias("n"), "scale")
+
+
+@query(f"{_FEW} SELECT mask_id, 84 AS n, {r('greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) / 2 * 1.1e0')} AS scale FROM voxel GROUP BY mask_id")
+def mono_fit(spark, sf_dir):
+    return rounded(_fit(spark, sf_dir, 6, False, 1e-4).select("mask_id", F.size("features").alias("n"), "scale"), 6, "scale")
+
+
+# Cohort statistics
+
+_LONG = "WITH f AS (SELECT vec_id, unnest(range(0, len(embedding)))::INT AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+
+
+@query(f"{_LONG} SELECT i, {r('avg(v)')} AS mean FROM f GROUP BY i")
+def feature_mean(spark, sf_dir):
+    return rounded(cohort_model.means(vectors(spark, sf_dir)), 6, "mean")
+
+
+@query(f"{_LONG} SELECT a.i AS i, b.i AS j, {r('covar_samp(a.v, b.v)')} AS cov FROM f a JOIN f b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL")
+def feature_covariance(spark, sf_dir):
+    return rounded(cohort_model.covariances(vectors(spark, sf_dir)), 6, "cov")
+
+
+@query(f"{_LONG} SELECT {r('sum(s)')} AS variance, 1e0 AS ratio FROM (SELECT var_samp(v) AS s FROM f GROUP BY i)")
+def pca_variance_total(spark, sf_dir):
+    features = vectors(spark, sf_dir)
+    model = cohort_model.fit(features).table(features)
+    return rounded(model.agg(F.sum("variance").alias("variance"), F.sum("variance_ratio").alias("ratio")), 6, "variance", "ratio")
+
+
+@query("SELECT a.k::INT AS k, b.k::INT AS l, CASE WHEN a.k = b.k THEN 1e0 ELSE 0e0 END AS product FROM range(64) a(k), range(64) b(k) WHERE a.k <= b.k")
+def pca_orthonormality(spark, sf_dir):
+    features = vectors(spark, sf_dir)
+    model = cohort_model.fit(features).table(features)  # at most 64 rows
+    other = model.select(F.col("k").alias("l"), F.col("component").alias("other"))
+    both = model.join(other, F.col("k") <= F.col("l")).select("k", "l", linear.dot(F.col("component"), F.col("other")).alias("product"))
+    return rounded(both, 6, "product")
+
+
+@query("SELECT k::INT AS k, 0e0 AS mean, 1e0 AS variance FROM range(64) g(k)")
+def pca_scores_unit_variance(spark, sf_dir):
+    features = vectors(spark, sf_dir)
+    out = cohort_model.scores(features, cohort_model.fit(features))
+    long = out.select(F.posexplode("coeffs").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("mean"), F.var_samp("v").alias("variance"))
+    return rounded(long, 6, "mean", "variance")
+
+
+@query(f"{_LONG} SELECT vec_id AS mask_id, i, {r('v', 4)} AS v FROM f")
+def pca_reconstruct(spark, sf_dir):
+    features = vectors(spark, sf_dir)
+    model = cohort_model.fit(features)
+    back = cohort_model.reconstructed(cohort_model.scores(features, model), model)
+    return rounded(back.select("mask_id", F.posexplode("features").alias("i", "v")), 4, "v")
+
+
+@query(f"SELECT m::INT AS mode, s::INT AS step, {r('-2 + s * 0.4e0')} AS coeff FROM range(8) gm(m), range(11) gs(s)")
+def modes_steps(spark, sf_dir):
+    features = vectors(spark, sf_dir)
+    out = cohort_model.mode_steps(cohort_model.fit(features, 8).table(features)).select("mode", "step", "coeff")
+    return rounded(out, 6, "coeff")
+
+
+@query()
+def modes_voxels(spark, sf_dir):
+    """Masks along the first modes of the cosine features of a cohort."""
+    features = transforms.dct_features(*cohorts.masks(spark, sf_dir, "nation"), SHAPE, order=4)
+    model = cohort_model.fit(features, 3)
+    return cohort_model.modes(model.table(features), model.mean, lambda v: transforms.mask_of(v, SHAPE, 4, True), n_components=3, n_coeffs=5)
+
+
+@query()
+def kmeans_labels(spark, sf_dir):
+    return cohort_model.clusters(vectors(spark, sf_dir), k=10)
+
+
+@query(f"""SELECT a.vec_id AS id_a, b.vec_id AS id_b, {r('list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e))', 4)} AS cosine
+FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b ON a.vec_id < b.vec_id""")
+def cosine_similarity(spark, sf_dir):
+    return rounded(cohort_model.cosine_pairs(vectors(spark, sf_dir)), 4, "cosine")
