@@ -203,9 +203,13 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for first, end, data, offsets in chunks(batch.column(1)):
             sets = list(gram_sets(data, offsets, words))
-            bits = [np.packbits([(x * s).min() >> np.uint64(40) & np.uint64(1) for s in _BIT_SEEDS]).tobytes() for x in sets]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
+            grams, some = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.flatnonzero(np.diff(ends))
+            bit = np.zeros((len(sets), BITS), np.uint8)
+            for k, seed in enumerate(_BIT_SEEDS if len(some) else ()):
+                bit[some, k] = np.minimum.reduceat(grams * seed, ends[some]) >> np.uint64(40) & np.uint64(1)
+            bits = [x.tobytes() for x in np.packbits(bit, axis=1)]
+            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(grams.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(np.diff(ends)), pa.array(bits, pa.binary()), grams], ["fp", "size", "sketch", "grams"])
 
 

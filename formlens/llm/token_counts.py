@@ -113,10 +113,33 @@ class Unigram:
             return count[n] - runs, score[n], path[::-1], margin
         return count[n], score[n], path[::-1], margin
 
+    def best_count(self, text: str) -> tuple[int, float]:
+        """Count and score alone; texts of characters that all have pieces of their own need no other rule."""
+        if not self.single.issuperset(text):
+            count, total, _, _ = self.best(text)
+            return count, total
+        score, count = [0.0], [0]
+        ended = 0
+        for at, (size, cost) in self.automaton.iter(text):
+            new = score[at + 1 - size] + cost
+            if at == ended:
+                score.append(new)
+                count.append(count[at + 1 - size] + 1)
+                ended += 1
+            elif new > score[ended]:
+                score[ended] = new
+                count[ended] = count[at + 1 - size] + 1
+        return count[-1], score[-1]
+
     def _learn(self, word: str) -> int:
-        count, total, path, margin = self.best(word)
-        for to, x in zip((self.counts, self.margins, self.sums, self.scores), (count, margin, total, None if self.exact else path)):
-            to.append(x)
+        if self.exact:
+            count, total = self.best_count(word)
+        else:
+            count, total, path, margin = self.best(word)
+            self.margins.append(margin)
+            self.scores.append(path)
+        self.counts.append(count)
+        self.sums.append(total)
         return len(self.counts) - 1
 
     def __call__(self, text: str) -> tuple[int, float]:
@@ -131,7 +154,7 @@ class Unigram:
             k = known.get(word)
             if k is None:
                 if len(word) > LONGEST:
-                    more, score, _, _ = self.best(word)
+                    more, score = self.best_count(word)
                     n += more
                     total += score
                     continue
