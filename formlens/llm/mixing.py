@@ -32,9 +32,10 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, other: float
     named = F.create_map(*[F.lit(x) for k, w in (weights or {}).items() for x in (k, float(w))]) if weights else None
     weight = F.coalesce(named[F.col("source")], F.lit(float(other))) if weights else F.lit(float(other))
     sums = sums.withColumn("weight", F.when(F.col("bytes") > 0, weight).otherwise(0.0))
-    whole = sums.agg(F.sum("bytes").alias("all_bytes"), F.sum("weight").alias("all_weight"))
-    rate = F.col("weight") * F.lit(float(epochs)) * F.col("all_bytes") / (F.col("all_weight") * F.col("bytes"))
-    return sums.join(F.broadcast(whole)).select("source", "bytes", F.coalesce(F.when(F.col("bytes") > 0, rate), F.lit(0.0)).alias("rate"))
+    sums = stage(sums, "bytes")  # a row for each source
+    whole = sums.agg(F.sum("bytes").alias("bytes"), F.sum("weight").alias("weight")).first()
+    rate = F.try_divide(F.col("weight") * F.lit(float(epochs)) * F.lit(whole.bytes or 0), F.lit(float(whole.weight or 0.0)) * F.col("bytes"))
+    return sums.select("source", "bytes", F.coalesce(F.when(F.col("bytes") > 0, rate), F.lit(0.0)).alias("rate"))
 
 
 def steps(rate: Column) -> Column:
