@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import linear
-from ..operators import cohort_model, masks, moments, overlap, transforms
+from ..operators import cohort_model, harmonics, masks, meshes, moments, overlap, transforms
 from ..sources import cohorts
 
 SHAPE = (cohorts.GRID,) * 3
@@ -287,11 +287,11 @@ def affine_compose(spark, sf_dir):
 
 @query(f"{_FEW} SELECT DISTINCT mask_id, true AS close FROM voxel")
 def normalize_resample(spark, sf_dir):
-    """The resampled masks have the target volume, within what a grid of 32 cells can resolve."""
+    """The resampled masks have the target volume, within a tenth: source voxels are three cells wide."""
     meta, voxel = cohorts.masks(spark, sf_dir, "nation")
     flipped = masks.flip_left(meta, voxel, SHAPE[0])
-    out = moments.normalised(meta, flipped, SHAPE, size=32, volume=1000.0)
-    return out.groupBy("mask_id").agg(F.count("*").between(900, 1100).alias("close"))
+    out = moments.normalised(meta, flipped, SHAPE, size=96, volume=27_000.0)
+    return out.groupBy("mask_id").agg(F.count("*").between(24_300, 29_700).alias("close"))
 
 
 # Distances and transforms
@@ -476,3 +476,108 @@ def kmeans_labels(spark, sf_dir):
 FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b ON a.vec_id < b.vec_id""")
 def cosine_similarity(spark, sf_dir):
     return rounded(cohort_model.cosine_pairs(vectors(spark, sf_dir)), 4, "cosine")
+
+
+# Harmonics
+
+
+@query(f"""{_FEW}, m AS (SELECT mask_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM voxel GROUP BY mask_id),
+d AS (SELECT mask_id, x - mx AS dx, y - my AS dy, z - mz AS dz, sqrt((x-mx)*(x-mx) + (y-my)*(y-my) + (z-mz)*(z-mz)) AS r FROM voxel JOIN m USING (mask_id))
+SELECT mask_id, count(*) AS n, {r('max(r)')} AS longest FROM d WHERE r > 0 GROUP BY mask_id""")
+def radius_map(spark, sf_dir):
+    """The farthest voxel stays in the map; every cell has one of the voxels beside the centroid's own."""
+    voxel = cohorts.masks(spark, sf_dir, "nation")[1]
+    longest = harmonics.radius_map(voxel).groupBy("mask_id").agg(F.max("r").alias("longest"))
+    middle = voxel.groupBy("mask_id").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in "xyz"])
+    centred = voxel.join(middle, "mask_id").filter("x = m_x and y = m_y and z = m_z").groupBy("mask_id").agg(F.count("*").alias("at_centre"))
+    out = middle.join(centred, "mask_id", "left").join(longest, "mask_id").select("mask_id", (F.col("n") - F.coalesce("at_centre", F.lit(0))).alias("n"), "longest")
+    return rounded(out, 6, "longest")
+
+
+@query(f"{_LONG} SELECT vec_id AS mask_id, floor(sqrt(i))::INT AS l, {r('sqrt(sum(v * v))')} AS power FROM f GROUP BY ALL")
+def power_spectrum(spark, sf_dir):
+    """Embeddings read as the harmonic coefficients of degrees 0 to 7."""
+    long = vectors(spark, sf_dir).select("mask_id", F.posexplode("features").alias("i", "c"))
+    return rounded(harmonics.power_spectrum(long.select("mask_id", F.floor(F.sqrt("i")).cast("int").alias("l"), "c")), 6, "power")
+
+
+@query("""WITH s AS (SELECT s_suppkey, (s_suppkey % 11) / 10e0 AS r FROM supplier) SELECT s_suppkey, 1e0 AS r00, round(r, 9) + 0e0 AS r11, round(2 * r * r - 1, 9) + 0e0 AS r20,
+round(r * r, 9) + 0e0 AS r22, round(3 * r * r * r - 2 * r, 9) + 0e0 AS r31, round(6 * r * r * r * r - 6 * r * r + 1, 9) + 0e0 AS r40 FROM s""")
+def radial_poly(spark, sf_dir):
+    radius = (F.col("s_suppkey") % 11) / 10.0
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", radius.alias("r"))
+    terms = {f"r{n}{m}": harmonics.radial_polynomial(n, m, F.col("r")) for n, m in ((0, 0), (1, 1), (2, 0), (2, 2), (3, 1), (4, 0))}
+    return rounded(rows.select("s_suppkey", *[c.alias(k) for k, c in terms.items()]), 9, *terms)
+
+
+_OFF_CENTRE = """, m AS (SELECT mask_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM voxel GROUP BY mask_id),
+d AS (SELECT mask_id, x - mx AS dx, y - my AS dy, z - mz AS dz FROM voxel JOIN m USING (mask_id)),
+u AS (SELECT mask_id, dz, sqrt(dx*dx + dy*dy + dz*dz) AS r, max(sqrt(dx*dx + dy*dy + dz*dz)) OVER (PARTITION BY mask_id) AS most FROM d)"""
+
+
+@query(f"""{_FEW}{_OFF_CENTRE} SELECT mask_id, {r('sum(sqrt(1 / (4 * pi())))', 4)} AS z000, {r('sum((2 * (r / most) * (r / most) - 1) * sqrt(1 / (4 * pi())))', 4)} AS z200,
+{r('sum((r / most) * (r / most) * sqrt(5 / (16 * pi())) * (3 * (dz / r) * (dz / r) - 1))', 4)} AS z220 FROM u WHERE r > 1e-9 GROUP BY mask_id""")
+def zernike_moments(spark, sf_dir):
+    """The moments (n, l, m) = (0, 0, 0), (2, 0, 0) and (2, 2, 0)."""
+    out = harmonics.zernike_moments(*cohorts.masks(spark, sf_dir, "nation"), SHAPE, 3).filter("m = 0")
+    pick = [F.sum(F.when((F.col("n") == n) & (F.col("l") == l), F.col("re"))).alias(f"z{n}{l}0") for n, l in ((0, 0), (2, 0), (2, 2))]
+    return rounded(out.groupBy("mask_id").agg(*pick), 4, "z000", "z200", "z220")
+
+
+@query(f"{_FEW} SELECT DISTINCT mask_id, 81::BIGINT AS n, true AS close FROM voxel")
+def sh_coefficients(spark, sf_dir):
+    """The mean radius in the coefficients of degree 0 lies between the shortest and the longest half axis."""
+    out = harmonics.harmonic_coefficients(*cohorts.masks(spark, sf_dir, "nation"), SHAPE, lmax=8)
+    mean = F.max(F.when(F.col("l") == 0, F.col("c") * F.col("extent") / np.sqrt(4 * np.pi)))
+    return out.groupBy("mask_id").agg(F.count("*").alias("n"), mean.between(1.0, 8.0).alias("close"))
+
+
+# Meshes, one unit sphere for each nation, of two subdivisions
+
+
+def _spheres(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v, f = meshes.icosphere(2)
+    ids = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("mask_id"))
+    points = F.array(*[F.struct(F.lit(i).alias("vid"), *[F.lit(float(x)).alias(c) for c, x in zip("xyz", p, strict=True)]) for i, p in enumerate(v)])
+    corners = F.array(*[F.struct(F.lit(n).alias("fid"), *[F.lit(int(x)).alias(c) for c, x in zip("ijk", t, strict=True)]) for n, t in enumerate(f)])
+    return tuple(ids.select("mask_id", F.explode(a).alias("a")).select("mask_id", "a.*") for a in (points, corners))
+
+
+_NATIONS = "(SELECT n_nationkey::BIGINT AS mask_id FROM nation)"
+
+
+@query(f"SELECT mask_id, 162 + 2 * 480 AS entries, 0e0 AS row_sum, 0e0 AS skew FROM {_NATIONS}")
+def cot_laplacian(spark, sf_dir):
+    """Its rows add to 0 and it is symmetric, with an entry for each vertex and each end of each of 480 edges."""
+    w = meshes.cotangent_laplacian(*_spheres(spark, sf_dir))
+    rows = w.groupBy("mask_id", "i").agg(F.sum("w").alias("s")).groupBy("mask_id").agg(F.max(F.abs("s")).alias("row_sum"))
+    both = w.select("mask_id", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), (F.col("w") * F.signum(F.col("i") - F.col("j"))).alias("d"))
+    skew = both.groupBy("mask_id", "a", "b").agg(F.abs(F.sum("d")).alias("d")).groupBy("mask_id").agg(F.max("d").alias("skew"))
+    out = w.groupBy("mask_id").agg(F.count("*").cast("int").alias("entries")).join(rows, "mask_id").join(skew, "mask_id")
+    return rounded(out, 6, "row_sum", "skew")
+
+
+@query(f"SELECT mask_id, 0e0 AS first, true AS second, true AS third FROM {_NATIONS}")
+def lb_spectrum(spark, sf_dir):
+    """On a sphere the eigenvalues come in groups of 1, 3 and 5, as l (l + 1)."""
+    out = meshes.spectrum(meshes.cotangent_laplacian(*_spheres(spark, sf_dir)), 9)
+    e = lambda i: F.col("eigenvalues")[i]
+    out = out.select("mask_id", e(0).alias("first"), (e(3) / e(1) < 1.05).alias("second"), (e(4) / e(1)).between(2.7, 3.3).alias("third"))
+    return rounded(out, 6, "first")
+
+
+@query("""WITH c AS (SELECT vec_id, k, embedding[3 * k + 1]::DOUBLE AS cx, embedding[3 * k + 2]::DOUBLE AS cy, embedding[3 * k + 3]::DOUBLE AS cz FROM embeddings, range(21) g(k))
+SELECT vec_id AS mask_id, k::INT AS k FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cx * cx + cy * cy + cz * cz DESC, k) AS n FROM c) WHERE n <= 5""")
+def lb_top_modes(spark, sf_dir):
+    """Embeddings read as 21 modes of three coefficients: the strongest 20 %."""
+    triples = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: F.slice("features", 3 * k + 1, 3))
+    rows = vectors(spark, sf_dir).select("mask_id", F.posexplode(triples).alias("k", "c")).select("mask_id", "k", *[F.col("c")[i].alias(f"c{a}") for i, a in enumerate("xyz")])
+    return meshes.top_modes(rows, 20).select("mask_id", "k")
+
+
+@query(f"SELECT mask_id, 162::BIGINT AS n, 1e0 AS least, 1e0 AS most, 0e0 AS middle FROM {_NATIONS}")
+def vertex_inflation_step(spark, sf_dir):
+    """All vertices are on the unit sphere about the middle."""
+    out = meshes.inflation_step(*_spheres(spark, sf_dir)).withColumn("r", F.sqrt(F.expr("x * x + y * y + z * z")))
+    out = out.groupBy("mask_id").agg(F.count("*").alias("n"), F.min("r").alias("least"), F.max("r").alias("most"), F.avg("x").alias("middle"))
+    return rounded(out, 6, "least", "most", "middle")
