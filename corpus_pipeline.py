@@ -24,8 +24,8 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose their repeated strings, and characters cut in two; a text may be left empty."""
-    out = suffix_dedup.remove_repeats(docs).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long"))
+    """Texts lose their repeated strings and passages of over 50 words, and characters cut in two; a text may be left empty."""
+    out = suffix_dedup.remove_repeats(docs, words=51).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long"))
     return out.select(docs.columns)
 
 

@@ -9,6 +9,8 @@ that at the later offset g, and these names are used again for 4g-grams, up to `
 A bucket with more than `bucket_rows` different surroundings is split by Spark into runs of window starts: a run goes
 on in the bucket of the bytes that all its windows share, equal runs are counted and one stays. At a run of one window
 the count alone decides, so no bucket, however large, has to meet in one task.
+
+Runs of words are found in the same way, in texts whose words are written as fingerprints of 8 bytes each.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_marks, chunks, flat, joined, mixed, small, stage, whole_groups
+from ._common import byte_marks, chunks, flat, joined, mixed, small, stage, whole_groups, word_marks
 
 GRAM = 64
+#: Bytes of a word's fingerprint.
+MARK = 8
 #: Runs of window starts that a crowded bucket is split into, each time.
 PARTS = 8
 
@@ -34,12 +38,13 @@ _SPAN = "fp binary, low int, high int"
 _RESULT = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")
 
 
-def remove_repeats(docs: DataFrame, column: str = "text", length: int = 400, bucket_rows: int = 4096, with_kept: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, column: str = "text", length: int = 400, bucket_rows: int = 4096, with_kept: bool = True, words: int | None = None) -> DataFrame:
     """docs with `n_bytes`, `n_removed`, `n_spans` (longs), `kept_sha256`, `kept` (binary, the bytes that stay) and `kept_text`
     (string, the characters of which all bytes stay). Without with_kept the last two are null.
 
     Each byte that a string of `length` bytes covers goes if that string also starts anywhere else, in the same row
-    or another; overlaps count, and strings are judged on the input. Matches never cross rows.
+    or another; overlaps count, and strings are judged on the input. Matches never cross rows. With `words`, each run
+    of so many words (what stands between blanks) that occurs anywhere else goes too, however few bytes it has.
 
     Null texts are empty. Texts under `length` bytes stay whole. A repeated row is another occurrence, so both lose
     all. An empty table gives an empty table. No other column is read, so nulls and repeats in them don't matter;
@@ -47,20 +52,52 @@ def remove_repeats(docs: DataFrame, column: str = "text", length: int = 400, buc
     """
     if length < 4 * GRAM:
         raise ValueError(f"length must be {4 * GRAM} at least")
+    if words is not None and words * MARK < 4 * GRAM:
+        raise ValueError(f"words must be {4 * GRAM // MARK} at least")
     texts = docs.select(F.coalesce(F.col(column).cast("binary"), F.lit(b"")).alias("text"))
     spans = repeat_starts(texts, length, bucket_rows)
-    cover = F.collect_list(F.struct("low", (F.col("high") + length).alias("end")))
+    spans = spans.select("fp", "low", (F.col("high") + length).alias("end"), F.lit(False).alias("worded"))
+    if words is not None:
+        spans = spans.unionByName(_word_spans(texts, words, bucket_rows))
+    cover = F.collect_list(F.struct("low", "end", "worded"))
     spans = stage(spans.groupBy("fp").agg(cover.alias("_spans")), "spans")
     own = [c for c in docs.columns if c.lower() not in _RESULT]
     row = F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.struct(F.lit(0).alias("none"))
     doc = docs.select(row.alias("_row"), F.coalesce(F.col(column).cast("binary"), F.lit(b"")).alias("_text"))
     doc = doc.withColumn("fp", F.unhex(F.md5("_text")))
-    doc = doc.join(_sized(spans, "_spans", 8), "fp", "left").select("_row", "_text", "_spans")
+    doc = doc.join(_sized(spans, "_spans", 9), "fp", "left").select("_row", "_text", "_spans")
     kind = doc.schema["_row"].dataType.simpleString()
     out = doc.mapInArrow(partial(_cut, with_kept=with_kept), f"_row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string")
     return out.select(*[F.col("_row").getField(c).alias(c) for c in own], *_RESULT)
 
 
+def _word_spans(texts: DataFrame, words: int, bucket_rows: int) -> DataFrame:
+    """fp (a text's md5), low, end: the words from low to before end are in runs that occur elsewhere too."""
+    coded = texts.mapInArrow(partial(_coded, words=words), "fp binary, text binary")
+    found = repeat_starts(coded.select("text"), words * MARK, bucket_rows)
+    # Only windows that start with a word count.
+    found = found.select(F.col("fp").alias("code"), F.ceil(F.col("low") / MARK).cast("int").alias("low"), F.floor(F.col("high") / MARK).cast("int").alias("high")).filter("low <= high")
+    found = stage(found.groupBy("code").agg(F.collect_set(F.struct("low", "high")).alias("runs")), "coded_runs")
+    own = coded.select("fp", F.unhex(F.md5("text")).alias("code")).distinct().join(_sized(found, "runs", 8), "code")
+    return own.select("fp", F.explode("runs").alias("x")).select("fp", "x.low", (F.col("x.high") + words).alias("end"), F.lit(True).alias("worded"))
+
+
+def _coded(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Texts of `words` words or more as the fingerprints of their words."""
+    for batch in batches:
+        for _, _, data, offsets in chunks(batch.column(0)):
+            marks, at = word_marks(data, offsets)
+            rows = np.flatnonzero(np.diff(at) >= words)
+            fps = [hashlib.md5(data[offsets[r] : offsets[r + 1]].tobytes()).digest() for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array([marks[at[r] : at[r + 1]].tobytes() for r in rows], pa.binary())], ["fp", "text"])
+
+
+def _word_edges(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text start and end, cut as word_marks cuts them."""
+    inner = np.concatenate([[False], ~((text == 32) | ((text >= 9) & (text <= 13))), [False]])
+    return np.flatnonzero(inner[1:] & ~inner[:-1]), np.flatnonzero(inner[:-1] & ~inner[1:])
+
+
 def _sized(rows: DataFrame, items: str, item_bytes: int) -> DataFrame:
     """small() for staged rows that hold a list."""
     n, total = rows.agg(F.count("*"), F.sum(F.size(items))).first()
@@ -73,13 +110,18 @@ def _cut(batches: Iterator[pa.RecordBatch], with_kept: bool) -> Iterator[pa.Reco
         spans = batch.column(2)  # a null has no items
         at = np.asarray(spans.offsets)
         covers = np.stack([np.asarray(spans.values.field(k)) for k in (0, 1)], 1).astype(np.int64)
+        worded = spans.values.field(2).to_numpy(zero_copy_only=False).astype(bool)
         counts, digests, kept, texts, left = [], [], [], [], []
         for k in range(batch.num_rows):
             own = text[offsets[k] : offsets[k + 1]]
             if at[k] == at[k + 1]:
                 parts, n = [own.tobytes()], 0
             else:
-                runs = merged(covers[at[k] : at[k + 1]])
+                runs, by_word = covers[at[k] : at[k + 1]].copy(), worded[at[k] : at[k + 1]]
+                if by_word.any():
+                    starts, ends = _word_edges(own)
+                    runs[by_word] = np.stack([starts[runs[by_word, 0]], ends[runs[by_word, 1] - 1]], 1)
+                runs = merged(runs)
                 ends, n = np.concatenate([[0], runs.ravel(), [len(own)]]).reshape(-1, 2), len(runs)
                 parts = [own[a:b].tobytes() for a, b in ends]
             stays = b"".join(parts)

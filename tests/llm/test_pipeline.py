@@ -91,3 +91,19 @@ def test_as_brute_force(spark, tmp_path):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def test_passages_of_over_50_words_go(spark):
+    rng = random.Random(4)
+    prose = lambda n, least: " ".join("".join(rng.choice("abcdefghijklé") for _ in range(rng.randint(least, 5))) for _ in range(n))
+    for n, gone in ((55, True), (51, True), (50, False)):
+        passage = prose(n, 1)
+        assert len(passage.encode()) < 256
+        own = [(prose(150, 3), prose(150, 3)) for _ in range(2)]
+        texts = [own[0][0] + " " + passage + "\n" + own[0][1], own[1][0] + "\n" + passage.replace(" ", "  ", 3) + " " + own[1][1], prose(70, 2)]
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+        got = {r.doc_id: r.text for r in corpus_pipeline.suffix_array_dedup(spark, docs, "").collect()}
+        if gone:
+            assert got == {0: own[0][0] + " \n" + own[0][1], 1: own[1][0] + "\n " + own[1][1], 2: texts[2]}
+        else:
+            assert got == dict(enumerate(texts))
