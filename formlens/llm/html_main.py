@@ -2,13 +2,23 @@
 
 A page is a list of blocks. Blocks in menus, headers, footers, asides, forms, adverts, notices and comment sections are
 dropped by their elements, classes, ids and roles. Of a page that marks its article (article, main or that role) the
-blocks in it are the text. Other pages keep what isn't boilerplate: the token streams of a host's pages, other than
-those marked articles, are put end to end, and each run of `run` tokens or more that stands in `pages` distinct pages
-or more of the host is cut from them. Marked articles are never cut: copies of an article, or passages that several
-share, are repeated across pages too, and are main text.
+blocks in it are the candidates, of other pages all that isn't dropped. From these, runs of `run` tokens or more that
+the host repeats are cut:
 
-A run is found by the buckets of a suffix array of that depth: suffixes sorted into buckets by their first `run`
-tokens, by hash and with pages counted once, so a longer repeated string is the union of its overlapping buckets.
+- On a page without a marked article, each run that stands in `pages` distinct pages or more of the host.
+- In a marked article, such a run if it starts or ends a block and stands on half of the host's distinct pages too, in
+  or beside their articles (a share line, 'read also', a licence notice). Passages that some articles share are main
+  text.
+
+Blocks under `run` tokens are judged with their neighbours: blocks in a row as one, and if these are still under `run`
+tokens, they go only if they are in a repeated run to both sides.
+
+Pages are distinct by the text that stands beside their repeated runs. A page of which less than `OWN` is left is no
+evidence of its own: near copies of an article, alike in their least frequent run, are one page. Should a page lose all
+but `OWN` of its text in the end, it is kept whole.
+
+A run is found by counting: the `run`-grams of tokens are dealt by hash, with pages counted once, and a longer repeated
+string is the union of its grams. No suffixes are sorted.
 """
 
 from __future__ import annotations
@@ -20,7 +30,7 @@ from functools import partial
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import small, stage
@@ -45,7 +55,11 @@ _TAG = re.compile(
 _SAID = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _HEADING = re.compile(r"h[1-6]\Z")
 
-_BLOCKS = "article boolean, blocks array<string>"
+#: A page's own text is this share of its tokens at least.
+OWN = 0.1
+
+_GRAM = "host string, page long, gram long"
+_CLASS = "host string, page long, gram long, kind long"
 
 
 def main_text(pages: DataFrame, run: int = 8, distinct_pages: int = 3, url: str = "url", markup: str = "html") -> DataFrame:
@@ -59,21 +73,36 @@ def main_text(pages: DataFrame, run: int = 8, distinct_pages: int = 3, url: str
     row = F.struct(*[F.col(f"`{c}`") for c in own])
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url), r"://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(row.alias("row"), host.alias("host"), F.col(markup).cast("string").alias("html"))
-    read = rows.select("host", "html").mapInArrow(partial(_grams, run=run), "host string, gram long, page long")
-    found = read.distinct().groupBy("host", "gram").agg(F.count("*").alias("n")).filter(F.col("n") >= distinct_pages)
-    found = stage(found.select("host", "gram"), "runs")
-    # The runs of a host go to its pages without a marked article, and only those that the page has.
-    need = rows.select(F.md5(F.coalesce("html", F.lit(""))).alias("page"), "host", "html")
-    bare = need.mapInArrow(partial(_bare, run=run), "host string, page string, gram long")
-    cuts = bare.join(small(found, 64), ["host", "gram"]).groupBy("host", "page").agg(F.collect_set("gram").alias("runs"))
-    cuts = stage(cuts, "cuts")
-    n, total = cuts.agg(F.count("*"), F.sum(F.size("runs"))).first()
-    rows = rows.withColumn("page", F.md5(F.coalesce("html", F.lit("")))).join(small(cuts, 96 + 8 * (total or 0) // max(1, n)), ["host", "page"], "left").select("row", "html", "runs")
+    rows = rows.withColumn("page", F.xxhash64(F.md5(F.coalesce("html", F.lit("")))))
+    read = rows.select("host", "page", "html")
+    # Of articles only the grams at their blocks' ends are looked at first.
+    grams = stage(read.mapInArrow(partial(_grams, run=run), _GRAM), "grams").distinct()
+    often = grams.groupBy("host", "gram").agg(F.count("*").alias("n")).filter(F.col("n") >= distinct_pages)
+    often = stage(often, "often")
+    has = stage(_of_pages(grams.join(small(often, 72), ["host", "gram"]), F.struct("gram", "n")), "has")
+    # What kind of page each is, and the grams that may be cut from it, those that go on from an article's ends too.
+    kinds = _with(read, has, "grams", 16).mapInArrow(partial(_kinds, run=run), _CLASS)
+    kinds = stage(kinds.distinct(), "kinds")
+    hosts = stage(kinds.select("host", "kind").distinct().groupBy("host").agg(F.count("*").alias("all")), "hosts")
+    found = kinds.filter("gram is not null").select("host", "gram", "kind").distinct().groupBy("host", "gram").agg(F.count("*").alias("n"))
+    found = found.filter(F.col("n") >= distinct_pages).join(small(hosts, 64), "host")
+    found = stage(found.select("host", "gram", (F.col("n") * 2 >= F.col("all")).alias("wide")), "runs")
+    cuts = stage(_of_pages(kinds.join(small(found, 72), ["host", "gram"]), F.struct("gram", "wide")), "cuts")
     kind = rows.schema["row"].dataType.simpleString()
-    out = rows.mapInArrow(partial(_texts, run=run), f"row {kind}, text string, n_chars long")
+    out = _with(rows, cuts, "grams", 9).select("row", "html", "grams").mapInArrow(partial(_texts, run=run), f"row {kind}, text string, n_chars long")
     return out.select(*[F.col("row").getField(c).alias(c) for c in own], "text", "n_chars")
 
 
+def _of_pages(grams: DataFrame, what: Column) -> DataFrame:
+    return grams.groupBy("host", "page").agg(F.collect_set(what).alias("grams"))
+
+
+def _with(rows: DataFrame, lists: DataFrame, items: str, item_bytes: int) -> DataFrame:
+    """rows with the pages' lists, which must be staged; null where a page has none."""
+    n, total = lists.agg(F.count("*"), F.sum(F.size(items))).first()
+    return rows.join(small(lists, 96 + item_bytes * (total or 0) // max(1, n)), ["host", "page"], "left").select(*rows.columns, items)
+
+
 def blocks_of(markup: str) -> tuple[bool, list[str], list[str]]:
     """Whether an article is marked; the blocks of the article, or else of the body; the blocks beside it, dropped ones too."""
     open_: list[tuple[str, bool, bool]] = []  # name, dropped, in an article
@@ -140,58 +169,114 @@ def _off(name: str, said: dict[str, str]) -> bool:
     )
 
 
-def _hashes(blocks: list[str], run: int) -> list[list[int]]:
-    """For each block the hashes of its runs of tokens; a shorter block is one run."""
-    out = []
+def _hash(tokens: list[str]) -> int:
+    return int.from_bytes(blake2b(" ".join(tokens).encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def _units(blocks: list[str], run: int) -> tuple[list[str], list[tuple[int, int, list[tuple[int, int, tuple[int, ...]]]]]]:
+    """The tokens of all blocks; for each block, or row of blocks under `run` tokens, its first and end token and its units:
+    first token, end token, and the hashes of the runs that all have to repeat for the unit to be cut."""
+    tokens, parts, short = [], [], False
     for block in blocks:
-        tokens = block.split(" ")
-        runs = [" ".join(tokens[i : i + run]) for i in range(max(1, len(tokens) - run + 1))]
-        out.append([int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "big", signed=True) for x in runs])
-    return out
+        own = block.split(" ")
+        at = len(tokens)
+        tokens += own
+        if len(own) < run and short:
+            parts[-1] = (parts[-1][0], len(tokens))
+        else:
+            parts.append((at, len(tokens)))
+        short = len(own) < run
+    out = []
+    for lo, hi in parts:
+        if hi - lo >= run:
+            units = [(i, i + run, (_hash(tokens[i : i + run]),)) for i in range(lo, hi - run + 1)]
+        else:
+            around = [i for i in (hi - run, lo) if 0 <= i <= len(tokens) - run]
+            units = [(lo, hi, tuple(_hash(tokens[i : i + run]) for i in around))] if around else []
+        out.append((lo, hi, units))
+    return tokens, out
+
+
+def _ends(units: list) -> list:
+    return units if len(units) < 2 else [units[0], units[-1]]
+
+
+def _cut(parts: list, marked: bool, repeated: set[int]) -> set[int]:
+    """The tokens that are cut. In articles, only what goes on from a block's ends."""
+    gone = set()
+    for _, _, units in parts:
+        ok = [all(x in repeated for x in u[2]) for u in units]
+        if marked:
+            n, m = next((i for i, x in enumerate(ok) if not x), len(ok)), next((i for i, x in enumerate(ok[::-1]) if not x), len(ok))
+            ok = [i < n or i >= len(ok) - m for i in range(len(ok))]
+        for u, x in zip(units, ok, strict=True):
+            if x:
+                gone.update(range(u[0], u[1]))
+    return gone
 
 
 def _grams(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
-    """The runs of each page outside its marked article."""
+    """The runs of each page; of a marked article those at the ends of its blocks. Columns: host, page, html."""
     for batch in batches:
-        hosts, grams, pages = [], [], []
-        for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        hosts, pages, grams = [], [], []
+        for host, page, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             marked, kept, beside = blocks_of(text or "")
-            page = int.from_bytes(blake2b((text or "").encode(), digest_size=8).digest(), "big", signed=True)
-            own = {x for runs in _hashes(beside + ([] if marked else kept), run) for x in runs}
+            own = {x for _, _, units in _units(beside, run)[1] for u in units for x in u[2]}
+            own |= {x for _, _, units in _units(kept, run)[1] for u in (_ends(units) if marked else units) for x in u[2]}
             hosts += [host] * len(own)
-            grams += own
             pages += [page] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(grams, pa.int64()), pa.array(pages, pa.int64())], ["host", "gram", "page"])
+            grams += own
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(grams, pa.int64())], ["host", "page", "gram"])
 
 
-def _bare(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
-    """The runs of the text of pages without a marked article. Columns: page, host, html."""
+def _kinds(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
+    """A row without gram for each page, and one for each run that may be cut. Columns: host, page, html, grams."""
     for batch in batches:
-        hosts, pages, grams = [], [], []
-        for page, host, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        out = []
+        for host, page, text, has in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             marked, kept, _ = blocks_of(text or "")
-            own = set() if marked else {x for runs in _hashes(kept, run) for x in runs}
-            hosts += [host] * len(own)
-            pages += [page] * len(own)
-            grams += own
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.string()), pa.array(grams, pa.int64())], ["host", "page", "gram"])
+            often = {x["gram"]: x["n"] for x in has or ()}
+            tokens, parts = _units(kept, run)
+            gone, grams = set(), set(often)
+            for lo, hi, units in parts:
+                ends = [u for u in units if all(x in often for x in u[2])]
+                gone.update(i for u in ends for i in range(u[0], u[1]))
+                if marked and any(u in ends for u in _ends(units)):
+                    grams.update(x for u in units for x in u[2])
+                    # Between ends that both repeat, what stands between them isn't looked at yet.
+                    if ends[0] is units[0] and ends[-1] is units[-1]:
+                        gone.update(range(lo, hi))
+            rest = [t for i, t in enumerate(tokens) if i not in gone]
+            if often and len(rest) < max(run, OWN * len(tokens)):
+                own = {x for _, _, units in parts for u in units for x in u[2]} & often.keys()
+                kind = min((often[x], x) for x in own or often)[1]
+            else:
+                kind = _hash(rest)
+            out += [(host, page, x, kind) for x in (None, *grams)]
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["host", "page", "gram", "kind"])
 
 
-def without_runs(blocks: list[str], repeated: set[int], run: int) -> list[str]:
-    out = []
-    for block, hashes in zip(blocks, _hashes(blocks, run), strict=True):
-        tokens = block.split(" ")
-        cut = {i for k, x in enumerate(hashes) if x in repeated for i in range(k, k + run)}
-        left = " ".join(t for i, t in enumerate(tokens) if i not in cut)
+def without_runs(blocks: list[str], marked: bool, found: dict[int, bool], run: int) -> list[str]:
+    """found: the runs that may be cut, and whether they may be cut from articles."""
+    tokens, parts = _units(blocks, run)
+    gone = _cut(parts, marked, {x for x, wide in found.items() if wide or not marked})
+    if len(tokens) - len(gone) < OWN * len(tokens):
+        return blocks
+    out, at = [], 0
+    for block in blocks:
+        own = block.split(" ")
+        left = " ".join(t for i, t in enumerate(own, at) if i not in gone)
+        at += len(own)
         out += [left] if left else []
     return out
 
 
 def _texts(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
-    """Columns: row, html, runs."""
+    """Columns: row, html, grams."""
     for batch in batches:
         texts = []
-        for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             marked, kept, _ = blocks_of(text or "")
-            texts.append("\n\n".join(kept if marked or not runs else without_runs(kept, set(runs), run)))
+            texts.append("\n\n".join(without_runs(kept, marked, {x["gram"]: x["wide"] for x in found}, run) if found else kept))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["row", "text", "n_chars"])

@@ -37,3 +37,39 @@ def test_runs_of_a_host_are_cut(spark):
         assert got[i].text == f"own words of page number {i} are kept here by all means" and got[i].n_chars == len(got[i].text)
     assert got[9].text.startswith(notice) and got[12].text == notice and got[10].text == got[11].text == "" and got[10].n_chars == 0
     assert main_text(pages.limit(0)).count() == 0
+
+
+WORDS = [f"word{i}" for i in range(3000)]
+
+
+def own(i, n=40):
+    return " ".join(WORDS[i * n : i * n + n])
+
+
+def texts(spark, rows):
+    pages = spark.createDataFrame([(i, f"http://{host}/{i}", markup) for i, (host, markup) in enumerate(rows)], "page_id long, url string, html string")
+    return [r.text for r in main_text(pages.repartition(3)).orderBy("page_id").collect()]
+
+
+def test_repeated_runs_of_marked_pages(spark):
+    licence, also = "All texts of this site may be used under the licence that stands here", "Read also what our readers liked most this week:"
+    quote = "a sentence that three of the articles quote in the very same words"
+    rows = [("h.com", f"<article><p>{own(i)}</p>" + (f"<p>{quote}</p>" if i < 3 else "") + f"<p>{also} {own(50 + i, 9)}</p><p>{licence}</p></article>") for i in range(9)]
+    rows += [("o.com", rows[0][1]), ("n.com", rows[0][1]), *[("c.com", f"<article><p>{own(30)}</p><p>{own(31)} {i}</p></article>") for i in range(5)]]
+    got = texts(spark, rows)
+    assert got[:9] == ["\n\n".join([own(i)] + [quote] * (i < 3) + [own(50 + i, 9)]) for i in range(9)]
+    assert all(licence in x and also in x for x in got[9:11])
+    assert got[11:] == [f"{own(30)}\n\n{own(31)} {i}" for i in range(5)]
+
+
+def test_bare_pages_keep_their_text(spark):
+    notice = "this site has a long notice that stands on each of its pages"
+    menu = "".join(f"<div>{x}</div>" for x in ("Home", "About us", "Contact", "Our team", "Imprint", "Terms of use"))
+    page = lambda text, date: f"<body>{menu}<div>Summary</div><p>{text}</p><h2>Introduction</h2><p>{text[::-1]}</p><div>{notice}</div><div>{date}</div></body>"
+    rows = [("h.com", page(own(i), f"{i} May")) for i in range(4)] + [("h.com", page(own(20), f"{i} June")) for i in range(5)]
+    rows += [("c.com", f"<p>{own(30)}</p><p>{own(31)}</p><p>read {i} times</p>") for i in range(5)]
+    got = texts(spark, rows)
+    for i, x in enumerate(got[:9]):
+        text = own(min(i, 20) if i < 4 else 20)
+        assert f"{text}\n\nIntroduction\n\n{text[::-1]}" in x and notice not in x and "Home" not in x and "Imprint" not in x
+    assert got[9:] == [f"{own(30)}\n\n{own(31)}\n\nread {i} times" for i in range(5)]
