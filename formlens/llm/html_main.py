@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ._common import small, stage
 
 #: Elements by what they do to the text.
-HIDDEN = frozenset("nav footer aside form button select dialog menu datalist fieldset figcaption object audio video canvas head".split())
+HIDDEN = frozenset("nav footer aside form button select dialog menu datalist object audio video canvas head".split())
 BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MARKED = re.compile(
@@ -48,7 +48,7 @@ MARKED = re.compile(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _TAG = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(script|style|noscript|template|textarea|title|svg|math|iframe|noframes|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:--!?>|\Z)|<(script|style|noscript|template|textarea|title|annotation-xml|annotation|metadata|desc|svg(?=[^>]*\baria-hidden)|iframe|noframes|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'](?=[^\"']*\Z))*)>",
     re.S | re.I,
 )
@@ -135,9 +135,9 @@ def blocks_of(markup: str) -> tuple[bool, list[str], list[str]]:
         else:
             if name in BLOCK or name in HIDDEN:
                 end_block()
-            elif name in ("br", "td", "th", "option", "img", "input"):
+            elif name in ("br", "td", "th", "option", "img", "input", "svg", "text", "mtr", "mtd"):
                 parts.append(" ")
-            if name in VOID:
+            if name in VOID or m[4].endswith("/") and any(x[0] in ("svg", "math") for x in open_):
                 continue
             said = {k.lower(): a or b or c for k, a, b, c in _SAID.findall(m[4])} if m[4] else {}
             off = dropped or name in HIDDEN or (name == "header" and not within) or _off(name, said)

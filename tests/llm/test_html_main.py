@@ -73,3 +73,9 @@ def test_bare_pages_keep_their_text(spark):
         text = own(min(i, 20) if i < 4 else 20)
         assert f"{text}\n\nIntroduction\n\n{text[::-1]}" in x and notice not in x and "Home" not in x and "Imprint" not in x
     assert got[9:] == [f"{own(30)}\n\n{own(31)}\n\nread {i} times" for i in range(5)]
+
+
+def test_captions_and_formulas():
+    markup = """<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding="t">x=2</annotation></math> holds <svg aria-hidden="true"><text>no</text></svg>here</p>
+<figure><svg><path class="share" d="m"/><title>no</title><text>left</text><text>right</text></svg><figcaption>A caption</figcaption></figure><fieldset>A box</fieldset></article>"""
+    assert blocks_of(markup)[:2] == (True, ["So x=2 holds here", "left right", "A caption", "A box"])
