@@ -173,9 +173,10 @@ def _hash(tokens: list[str]) -> int:
     return int.from_bytes(blake2b(" ".join(tokens).encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def _units(blocks: list[str], run: int) -> tuple[list[str], list[tuple[int, int, list[tuple[int, int, tuple[int, ...]]]]]]:
+def _units(blocks: list[str], run: int, ends: bool = False) -> tuple[list[str], list[tuple[int, int, list[tuple[int, int, tuple[int, ...]]]]]]:
     """The tokens of all blocks; for each block, or row of blocks under `run` tokens, its first and end token and its units:
-    first token, end token, and the hashes of the runs that all have to repeat for the unit to be cut."""
+    first token, end token, and the hashes of the runs that all have to repeat for the unit to be cut. With ends, the first
+    and last unit only."""
     tokens, parts, short = [], [], False
     for block in blocks:
         own = block.split(" ")
@@ -189,7 +190,7 @@ def _units(blocks: list[str], run: int) -> tuple[list[str], list[tuple[int, int,
     out = []
     for lo, hi in parts:
         if hi - lo >= run:
-            units = [(i, i + run, (_hash(tokens[i : i + run]),)) for i in range(lo, hi - run + 1)]
+            units = [(i, i + run, (_hash(tokens[i : i + run]),)) for i in (sorted({lo, hi - run}) if ends else range(lo, hi - run + 1))]
         else:
             around = [i for i in (hi - run, lo) if 0 <= i <= len(tokens) - run]
             units = [(lo, hi, tuple(_hash(tokens[i : i + run]) for i in around))] if around else []
@@ -222,7 +223,7 @@ def _grams(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBat
         for host, page, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             marked, kept, beside = blocks_of(text or "")
             own = {x for _, _, units in _units(beside, run)[1] for u in units for x in u[2]}
-            own |= {x for _, _, units in _units(kept, run)[1] for u in (_ends(units) if marked else units) for x in u[2]}
+            own |= {x for _, _, units in _units(kept, run, marked)[1] for u in units for x in u[2]}
             hosts += [host] * len(own)
             pages += [page] * len(own)
             grams += own
@@ -236,7 +237,9 @@ def _kinds(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBat
         for host, page, text, has in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             marked, kept, _ = blocks_of(text or "")
             often = {x["gram"]: x["n"] for x in has or ()}
-            tokens, parts = _units(kept, run)
+            tokens, parts = _units(kept, run, marked)
+            if marked and any(x in often for _, _, units in parts for u in units for x in u[2]):
+                tokens, parts = _units(kept, run)
             gone, grams = set(), set(often)
             for lo, hi, units in parts:
                 ends = [u for u in units if all(x in often for x in u[2])]
@@ -278,5 +281,5 @@ def _texts(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBat
         texts = []
         for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             marked, kept, _ = blocks_of(text or "")
-            texts.append("\n\n".join(without_runs(kept, marked, {x["gram"]: x["wide"] for x in found}, run) if found else kept))
+            texts.append("\n\n".join(without_runs(kept, marked, {x["gram"]: x["wide"] for x in found}, run) if found and (not marked or any(x["wide"] for x in found)) else kept))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["row", "text", "n_chars"])
