@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
+import ctypes
+import functools
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +21,12 @@ _staged: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else (as in tests) one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir. In local mode, where it is unset, one below Spark's warehouse."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
-        set_dir = f"{tempfile.gettempdir()}/formlens-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", set_dir)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        set_dir = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     return set_dir.rstrip("/")
 
 
@@ -55,6 +58,30 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def sized(rows: DataFrame, items: str, item_bytes: int, row_bytes: int = 48) -> DataFrame:
+    """small() for staged rows that hold a list: their items are counted too."""
+    n, total = rows.agg(F.count("*"), F.sum(F.size(items).cast("long"))).first()
+    return small(rows, row_bytes + item_bytes * (total or 0) // max(1, n))
+
+
+def released(f: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """f, which maps the batches of a task, and after the task its memory goes back: workers wait for other tasks and would keep it."""
+
+    @functools.wraps(f)
+    def mapped(*args: object, **named: object) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(*args, **named)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return mapped
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or name with underscores, whichever df has no column of."""
     taken = {c.lower() for c in df.columns}
@@ -135,16 +162,18 @@ def word_marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return mixed(sums), np.searchsorted(at, offsets)
 
 
-_POWERS = np.ones(1, np.uint64)
+def _powers_of(n: int) -> np.ndarray:
+    steps = np.full(n, _M1, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps)
+
+
+#: The first powers of _M1 are kept; those for a longer word are made for it alone.
+_POWERS = _powers_of(1024)
 
 
 def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        steps = np.full(max(n, 1024), _M1, np.uint64)
-        steps[0] = 1
-        _POWERS = np.cumprod(steps)
-    return _POWERS
+    return _POWERS if n <= len(_POWERS) else _powers_of(n)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], column: int, rows: int) -> Iterator[pa.Table]:

@@ -3,8 +3,10 @@ import re
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
+from formlens.llm._common import word_marks
 from formlens.llm.jaccard import near_groups, one_of_each
 
 
@@ -95,3 +97,25 @@ def test_one_of_each(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, class_id int")
     assert near_groups(docs).count() == 0 and one_of_each(docs).count() == 0
+
+
+def test_words_are_told_apart_by_all_their_bytes():
+    texts = ["prefixprefix" + "x" * n + end for n in (0, 3, 900, 3000) for end in ("a", "b", "ab", "ba")]
+    data = np.frombuffer(" ".join(texts).encode(), np.uint8)
+    marks, at = word_marks(data, np.array([0, len(data)]))
+    assert len(set(marks.tolist())) == len(texts) == at[1]
+
+
+def test_a_family_beyond_many_blocks_links_by_its_pivot(spark):
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(160):
+        x = list(base)
+        for _ in range(k % 4):  # the far ones are linked to some only
+            x[rng.randrange(len(x))] = f"n{rng.randrange(40)}"
+        rows.append((k, " ".join(x)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in near_groups(docs, block=12).collect()}
+    want = brute(rows)
+    assert got == dict(enumerate(want)) and len({x[1] for x in want}) > 3
