@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_marks, chunks, flat, joined, mixed, small, stage, whole_groups, word_marks
+from ._common import byte_marks, chunks, flat, joined, mixed, released, sized, small, stage, whole_groups, word_marks
 
 GRAM = 64
 #: Bytes of a word's fingerprint.
@@ -65,7 +65,7 @@ def remove_repeats(docs: DataFrame, column: str = "text", length: int = 400, buc
     row = F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.struct(F.lit(0).alias("none"))
     doc = docs.select(row.alias("_row"), F.coalesce(F.col(column).cast("binary"), F.lit(b"")).alias("_text"))
     doc = doc.withColumn("fp", F.unhex(F.md5("_text")))
-    doc = doc.join(_sized(spans, "_spans", 9), "fp", "left").select("_row", "_text", "_spans")
+    doc = doc.join(sized(spans, "_spans", 9), "fp", "left").select("_row", "_text", "_spans")
     kind = doc.schema["_row"].dataType.simpleString()
     out = doc.mapInArrow(partial(_cut, with_kept=with_kept), f"_row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string")
     return out.select(*[F.col("_row").getField(c).alias(c) for c in own], *_RESULT)
@@ -78,10 +78,11 @@ def _word_spans(texts: DataFrame, words: int, bucket_rows: int) -> DataFrame:
     # Only windows that start with a word count.
     found = found.select(F.col("fp").alias("code"), F.ceil(F.col("low") / MARK).cast("int").alias("low"), F.floor(F.col("high") / MARK).cast("int").alias("high")).filter("low <= high")
     found = stage(found.groupBy("code").agg(F.collect_set(F.struct("low", "high")).alias("runs")), "coded_runs")
-    own = coded.select("fp", F.unhex(F.md5("text")).alias("code")).distinct().join(_sized(found, "runs", 8), "code")
+    own = coded.select("fp", F.unhex(F.md5("text")).alias("code")).distinct().join(sized(found, "runs", 8), "code")
     return own.select("fp", F.explode("runs").alias("x")).select("fp", "x.low", (F.col("x.high") + words).alias("end"), F.lit(True).alias("worded"))
 
 
+@released
 def _coded(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """Texts of `words` words or more as the fingerprints of their words."""
     for batch in batches:
@@ -98,12 +99,7 @@ def _word_edges(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(inner[1:] & ~inner[:-1]), np.flatnonzero(inner[:-1] & ~inner[1:])
 
 
-def _sized(rows: DataFrame, items: str, item_bytes: int) -> DataFrame:
-    """small() for staged rows that hold a list."""
-    n, total = rows.agg(F.count("*"), F.sum(F.size(items))).first()
-    return small(rows, 48 + item_bytes * (total or 0) // max(1, n))
-
-
+@released
 def _cut(batches: Iterator[pa.RecordBatch], with_kept: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text, offsets = flat(batch.column(1))
@@ -161,7 +157,7 @@ def repeat_starts(texts: DataFrame, length: int, bucket_rows: int) -> DataFrame:
 
     places = differ.groupBy("fp").agg(F.collect_list(F.struct("gram", "around", "at", "low", "high", "many")).alias("places"))
     places = stage(places, "places")
-    keyed = texts.withColumn("fp", F.unhex(F.md5("text"))).join(_sized(places, "places", 40), "fp")
+    keyed = texts.withColumn("fp", F.unhex(F.md5("text"))).join(sized(places, "places", 40), "fp")
     one = keyed.groupBy("fp").agg(F.first("text").alias("text"), F.first("places").alias("places"))
     pieces = one.mapInArrow(partial(_pieces, length=length), _PIECE)
     while pieces is not None:
@@ -196,12 +192,12 @@ def _gram_marks(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def _span_marks(h: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """A fingerprint of the bytes from low to high, 256 to 1024 of them, by the 64-grams that cover them."""
+def _span_marks(h: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
+    """A fingerprint of the bytes from low to high, GRAM to 2 * length - GRAM of them, by 64-grams that cover them all."""
     out = mixed((high - low).astype(np.uint64))
     n = high - low - GRAM
-    for k in range(17):
-        out = joined(out, h[low + n * k // 16])
+    for k in range(0, 2 * (length - GRAM) + GRAM, GRAM):
+        out = joined(out, h[low + np.minimum(k, n)])
     return out
 
 
@@ -220,6 +216,7 @@ def _least(h: np.ndarray, w: int) -> np.ndarray:
     return (np.minimum(back[: n - w + 1], ahead[w - 1 : n]) & mask).astype(np.int64)
 
 
+@released
 def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     w = length - GRAM + 1
     for batch in batches:
@@ -239,13 +236,14 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             row = np.searchsorted(offsets, at, "right") - 1
             start, end = offsets[row], offsets[row + 1]
             low, high = np.maximum(start, at - (w - 1)), np.minimum(at, end - length)
-            around = joined(_span_marks(h, low, high + length), mixed((at - low).astype(np.uint64)))
+            around = joined(_span_marks(h, low, high + length, length), mixed((at - low).astype(np.uint64)))
             used, back = np.unique(row, return_inverse=True)
             digests = pa.array([hashlib.md5(data[offsets[r] : offsets[r + 1]].tobytes()).digest() for r in used], pa.binary())
             ints = [pa.array(x.astype(np.int32)) for x in (at - start, low - start, high - start)]
             yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(around.view(np.int64)), digests.take(pa.array(back)), *ints], ["gram", "around", "fp", "at", "low", "high"])
 
 
+@released
 def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes around each place of a text. Columns: fp, text, places."""
     far = length - GRAM
@@ -267,6 +265,7 @@ def _digest(*parts: object) -> int:
     return int(np.frombuffer(hashlib.md5(repr(parts[:-1]).encode() + parts[-1]).digest()[:8], np.int64)[0])
 
 
+@released
 def _split(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Pieces of crowded buckets as runs of starts, by their distance to the anchor: near to far."""
     for batch in batches:
@@ -286,6 +285,7 @@ def _split(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         yield _batch(out)
 
 
+@released
 def _refine(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Takes pieces sorted by bucket; gives the starts, from low to high, whose windows repeat in their bucket."""
     for table in whole_groups(batches, 0, 512):

@@ -46,6 +46,20 @@ def test_as_brute_force(spark, bucket_rows):
         assert got[i] == want, (i, texts[i])
 
 
+@pytest.mark.parametrize("length", [256, 577, 700, 2000])
+def test_other_lengths(spark, length):
+    rng = random.Random(length)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = [prose(length - 1), prose(length) * 2]
+    for _ in range(14):
+        x = prose(4 * length)
+        at = rng.randrange(len(x))
+        texts += [x, x[:at] + "#" + x[at + 1 :], prose(50) + x[length // 2 : length // 2 + rng.choice([length - 1, length, length + 90])]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "n int, text string").repartition(3)
+    got = {r.n: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs, length=length).collect()}
+    assert got == dict(enumerate(brute(texts, length)))
+
+
 def test_empty_table_and_clashing_names(spark):
     none = spark.createDataFrame([], "doc_id long, text string, kept string, fp int, N_BYTES int")
     out = remove_repeats(none)
