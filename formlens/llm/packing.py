@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import numbered, stage
+from ._common import chunks, numbered, released, stage
 
-#: Words that a worker remembers the ids of, at most.
-REMEMBERED = 1_000_000
+#: Bytes of the words, with their ids and places, that a worker remembers the ids of, about; and of the texts it encodes at once.
+REMEMBERED, AT_ONCE = 48 << 20, 1 << 20
 
 
 def pack(docs: DataFrame, tokenizer: str, column: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
@@ -32,8 +32,8 @@ def pack(docs: DataFrame, tokenizer: str, column: str = "text", capacity: int =
 
     A document is its ids by the tokenizer file, then end_id. Only documents over capacity are cut: their first piece
     takes the remainder, the others are full. Sequences have no gaps. A null or empty text has end_id alone. Repeated
-    rows are packed each, null ids of documents too; ties go by hash. An empty table gives none. Columns of docs that
-    are named as a result column are replaced by it.
+    rows are packed each, null ids of documents too; ties go by hash, of the row as JSON if a column of it is or holds a
+    map. An empty table gives none. Columns of docs that are named as a result column are replaced by it.
     """
     made = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids]
     own = [c for c in docs.columns if c != column and c.lower() not in [*made, "ids"]]
@@ -46,7 +46,11 @@ def pack(docs: DataFrame, tokenizer: str, column: str = "text", capacity: int =
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = docs.sparkSession.createDataFrame(plan(counts, capacity), "length long, first long, n long, sequence long, offset long")
 
-    ranked = numbered(pieces, "rank", "length", ["row", "piece", "start", "ids_crc32"])
+    tie = "row"
+    if "map<" in kind:  # has no order
+        tie = "_tie"
+        pieces = pieces.withColumn(tie, F.md5(F.to_json("row")))
+    ranked = numbered(pieces, "rank", "length", [tie, "piece", "start", "ids_crc32"])
     at = (ranked.length == runs.length) & (ranked["rank"] >= runs["first"]) & (ranked["rank"] < runs["first"] + runs["n"])
     placed = ranked.join(F.broadcast(runs), at).select("row", "piece", "start", ranked.length, "ids_crc32", (runs["sequence"] + ranked["rank"] - runs["first"]).alias("sequence_id"), runs["offset"], *["ids"] * with_ids)
     return placed.select(*[F.col("row").getField(c).alias(c) for c in own], *made)
@@ -130,11 +134,19 @@ class Ids:
         model, before = told["model"], told["pre_tokenizer"] or {}
         self.own = None
         if model["type"] == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not told["normalizer"] and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
-            self._byte_level(told)
-        else:
-            from tokenizers import Tokenizer
+            if self._in_order(model):
+                self._byte_level(told)
+                return
+        from tokenizers import Tokenizer
 
-            self.own = Tokenizer.from_file(path)
+        self.own = Tokenizer.from_file(path)
+
+    @staticmethod
+    def _in_order(model: dict) -> bool:
+        """Whether the pieces' ids rise in the order of the merges that make them, as the ranks of _byte_level have to."""
+        pairs = [x.split(" ", 1) if isinstance(x, str) else x for x in model["merges"]]
+        ids = [model["vocab"].get(a + b, -1) for a, b in pairs]
+        return all(x < y for x, y in zip([-1, *ids], ids, strict=False))
 
     def _byte_level(self, told: dict) -> None:
         import tiktoken
@@ -153,6 +165,7 @@ class Ids:
         #: A space after white space isn't sure to begin a word with the letters behind it.
         self.odd = re.compile(r"\s ")
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.own is not None:
@@ -169,10 +182,15 @@ class Ids:
         parts = self.cut.split(text) if self.cut else [text]
         return b"".join(array("I", [self.special[x]]).tobytes() if x in self.special else self._encoded(x) for x in parts)
 
+    def forget(self) -> None:
+        if self.own is None:
+            self.known, self.held = {}, 0
+
     def _learn(self, words: set[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if self.held > REMEMBERED:
+            self.forget()
         new = words.difference(self.known)
+        self.held += sum(map(len, new)) + 250 * len(new)
         apart = [x for x in new if not x or x[-1].isspace()]
         self.known.update((x, self._encoded(" " + x)) for x in apart)
         rest = list(new.difference(apart))
@@ -188,25 +206,30 @@ class Ids:
 _ids = lru_cache(1)(Ids)
 
 
+@released
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """Columns: row, text."""
     ids, end = _ids(path), array("I", [end_id]).tobytes()
-    for batch in batches:
-        texts = batch.column(1).fill_null("").to_pylist()
-        for k in range(0, len(texts), 500):
-            row, piece, start, length, crc, each = [], [], [], [], [], []
-            for r, raw in enumerate(ids(texts[k : k + 500]), k):
-                raw += end
-                n = len(raw) // 4
-                first = (n - 1) % capacity + 1
-                for i, a in enumerate([0, *range(first, n, capacity)]):
-                    b = a + capacity if i else first
-                    own = raw[4 * a : 4 * b]
-                    row.append(r)
-                    piece.append(i)
-                    start.append(a)
-                    length.append(b - a)
-                    crc.append(zlib.crc32(own))
-                    if with_ids:
-                        each.append(np.frombuffer(own, "<i4"))
-            columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(each, pa.list_(pa.int32()))] * with_ids], ["row", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+    try:
+        for batch in batches:
+            column = batch.column(1).fill_null("")
+            for lo, hi, _, _ in chunks(column, AT_ONCE):
+                row, piece, start, length, crc, each = [], [], [], [], [], []
+                for r, raw in enumerate(ids(column.slice(lo, hi - lo).to_pylist()), lo):
+                    raw += end
+                    n = len(raw) // 4
+                    first = (n - 1) % capacity + 1
+                    for i, a in enumerate([0, *range(first, n, capacity)]):
+                        b = a + capacity if i else first
+                        own = raw[4 * a : 4 * b]
+                        row.append(r)
+                        piece.append(i)
+                        start.append(a)
+                        length.append(b - a)
+                        crc.append(zlib.crc32(own))
+                        if with_ids:
+                            each.append(np.frombuffer(own, "<i4"))
+                columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(each, pa.list_(pa.int32()))] * with_ids], ["row", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+    finally:
+        ids.forget()

@@ -81,3 +81,38 @@ def test_round_trip(spark):
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH, with_ids=False).count() == 0
+
+
+def fewest(lengths, capacity):
+    """The least number of bins, by trying all places for the largest item left."""
+    best = len(lengths)
+
+    def go(left, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if not left:
+            best = len(bins)
+            return
+        for k in {x: i for i, x in enumerate(bins)}.values():
+            if bins[k] + left[0] <= capacity:
+                go(left[1:], [*bins[:k], bins[k] + left[0], *bins[k + 1 :]])
+        go(left[1:], [*bins, left[0]])
+
+    go(sorted(lengths, reverse=True), [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_plan_is_near_the_optimum(seed):
+    rng = random.Random(seed)
+    lengths = [rng.randint(1, 30) for _ in range(rng.randint(1, 11))]
+    got = len({s + i for _, _, n, s, _ in plan(Counter(lengths), 30) for i in range(n)})
+    assert got <= fewest(lengths, 30) * 3 / 2
+
+
+def test_columns_that_have_no_order(spark):
+    docs = spark.createDataFrame([(1, "a b", {"k": 1}, None), (1, "a b", {"k": 2}, {"x": [1.0]}), (2, "a", None, None)], "doc_id long, text string, m map<string,int>, rank map<string,array<double>>")
+    out = pack(docs, PATH, with_ids=False)
+    assert out.columns[:3] == ["doc_id", "m", "rank"]
+    assert sorted((r.offset, r.length) for r in out.collect()) == [(0, 3), (3, 3), (6, 2)]
