@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, small, stage
+from ._common import fresh, sized, stage
 
 #: A mean over it is drawn as a sum of so many more draws, each of an equal part of it.
 PART = 256.0
+#: The target weights of the query's sources; others weigh 1.
+WEIGHTS = {f"src{k}": 0.5 + k % 4 for k in range(20)}
 
 
 def uniform(*parts: Column) -> Column:
@@ -71,7 +73,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, other: float =
     table = table.select(F.col("source").alias(told), F.struct(parts.alias("parts"), F.when(F.col("rate") > 0, steps(F.col("rate") / parts)).alias("steps")).alias(rate))
     table = stage(table, "rates")
     row = docs.select(*[F.col(f"`{c}`") for c in own])
-    row = row.join(small(table, 2048), row[by].eqNullSafe(table[told])).drop(told)
+    row = row.join(sized(table, f"{rate}.steps", 8, 96), row[by].eqNullSafe(table[told])).drop(told)
     row = row.withColumn(id_, F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(column).cast("string"), F.lit(""))))))
     drawn = F.aggregate(
         F.sequence(F.lit(1), F.col(rate)["parts"]),
@@ -85,15 +87,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, other: float =
     return row.repartition("order_key").sortWithinPartitions("order_key")
 
 
-#: Of the query, with each source's weight 1, for DuckDB.
-ORACLE_SQL = """
-WITH s AS (SELECT source, sum(strlen(coalesce(text, '')))::DOUBLE AS bytes FROM documents GROUP BY source),
-r AS (SELECT source, (SELECT sum(bytes) FROM s) / ((SELECT count(*) FROM s WHERE bytes > 0) * bytes) AS rate FROM s WHERE bytes > 0),
+#: Of the query, for DuckDB.
+ORACLE_SQL = f"""
+WITH w(source, weight) AS (VALUES {", ".join(f"('{k}', {v}e0)" for k, v in WEIGHTS.items())}),
+s AS (SELECT source, sum(strlen(coalesce(text, '')))::DOUBLE AS bytes FROM documents GROUP BY source),
+b AS (SELECT s.source, bytes, coalesce(weight, 1e0) AS weight FROM s LEFT JOIN w ON s.source = w.source WHERE bytes > 0),
+r AS (SELECT source, (weight * (SELECT sum(bytes) FROM s)) / ((SELECT sum(weight) FROM b) * bytes) AS rate FROM b),
 k AS (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 40)::BIGINT + 1)) AS k FROM r),
 p AS (SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM k),
 c AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM p),
-u AS (SELECT doc_id, source, ('0x' || substr(md5('0:' || doc_id || ':1'), 1, 13))::BIGINT / 4503599627370496e0 AS u FROM documents),
-n AS (SELECT u.doc_id, u.source, count(*) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.c <= u.u GROUP BY u.doc_id, u.source),
-x AS (SELECT doc_id, source, unnest(range(0, n))::INT AS copy FROM n)
-SELECT doc_id, source, copy, md5('order0:' || doc_id || ':' || copy) AS order_key FROM x
+u AS (SELECT doc_id, source, text, ('0x' || substr(md5('0:' || doc_id || ':1'), 1, 13))::BIGINT / 4503599627370496e0 AS u FROM documents),
+n AS (SELECT u.doc_id, u.source, u.text, count(*) AS n FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.c <= u.u GROUP BY u.doc_id, u.source, u.text),
+x AS (SELECT doc_id, source, text, unnest(range(0, n))::INT AS copy FROM n)
+SELECT doc_id, source, copy, md5('order0:' || doc_id || ':' || copy) AS order_key, text FROM x
 """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import html_main, jaccard, mixing, packing, prefix_forest, quality, shards, suffix_dedup, token_counts, url_templates
 
@@ -24,7 +25,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup.remove_repeats(docs, with_kept=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = suffix_dedup.remove_repeats(docs)
+    # Beyond the contract: the text that stays, as documents have it.
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept_text").alias("text"), F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +52,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "source", "copy", "order_key")
+    return mixing.mix(docs, mixing.WEIGHTS).select("doc_id", "source", "copy", "order_key", "text")
 
 
 def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from test_suffix_dedup import brute as repeats_of
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from formlens.llm import quality
+from formlens.llm import mixing, quality
 
 
 def made():
@@ -24,7 +24,7 @@ def made():
         x = prose(rng.randint(25, 200)).split(" ")
         texts += [" ".join(x), " ".join([*x[:-1], "end"]), prose(60) + " " + shared[rng.randint(0, 50) :], prose(30) + "\n" + prose(40)]
     texts += ["short", None, "", "# " * 80, "again and again the same " * 30, texts[0], texts[0]]
-    rows = [(i, t, "en", "hot" if i % 3 else f"s{i % 5}", len(t or "")) for i, t in enumerate(texts)]
+    rows = [(i, t, "en", "hot" if i % 3 else f"src{i % 5}", len(t or "")) for i, t in enumerate(texts)]
     return [dict(zip(("doc_id", "text", "lang", "source", "n_chars"), r, strict=True)) for r in rows]
 
 
@@ -70,7 +70,8 @@ def test_as_brute_force(spark, tmp_path):
         bytes_of[r["source"]] = bytes_of.get(r["source"], 0) + len(r["text"].encode())
     copies = {}
     for r in got.values():
-        rate = sum(bytes_of.values()) / (len(bytes_of) * bytes_of[r["source"]])
+        weight = {k: mixing.WEIGHTS.get(k, 1.0) for k in bytes_of}
+        rate = weight[r["source"]] * sum(bytes_of.values()) / (sum(weight.values()) * bytes_of[r["source"]])
         u = int(hashlib.md5(f"0:{r['doc_id']}:1".encode()).hexdigest()[:13], 16) / 2**52
         copies[r["doc_id"]] = poisson(rate, u)
     drawn = [r["doc_id"] for r in seen["mixing sources"]]
