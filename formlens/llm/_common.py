@@ -58,6 +58,16 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def measured(rows: DataFrame) -> DataFrame:
+    """small() for staged rows of strings and lists of strings: their bytes are added up."""
+    text = [c for c, kind in rows.dtypes if kind == "string"]
+    lists = [c for c, kind in rows.dtypes if kind == "array<string>"]
+    size = sum((F.coalesce(F.octet_length(c).cast("long"), F.lit(0)) for c in text), F.lit(0).cast("long"))
+    size = sum((F.octet_length(F.array_join(c, "/")).cast("long") + 16 * F.size(c) for c in lists), size)
+    n, total = rows.agg(F.count("*"), F.sum(size)).first()
+    return small(rows, 32 + 16 * len(rows.columns) + (total or 0) // max(1, n))
+
+
 def sized(rows: DataFrame, items: str, item_bytes: int, row_bytes: int = 48) -> DataFrame:
     """small() for staged rows that hold a list: their items are counted too."""
     n, total = rows.agg(F.count("*"), F.sum(F.size(items).cast("long"))).first()

@@ -1,11 +1,16 @@
 """URL filters by a tree of path templates, with DataFrame functions alone.
 
 Rules judge the urls that they fit, and label them. The others are judged by a tree of path templates for each host.
-Its levels are a path's segments; all behind the last level count as one. Digits are written 0. A segment becomes a
-wildcard if its parent has more than `fan_out` different children and less than `least_share` of the parent's urls have
-it. For each node, allowed and blocked urls are counted. From the root down, a node whose share of blocked urls doesn't
-differ from its parent's (a z-test) is merged with it and takes its purity; another gets its own, smoothed with
-`smoothing` urls of its parent's. Before a host's own branch comes that of all hosts together, which is its prior. A
+What is counted is different urls (host and path), so copies have no weight. A tree's levels are a path's segments; all
+behind the last level count as one. Digits are written 0. From the root down, a segment becomes a wildcard if its
+template so far has more than `fan_out` different children and less than `least_share` of the template's urls have it,
+so what follows a wildcard is generalised together.
+
+For each template, and its beginnings, allowed and blocked urls are counted, and siblings are merged: those whose share
+of blocked urls differs from their parent's to the same side (a z-test) are one branch, unless one differs from that
+branch too. Then from the root down, for each depth first the branch of all hosts together and then the host's own, a
+branch whose share doesn't differ from the purity so far (the z-test again) leaves it; another gets its own, smoothed
+with `smoothing` urls of the purity so far. So a longer template has the last word, whatever its host's root counts. A
 template with a purity of `purity` or more is blocked.
 
 The urls are first counted by host and digit-free path, so a hot host is a few rows in all that follows.
@@ -18,7 +23,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, small, stage
+from ._common import fresh, measured, stage
 
 
 class UrlRule(NamedTuple):
@@ -57,12 +62,12 @@ def rule_of(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> Column:
     return F.coalesce(*names, F.lit(None).cast("string"))
 
 
-def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, column: str = "url", levels: int = 8, fan_out: int = 20, least_share: float = 0.05, smoothing: float = 10.0, z: float = 1.96, purity: float = 0.7) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, column: str = "url", levels: int = 5, fan_out: int = 20, least_share: float = 0.05, smoothing: float = 10.0, z: float = 1.96, purity: float = 0.7) -> DataFrame:
     """pages with host, path, rule (of the longest rule that fits, else null) and verdict (allow or block).
 
-    A null url, or one without ://, has an empty host and path. Repeated rows are urls like others. With no labelled
-    url all templates are allowed. An empty table gives an empty table. Columns of pages that are named as a result
-    column are replaced, but for the url itself.
+    A null url, or one without ://, has an empty host and path. Repeated rows are judged alike and count once. With no
+    labelled url all templates are allowed. An empty table gives an empty table. Columns of pages that are named as a
+    result column are replaced, but for the url itself.
     """
     own = [c for c in pages.columns if c.lower() not in _RESULT]
     shape = fresh(pages, "_shape")
@@ -75,52 +80,95 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, column: str = "u
     rows = rows.withColumn(shape, parts)
     blocked = [r.name for r in rules if r.verdict == "block"]
     verdict_of = F.when(F.col("rule").isNull(), None).otherwise(F.col("rule").isin(blocked))
-    shapes = rows.groupBy("host", F.col(shape).alias("shape")).agg(
+    shapes = rows.select("host", "path", "rule", F.col(shape).alias("shape")).distinct().groupBy("host", "shape").agg(
         F.count("*").alias("n"), F.count_if(~verdict_of).alias("allowed"), F.count_if(verdict_of).alias("blocked"))
-    told = verdicts(stage(shapes, "shapes"), fan_out, least_share, smoothing, z, purity)
+    told = verdicts(stage(shapes, "shapes"), levels, fan_out, least_share, smoothing, z, purity)
     told = stage(told.select(F.col("host").alias("host_"), F.col("shape").alias("shape_"), F.when(F.col("blocks"), "block").otherwise("allow").alias("told")), "told")
-    out = rows.join(small(told, 160), (F.col("host") == F.col("host_")) & (F.col(shape) == F.col("shape_")))
+    out = rows.join(measured(told), (F.col("host") == F.col("host_")) & (F.col(shape) == F.col("shape_")))
     verdict = F.when(F.col("rule").isNull(), F.col("told")).when(F.col("rule").isin(blocked), "block").otherwise("allow")
     return out.select(*[F.col(f"`{c}`") for c in own], "host", "path", "rule", verdict.alias("verdict"))
 
 
-def verdicts(shapes: DataFrame, fan_out: int, least_share: float, smoothing: float, z: float, purity: float) -> DataFrame:
+def templates(shapes: DataFrame, levels: int, fan_out: int, least_share: float) -> DataFrame:
+    """Staged shapes (host, shape, n, ...) with `template`: the shape with its variable segments as wildcards."""
+    rows = shapes.withColumn("template", F.array().cast("array<string>"))
+    for i in range(1, levels + 1):
+        rows = rows.withColumn("parent", F.array_join("template", "/")).withColumn("name", F.get("shape", F.lit(i - 1)))
+        children = stage(rows.filter("name is not null").groupBy("host", "parent", "name").agg(F.sum("n").alias("n")), "children")
+        wide = children.groupBy("host", "parent").agg(F.count("*").alias("children"), F.sum("n").alias("all")).filter(F.col("children") > fan_out)
+        stars = children.join(measured(stage(wide, "wide")), ["host", "parent"]).filter(F.col("n") < least_share * F.col("all"))
+        stars = stage(stars.select("host", "parent", "name", F.lit("*").alias("star")), "stars")
+        rows = rows.join(measured(stars), ["host", "parent", "name"], "left")
+        rows = rows.withColumn("template", F.when(F.col("name").isNull(), F.col("template")).otherwise(F.array_append("template", F.coalesce("star", "name"))))
+        rows = stage(rows.drop("parent", "name", "star"), "generalised")
+    return rows
+
+
+def _apart(blocked: Column, n: Column, share: Column, z: float) -> Column:
+    return F.abs(F.try_divide(blocked, n) - share) >= z * F.sqrt(F.try_divide(F.greatest(share * (1 - share), F.lit(1e-4)), n))
+
+
+def merged(tree: DataFrame, by: list[str], z: float) -> DataFrame:
+    """The tree (by, depth, node, parent, allowed, blocked) with each merged branch's counts in place of a node's own."""
+    up = tree.select(*by, (F.col("depth") + 1).alias("depth"), F.col("node").alias("parent"), F.col("allowed").alias("up_allowed"), F.col("blocked").alias("up_blocked"))
+    n, above = F.col("allowed") + F.col("blocked"), F.col("up_allowed") + F.col("up_blocked")
+    share = F.try_divide("up_blocked", above)
+    side = F.when((n > 0) & (above > 0) & _apart(F.col("blocked"), n, share, z), F.signum(F.try_divide("blocked", n) - share)).otherwise(0.0)
+    rows = stage(tree.join(measured(stage(up, "parents")), [*by, "depth", "parent"], "left").withColumn("side", side.cast("int")).drop("up_allowed", "up_blocked"), "sides")
+    branch = rows.filter("side != 0").groupBy(*by, "depth", "parent", "side").agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b"))
+    rows = rows.join(measured(stage(branch, "branches")), [*by, "depth", "parent", "side"], "left")
+    alike = F.coalesce(~_apart(F.col("blocked"), n, F.try_divide("b", F.col("a") + F.col("b")), z), F.lit(False))
+    counts = [F.when(alike, F.col(x)).otherwise(F.col(own)).alias(own) for x, own in (("a", "allowed"), ("b", "blocked"))]
+    return rows.select(*by, "depth", "node", *counts)
+
+
+def verdicts(shapes: DataFrame, levels: int, fan_out: int, least_share: float, smoothing: float, z: float, purity: float) -> DataFrame:
     """host, shape, blocks for staged rows host, shape (array), n, allowed, blocked."""
-    steps = shapes.filter("size(shape) > 0").select("host", "shape", "n", F.posexplode("shape").alias("i", "name"))
-    steps = steps.withColumn("parent", F.array_join(F.slice("shape", 1, F.col("i")), "/"))
-    children = stage(steps.groupBy("host", "i", "parent", "name").agg(F.sum("n").alias("n")), "children")
-    parents = children.groupBy("host", "i", "parent").agg(F.count("*").alias("children"), F.sum("n").alias("all"))
-    wide = stage(parents.filter(F.col("children") > fan_out), "wide")
-    stars = stage(children.join(small(wide, 96), ["host", "i", "parent"]).filter(F.col("n") < least_share * F.col("all")).select("host", "i", "parent", "name", F.lit("*").alias("star")), "stars")
-    named = steps.join(small(stars, 128), ["host", "i", "parent", "name"], "left").groupBy("host", "shape")
-    named = named.agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("star", "name").alias("name")))).alias("path"))
-    named = named.select("host", "shape", F.transform("path", lambda x: x["name"]).alias("template"))
-    flat = shapes.join(named, ["host", "shape"], "left").withColumn("template", F.coalesce("template", F.array().cast("array<string>")))
-    flat = stage(flat.select("host", "shape", "template", "allowed", "blocked"), "templates")
-
-    templates = flat.groupBy("host", "template").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"))
-    depth = F.explode(F.sequence(F.lit(0), F.size("template"))).alias("depth")
-    nodes = stage(templates.select("*", depth).withColumn("node", F.array_join(F.slice("template", 1, F.col("depth")), "/")), "nodes")
+    flat = templates(shapes, levels, fan_out, least_share)
+    kinds = flat.groupBy("host", "template").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"))
+    nodes = kinds.select("*", F.explode(F.sequence(F.lit(0), F.size("template"))).alias("depth"))
+    cut = lambda d: F.array_join(F.slice("template", 1, d), "/")
+    nodes = stage(nodes.withColumn("node", cut(F.col("depth"))).withColumn("parent", F.when(F.col("depth") > 0, cut(F.col("depth") - 1))), "nodes")
     counts = [F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")]
-    own = stage(nodes.groupBy("host", "depth", "node").agg(*counts), "own_counts")
-    of_all = stage(own.groupBy("depth", "node").agg(*counts), "all_counts")
+    own = stage(nodes.groupBy("host", "depth", "node", "parent").agg(*counts), "own_counts")
+    of_all = stage(own.groupBy("depth", "node", "parent").agg(*counts), "all_counts")
+    own, of_all = stage(merged(own, ["host"], z), "own_branches"), stage(merged(of_all, [], z), "all_branches")
     keys = nodes.select("host", "template", "depth", "node")
-    both = keys.join(small(of_all, 64), ["depth", "node"]).withColumn("own", F.lit(0))
-    both = both.unionByName(keys.join(small(own, 96), ["host", "depth", "node"]).withColumn("own", F.lit(1)))
-    chain = F.sort_array(F.collect_list(F.struct("own", "depth", "allowed", "blocked")))
+    both = keys.join(measured(of_all), ["depth", "node"]).withColumn("own", F.lit(0))
+    both = both.unionByName(keys.join(measured(own), ["host", "depth", "node"]).withColumn("own", F.lit(1)))
+    chain = F.sort_array(F.collect_list(F.struct("depth", "own", "allowed", "blocked")))
     told = both.groupBy("host", "template").agg(chain.alias("chain"))
 
     def down(p: Column, x: Column) -> Column:
         n = (x["allowed"] + x["blocked"]).cast("double")
-        apart = F.abs(x["blocked"] / n - p) >= z * F.sqrt(F.greatest(p * (1 - p), F.lit(1e-4)) / n)
-        return F.when((n > 0) & apart, (x["blocked"] + smoothing * p) / (n + smoothing)).otherwise(p)
+        return F.when((n > 0) & _apart(x["blocked"], n, p, z), (x["blocked"] + smoothing * p) / (n + smoothing)).otherwise(p)
 
     told = told.select("host", "template", (F.aggregate("chain", F.lit(0.5), down) >= purity).alias("blocks"))
-    return flat.join(small(stage(told, "purities"), 128), ["host", "template"]).select("host", "shape", "blocks")
-
-
-#: Of the query, for DuckDB.
-ORACLE_SQL = r"""
+    return flat.join(measured(stage(told, "purities")), ["host", "template"]).select("host", "shape", "blocks")
+
+
+def _oracle(levels: int = 5) -> str:
+    """Of the query, for DuckDB."""
+    steps = "".join(f"""
+c{i} AS (SELECT host, array_to_string(t, '/') AS parent, shape[{i}] AS name, sum(n) AS n FROM g{i - 1} WHERE len(shape) >= {i} GROUP BY ALL),
+w{i} AS (SELECT host, parent, name FROM (SELECT *, count(*) OVER w AS k, sum(n) OVER w AS s FROM c{i} WINDOW w AS (PARTITION BY host, parent)) WHERE k > 20 AND n < 0.05e0 * s),
+g{i} AS (SELECT g.host, g.shape, g.n, g.a, g.b, CASE WHEN len(g.shape) < {i} THEN g.t ELSE list_append(g.t, CASE WHEN w.name IS NULL THEN g.shape[{i}] ELSE '*' END) END AS t
+  FROM g{i - 1} g LEFT JOIN w{i} w ON g.host = w.host AND array_to_string(g.t, '/') = w.parent AND g.shape[{i}] = w.name),""" for i in range(1, levels + 1))
+    apart = lambda b, n, p: f"abs({b} / {n} - {p}) >= 1.96e0 * sqrt(greatest({p} * (1 - {p}), 1e-4) / {n})"
+
+    def branches(name: str, tree: str, host: str) -> str:
+        on = lambda x, y: f"{x}.host = {y}.host AND " if host else ""
+        own = f"{host}, " if host else ""
+        q = "(u.b / nullif(u.a + u.b, 0))"
+        return f"""
+{name}s AS (SELECT c.*, CASE WHEN c.a + c.b > 0 AND u.a + u.b > 0 AND {apart("c.b", "(c.a + c.b)", q)} THEN sign(c.b / (c.a + c.b) - {q}) ELSE 0 END AS side
+  FROM {tree} c LEFT JOIN {tree} u ON {on("c", "u")}u.d = c.d - 1 AND u.node = c.parent),
+{name}b AS (SELECT {own}d, parent, side, sum(a) AS x, sum(b) AS y FROM {name}s WHERE side != 0 GROUP BY ALL),
+{name} AS (SELECT c.* EXCLUDE (a, b), CASE WHEN alike THEN x ELSE a END AS a, CASE WHEN alike THEN y ELSE b END AS b FROM (
+  SELECT c.*, x, y, coalesce(NOT ({apart("c.b", "(c.a + c.b)", "(y / (x + y))")}), false) AS alike
+  FROM {name}s c LEFT JOIN {name}b p ON {on("c", "p")}p.d = c.d AND p.parent = c.parent AND p.side = c.side) c),"""
+
+    return rf"""
 WITH u AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM u),
 p AS (SELECT *, string_split(regexp_replace(path, '[0-9]+', '0', 'g'), '/')[2:] AS s, CASE
@@ -129,26 +177,23 @@ p AS (SELECT *, string_split(regexp_replace(path, '[0-9]+', '0', 'g'), '/')[2:]
   WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
   WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
   WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM h),
-r AS (SELECT page_id, host, path, rule, CASE WHEN len(s) <= 8 THEN s ELSE list_append(s[:7], array_to_string(s[8:], '/')) END AS shape,
+r AS (SELECT page_id, host, path, rule, CASE WHEN len(s) <= {levels} THEN s ELSE list_append(s[:{levels - 1}], array_to_string(s[{levels}:], '/')) END AS shape,
   rule IN ('example.com/en/', 'net/es/', 'net/fr/') AS bad FROM p),
-g AS (SELECT host, shape, count(*) AS n, count(*) FILTER (WHERE NOT bad) AS a, count(*) FILTER (WHERE bad) AS b FROM r GROUP BY host, shape),
-st AS (SELECT host, shape, n, i, shape[i] AS name, array_to_string(shape[:i - 1], '/') AS parent FROM (SELECT *, unnest(range(1, len(shape) + 1)) AS i FROM g)),
-ch AS (SELECT host, i, parent, name, sum(n) AS n FROM st GROUP BY ALL),
-star AS (SELECT host, i, parent, name FROM (SELECT *, count(*) OVER w AS c, sum(n) OVER w AS t FROM ch WINDOW w AS (PARTITION BY host, i, parent)) WHERE c > 20 AND n < 0.05e0 * t),
-nm AS (SELECT st.host, st.shape, list(CASE WHEN star.host IS NULL THEN st.name ELSE '*' END ORDER BY st.i) AS template
-  FROM st LEFT JOIN star ON st.host = star.host AND st.i = star.i AND st.parent = star.parent AND st.name = star.name GROUP BY st.host, st.shape),
-f AS (SELECT g.host, g.shape, coalesce(nm.template, []) AS template, a, b FROM g LEFT JOIN nm ON g.host = nm.host AND g.shape = nm.shape),
-t AS (SELECT host, template, sum(a) AS a, sum(b) AS b FROM f GROUP BY ALL),
-nd AS (SELECT *, array_to_string(template[:d], '/') AS node FROM (SELECT *, unnest(range(0, len(template) + 1)) AS d FROM t)),
-ow AS (SELECT host, d, node, sum(a) AS a, sum(b) AS b FROM nd GROUP BY ALL),
-al AS (SELECT d, node, sum(a) AS a, sum(b) AS b FROM ow GROUP BY ALL),
-bo AS (SELECT nd.host, nd.template, 0 AS o, nd.d, al.a, al.b FROM nd JOIN al USING (d, node)
-  UNION ALL SELECT nd.host, nd.template, 1, nd.d, ow.a, ow.b FROM nd JOIN ow USING (host, d, node)),
-cn AS (SELECT host, template, list({'a': a::DOUBLE, 'b': b::DOUBLE, 'p': 0.5e0} ORDER BY o, d) AS chain FROM bo GROUP BY host, template),
-pu AS (SELECT host, template, list_reduce(chain, lambda x, y: {'a': y.a, 'b': y.b, 'p': CASE WHEN y.a + y.b > 0 AND
-  abs(y.b / (y.a + y.b) - x.p) >= 1.96e0 * sqrt(greatest(x.p * (1 - x.p), 1e-4) / (y.a + y.b)) THEN (y.b + 10e0 * x.p) / (y.a + y.b + 10e0) ELSE x.p END},
-  {'a': 0e0, 'b': 0e0, 'p': 0.5e0}).p AS p FROM cn)
+g0 AS (SELECT host, shape, count(*) AS n, count(*) FILTER (WHERE NOT bad) AS a, count(*) FILTER (WHERE bad) AS b, []::VARCHAR[] AS t
+  FROM (SELECT DISTINCT host, path, shape, bad FROM r) GROUP BY host, shape),{steps}
+k AS (SELECT host, t, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM g{levels} GROUP BY ALL),
+nd AS (SELECT *, array_to_string(t[:d], '/') AS node, CASE WHEN d > 0 THEN array_to_string(t[:d - 1], '/') END AS parent FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM k)),
+ow AS (SELECT host, d, node, parent, sum(a) AS a, sum(b) AS b FROM nd GROUP BY ALL),
+al AS (SELECT d, node, parent, sum(a) AS a, sum(b) AS b FROM ow GROUP BY ALL),{branches("o1", "ow", "host")}{branches("a1", "al", "")}
+bo AS (SELECT nd.host, nd.t, 0 AS o, nd.d, x.a, x.b FROM nd JOIN a1 x ON x.d = nd.d AND x.node = nd.node
+  UNION ALL SELECT nd.host, nd.t, 1, nd.d, x.a, x.b FROM nd JOIN o1 x ON x.host = nd.host AND x.d = nd.d AND x.node = nd.node),
+cn AS (SELECT host, t, list({{'a': a, 'b': b, 'p': 0.5e0}} ORDER BY d, o) AS chain FROM bo GROUP BY host, t),
+pu AS (SELECT host, t, list_reduce(chain, lambda x, y: {{'a': y.a, 'b': y.b, 'p': CASE WHEN y.a + y.b > 0 AND
+  {apart("y.b", "(y.a + y.b)", "x.p")} THEN (y.b + 10e0 * x.p) / (y.a + y.b + 10e0) ELSE x.p END}}, {{'a': 0e0, 'b': 0e0, 'p': 0.5e0}}).p AS p FROM cn)
 SELECT r.page_id, r.host, r.path, r.rule, CASE WHEN r.rule IS NOT NULL THEN CASE WHEN r.bad THEN 'block' ELSE 'allow' END
   WHEN pu.p >= 0.7e0 THEN 'block' ELSE 'allow' END AS verdict
-FROM r JOIN f ON r.host = f.host AND r.shape = f.shape JOIN pu ON f.host = pu.host AND f.template = pu.template
+FROM r JOIN g{levels} g ON r.host = g.host AND r.shape = g.shape JOIN pu ON g.host = pu.host AND g.t = pu.t
 """
+
+
+ORACLE_SQL = _oracle()

@@ -1,7 +1,7 @@
 import duckdb
 
 from formlens.llm import url_templates
-from formlens.llm.url_templates import UrlRule, judge
+from formlens.llm.url_templates import UrlRule, judge, merged, templates
 
 
 def oracle(rows):
@@ -35,3 +35,27 @@ def test_wide_branches(spark):
     rows = [(i, f"http://h{i % 3}.{('com', 'net', 'org')[i % 3]}/{('en', 'es', 'fr')[i % 7 % 3]}/topic-{chr(97 + i % 23)}{chr(97 + i % 19)}/p{i}") for i in range(900)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
     assert sorted((tuple(r) for r in judge(pages).select("page_id", "host", "path", "rule", "verdict").collect()), key=str) == oracle(rows)
+
+
+def test_copies_have_no_weight(spark):
+    urls = [f"http://{h}/{lang}/{k}" for h in ("a.net", "b.example.net", "c.example.com") for lang in ("en", "es", "fr", "de") for k in ("one", "two", "three")]
+    told = []
+    for times in (1, 5, 30):
+        pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls * times)], "page_id long, url string")
+        told.append({r.url: r.verdict for r in judge(pages).collect()})
+    assert told[0] == told[1] == told[2]
+    assert told[0]["http://a.net/de/one"] == "allow"  # as on the other hosts, though all that is labelled on this one is blocked
+
+
+def test_what_follows_a_wildcard_is_generalised_together(spark):
+    rows = [("h", ["u", f"name{k}", f"slug{k}"], 1) for k in range(2000)] + [("h", ["u"], 1)]
+    shapes = spark.createDataFrame(rows, "host string, shape array<string>, n long")
+    got = templates(shapes, 5, 20, 0.05).select("template").distinct().collect()
+    assert sorted(r.template for r in got) == [["u"], ["u", "*", "*"]]
+
+
+def test_like_siblings_are_merged(spark):
+    tree = [(0, "", None, 300, 100), (1, "good", "", 280, 3), (1, "better", "", 10, 0), (1, "bad", "", 2, 60), (1, "worse", "", 0, 30), (1, "odd", "", 8, 7), (1, "none", "", 0, 0)]
+    got = {r.node: (r.allowed, r.blocked) for r in merged(spark.createDataFrame(tree, "depth int, node string, parent string, allowed long, blocked long"), [], 1.96).collect()}
+    assert got["bad"] == got["worse"] == (2, 90)  # one branch
+    assert got["odd"] == (8, 7) and got["none"] == (0, 0) and got[""] == (300, 100)
