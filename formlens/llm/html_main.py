@@ -1,24 +1,27 @@
-"""Main text of web pages: markup tells most of it, strings repeated across a host's pages the rest.
-
-A page is a list of blocks. Blocks in menus, headers, footers, asides, forms, adverts, notices and comment sections are
-dropped by their elements, classes, ids and roles. Of a page that marks its article (article, main or that role) the
-blocks in it are the candidates, of other pages all that isn't dropped. From these, runs of `run` tokens or more that
-the host repeats are cut:
-
-- On a page without a marked article, each run that stands in `pages` distinct pages or more of the host.
-- In a marked article, such a run if it starts or ends a block and stands on half of the host's distinct pages too, in
-  or beside their articles (a share line, 'read also', a licence notice). Passages that some articles share are main
-  text.
-
-Blocks under `run` tokens are judged with their neighbours: blocks in a row as one, and if these are still under `run`
-tokens, they go only if they are in a repeated run to both sides.
-
-Pages are distinct by the text that stands beside their repeated runs. A page of which less than `OWN` is left is no
-evidence of its own: near copies of an article, alike in their least frequent run, are one page. Should a page lose all
-but `OWN` of its text in the end, it is kept whole.
-
-A run is found by counting: the `run`-grams of tokens are dealt by hash, with pages counted once, and a longer repeated
-string is the union of its grams. No suffixes are sorted.
+"""Main text of web pages: strings that a host's pages repeat are found with a suffix array and removed.
+
+Markup gives blocks, and says of some what they are: menus, page headers and footers, asides, forms, adverts, notices and
+comment sections by their elements, classes, ids and roles. All blocks of a page, those too, are one stream of tokens
+with a mark between blocks. The streams of a host's pages are concatenated, and the suffix array of what stands there,
+sorted by doubling to prefixes of `run` tokens, shows which strings of `run` tokens or more stand on several pages; a
+longer repeated string is the union of such strings. What they cover is removed:
+
+- Outside marked articles (article, main or that role) each block that is covered for four fifths, and in any block what
+  half of the host's pages repeat.
+- In a marked article only what half of the host's pages repeat and starts or ends a block: a share line, 'read also', a
+  licence notice. Passages that some articles share are main text.
+- A block whose name may mean anything (related, share, social, toc, login ...) if half of it is covered.
+
+A string counts if it is on `distinct_pages` pages or more, and on `share` of the host's. Then blocks that markup names
+go, and of a page that marks its article what stands outside. Should a page lose most of its text to strings that fewer
+than half of the pages repeat, it is a copy and keeps them; should it lose nearly all, it is kept whole.
+
+Pages are distinct by the text beside their repeated strings: one of which less than `OWN` is left is no evidence of its
+own, and such pages count as one where they are alike in their least frequent string.
+
+A host with many pages is dealt into cells of about `cell` pages, each with a suffix array of its own. A string on `share`
+of a host's pages is on `share` of some cell's, so each cell gives the strings that are so frequent in it, and these are
+counted exactly on all pages. So no host is one task, and the result doesn't depend on how pages are dealt.
 """
 
 from __future__ import annotations
@@ -27,259 +30,435 @@ import html
 import re
 from collections.abc import Iterator
 from functools import partial
-from hashlib import blake2b
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small, stage
+from ._common import joined, mixed, released, sized, small, stage, whole_groups, word_marks
 
 #: Elements by what they do to the text.
-HIDDEN = frozenset("nav footer aside form button select dialog menu datalist object audio video canvas head".split())
+HIDDEN = frozenset("nav footer aside form button select dialog menu datalist audio video canvas head".split())
 BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side-bar"
-    r"|footer|header|masthead|cookie|cookies|consent|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social"
-    r"|comment|comments|respond|reply|replies|disqus|related|recommended|recommendations|widget|pagination|pager|toolbar|toc|skip-link)(?:$|[\s_-])",
-    re.I,
-)
+SPACED = frozenset("br td th option img input svg text mtr mtd".split())
+RAW = frozenset("script style noscript template textarea title annotation-xml annotation metadata desc iframe noframes xmp".split())
+#: Elements that end others which are still open, and where the search for these stops.
+ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+_P, _NOT_P = frozenset({"p"}), BLOCK - {"p"}
+#: Names of what isn't main text, and names that may be.
+NAMED = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side-bar|footer|masthead"
+    r"|cookie|cookies|consent|notice|notices|comment|comments|respond|reply|replies|disqus|skip-link)(?:$|[\s_-])", re.I)
+OPEN_NAMED = re.compile(
+    r"(?:^|[\s_-])(?:header|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|recommendations|widget|pagination|pager|toolbar|toc)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
-_TAG = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(script|style|noscript|template|textarea|title|annotation-xml|annotation|metadata|desc|svg(?=[^>]*\baria-hidden)|iframe|noframes|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'](?=[^\"']*\Z))*)>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)>")
+_STOP = re.compile(r"[>\"']")
 _SAID = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_HEADING = re.compile(r"h[1-6]\Z")
+_COMMENTS = re.compile(r"(?:^|[\s_-])comments?(?:$|[\s_-])", re.I)
+#: Characters of a tag's attributes that are read.
+ATTRIBUTES = 4096
 
 #: A page's own text is this share of its tokens at least.
 OWN = 0.1
+#: Between blocks, as a word of the token stream.
+MARK = "\x1e"
 
-_GRAM = "host string, page long, gram long"
-_CLASS = "host string, page long, gram long, kind long"
+Block = tuple[str, int, bool]  # text, kind, in a marked article
+TEXT, MAYBE, CHROME = 0, 1, 2
 
 
-def main_text(pages: DataFrame, run: int = 8, distinct_pages: int = 3, url: str = "url", markup: str = "html") -> DataFrame:
-    """pages with `text` (blocks joined by an empty line, empty if none) and `n_chars` (its code points, long).
+def main_text(pages: DataFrame, run: int = 8, distinct_pages: int = 3, share: float = 0.01, cell: int = 512, url: str = "url", markup: str = "html") -> DataFrame:
+    """pages with `text` (blocks joined by an empty line, empty if none), `n_chars` (its code points, long) and `n_repeated` (strings of `run` tokens of the page, in its text or beside it, that the host repeats, long).
 
     Null html is empty; a null url's pages are one host. A page cut off anywhere, or with unclosed or stray tags, is
     read as far as it goes. Repeated rows count as one page where pages are counted. An empty table gives an empty
     table. Columns of pages that are named as a result column are replaced.
     """
-    own = [c for c in pages.columns if c.lower() not in ("text", "n_chars")]
+    own = [c for c in pages.columns if c.lower() not in ("text", "n_chars", "n_repeated")]
     row = F.struct(*[F.col(f"`{c}`") for c in own])
-    host = F.lower(F.coalesce(F.regexp_extract(F.col(url), r"://([^/?#]*)", 1), F.lit("")))
+    host = F.xxhash64(F.lower(F.coalesce(F.regexp_extract(F.col(url), r"://([^/?#]*)", 1), F.lit(""))))
     rows = pages.select(row.alias("row"), host.alias("host"), F.col(markup).cast("string").alias("html"))
     rows = rows.withColumn("page", F.xxhash64(F.md5(F.coalesce("html", F.lit("")))))
     read = rows.select("host", "page", "html")
-    # Of articles only the grams at their blocks' ends are looked at first.
-    grams = stage(read.mapInArrow(partial(_grams, run=run), _GRAM), "grams").distinct()
-    often = grams.groupBy("host", "gram").agg(F.count("*").alias("n")).filter(F.col("n") >= distinct_pages)
-    often = stage(often, "often")
-    has = stage(_of_pages(grams.join(small(often, 72), ["host", "gram"]), F.struct("gram", "n")), "has")
-    # What kind of page each is, and the grams that may be cut from it, those that go on from an article's ends too.
-    kinds = _with(read, has, "grams", 16).mapInArrow(partial(_kinds, run=run), _CLASS)
-    kinds = stage(kinds.distinct(), "kinds")
-    hosts = stage(kinds.select("host", "kind").distinct().groupBy("host").agg(F.count("*").alias("all")), "hosts")
-    found = kinds.filter("gram is not null").select("host", "gram", "kind").distinct().groupBy("host", "gram").agg(F.count("*").alias("n"))
-    found = found.filter(F.col("n") >= distinct_pages).join(small(hosts, 64), "host")
-    found = stage(found.select("host", "gram", (F.col("n") * 2 >= F.col("all")).alias("wide")), "runs")
-    cuts = stage(_of_pages(kinds.join(small(found, 72), ["host", "gram"]), F.struct("gram", "wide")), "cuts")
+    hosts = read.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    hosts = stage(hosts.withColumn("cells", F.ceil(F.col("pages") / cell).cast("int")), "hosts")
+
+    dealt = read.join(small(hosts, 32), "host").withColumn("cell", F.pmod("page", "cells"))
+    streams = dealt.select("host", "cell", "cells", "page", "html").mapInArrow(_streams, "key long, host long, page long, cells int, tokens binary")
+    streams = streams.repartition("key").sortWithinPartitions("key", "page")
+    strings = stage(streams.mapInArrow(partial(_repeated, run=run, distinct_pages=distinct_pages, share=share), "host long, gram long").distinct(), "strings")
+
+    grams = read.mapInArrow(partial(_grams, run=run), "host long, page long, inner int, grams array<long>, within array<boolean>, touches array<boolean>")
+    grams = grams.select("host", "page", "inner", F.explode(F.arrays_zip("grams", "within", "touches")).alias("g")).select("host", "page", "inner", F.col("g.grams").alias("gram"), "g.within", "g.touches")
+    hits = stage(grams.join(small(strings, 24), ["host", "gram"]).groupBy("host", "page", "gram").agg(F.max("inner").alias("inner"), F.bool_or("within").alias("within"), F.bool_or("touches").alias("touches")), "hits")
+    found = stage(_found(hits, hosts, distinct_pages, share), "found")
+    cuts = stage(hits.select("host", "page", "gram", "touches").join(small(found, 32), ["host", "gram"]), "cuts")
+    # Only pages whose text they touch need them.
+    touched = stage(cuts.groupBy("host", "page").agg(F.count("*").alias("n_repeated"), F.bool_or("touches").alias("touched")), "touched")
+    lists = cuts.join(small(touched.filter("touched").select("host", "page"), 24), ["host", "page"]).groupBy("host", "page").agg(F.collect_list(F.struct("gram", "wide")).alias("grams"))
+    cuts = touched.drop("touched").join(sized(stage(lists, "lists"), "grams", 12), ["host", "page"], "left")
+    cuts = sized(stage(cuts, "page_cuts"), "grams", 12)
     kind = rows.schema["row"].dataType.simpleString()
-    out = _with(rows, cuts, "grams", 9).select("row", "html", "grams").mapInArrow(partial(_texts, run=run), f"row {kind}, text string, n_chars long")
-    return out.select(*[F.col("row").getField(c).alias(c) for c in own], "text", "n_chars")
-
-
-def _of_pages(grams: DataFrame, what: Column) -> DataFrame:
-    return grams.groupBy("host", "page").agg(F.collect_set(what).alias("grams"))
-
-
-def _with(rows: DataFrame, lists: DataFrame, items: str, item_bytes: int) -> DataFrame:
-    """rows with the pages' lists, which must be staged; null where a page has none."""
-    n, total = lists.agg(F.count("*"), F.sum(F.size(items))).first()
-    return rows.join(small(lists, 96 + item_bytes * (total or 0) // max(1, n)), ["host", "page"], "left").select(*rows.columns, items)
+    out = rows.join(cuts, ["host", "page"], "left").select("row", "html", "grams", F.coalesce("n_repeated", F.lit(0)).alias("n_repeated")).mapInArrow(partial(_texts, run=run), f"row {kind}, text string, n_chars long, n_repeated long")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in own], "text", "n_chars", "n_repeated")
+
+
+def _found(hits: DataFrame, hosts: DataFrame, distinct_pages: int, share: float) -> DataFrame:
+    """host, gram, wide (on half of the host's pages) of the strings that are frequent, by distinct pages. hits: host, page, gram, inner, within."""
+    often = stage(hits.groupBy("host", "gram").agg(F.count("*").alias("n")).filter(F.col("n") >= distinct_pages), "often")
+    known = hits.join(small(often, 32), ["host", "gram"])
+    inner = F.count_if("within").alias("covered")
+    least = F.min(F.struct((~F.col("within")).alias("beside"), "n", "gram")).alias("least")
+    kinds = known.groupBy("host", "page").agg(F.max("inner").alias("inner"), inner, least)
+    copied = F.col("inner") - F.col("covered") < F.greatest(F.lit(1.0), OWN * F.col("inner"))
+    kinds = stage(kinds.select("host", "page", F.when(copied, F.col("least.gram")).otherwise(F.col("page")).alias("kind"), copied.alias("copied")), "kinds")
+    # Pages without a repeated string are distinct too.
+    less = kinds.groupBy("host").agg((F.count("*") - F.count_distinct("kind")).alias("less"))
+    all_ = stage(hosts.join(less, "host", "left").select("host", (F.col("pages") - F.coalesce("less", F.lit(0))).alias("all")), "distinct_pages")
+    n = known.select("host", "page", "gram").join(small(kinds.select("host", "page", "kind"), 32), ["host", "page"]).groupBy("host", "gram", "kind").count().groupBy("host", "gram").agg(F.count("*").alias("n"))
+    n = n.join(small(all_, 24), "host").filter((F.col("n") >= distinct_pages) & (F.col("n") >= share * F.col("all")))
+    return n.select("host", "gram", (2 * F.col("n") >= F.col("all")).alias("wide"))
+
+
+def _tags(markup: str) -> Iterator[tuple[str, str, str, str]]:
+    """Text, then what follows it: '' (no element), 'start', 'end' or 'raw' (an element without text), its name and its attributes.
+
+    Each character is passed a fixed number of times: what isn't found once isn't looked for again.
+    """
+    at, n = 0, len(markup)
+    missing: set[str] = set()
+
+    def find(what: str, start: int) -> int:
+        if what in missing:
+            return -1
+        k = markup.find(what, start)
+        if k < 0:
+            missing.add(what)
+        return k
+
+    text = 0
+    while True:
+        at = find("<", at)
+        if at < 0 or at + 1 >= n:
+            yield markup[text : at if 0 <= at else n], "", "", ""
+            return
+        plain = _PLAIN.match(markup, at)
+        if plain and plain[2].lower() not in RAW:
+            yield markup[text:at], "end" if plain[1] else "start", plain[2].lower(), ""
+            at = text = plain.end()
+            continue
+        c = markup[at + 1]
+        if c in "!?":
+            comment = markup.startswith("<!--", at)
+            end = find("-->" if comment else ">", at + 2)
+            yield markup[text:at], "", "", ""
+            if end < 0:
+                return
+            at = text = end + (3 if comment else 1)
+            continue
+        m = _NAME.match(markup, at + 2 if c == "/" else at + 1)
+        if not m:
+            at += 1
+            continue
+        name, k = m[0].lower(), m.end()
+        while True:  # to the end of the tag, over quoted values
+            stop = _STOP.search(markup, k) if ">" not in missing else None
+            if stop is None:
+                yield markup[text:at], "", "", ""
+                return
+            k = stop.end()
+            if stop[0] == ">":
+                break
+            before = k - 2
+            while markup[before].isspace():
+                before -= 1
+            if markup[before] == "=":
+                end = find(stop[0], k)
+                if end >= 0:
+                    k = end + 1
+        said = markup[m.end() : min(k - 1, m.end() + ATTRIBUTES)]
+        if c == "/":
+            yield markup[text:at], "end", name, ""
+        elif name in RAW or name == "svg" and "aria-hidden" in said:
+            yield markup[text:at], "raw", name, said
+            if not said.rstrip().endswith("/") or name != "svg":
+                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(markup, k) if f"</{name}" not in missing else None
+                if close is None:
+                    missing.add(f"</{name}")
+                    return
+                k = close.end()
+        else:
+            yield markup[text:at], "start", name, said
+        at = text = k
 
 
-def blocks_of(markup: str) -> tuple[bool, list[str], list[str]]:
-    """Whether an article is marked; the blocks of the article, or else of the body; the blocks beside it, dropped ones too."""
-    open_: list[tuple[str, bool, bool]] = []  # name, dropped, in an article
-    article, other, beside, parts = [], [], [], []
-    marked = dropped = within = False
+def blocks_of(markup: str) -> list[Block]:
+    """The blocks of a page in order: text, kind (TEXT, MAYBE or CHROME, by markup), in a marked article."""
+    open_: list[tuple[str, int, bool]] = []  # name, kind, in an article
+    count: dict[str, int] = {}
+    out: list[Block] = []
+    parts: list[str] = []
+    kind, within = TEXT, False
 
     def end_block() -> None:
-        text = " ".join(html.unescape("".join(parts)).split())
+        text = "".join(parts)
         parts.clear()
+        if "&" in text:
+            text = html.unescape(text)
+        text = " ".join(text.replace(MARK, " ").split())
         if text:
-            (beside if dropped else article if within else other).append(text)
-
-    at = 0
-    for m in _TAG.finditer(markup):
-        parts.append(markup[at : m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
-        if not name:
-            if m[1]:
+            out.append((text, kind, within))
+
+    def close(k: int) -> None:
+        nonlocal kind, within
+        if any(x[0] in BLOCK or x[1] != (open_[k - 1][1] if k else TEXT) for x in open_[k:]):
+            end_block()
+        for x in open_[k:]:
+            count[x[0]] -= 1
+        del open_[k:]
+        _, kind, within = open_[-1] if open_ else ("", TEXT, False)
+
+    def close_one(names: set[str] | frozenset[str], stops: set[str] | frozenset[str]) -> None:
+        if not any(count.get(x) for x in names):
+            return
+        for k in range(len(open_) - 1, -1, -1):
+            if open_[k][0] in names:
+                close(k)
+                return
+            if open_[k][0] in stops:
+                return
+
+    for text, what, name, said in _tags(markup):
+        parts.append(text)
+        if what == "raw":
+            parts.append(" ")
+        elif what == "end":
+            if count.get(name):
+                close(next(k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == name))
+            elif name in BLOCK:
                 parts.append(" ")
-        elif m[2]:
-            k = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
-            if k is None:
-                parts.append(" " if name in BLOCK else "")
-                continue
-            if name in BLOCK or dropped or any(x[0] in BLOCK for x in open_[k:]):
-                end_block()
-            del open_[k:]
-            _, dropped, within = open_[-1] if open_ else ("", False, False)
-        else:
+        elif what == "start":
+            if name in BLOCK and count.get("p"):
+                close_one(_P, _NOT_P)
+            if name in ENDS:
+                close_one(*ENDS[name])
             if name in BLOCK or name in HIDDEN:
                 end_block()
-            elif name in ("br", "td", "th", "option", "img", "input", "svg", "text", "mtr", "mtd"):
+            elif name in SPACED:
                 parts.append(" ")
-            if name in VOID or m[4].endswith("/") and any(x[0] in ("svg", "math") for x in open_):
+            if name in VOID or said.endswith("/") and (count.get("svg") or count.get("math")):
                 continue
-            said = {k.lower(): a or b or c for k, a, b, c in _SAID.findall(m[4])} if m[4] else {}
-            off = dropped or name in HIDDEN or (name == "header" and not within) or _off(name, said)
-            here = within or (not off and (name in ("article", "main") or said.get("role", "").lower() in ("main", "article")))
-            marked |= here
-            if off != dropped and name not in BLOCK:
+            told = {k.lower(): a or b or c for k, a, b, c in _SAID.findall(said)} if said else {}
+            own = CHROME if name in HIDDEN or name == "header" and not within else _kind(name, told)
+            own = max(kind, own)
+            here = within or own == TEXT and (name in ("article", "main") or told.get("role", "").lower() in ("main", "article"))
+            if own != kind and name not in BLOCK:
                 end_block()
-            if name == "p" and open_ and open_[-1][0] == "p":
-                open_.pop()
-            open_.append((name, off, here))
-            dropped, within = off, here
-    parts.append(re.sub(r"<[a-zA-Z/!][^<]*\Z", "", markup[at:]))
+            open_.append((name, own, here))
+            count[name] = count.get(name, 0) + 1
+            kind, within = own, here
     end_block()
-    if marked and article:
-        return True, article, beside + other
-    return False, other + article, beside
+    return out
 
 
-def _off(name: str, said: dict[str, str]) -> bool:
-    if not said or name in ("html", "body", "article", "main") and said.get("role", "").lower() not in ROLES and not re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", said.get("class", ""), re.I):
-        return False
+def _kind(name: str, said: dict[str, str]) -> int:
+    if not said:
+        return TEXT
+    if name in ("html", "body", "article", "main") and said.get("role", "").lower() not in ROLES and not _COMMENTS.search(said.get("class", "")):
+        return TEXT
+    names = [said.get(k, "") for k in ("class", "id")]
     style = said.get("style", "").replace(" ", "").lower()
-    return (
-        "hidden" in said and not said["hidden"]
-        or said.get("aria-hidden", "").lower() == "true"
-        or "display:none" in style
-        or said.get("role", "").lower() in ROLES
-        or any(MARKED.search(said.get(k, "")) is not None for k in ("class", "id"))
-    )
-
-
-def _hash(tokens: list[str]) -> int:
-    return int.from_bytes(blake2b(" ".join(tokens).encode(), digest_size=8).digest(), "big", signed=True)
-
-
-def _units(blocks: list[str], run: int, ends: bool = False) -> tuple[list[str], list[tuple[int, int, list[tuple[int, int, tuple[int, ...]]]]]]:
-    """The tokens of all blocks; for each block, or row of blocks under `run` tokens, its first and end token and its units:
-    first token, end token, and the hashes of the runs that all have to repeat for the unit to be cut. With ends, the first
-    and last unit only."""
-    tokens, parts, short = [], [], False
-    for block in blocks:
-        own = block.split(" ")
-        at = len(tokens)
-        tokens += own
-        if len(own) < run and short:
-            parts[-1] = (parts[-1][0], len(tokens))
-        else:
-            parts.append((at, len(tokens)))
-        short = len(own) < run
-    out = []
-    for lo, hi in parts:
-        if hi - lo >= run:
-            units = [(i, i + run, (_hash(tokens[i : i + run]),)) for i in (sorted({lo, hi - run}) if ends else range(lo, hi - run + 1))]
-        else:
-            around = [i for i in (hi - run, lo) if 0 <= i <= len(tokens) - run]
-            units = [(lo, hi, tuple(_hash(tokens[i : i + run]) for i in around))] if around else []
-        out.append((lo, hi, units))
-    return tokens, out
+    if "hidden" in said and not said["hidden"] or said.get("aria-hidden", "").lower() == "true" or "display:none" in style or said.get("role", "").lower() in ROLES or any(map(NAMED.search, names)):
+        return CHROME
+    return MAYBE if any(map(OPEN_NAMED.search, names)) else TEXT
 
 
-def _ends(units: list) -> list:
-    return units if len(units) < 2 else [units[0], units[-1]]
+def _tokens(blocks: list[Block]) -> np.ndarray:
+    """Fingerprints of all tokens, with a mark before each block and one behind the last."""
+    data = np.frombuffer("".join([MARK, *(f" {b[0]} {MARK}" for b in blocks)]).encode(), np.uint8)
+    return word_marks(data, np.array([0, len(data)]))[0]
 
 
-def _cut(parts: list, marked: bool, repeated: set[int]) -> set[int]:
-    """The tokens that are cut. In articles, only what goes on from a block's ends."""
-    gone = set()
-    for _, _, units in parts:
-        ok = [all(x in repeated for x in u[2]) for u in units]
-        if marked:
-            n, m = next((i for i, x in enumerate(ok) if not x), len(ok)), next((i for i, x in enumerate(ok[::-1]) if not x), len(ok))
-            ok = [i < n or i >= len(ok) - m for i in range(len(ok))]
-        for u, x in zip(units, ok, strict=True):
-            if x:
-                gone.update(range(u[0], u[1]))
-    return gone
+def _starts(blocks: list[Block]) -> np.ndarray:
+    """Where each block's mark is in the tokens."""
+    return np.cumsum([0, *(b[0].count(" ") + 2 for b in blocks)])
 
 
-def _grams(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
-    """The runs of each page; of a marked article those at the ends of its blocks. Columns: host, page, html."""
+def _may(blocks: list[Block]) -> np.ndarray:
+    """Which blocks may be in the text."""
+    marked = any(b[2] for b in blocks)
+    return np.array([b[1] != CHROME and (b[2] or not marked) for b in blocks], bool)
+
+
+def _run_marks(tokens: np.ndarray, run: int) -> np.ndarray:
+    """The fingerprint of the `run` tokens that start at each place."""
+    out = tokens[: max(0, len(tokens) - run + 1)]
+    for k in range(1, run):
+        out = joined(out, tokens[k : k + len(out)])
+    return mixed(out).view(np.int64) if len(out) else out.view(np.int64)
+
+
+@released
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pages' tokens, of which 32 bits are enough to compare runs of them. Columns: host, cell, cells, page, html."""
+    packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        hosts, pages, grams = [], [], []
-        for host, page, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            marked, kept, beside = blocks_of(text or "")
-            own = {x for _, _, units in _units(beside, run)[1] for u in units for x in u[2]}
-            own |= {x for _, _, units in _units(kept, run, marked)[1] for u in units for x in u[2]}
-            hosts += [host] * len(own)
-            pages += [page] * len(own)
-            grams += own
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(grams, pa.int64())], ["host", "page", "gram"])
-
-
-def _kinds(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
-    """A row without gram for each page, and one for each run that may be cut. Columns: host, page, html, grams."""
+        host, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        tokens = [packer.compress(_tokens(blocks_of(x.as_py() or "")).astype(np.uint32).tobytes()) for x in batch.column(4)]
+        key = mixed(host.view(np.uint64) ^ mixed(cell.astype(np.uint64) + np.uint64(1))).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), batch.column(3), batch.column(2), pa.array(tokens, pa.binary())], ["key", "host", "page", "cells", "tokens"])
+
+
+def suffix_order(streams: list[np.ndarray], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes of the concatenated streams (place, stream) in the order of their first `run` tokens or more, and each one's rank: equal if these are.
+
+    By doubling: the rank of up to 2h tokens is that of the pair of ranks of h tokens, here and later. A stream's end is a
+    token of its own, so no prefix of `run` tokens that two streams share goes over it.
+    """
+    size = np.array([len(x) + 1 for x in streams])
+    stream, ends = np.repeat(np.arange(len(streams)), size), np.cumsum(size) - 1
+    names = np.concatenate([np.append(x.astype(np.uint64), np.uint64(0)) for x in streams]) if streams else np.zeros(0, np.uint64)
+    names[ends] = (np.uint64(1) << np.uint64(33)) + np.arange(len(streams), dtype=np.uint64)
+    rank, h = np.unique(names, return_inverse=True)[1].astype(np.int64), 1
+    while h < run:
+        step = min(h, run - h)  # the last pairs overlap
+        later = np.full(len(rank), -1, np.int64)
+        later[: len(rank) - step] = rank[step:]
+        rank = np.unique(rank * (len(rank) + 1) + later + 1, return_inverse=True)[1].astype(np.int64)
+        h += step
+    order = np.lexsort((stream, rank))
+    return order, stream, rank
+
+
+@released
+def _repeated(batches: Iterator[pa.RecordBatch], run: int, distinct_pages: int, share: float) -> Iterator[pa.RecordBatch]:
+    """host, gram: strings that are frequent in a cell. Columns: key, host, page, cells, tokens, sorted by key and page."""
+    unpacker = zstandard.ZstdDecompressor()
+    for table in whole_groups(batches, 0, 1):
+        hosts, grams = [], []
+        key, page = table.column(0).to_numpy(), table.column(2).to_numpy()
+        for _, own in groupby(range(len(key)), key=key.__getitem__):
+            own = [i for i in own if not i or key[i] != key[i - 1] or page[i] != page[i - 1]]  # a repeated row is one page
+            whole = table.column(3)[own[0]].as_py() == 1
+            least = max(distinct_pages if whole else 2, int(np.ceil(share * len(own) - 1e-9)))
+            if len(own) < least:
+                continue
+            streams = [np.frombuffer(unpacker.decompress(table.column(4)[i].as_py()), np.uint32) for i in own]
+            order, stream, rank = suffix_order(streams, run)
+            first = np.concatenate([[True], (rank[order][1:] != rank[order][:-1]) | (stream[order][1:] != stream[order][:-1])])
+            pages = np.bincount(rank[order][first], minlength=int(rank.max()) + 1)  # distinct ones, of each prefix
+            some = np.flatnonzero(pages >= least)
+            at = np.empty(len(pages), np.int64)
+            at[rank] = np.arange(len(rank))
+            flat_tokens = np.concatenate([np.append(x, np.uint32(0)) for x in streams]).astype(np.uint64)
+            at = at[some]
+            at = at[at + run <= len(flat_tokens)]
+            found = flat_tokens[at]
+            for k in range(1, run):
+                found = joined(found, flat_tokens[at + k])
+            grams.append(mixed(found).view(np.int64))
+            hosts.append(np.full(len(at), table.column(1)[own[0]].as_py(), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*hosts, np.zeros(0, np.int64)])), pa.array(np.concatenate([*grams, np.zeros(0, np.int64)]))], ["host", "gram"])
+
+
+def _page_runs(blocks: list[Block], run: int) -> np.ndarray:
+    return _run_marks(_tokens(blocks).astype(np.uint32).astype(np.uint64), run)
+
+
+@released
+def _grams(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
+    """Each page's different runs of tokens, whether each starts in what may be text, how many do, and whether each touches it. Columns: host, page, html."""
     for batch in batches:
-        out = []
-        for host, page, text, has in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            marked, kept, _ = blocks_of(text or "")
-            often = {x["gram"]: x["n"] for x in has or ()}
-            tokens, parts = _units(kept, run, marked)
-            if marked and any(x in often for _, _, units in parts for u in units for x in u[2]):
-                tokens, parts = _units(kept, run)
-            gone, grams = set(), set(often)
-            for lo, hi, units in parts:
-                ends = [u for u in units if all(x in often for x in u[2])]
-                gone.update(i for u in ends for i in range(u[0], u[1]))
-                if marked and any(u in ends for u in _ends(units)):
-                    grams.update(x for u in units for x in u[2])
-                    # Between ends that both repeat, what stands between them isn't looked at yet.
-                    if ends[0] is units[0] and ends[-1] is units[-1]:
-                        gone.update(range(lo, hi))
-            rest = [t for i, t in enumerate(tokens) if i not in gone]
-            if often and len(rest) < max(run, OWN * len(tokens)):
-                own = {x for _, _, units in parts for u in units for x in u[2]} & often.keys()
-                kind = min((often[x], x) for x in own or often)[1]
-            else:
-                kind = _hash(rest)
-            out += [(host, page, x, kind) for x in (None, *grams)]
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["host", "page", "gram", "kind"])
-
-
-def without_runs(blocks: list[str], marked: bool, found: dict[int, bool], run: int) -> list[str]:
-    """found: the runs that may be cut, and whether they may be cut from articles."""
-    tokens, parts = _units(blocks, run)
-    gone = _cut(parts, marked, {x for x, wide in found.items() if wide or not marked})
-    if len(tokens) - len(gone) < OWN * len(tokens):
-        return blocks
-    out, at = [], 0
-    for block in blocks:
-        own = block.split(" ")
-        left = " ".join(t for i, t in enumerate(own, at) if i not in gone)
-        at += len(own)
-        out += [left] if left else []
+        inner, ends, grams, within, touches = [], [0], [], [], []
+        for x in batch.column(2):
+            blocks = blocks_of(x.as_py() or "")
+            own, at = np.unique(_page_runs(blocks, run), return_index=True)
+            starts = _starts(blocks)
+            block = np.searchsorted(starts, np.arange(starts[-1] + 1), "right") - 1
+            inside = np.append(_may(blocks), False)[block]
+            before = np.concatenate([[0], np.cumsum(inside)])
+            inner.append(int(inside[at].sum()))
+            grams.append(own)
+            within.append(inside[at])
+            touches.append(before[at + run] > before[at])
+            ends.append(ends[-1] + len(own))
+        offsets = pa.array(ends, pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else [], kind)) for x, kind in ((grams, pa.int64()), (within, pa.bool_()), (touches, pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inner, pa.int32()), *lists], ["host", "page", "inner", "grams", "within", "touches"])
+
+
+def _covered(runs: np.ndarray, found: np.ndarray, block: np.ndarray, run: int) -> np.ndarray:
+    """Which tokens the found runs cover: those in a block, and blocks that are covered from end to end by runs that go on beyond."""
+
+    def cover(at: np.ndarray) -> np.ndarray:
+        edge = np.zeros(len(block) + 1, np.int32)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + run, -1)
+        return np.cumsum(edge[:-1]) > 0
+
+    at = np.flatnonzero(np.isin(runs, found))
+    whole = np.ones(block[-1] + 1, bool)
+    whole[block[~cover(at)]] = False
+    return cover(at[block[at] == block[at + run - 1]]) | whole[block]
+
+
+def without_repeats(blocks: list[Block], found: dict[int, bool], run: int) -> list[str]:
+    """The page's text as blocks. found: the host's repeated runs, and whether half of its pages have them."""
+    may = _may(blocks)
+    starts = _starts(blocks)
+    n = int(starts[-1]) + 1
+    runs = _page_runs(blocks, run)
+    block = np.searchsorted(starts, np.arange(n), "right") - 1
+    apart = 2 * block
+    apart[starts] += 1  # the marks
+    some = _covered(runs, np.array(list(found), np.int64), apart, run)
+    wide = _covered(runs, np.array([k for k, x in found.items() if x], np.int64), apart, run)
+    gone, rough = np.zeros(n, bool), np.zeros(n, bool)  # by strings of half of the pages; by others too
+    keep = may.copy()
+    for i, (_, kind, within) in enumerate(blocks):
+        lo, hi = int(starts[i]) + 1, int(starts[i + 1])
+        w = wide[lo:hi]
+        if within:
+            ahead, behind = int(np.argmin(w)) if not w.all() else len(w), int(np.argmin(w[::-1])) if not w.all() else len(w)
+            gone[lo : lo + ahead] = gone[hi - behind : hi] = True
+        else:
+            gone[lo:hi] = w
+            rough[lo:hi] = some[lo:hi].mean() >= 0.8
+        if kind == MAYBE and may[i]:
+            keep[i] = some[lo:hi].mean() < 0.5
+    texts = np.append(keep, False)[np.minimum(block, len(blocks))]
+    texts[starts] = False
+    all_ = int(texts.sum())
+    if 2 * int((texts & (gone | rough)).sum()) <= all_:
+        gone = gone | rough
+    else:  # a copy: what stands outside its text still goes
+        gone = np.where(texts, gone, gone | rough)
+    if all_ - int((texts & gone).sum()) < OWN * all_:
+        gone &= ~texts
+    out = []
+    for i, (text, _, _) in enumerate(blocks):
+        if keep[i]:
+            lost = gone[int(starts[i]) + 1 : int(starts[i + 1])]
+            left = " ".join(t for t, x in zip(text.split(" "), lost, strict=True) if not x) if lost.any() else text
+            out += [left] if left else []
     return out
 
 
+@released
 def _texts(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
-    """Columns: row, html, grams."""
+    """Columns: row, html, grams, n_repeated."""
     for batch in batches:
         texts = []
-        for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            marked, kept, _ = blocks_of(text or "")
-            texts.append("\n\n".join(without_runs(kept, marked, {x["gram"]: x["wide"] for x in found}, run) if found and (not marked or any(x["wide"] for x in found)) else kept))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["row", "text", "n_chars"])
+        for x, found in zip(batch.column(1), batch.column(2), strict=True):
+            blocks = blocks_of(x.as_py() or "")
+            grams = found.as_py()
+            own = without_repeats(blocks, {g["gram"]: g["wide"] for g in grams}, run) if grams else [b[0] for b, ok in zip(blocks, _may(blocks), strict=True) if ok]
+            texts.append("\n\n".join(own))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), batch.column(3)], ["row", "text", "n_chars", "n_repeated"])

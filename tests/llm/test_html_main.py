@@ -1,8 +1,14 @@
+import random
 import re
+import time
+from collections import defaultdict
 
+import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
-from formlens.llm.html_main import blocks_of, main_text
+from formlens.llm import html_main
+from formlens.llm.html_main import main_text, suffix_order
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></ul></nav><!-- <p>no</p> --><div class="ad">Buy</div>
@@ -11,6 +17,12 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <section class="comments"><article class="comment"><p>first!</p></article></section></article></main><div id="cookie-notice">We use</div><footer>&copy; x</footer></body></html>"""
 
 
+def blocks_of(markup):
+    """Whether an article is marked, and the blocks that are text by markup."""
+    blocks = html_main.blocks_of(markup)
+    return any(b[2] for b in blocks), [b[0] for b, x in zip(blocks, html_main._may(blocks), strict=True) if x]
+
+
 def test_blocks():
     assert blocks_of(PAGE)[:2] == (True, ["Title & more", "One two three four", "Five six <tag> é", "a", "b", "1 2"])
     assert blocks_of("")[1] == [] and blocks_of("plain <b>te</b>xt")[1] == ["plain text"]
@@ -79,3 +91,63 @@ def test_captions_and_formulas():
     markup = """<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding="t">x=2</annotation></math> holds <svg aria-hidden="true"><text>no</text></svg>here</p>
 <figure><svg><path class="share" d="m"/><title>no</title><text>left</text><text>right</text></svg><figcaption>A caption</figcaption></figure><fieldset>A box</fieldset></article>"""
     assert blocks_of(markup)[:2] == (True, ["So x=2 holds here", "left right", "A caption", "A box"])
+
+
+def test_unclosed_tags():
+    assert blocks_of('<p class="notice">ad<p>real text')[1] == ["real text"]
+    assert blocks_of('<ul><li class="ad">x<li>keep</ul>')[1] == ["keep"]
+    assert blocks_of('<dl><dt class="ad">x<dd>keep</dl><table><tr><td class="ad">x<td>keep<tr><td>more</table>')[1] == ["keep", "keep", "more"]
+    assert blocks_of("<p>a <b>b<p>c</b> d")[1] == ["a b", "c d"]
+
+
+@pytest.mark.parametrize("part", ["<a ", "<b x='", "<svg x ", "<p>", "<b>", "<li>x", "</p>", "<script>", "<!--", "&amp", '<div class="a', "<td><p>"])
+def test_hostile_pages_take_linear_time(part):
+    began = time.process_time()
+    html_main.blocks_of(part * (5_000_000 // len(part) // (20 if len(part) < 6 else 1)))
+    assert time.process_time() - began < 20
+
+
+def test_suffix_order():
+    rng = random.Random(2)
+    for run in (1, 2, 3, 5, 8, 11):
+        streams = [np.array([rng.randint(1, 3) for _ in range(rng.randint(0, 50))], np.uint32) for _ in range(6)]
+        order, stream, rank = suffix_order(streams, run)
+        all_ = sum(([(0, int(t)) for t in x] + [(1, i)] for i, x in enumerate(streams)), [])
+        prefix = [tuple(all_[i : i + run]) for i in range(len(all_))]
+        assert [prefix[i] for i in order] == sorted(prefix)
+        assert all((rank[i] == rank[j]) == (prefix[i] == prefix[j]) for i in range(len(all_)) for j in range(i))
+        assert stream.tolist() == [i for i, x in enumerate(streams) for _ in range(len(x) + 1)]
+
+
+def test_repeats_as_brute_force(spark):
+    """Bare pages of hosts with one cell and with many: what is cut is what stands on enough pages."""
+    rng = random.Random(5)
+    line = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    chrome = [line(rng.randint(8, 12)) for _ in range(12)]
+    rows = [(f"h{k % 2}.com", [*rng.sample(chrome, 2), *[line(rng.randint(20, 40)) for _ in range(3)]]) for k in range(120)]
+    markup = lambda blocks: "".join(f"<div>{x}</div>" for x in blocks)
+    pages = spark.createDataFrame([(i, f"http://{h}/{i}", markup(b)) for i, (h, b) in enumerate(rows)], "page_id long, url string, html string")
+    on = defaultdict(set)
+    for i, (h, blocks) in enumerate(rows):
+        for x in blocks:
+            on[h, x].add(i)
+    want = ["\n\n".join(x for x in b if len(on[h, x]) < 6) for h, b in rows]
+    assert any(len(x) != len(" ".join(b)) for x, (_, b) in zip(want, rows, strict=True))
+    for cell in (512, 25):  # share 0.1 of 60 pages is six
+        got = [(r.text, r.n_repeated) for r in main_text(pages.repartition(4), share=0.1, cell=cell).orderBy("page_id").collect()]
+        assert [x for x, _ in got] == want
+        assert sum(n > 0 for _, n in got) > 60
+    off = [r.text for r in main_text(pages, distinct_pages=1000).orderBy("page_id").collect()]
+    assert off == ["\n\n".join(b) for _, b in rows]  # without repeats everything stays
+
+
+def test_names_that_may_mean_anything(spark):
+    rows = [("h.com", f'<article><p class="social-science">{own(i)}</p><div class="related">Go on with what our readers liked best this week</div><p class="toc">Part {i}</p></article>') for i in range(4)]
+    assert texts(spark, rows) == [f"{own(i)}\n\nPart {i}" for i in range(4)]
+
+
+def test_odd_rows(spark):
+    rows = [(1, "http://a.b/1", "<p>x y</p>", "t", 5), (1, "http://a.b/1", "<p>x y</p>", "t", 5), (None, None, "<article>" + "word " * 300_000 + "</article>", None, None)]
+    out = main_text(spark.createDataFrame(rows, "page_id long, url string, html string, TEXT string, host int"))
+    assert out.columns == ["page_id", "url", "html", "host", "text", "n_chars", "n_repeated"]
+    assert sorted(r.n_chars for r in out.collect()) == [3, 3, 300_000 * 5 - 1]
