@@ -12,8 +12,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A covariance of more features isn't brought to the driver.
-MOST_FEATURES = 4096
+#: A matrix of more rows isn't brought to the driver: the covariance of the features or, where these are more, the products of the masks.
+MOST = 4096
+#: Features of a slice in the dual fit.
+SLICE = 4096
 
 
 @dataclass(frozen=True)
@@ -32,19 +34,26 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(x, np.float64) for x in column]) if len(column) else np.zeros((0, 0))
 
 
-def sums(features: DataFrame) -> DataFrame:
-    """i, j (i <= j), n, s_i, s_j, s_ij: sums over all rows, added up within each task before they are shuffled."""
+def means(features: DataFrame) -> DataFrame:
+    """i, mean."""
+    return features.select(F.posexplode("features").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("mean"))
+
+
+def _mean(features: DataFrame) -> np.ndarray:
+    rows = means(features).toPandas().sort_values("i")  # a number for each feature
+    return rows["mean"].to_numpy(np.float64)
+
+
+def sums(features: DataFrame, shift: np.ndarray) -> DataFrame:
+    """i, j (i <= j), n, s_i, s_j, s_ij: sums of the features less `shift` over all rows, added up within each task before they are shuffled."""
 
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, s, ss, shift = 0, None, None, None
+        n, s, ss = 0, np.zeros(len(shift)), np.zeros((len(shift),) * 2)
         for frame in frames:
-            x = _matrix(frame["features"])
-            if not len(x):
-                continue
-            if s is None:
-                s, ss = np.zeros(x.shape[1]), np.zeros((x.shape[1],) * 2)
-            n, s, ss = n + len(x), s + x.sum(0), ss + x.T @ x
-        if s is not None:
+            if len(frame):
+                x = _matrix(frame["features"]) - shift
+                n, s, ss = n + len(x), s + x.sum(0), ss + x.T @ x
+        if n:
             i, j = np.triu_indices(len(s))
             yield pd.DataFrame({"i": i, "j": j, "n": n, "s_i": s[i], "s_j": s[j], "s_ij": ss[i, j]})
 
@@ -52,36 +61,81 @@ def sums(features: DataFrame) -> DataFrame:
     return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "s_i", "s_j", "s_ij")])
 
 
-def means(features: DataFrame) -> DataFrame:
-    return sums(features).filter("i = j").select("i", (F.col("s_i") / F.col("n")).alias("mean"))
-
-
 def covariances(features: DataFrame) -> DataFrame:
-    """i, j (i <= j), cov: the sample covariance."""
-    return sums(features).select("i", "j", ((F.col("s_ij") - F.col("s_i") * F.col("s_j") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))).alias("cov"))
+    """i, j (i <= j), cov: the sample covariance, of features less their means, so large ones lose no digits."""
+    return sums(features, _mean(features)).select("i", "j", ((F.col("s_ij") - F.col("s_i") * F.col("s_j") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))).alias("cov"))
+
 
+def fit(features: DataFrame, k: int | None = None, dual: bool | None = None) -> Pca:
+    """Principal components of features (mask_id, features), at most k or min(N, F).
 
-def fit(features: DataFrame, k: int | None = None) -> Pca:
-    """Principal components of features (mask_id, features) by the eigenvectors of their covariance, at most k or min(N, F)."""
+    By the eigenvectors of the covariance of the features or, if these are more than MOST (or dual), by those of the
+    products of the masks; one of both numbers may be larger.
+    """
     width = features.select(F.size("features").alias("n")).first()
-    if width is None or width.n > MOST_FEATURES:
-        raise ValueError(f"between one row and {MOST_FEATURES} features are needed")
-    rows = sums(features).toPandas()
+    if width is None:
+        raise ValueError("there are no features")
+    if dual or dual is None and width.n > MOST:
+        return _dual(features, k)
+    if width.n > MOST:
+        raise ValueError(f"{width.n} features are more than {MOST}")
+    shift = _mean(features)
+    rows = sums(features, shift).toPandas()
     f, n = width.n, int(rows["n"].iloc[0])
-    mean, cov = np.zeros(f), np.zeros((f, f))
-    same = rows["i"] == rows["j"]
-    mean[rows["i"][same]] = rows["s_i"][same] / n
+    cov = np.zeros((f, f))
     cov[rows["i"], rows["j"]] = cov[rows["j"], rows["i"]] = (rows["s_ij"] - rows["s_i"] * rows["s_j"] / n) / max(1, n - 1)
     values, vectors = np.linalg.eigh(cov)
     values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1].T
-    vectors = vectors * np.sign(vectors[np.arange(f), np.abs(vectors).argmax(1)])[:, None]
     most = min(n, f, k or f)
-    return Pca(mean, vectors[:most], values[:most], values[:most] / max(values.sum(), 1e-300))
+    return Pca(shift, _signed(vectors[:most]), values[:most], values[:most] / max(values.sum(), 1e-300))
+
+
+def _signed(components: np.ndarray) -> np.ndarray:
+    """The largest entry of each is positive."""
+    at = np.abs(components).argmax(1)
+    return components * np.where(components[np.arange(len(components)), at] < 0, -1.0, 1.0)[:, None]
+
+
+def _dual(features: DataFrame, k: int | None) -> Pca:
+    """The features go to slices; each slice gives its part of the products of all masks, and then its part of each component."""
+    n = features.count()
+    if n > MOST:
+        raise ValueError(f"{n} masks are more than {MOST}, and so are the features")
+    last = F.floor((F.size("features") - 1) / SLICE)
+    slices = features.select("mask_id", "features", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("slice"))
+    slices = slices.select("slice", "mask_id", F.slice("features", (F.col("slice") * SLICE + 1).cast("int"), SLICE).alias("v"))
+
+    def centred(got: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        x = _matrix(got.sort_values("mask_id")["v"])
+        return x.mean(0), x - x.mean(0)
+
+    def products(got: pd.DataFrame) -> pd.DataFrame:
+        _, x = centred(got)
+        return pd.DataFrame({"row": np.arange(len(x)), "g": list(x @ x.T)})
+
+    def add(got: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"row": got["row"].iloc[:1], "g": [np.sum(np.stack(got["g"]), 0)]})
+
+    gram = slices.groupBy("slice").applyInPandas(products, "row int, g array<double>").groupBy("row").applyInPandas(add, "row int, g array<double>")
+    gram = np.stack(gram.toPandas().sort_values("row")["g"])
+    values, vectors = np.linalg.eigh(gram)
+    values, vectors = np.maximum(values[::-1], 0.0) / max(1, n - 1), vectors[:, ::-1]
+    most = min(n, k or n)
+    most = max(1, int((values[:most] > 1e-12 * values[0]).sum()))  # others have no direction
+    weights = vectors[:, :most].T / np.sqrt(np.maximum(values[:most] * max(1, n - 1), 1e-300))[:, None]
+
+    def components(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
+        mean, x = centred(got)
+        return pd.DataFrame({"slice": key[0], "k": np.arange(-1, most), "v": [mean, *(weights @ x)]})
+
+    parts = slices.groupBy("slice").applyInPandas(components, "slice long, k int, v array<double>").toPandas().sort_values(["k", "slice"])
+    whole = np.stack([np.concatenate(list(x["v"])) for _, x in parts.groupby("k", sort=True)])
+    return Pca(whole[0], _signed(whole[1:]), values[:most], values[:most] / max(values.sum(), 1e-300))
 
 
 def scores(features: DataFrame, model: Pca, least_variance: float = 1e-12) -> DataFrame:
-    """mask_id, coeffs: standardised scores; null where a component has no variance."""
-    use = model.variance > least_variance
+    """mask_id, coeffs: standardised scores; null where a component has less than that part of the first one's variance."""
+    use = model.variance > least_variance * max(model.variance[:1].sum(), 1e-300)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -133,7 +187,9 @@ def clusters(features: DataFrame, k: int = 2, seed: int = 0, n_init: int = 10) -
     found = best.transform(rows).select("mask_id", F.col("prediction").alias("found"))
     order = sorted(found.groupBy("found").agg(F.min("mask_id").alias("first")).collect(), key=lambda r: r.first)  # k rows
     names = F.create_map(*[F.lit(int(x)) for i, r in enumerate(order) for x in (r.found, i)])
-    return found.select("mask_id", names[F.col("found")].alias("cluster"))
+    out = found.select("mask_id", names[F.col("found")].alias("cluster"))
+    rows.unpersist()
+    return out
 
 
 def cosine_pairs(features: DataFrame, block: int = 512) -> DataFrame:

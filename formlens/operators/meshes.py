@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import permutations
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +40,119 @@ def icosphere(subdivisions: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(v), np.array(faces)
 
 
+def tetrahedra() -> list[list[tuple[int, int, int]]]:
+    """The six tetrahedra about a unit cube's diagonal: one for each order in which the axes are gone along."""
+    out = []
+    for order in permutations(range(3)):
+        corner, path = [0, 0, 0], [(0, 0, 0)]
+        for axis in order:
+            corner[axis] = 1
+            path.append(tuple(corner))
+        out.append(path)
+    return out
+
+
+@lru_cache(1)
+def _triangles() -> list[np.ndarray]:
+    """For each set of a cube's corners that are inside (bit 4x + 2y + z), the triangles between them and the others: [triangle, corner, axis] in half steps from the cube's first corner."""
+    out = []
+    for code in range(256):
+        found = []
+        for tet in tetrahedra():
+            inside = [c for c in tet if code >> (4 * c[0] + 2 * c[1] + c[2]) & 1]
+            outside = [c for c in tet if c not in inside]
+            edge = lambda a, b: tuple(np.add(a, b))
+            if len(inside) == 2:
+                (a, b), (c, d) = inside, outside
+                made = [(edge(a, c), edge(a, d), edge(b, d)), (edge(a, c), edge(b, d), edge(b, c))]
+            elif inside and outside:
+                one, rest = (inside[0], outside) if len(inside) == 1 else (outside[0], inside)
+                made = [tuple(edge(one, x) for x in rest)]
+            else:
+                continue
+            away = np.mean(outside, 0) - np.mean(inside, 0)
+            for a, b, c in made:
+                normal = np.cross(np.subtract(b, a), np.subtract(c, a))
+                found.append((a, b, c) if normal @ away > 0 else (a, c, b))
+        out.append(np.array(found, int).reshape(-1, 3, 3))
+    return out
+
+
+def surface_mesh(voxel: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices and faces of the masks' surfaces, by marching tetrahedra over the cells between voxels.
+
+    A vertex is the middle between a set and an unset voxel of a tetrahedron, faces have their outside on the right hand
+    side of their order, and each surface is closed, also where a mask touches the grid's border. Each cell is a row, so
+    no mask has to be whole anywhere but for the numbers of its vertices, which are dealt in the order of x, y, z.
+    """
+    shift = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("ijk", (i, j, k), strict=True)]) for i in (0, 1) for j in (0, 1) for k in (0, 1)])).alias("s")
+    cells = voxel.select("mask_id", "x", "y", "z", shift)
+    bit = F.expr("shiftleft(1, 4 * s.i + 2 * s.j + s.k)")
+    cells = cells.select("mask_id", *[(F.col(c) - F.col(f"s.{o}")).alias(c) for c, o in zip("xyz", "ijk", strict=True)], bit.alias("bit"))
+    cells = cells.groupBy("mask_id", "x", "y", "z").agg(F.bit_or("bit").alias("code")).filter("code < 255")
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = _triangles()
+        for frame in frames:
+            code, at = frame["code"].to_numpy(), 2 * frame[["x", "y", "z"]].to_numpy()
+            n = np.array([len(table[c]) for c in code], int)
+            row = np.repeat(np.arange(len(code)), n)
+            corners = (np.concatenate([table[c] for c in code]) if len(code) else np.zeros((0, 3, 3), int)) + at[row][:, None, :]
+            yield pd.DataFrame({"mask_id": frame["mask_id"].to_numpy()[row]} | {f"{c}{a}": corners[:, i, j] for i, c in enumerate("abc") for j, a in enumerate("xyz")})
+
+    names = [f"{c}{a}" for c in "abc" for a in "xyz"]
+    faces = cells.mapInPandas(cut, "mask_id long, " + ", ".join(f"{n} int" for n in names))
+    each = F.explode(F.array(*[F.struct(*[F.col(c + a).alias(a) for a in "xyz"]) for c in "abc"])).alias("v")
+    vertices = faces.select("mask_id", each).select("mask_id", "v.*").distinct()
+    vid = (F.row_number().over(Window.partitionBy("mask_id").orderBy("x", "y", "z")) - 1).alias("vid")
+    vertices = vertices.select("mask_id", vid, *[(F.col(a) / 2).alias(a) for a in "xyz"])
+    for corner, c in zip("ijk", "abc", strict=True):
+        v = vertices.select("mask_id", F.col("vid").alias(corner), *[(F.col(a) * 2).cast("int").alias(c + a) for a in "xyz"])
+        faces = faces.join(v, ["mask_id", *[c + a for a in "xyz"]])
+    fid = (F.row_number().over(Window.partitionBy("mask_id").orderBy("i", "j", "k")) - 1).alias("fid")
+    return vertices, faces.select("mask_id", fid, "i", "j", "k")
+
+
+def measures(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """mask_id, volume (signed, by the divergence theorem), area, euler (vertices - edges + faces), open_edges (those of one face)."""
+    rows = _corners(vertices, faces)
+    a, b, c = ([F.col(p + x) for x in "xyz"] for p in "abc")
+    cross = lambda u, v: [u[(i + 1) % 3] * v[(i + 2) % 3] - u[(i + 2) % 3] * v[(i + 1) % 3] for i in range(3)]
+    volume = sum(x * y for x, y in zip(a, cross(b, c), strict=True)) / 6
+    normal = cross([y - x for x, y in zip(a, b, strict=True)], [y - x for x, y in zip(a, c, strict=True)])
+    sums = rows.groupBy("mask_id").agg(F.sum(volume).alias("volume"), F.sum(F.sqrt(sum(x * x for x in normal)) / 2).alias("area"), F.count("*").alias("faces"))
+    sides = F.explode(F.array(*[F.struct(F.least(p, q).alias("p"), F.greatest(p, q).alias("q")) for p, q in (("i", "j"), ("j", "k"), ("k", "i"))])).alias("e")
+    edges = faces.select("mask_id", sides).groupBy("mask_id", "e").agg(F.count("*").alias("n"))
+    edges = edges.groupBy("mask_id").agg(F.count("*").alias("edges"), F.count_if(F.col("n") == 1).alias("open_edges"))
+    points = vertices.groupBy("mask_id").agg(F.count("*").alias("points"))
+    return sums.join(edges, "mask_id").join(points, "mask_id").select("mask_id", "volume", "area", (F.col("points") - F.col("edges") + F.col("faces")).alias("euler"), "open_edges")
+
+
+def inside_mesh(vertices: DataFrame, faces: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """mask_id, x, y, z of the cells inside each closed mesh: those above an odd number of faces, met by a ray along z.
+
+    The ray is moved aside by a small amount, so it meets no edge of a mesh with vertices on half voxels.
+    """
+    off = (1e-3, 1.7e-3)
+    rows = _corners(vertices, faces)
+    least = {x: F.least(*[F.col(c + x) for c in "abc"]) for x in "xy"}
+    most = {x: F.greatest(*[F.col(c + x) for c in "abc"]) for x in "xy"}
+    for x, n, o in zip("xy", shape, off, strict=False):
+        first, last = F.greatest(F.lit(0), F.ceil(least[x] - o)).cast("int"), F.least(F.lit(n - 1), F.floor(most[x] - o)).cast("int")
+        rows = rows.withColumn(x, F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))
+    px, py = F.col("x") + off[0], F.col("y") + off[1]
+    area = lambda p, q: (F.col(q + "x") - F.col(p + "x")) * (py - F.col(p + "y")) - (F.col(q + "y") - F.col(p + "y")) * (px - F.col(p + "x"))
+    w = [area("b", "c"), area("c", "a"), area("a", "b")]
+    whole = w[0] + w[1] + w[2]
+    meets = (whole != 0) & ((F.least(*w) > 0) | (F.greatest(*w) < 0))
+    height = F.try_divide(w[0] * F.col("az") + w[1] * F.col("bz") + w[2] * F.col("cz"), whole)
+    rows = rows.filter(meets).select("mask_id", "x", "y", F.greatest(F.lit(0), F.floor(height) + 1).cast("int").alias("z")).filter(F.col("z") < shape[2])
+    # Cells from z on change sides; a cell is inside if the number of changes up to it is odd.
+    turns = rows.groupBy("mask_id", "x", "y").agg(F.sort_array(F.collect_list("z")).alias("turns"))
+    cells = F.filter(F.sequence(F.lit(0), F.lit(shape[2] - 1)), lambda z: F.size(F.filter("turns", lambda t: t <= z)) % 2 == 1)
+    return turns.select("mask_id", "x", "y", F.explode(cells).alias("z"))
+
+
 def _corners(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Faces with their corners' coordinates: ax, ay, az, bx, ..."""
     for corner, c in zip("ijk", "abc", strict=True):
@@ -63,8 +181,6 @@ def cotangent_laplacian(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 
 def spectrum(laplacian: DataFrame, k: int) -> DataFrame:
     """mask_id, eigenvalues (the k smallest), modes (k arrays over the vertices in order of vid), by a dense solve a mesh."""
-    import pandas as pd
-
     def solve(got: pd.DataFrame) -> pd.DataFrame:
         ids, back = np.unique(np.concatenate([got["i"], got["j"]]), return_inverse=True)
         a = np.zeros((len(ids), len(ids)))

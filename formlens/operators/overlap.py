@@ -48,6 +48,15 @@ def dice_packed(meta: DataFrame, sizes: DataFrame, words: DataFrame, epsilon: fl
     return _dice(meta, sizes, shared, epsilon)
 
 
+def dice_sparse(meta: DataFrame, items: DataFrame, element: str) -> DataFrame:
+    """The same for sparse sets (mask_id, element): a row for each pair and element they share, not for each pair and word."""
+    items = items.select("mask_id", element).distinct()
+    sizes = meta.select("mask_id").join(items.groupBy("mask_id").agg(F.count("*").alias("n")), "mask_id", "left").select("mask_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    a, b = items.select(element, F.col("mask_id").alias("id_a")), items.select(element, F.col("mask_id").alias("id_b"))
+    shared = a.join(b, element).filter("id_a <= id_b").groupBy("id_a", "id_b").agg(F.count("*").alias("both"))
+    return _dice(meta, sizes, shared, None)
+
+
 def dice_gram(meta: DataFrame, sizes: DataFrame, words: DataFrame, block: int = BLOCK, part: int = PART) -> DataFrame:
     """The same by matrix products of blocks of masks over parts of their words: no row for each pair and word."""
 

@@ -82,10 +82,10 @@ def mask_of(coefficients: np.ndarray, shape: tuple[int, int, int], order: int, s
 
 
 def dct_features(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int], order: int = 16, sphere: bool = True, saturation: float | None = 5.0) -> DataFrame:
-    """mask_id, features: one array of coefficients a mask."""
+    """mask_id, features: one array of coefficients a mask; null if it is empty or full, as there is no surface."""
 
     def body(_: int, mask: np.ndarray) -> Iterator[dict]:
-        yield {"features": [dct_of(mask, order, sphere, saturation).tolist()]}
+        yield {"features": [dct_of(mask, order, sphere, saturation).tolist() if mask.any() and not mask.all() else None]}
 
     return per_mask(meta, voxel, shape, body, "mask_id long, features array<double>")
 

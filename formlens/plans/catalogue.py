@@ -152,11 +152,9 @@ i AS (SELECT a.mask_id AS id_a, b.mask_id AS id_b, count(*) AS i FROM voxel a JO
 SELECT a.mask_id AS id_a, b.mask_id AS id_b, 2e0 * coalesce(i, 0) / (a.n + b.n) AS dice
 FROM n a JOIN n b ON a.mask_id <= b.mask_id LEFT JOIN i ON id_a = a.mask_id AND id_b = b.mask_id""")
 def dice_sparse_supplier_parts(spark, sf_dir):
-    """Suppliers as sets of parts: the same operator on a long, sparse axis."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("mask_id"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("l_partkey").alias("z"))
-    words = masks.packed(items, (1, 1, 1))
-    sizes = words.groupBy("mask_id").agg(F.sum(F.bit_count("bits").cast("long")).alias("n"))
-    return overlap.dice_packed(sizes.select("mask_id"), sizes, words)
+    """Suppliers as sets of parts: long, sparse masks, of which few share a word's parts."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("mask_id"), "l_partkey")
+    return overlap.dice_sparse(items.select("mask_id").distinct(), items, "l_partkey")
 
 
 @query(f"""{_MANY}{_COO} SELECT a.label AS label_a, b.label AS label_b, count(*) AS pairs, {r('avg(2e0 * i / (na + nb))')} AS mean_dice, min(2e0 * i / (na + nb)) AS min_dice
@@ -420,6 +418,26 @@ def feature_covariance(spark, sf_dir):
     return rounded(cohort_model.covariances(vectors(spark, sf_dir)), 6, "cov")
 
 
+@query(f"{_LONG} SELECT a.i AS i, b.i AS j, {r('covar_samp(a.v, b.v)')} AS cov FROM f a JOIN f b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL")
+def feature_covariance_shifted(spark, sf_dir):
+    """Features a million away from zero have the same covariance."""
+    far = vectors(spark, sf_dir).withColumn("features", F.transform("features", lambda x: x + 1e6))
+    return rounded(cohort_model.covariances(far), 6, "cov")
+
+
+@query(f"""{_LONG}, w AS (SELECT vec_id // 50 AS id, (vec_id % 50) * 64 + i AS i, v FROM f WHERE vec_id < (SELECT count(*) // 50 * 50 FROM embeddings)),
+c AS (SELECT id, i, v - avg(v) OVER (PARTITION BY i) AS v FROM w), g AS (SELECT a.id AS p, b.id AS q, sum(a.v * b.v) AS g FROM c a JOIN c b ON a.i = b.i GROUP BY ALL)
+SELECT {r('sum(CASE WHEN p = q THEN g END) / (count(DISTINCT p) - 1)')} AS first, {r('sum(g * g) / pow(count(DISTINCT p) - 1, 2)')} AS second FROM g""")
+def pca_wide_moments(spark, sf_dir):
+    """Embeddings, 50 in a row, are fewer rows than features: the sums of the variances and of their squares."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = rows.filter(F.col("vec_id") < rows.count() // 50 * 50)
+    wide = rows.groupBy(F.floor(F.col("vec_id") / 50).alias("mask_id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("all"))
+    wide = wide.select("mask_id", F.flatten(F.transform("all", lambda x: x["embedding"].cast("array<double>"))).alias("features"))
+    model = cohort_model.fit(wide, dual=True).table(wide)
+    return rounded(model.agg(F.sum("variance").alias("first"), F.sum(F.col("variance") * F.col("variance")).alias("second")), 6, "first", "second")
+
+
 @query(f"{_LONG} SELECT {r('sum(s)')} AS variance, 1e0 AS ratio FROM (SELECT var_samp(v) AS s FROM f GROUP BY i)")
 def pca_variance_total(spark, sf_dir):
     features = vectors(spark, sf_dir)
@@ -532,6 +550,25 @@ def sh_coefficients(spark, sf_dir):
     return out.groupBy("mask_id").agg(F.count("*").alias("n"), mean.between(1.0, 8.0).alias("close"))
 
 
+# Meshes of masks
+
+_TETS = ", ".join(f"({n}, {c[0]}, {c[1]}, {c[2]})" for n, tet in enumerate(meshes.tetrahedra()) for c in tet)
+
+
+@query(f"""{_MANY}, t(n, i, j, k) AS (VALUES {_TETS}), h AS (SELECT mask_id, x - i AS cx, y - j AS cy, z - k AS cz, n, count(*) AS inside FROM voxel, t GROUP BY ALL)
+SELECT mask_id, {r('sum(CASE inside WHEN 1 THEN 0.125e0 WHEN 2 THEN 0.5e0 WHEN 3 THEN 0.875e0 ELSE 1e0 END) / 6')} AS volume, 2::BIGINT AS euler, 0::BIGINT AS open_edges FROM h GROUP BY mask_id""")
+def mask_surface_mesh(spark, sf_dir):
+    """The volume within the surface is that of the tetrahedra's parts inside; an ellipsoid's surface is closed and in one piece."""
+    out = meshes.measures(*meshes.surface_mesh(cohorts.masks(spark, sf_dir, "supplier")[1]))
+    return rounded(out.select("mask_id", "volume", "euler", "open_edges"), 6, "volume")
+
+
+@query(f"{_MANY} SELECT mask_id, x, y, z FROM voxel")
+def mesh_to_mask(spark, sf_dir):
+    """The cells within the masks' surfaces are the masks again."""
+    return meshes.inside_mesh(*meshes.surface_mesh(cohorts.masks(spark, sf_dir, "supplier")[1]), SHAPE)
+
+
 # Meshes, one unit sphere for each nation, of two subdivisions
 
 

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from formlens.operators import cohort_model, masks, moments, overlap, transforms
+from formlens.operators import cohort_model, masks, meshes, moments, overlap, transforms
 
 SHAPE = (8, 8, 8)
 
@@ -101,3 +101,41 @@ def test_components_of_few_rows(spark):
     assert all(r.coeffs[3] is None and r.coeffs[0] is not None for r in scores.collect())
     back = {r.mask_id: r.features for r in cohort_model.reconstructed(scores, model).collect()}
     assert np.allclose([back[i] for i in range(4)], x)
+
+
+def test_dual_components_are_the_primal_ones(spark, monkeypatch):
+    x = np.random.default_rng(4).standard_normal((9, 23)) + 1e5
+    features = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "mask_id long, features array<double>").repartition(3)
+    one = cohort_model.fit(features, dual=False)
+    monkeypatch.setattr(cohort_model, "SLICE", 7)
+    two = cohort_model.fit(features, dual=True)
+    values = np.linalg.svd(x - x.mean(0), compute_uv=False) ** 2 / 8
+    assert np.allclose(one.variance[:8], values[:8]) and np.allclose(two.variance, values[:8]) and len(two.variance) == 8
+    assert np.allclose(one.components[:8], two.components, atol=1e-6) and np.allclose(two.mean, x.mean(0)) and np.allclose(one.ratio[:8], two.ratio)
+    scores = cohort_model.scores(features, one).first().coeffs
+    assert scores[8] is None and scores[7] is not None
+
+
+def test_dct_of_a_mask_without_a_surface_is_null(spark, cohort):
+    meta, voxel = cohort
+    got = {r.mask_id: r.features for r in transforms.dct_features(meta, voxel, SHAPE, order=3).collect()}
+    assert got[2] is None and len(got[0]) > 0
+
+
+def test_surface_meshes(spark, cohort):
+    _, voxel = cohort
+    vertices, faces = meshes.surface_mesh(voxel)
+    told = {r.mask_id: r for r in meshes.measures(vertices, faces).collect()}
+    assert set(told) == {0, 1, 3, 4} and all(r.euler == 2 and r.open_edges == 0 and r.volume > 0 for r in told.values())
+    assert abs(told[0].volume - told[1].volume) < 1e-9 and told[3].volume < 1  # the same cube; one voxel
+    back = {tuple(r) for r in meshes.inside_mesh(vertices, faces, SHAPE).select("mask_id", "x", "y", "z").collect()}
+    assert back == {tuple(r) for r in voxel.select("mask_id", "x", "y", "z").collect()}
+
+
+def test_sparse_dice_is_that_of_words(spark):
+    items = [(i, j) for i in range(6) for j in range(40) if (i * 7 + j * j) % 5 == 0 and i != 3]
+    rows = spark.createDataFrame([*items, *items[:3]], "mask_id long, z long")
+    meta = spark.createDataFrame([(i,) for i in range(6)], "mask_id long")
+    got = {(r.id_a, r.id_b): r.dice for r in overlap.dice_sparse(meta, rows, "z").collect()}
+    sets = [{j for i, j in items if i == k} for k in range(6)]
+    assert got == {(a, b): 2 * len(sets[a] & sets[b]) / (len(sets[a]) + len(sets[b])) if sets[a] or sets[b] else 1.0 for a in range(6) for b in range(a, 6)}
