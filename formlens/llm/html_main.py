@@ -67,6 +67,8 @@ ATTRIBUTES = 4096
 
 #: A page's own text is this share of its tokens at least.
 OWN = 0.1
+#: Characters of pages whose tokens are made together.
+AT_ONCE = 1 << 20
 #: Between blocks, as a word of the token stream.
 MARK = "\x1e"
 
@@ -97,7 +99,7 @@ def main_text(pages: DataFrame, run: int = 8, distinct_pages: int = 3, share: fl
 
     grams = read.mapInArrow(partial(_grams, run=run), "host long, page long, inner int, grams array<long>, within array<boolean>, touches array<boolean>")
     grams = grams.select("host", "page", "inner", F.explode(F.arrays_zip("grams", "within", "touches")).alias("g")).select("host", "page", "inner", F.col("g.grams").alias("gram"), "g.within", "g.touches")
-    hits = stage(grams.join(small(strings, 24), ["host", "gram"]).groupBy("host", "page", "gram").agg(F.max("inner").alias("inner"), F.bool_or("within").alias("within"), F.bool_or("touches").alias("touches")), "hits")
+    hits = stage(grams.join(small(strings, 24), ["host", "gram"]).groupBy("host", "page", "gram").agg(F.max("inner").alias("inner"), F.count_if("within").alias("within"), F.bool_or("touches").alias("touches")), "hits")
     found = stage(_found(hits, hosts, distinct_pages, share), "found")
     cuts = stage(hits.select("host", "page", "gram", "touches").join(small(found, 32), ["host", "gram"]), "cuts")
     # Only pages whose text they touch need them.
@@ -111,11 +113,11 @@ def main_text(pages: DataFrame, run: int = 8, distinct_pages: int = 3, share: fl
 
 
 def _found(hits: DataFrame, hosts: DataFrame, distinct_pages: int, share: float) -> DataFrame:
-    """host, gram, wide (on half of the host's pages) of the strings that are frequent, by distinct pages. hits: host, page, gram, inner, within."""
+    """host, gram, wide (on half of the host's pages) of the strings that are frequent, by distinct pages. hits: host, page, gram, inner, within (how many start in what may be text, in all and of this one)."""
     often = stage(hits.groupBy("host", "gram").agg(F.count("*").alias("n")).filter(F.col("n") >= distinct_pages), "often")
     known = hits.join(small(often, 32), ["host", "gram"])
-    inner = F.count_if("within").alias("covered")
-    least = F.min(F.struct((~F.col("within")).alias("beside"), "n", "gram")).alias("least")
+    inner = F.sum("within").alias("covered")
+    least = F.min(F.struct((F.col("within") == 0).alias("beside"), "n", "gram")).alias("least")
     kinds = known.groupBy("host", "page").agg(F.max("inner").alias("inner"), inner, least)
     copied = F.col("inner") - F.col("covered") < F.greatest(F.lit(1.0), OWN * F.col("inner"))
     kinds = stage(kinds.select("host", "page", F.when(copied, F.col("least.gram")).otherwise(F.col("page")).alias("kind"), copied.alias("copied")), "kinds")
@@ -286,6 +288,27 @@ def _tokens(blocks: list[Block]) -> np.ndarray:
     return word_marks(data, np.array([0, len(data)]))[0]
 
 
+def _chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pages together: the first one's row, all tokens (32 bits of each), where each page's begin and end in them, and which are in what may be text."""
+    held, first, size = [], 0, 0
+    for row, x in enumerate(column):
+        markup = x.as_py() or ""
+        held.append(blocks_of(markup))
+        size += len(markup)
+        if size > AT_ONCE or row + 1 == len(column):
+            texts = ["".join([MARK, *(f" {b[0]} {MARK}" for b in blocks)]).encode() for blocks in held]
+            tokens, at = word_marks(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+            n, may = [], []
+            for blocks in held:
+                n.append(1)
+                may.append(False)
+                for b, ok in zip(blocks, _may(blocks), strict=True):
+                    n += (b[0].count(" ") + 1, 1)
+                    may += (ok, False)
+            yield first, tokens.astype(np.uint32), at, np.repeat(may, n)
+            held, first, size = [], row + 1, 0
+
+
 def _starts(blocks: list[Block]) -> np.ndarray:
     """Where each block's mark is in the tokens."""
     return np.cumsum([0, *(b[0].count(" ") + 2 for b in blocks)])
@@ -311,7 +334,7 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         host, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        tokens = [packer.compress(_tokens(blocks_of(x.as_py() or "")).astype(np.uint32).tobytes()) for x in batch.column(4)]
+        tokens = [packer.compress(all_[a:b].tobytes()) for _, all_, at, _ in _chunks(batch.column(4)) for a, b in zip(at[:-1], at[1:], strict=True)]
         key = mixed(host.view(np.uint64) ^ mixed(cell.astype(np.uint64) + np.uint64(1))).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), batch.column(3), batch.column(2), pa.array(tokens, pa.binary())], ["key", "host", "page", "cells", "tokens"])
 
@@ -374,24 +397,18 @@ def _page_runs(blocks: list[Block], run: int) -> np.ndarray:
 
 @released
 def _grams(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
-    """Each page's different runs of tokens, whether each starts in what may be text, how many do, and whether each touches it. Columns: host, page, html."""
+    """Each page's runs of tokens, whether each starts in what may be text, how many do, and whether each touches it. Columns: host, page, html."""
     for batch in batches:
-        inner, ends, grams, within, touches = [], [0], [], [], []
-        for x in batch.column(2):
-            blocks = blocks_of(x.as_py() or "")
-            own, at = np.unique(_page_runs(blocks, run), return_index=True)
-            starts = _starts(blocks)
-            block = np.searchsorted(starts, np.arange(starts[-1] + 1), "right") - 1
-            inside = np.append(_may(blocks), False)[block]
-            before = np.concatenate([[0], np.cumsum(inside)])
-            inner.append(int(inside[at].sum()))
-            grams.append(own)
-            within.append(inside[at])
-            touches.append(before[at + run] > before[at])
-            ends.append(ends[-1] + len(own))
-        offsets = pa.array(ends, pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else [], kind)) for x, kind in ((grams, pa.int64()), (within, pa.bool_()), (touches, pa.bool_()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inner, pa.int32()), *lists], ["host", "page", "inner", "grams", "within", "touches"])
+        for first, tokens, at, may in _chunks(batch.column(2)):
+            n = np.maximum(0, np.diff(at) - run + 1)
+            start = np.repeat(at[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            runs = _run_marks(tokens.astype(np.uint64), run)
+            before = np.concatenate([[0], np.cumsum(may)])
+            within = may[start]
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            inner = np.diff(np.concatenate([[0], np.cumsum(within)])[ends])
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (runs[start], within, before[start + run] > before[start])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(n)) for k in (0, 1)), pa.array(inner, pa.int32()), *lists], ["host", "page", "inner", "grams", "within", "touches"])
 
 
 def _covered(runs: np.ndarray, found: np.ndarray, block: np.ndarray, run: int) -> np.ndarray:
