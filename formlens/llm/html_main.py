@@ -97,13 +97,13 @@ def main_text(pages: DataFrame, run: int = 8, distinct_pages: int = 3, share: fl
     streams = streams.repartition("key").sortWithinPartitions("key", "page")
     strings = stage(streams.mapInArrow(partial(_repeated, run=run, distinct_pages=distinct_pages, share=share), "host long, gram long").distinct(), "strings")
 
-    grams = read.mapInArrow(partial(_grams, run=run), "host long, page long, inner int, grams array<long>, within array<boolean>, touches array<boolean>")
+    grams = read.mapInArrow(partial(_grams, run=run), "host long, page long, inner int, grams array<long>, within array<boolean>, touches array<tinyint>")
     grams = grams.select("host", "page", "inner", F.explode(F.arrays_zip("grams", "within", "touches")).alias("g")).select("host", "page", "inner", F.col("g.grams").alias("gram"), "g.within", "g.touches")
-    hits = stage(grams.join(small(strings, 24), ["host", "gram"]).groupBy("host", "page", "gram").agg(F.max("inner").alias("inner"), F.count_if("within").alias("within"), F.bool_or("touches").alias("touches")), "hits")
+    hits = stage(grams.join(small(strings, 24), ["host", "gram"]).groupBy("host", "page", "gram").agg(F.max("inner").alias("inner"), F.count_if("within").alias("within"), F.max("touches").alias("touches")), "hits")
     found = stage(_found(hits, hosts, distinct_pages, share), "found")
     cuts = stage(hits.select("host", "page", "gram", "touches").join(small(found, 32), ["host", "gram"]), "cuts")
-    # Only pages whose text they touch need them.
-    touched = stage(cuts.groupBy("host", "page").agg(F.count("*").alias("n_repeated"), F.bool_or("touches").alias("touched")), "touched")
+    # Only pages from whose text they may be cut need them.
+    touched = stage(cuts.groupBy("host", "page").agg(F.count("*").alias("n_repeated"), F.bool_or((F.col("touches") > 1) | (F.col("touches") > 0) & F.col("wide")).alias("touched")), "touched")
     lists = cuts.join(small(touched.filter("touched").select("host", "page"), 24), ["host", "page"]).groupBy("host", "page").agg(F.collect_list(F.struct("gram", "wide")).alias("grams"))
     cuts = touched.drop("touched").join(sized(stage(lists, "lists"), "grams", 12), ["host", "page"], "left")
     cuts = sized(stage(cuts, "page_cuts"), "grams", 12)
@@ -289,7 +289,7 @@ def _tokens(blocks: list[Block]) -> np.ndarray:
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Pages together: the first one's row, all tokens (32 bits of each), where each page's begin and end in them, and which are in what may be text."""
+    """Pages together: the first one's row, all tokens (32 bits of each), where each page's begin and end in them, and whether each is in what may be text: 1 if only wide strings are cut there, else 2."""
     held, first, size = [], 0, 0
     for row, x in enumerate(column):
         markup = x.as_py() or ""
@@ -301,11 +301,11 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.
             n, may = [], []
             for blocks in held:
                 n.append(1)
-                may.append(False)
+                may.append(0)
                 for b, ok in zip(blocks, _may(blocks), strict=True):
                     n += (b[0].count(" ") + 1, 1)
-                    may += (ok, False)
-            yield first, tokens.astype(np.uint32), at, np.repeat(may, n)
+                    may += ((1 if b[2] and b[1] == TEXT else 2) if ok else 0, 0)
+            yield first, tokens.astype(np.uint32), at, np.repeat(np.array(may, np.int8), n)
             held, first, size = [], row + 1, 0
 
 
@@ -397,17 +397,18 @@ def _page_runs(blocks: list[Block], run: int) -> np.ndarray:
 
 @released
 def _grams(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
-    """Each page's runs of tokens, whether each starts in what may be text, how many do, and whether each touches it. Columns: host, page, html."""
+    """Each page's runs of tokens, whether each starts in what may be text, how many do, and what each touches (as in _chunks). Columns: host, page, html."""
     for batch in batches:
         for first, tokens, at, may in _chunks(batch.column(2)):
             n = np.maximum(0, np.diff(at) - run + 1)
             start = np.repeat(at[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             runs = _run_marks(tokens.astype(np.uint64), run)
-            before = np.concatenate([[0], np.cumsum(may)])
-            within = may[start]
+            before, soft = (np.concatenate([[0], np.cumsum(x)]) for x in (may > 0, may > 1))
+            within = may[start] > 0
+            touches = ((before[start + run] > before[start]).astype(np.int8) + (soft[start + run] > soft[start])).astype(np.int8)
             ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             inner = np.diff(np.concatenate([[0], np.cumsum(within)])[ends])
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (runs[start], within, before[start + run] > before[start])]
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (runs[start], within, touches)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(n)) for k in (0, 1)), pa.array(inner, pa.int32()), *lists], ["host", "page", "inner", "grams", "within", "touches"])
 
 
