@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 
+import formlens.plans.shape_models  # noqa: F401 (adds its queries)
 from formlens.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
