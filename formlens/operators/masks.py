@@ -89,10 +89,11 @@ def per_mask(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int], bod
 
     def of(m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         names = [x.strip().split(" ")[0] for x in schema.split(",")]
+        nothing = pd.DataFrame({n: pd.Series([], dtype=object) for n in names})  # of any type, arrays too
         if not len(m):
-            return pd.DataFrame({n: [] for n in names})
+            return nothing
         parts = [pd.DataFrame({"mask_id": m["mask_id"].iloc[0], **x}) for x in body(int(m["mask_id"].iloc[0]), dense(v, shape))]
-        return pd.concat(parts)[names] if parts else pd.DataFrame({n: [] for n in names})
+        return pd.concat(parts)[names] if parts else nothing
 
     # New columns, as both sides may come from the same table.
     ids, cells = meta.select("mask_id").distinct().toDF("mask_id"), voxel.select("mask_id", "x", "y", "z").toDF("mask_id", "x", "y", "z")

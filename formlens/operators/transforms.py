@@ -147,8 +147,12 @@ def _design(points: np.ndarray, order: int, cheby: bool) -> np.ndarray:
     return (power[0][i] * power[1][j] * power[2][k]).T
 
 
-def polynomial_fit(mask: np.ndarray, order: int, cheby: bool, alpha: float, cells: int = 75_000) -> tuple[np.ndarray, np.ndarray, float]:
-    """Ridge coefficients of the signed distances (scaled) at all cells, or so many evenly dealt ones; centre; scale."""
+def polynomial_fit(mask: np.ndarray, order: int, cheby: bool, alpha: float, cells: int = 75_000, whole: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
+    """Ridge coefficients of the signed distances (scaled) at all cells, or so many evenly dealt ones; centre; scale.
+
+    Monomials are fitted with an intercept. As a rule it is dropped, so their polynomial is 0 in the centre and below 0 in
+    few cells, if any; whole puts it into the constant term.
+    """
     n = np.array(mask.shape)
     sdf = signed_distances(mask)
     if cheby:
@@ -163,9 +167,12 @@ def polynomial_fit(mask: np.ndarray, order: int, cheby: bool, alpha: float, cell
     ok = (np.abs(unit) <= 1).all(1)
     unit, y = unit[ok], sdf[tuple(points[ok].T)] / scale
     a = _design(unit, order, cheby)
-    if not cheby:  # with an intercept, which is not kept
-        a, y = a - a.mean(0), y - y.mean()
-    return np.linalg.solve(a.T @ a + alpha * np.eye(a.shape[1]), a.T @ y), centre, scale
+    means, level = (np.zeros(a.shape[1]), 0.0) if cheby else (a.mean(0), y.mean())
+    a, y = a - means, y - level
+    c = np.linalg.solve(a.T @ a + alpha * np.eye(a.shape[1]), a.T @ y)
+    if whole:
+        c[0] += level - means @ c
+    return c, centre, scale
 
 
 def polynomial_mask(c: np.ndarray, shape: tuple[int, int, int], order: int, cheby: bool, centre: np.ndarray, scale: float) -> np.ndarray:
@@ -177,12 +184,12 @@ def polynomial_mask(c: np.ndarray, shape: tuple[int, int, int], order: int, cheb
     return out
 
 
-def polynomial_features(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int], order: int, cheby: bool, alpha: float) -> DataFrame:
+def polynomial_features(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int], order: int, cheby: bool, alpha: float, whole: bool = False) -> DataFrame:
     """mask_id, features, centre, scale of masks that aren't empty."""
 
     def body(_: int, mask: np.ndarray) -> Iterator[dict]:
         if mask.any():
-            c, centre, scale = polynomial_fit(mask, order, cheby, alpha)
+            c, centre, scale = polynomial_fit(mask, order, cheby, alpha, whole=whole)
             yield {"features": [c.tolist()], "centre": [centre.tolist()], "scale": [float(scale)]}
 
     return per_mask(meta, voxel, shape, body, "mask_id long, features array<double>, centre array<double>, scale double")

@@ -1,7 +1,8 @@
 import duckdb
 import pytest
 
-import formlens.plans.shape_models  # noqa: F401 (adds its queries)
+import formlens.plans.shape_inverse
+import formlens.plans.shape_models  # noqa: F401 (both add queries)
 from formlens.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
