@@ -7,9 +7,9 @@ from numpy.polynomial import chebyshev
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import inverse, meshes, transforms
+from ..operators import harmonics, inverse, meshes, transforms
 from ..sources import cohorts
-from .catalogue import SHAPE, query, r, rounded
+from .catalogue import _EDT, SHAPE, query, r, rounded
 
 _KEY = "s_suppkey::BIGINT AS mask_id"
 
@@ -195,3 +195,31 @@ def voxel_samples(spark, sf_dir):
 SELECT mask_id, draw, floor({_uniform(4)} * 16)::INT AS x, floor({_uniform(5)} * 16)::INT AS y, floor({_uniform(6)} * 16)::INT AS z FROM d""")
 def cell_samples(spark, sf_dir):
     return inverse.uniform_samples(cohorts.masks(spark, sf_dir, "supplier")[0], SHAPE, 50, seed=4)
+
+
+# Values of fits
+
+
+def _radii(table: str) -> str:
+    return f"""{cohorts.oracle_cte(table)}, m AS (SELECT mask_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, greatest(1, max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS side FROM voxel GROUP BY mask_id),
+d AS (SELECT mask_id, side, x - mx AS dx, y - my AS dy, z - mz AS dz, sqrt((x-mx)*(x-mx) + (y-my)*(y-my) + (z-mz)*(z-mz)) AS r FROM voxel JOIN m USING (mask_id)),
+g AS (SELECT mask_id, any_value(side) AS side, floor(acos(greatest(-1e0, least(1e0, dz / r))) / pi() * 63)::INT AS t,
+  floor((CASE WHEN atan2(dy, dx) < 0 THEN atan2(dy, dx) + 2 * pi() ELSE atan2(dy, dx) END) / (2 * pi()) * 127)::INT AS p, max(r) AS r FROM d WHERE r > 0 GROUP BY mask_id, t, p)"""
+
+
+@query(f"{_radii('supplier')} SELECT mask_id, t, p, {r('r')} AS r FROM g")
+def radius_map_values(spark, sf_dir):
+    return rounded(harmonics.radius_map(cohorts.masks(spark, sf_dir, "supplier")[1]), 6, "r")
+
+
+@query(f"{_radii('supplier')} SELECT mask_id, {r('sum(r / (side / 2e0)) / sqrt(4 * pi()) / (count(*) / (4 * pi()) + 1e-9)')} AS c FROM g GROUP BY mask_id")
+def sh_level(spark, sf_dir):
+    """The fit of degree 0: the mean of the scaled radius map, over the constant harmonic."""
+    return rounded(harmonics.harmonic_coefficients(*cohorts.masks(spark, sf_dir, "supplier"), SHAPE, lmax=0).select("mask_id", "c"), 6, "c")
+
+
+@query(f"{_EDT} SELECT mask_id, {r('sum(sign(d2) * sqrt(abs(d2)) / 8) / (count(*) + 1e-3)')} AS c FROM sdf GROUP BY mask_id")
+def cheby_level(spark, sf_dir):
+    """The ridge fit of order 0."""
+    out = transforms.polynomial_features(*cohorts.masks(spark, sf_dir, "nation"), SHAPE, 0, True, 1e-3)
+    return rounded(out.select("mask_id", F.col("features")[0].alias("c")), 6, "c")

@@ -125,3 +125,33 @@ u AS (SELECT *, sqrt({_uniform(8, "fid || ':' || s")}) AS g, {_uniform(9, "fid |
 SELECT mask_id, fid, s::INT AS s, {r('(1 - g) * ax + g * (1 - h) * bx + g * h * cx')} AS x, {r('(1 - g) * ay + g * (1 - h) * by_ + g * h * cy')} AS y, {r('(1 - g) * az + g * (1 - h) * bz + g * h * cz')} AS z FROM u""")
 def mesh_surface_samples(spark, sf_dir):
     return rounded(mesh_modes.surface_samples(*_patches(spark, sf_dir), 100, seed=7), 6, "x", "y", "z")
+
+
+_CORNERS = """, t AS (SELECT f.mask_id, f.fid, f.i, f.j, f.k, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS yb, b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz
+  FROM f JOIN v a ON a.mask_id = f.mask_id AND a.vid = f.i JOIN v b ON b.mask_id = f.mask_id AND b.vid = f.j JOIN v c ON c.mask_id = f.mask_id AND c.vid = f.k)"""
+
+
+@query(f"""{_PATCHES}{_CORNERS}, e AS (SELECT mask_id, unnest([i, j, k]) AS vid, (ax + bx + cx) / 3 AS x, (ay + yb + cy) / 3 AS y, (az + bz + cz) / 3 AS z FROM t),
+n AS (SELECT mask_id, vid, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM e GROUP BY ALL),
+h AS (SELECT v.mask_id, v.vid, (v.x + n.x) / 2 AS x, (v.y + n.y) / 2 AS y, (v.z + n.z) / 2 AS z FROM v JOIN n USING (mask_id, vid)),
+m AS (SELECT mask_id, vid, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y, z - avg(z) OVER w AS z FROM h WINDOW w AS (PARTITION BY mask_id)),
+d AS (SELECT *, sqrt(x * x + y * y + z * z) + 1e-9 AS len FROM m) SELECT mask_id, vid, {r('x / len')} AS x, {r('y / len')} AS y, {r('z / len')} AS z FROM d""")
+def inflation_step_values(spark, sf_dir):
+    return rounded(meshes.inflation_step(*_patches(spark, sf_dir)), 6, "x", "y", "z")
+
+
+def _cot(a: str, b: str, c: str) -> str:
+    """The cotangent at the corner whose coordinates are named first."""
+    u, w = ([f"({q} - {p})" for p, q in zip(a.split(), o.split(), strict=True)] for o in (b, c))
+    cross = [f"pow({u[i]} * {w[j]} - {u[j]} * {w[i]}, 2)" for i, j in ((0, 1), (1, 2), (0, 2))]
+    return f"({' + '.join(f'{p} * {q}' for p, q in zip(u, w, strict=True))}) / (sqrt({' + '.join(cross)}) + 1e-10)"
+
+
+_A, _B, _C = "ax ay az", "bx yb bz", "cx cy cz"
+
+
+@query(f"""{_PATCHES}{_CORNERS}, s AS (SELECT mask_id, j AS p, k AS q, {_cot(_A, _B, _C)} AS w FROM t UNION ALL SELECT mask_id, k, i, {_cot(_B, _C, _A)} FROM t UNION ALL SELECT mask_id, i, j, {_cot(_C, _A, _B)} FROM t),
+e AS (SELECT mask_id, p AS i, q AS j, w / 2 AS w FROM s UNION ALL SELECT mask_id, q, p, w / 2 FROM s)
+SELECT mask_id, i, j, {r('-sum(w)')} AS w FROM e GROUP BY mask_id, i, j UNION ALL SELECT mask_id, i, i, {r('sum(w)')} FROM e GROUP BY mask_id, i""")
+def cot_laplacian_values(spark, sf_dir):
+    return rounded(meshes.cotangent_laplacian(*_patches(spark, sf_dir)), 6, "w")
