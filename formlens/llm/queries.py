@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_main, jaccard, mixing, packing, prefix_forest, quality, shards, suffix_dedup, token_counts, url_templates
+from . import block_naming, html_main, jaccard, mixing, packing, prefix_forest, quality, shards, suffix_dedup, token_counts, url_templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op11_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_naming.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), carried=["doc_id"])
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -77,5 +81,6 @@ QUERIES: dict[str, Query] = {
     "op8_poisson_mixing": op8_poisson_mixing,
     "op9_url_templates": op9_url_templates,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_block_naming": op11_block_naming,
 }
-ORACLE_SQL: dict[str, str] = {"op7_quality_rules": quality.ORACLE_SQL, "op8_poisson_mixing": mixing.ORACLE_SQL, "op9_url_templates": url_templates.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_block_naming": block_naming.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL, "op8_poisson_mixing": mixing.ORACLE_SQL, "op9_url_templates": url_templates.ORACLE_SQL}
