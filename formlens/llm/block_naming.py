@@ -97,7 +97,7 @@ def dedup(docs: DataFrame, column: str = "text", key: str = "doc_id", carried: l
     rows = stage(rows, "identities")
     best = F.max(F.struct(F.col(f"row.{held}").alias("key"), (-F.col("rid")).alias("turn"))).alias("best")
     groups = rows.groupBy("level", "name").agg(F.count("*").alias("size"), best).filter("size > 1")
-    out = rows.join(groups, ["level", "name"], "left")
+    out = rows.join(small(stage(groups, "groups"), 64), ["level", "name"], "left")
     kept = F.coalesce(F.col("best.turn") == -F.col("rid"), F.lit(True))
     keep_id = F.when(F.col("size").isNull(), F.col(f"row.{held}")).otherwise(F.col("best.key"))
     return out.select(*[F.col("row").getField(c).alias(c) for c in own], keep_id.alias("keep_id"), F.coalesce("size", F.lit(1).cast("long")).alias("group_size"), kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
