@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, filter_audit, html_main, jaccard, mixing, packing, prefix_forest, quality, shards, suffix_dedup, token_counts, url_templates
+from . import block_naming, filter_audit, html_main, jaccard, mixing, packing, prefix_forest, quality, shards, suffix_dedup, token_counts, url_templates, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -88,5 +92,6 @@ QUERIES: dict[str, Query] = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_block_naming": op11_block_naming,
     "op12_filter_audit": op12_filter_audit,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 ORACLE_SQL: dict[str, str] = {"op11_block_naming": block_naming.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL, "op8_poisson_mixing": mixing.ORACLE_SQL, "op9_url_templates": url_templates.ORACLE_SQL}
