@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Masks of a block, and words of a part, in the Gram strategy.
 BLOCK, PART = 128, 4096
+#: Points of a block of near points.
+POINTS = 256
 
 
 def _blocks(meta: DataFrame, block: int) -> int:
@@ -77,38 +79,67 @@ def dice_gram(meta: DataFrame, sizes: DataFrame, words: DataFrame, block: int =
     return _dice(meta, sizes, sums.groupBy("id_a", "id_b").agg(F.sum("n").alias("both")), None)
 
 
+def point_blocks(points: np.ndarray, most: int = POINTS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Points in blocks of at most so many near ones, by halving at the median of the longest side: points, least, greatest corner."""
+    todo, out = [points], []
+    while todo:
+        part = todo.pop()
+        low, high = part.min(0), part.max(0)
+        if len(part) <= most:
+            out.append((part, low, high))
+        else:
+            axis, half = int((high - low).argmax()), len(part) // 2
+            order = np.argpartition(part[:, axis], half)
+            todo += [part[order[:half]], part[order[half:]]]
+    return out
+
+
+def nearest_squares(a: list, b: list) -> np.ndarray:
+    """For each point of the blocks a, in their order, the squared distance to the nearest of the blocks b.
+
+    A block of a meets b's blocks from the nearest box on, until none that is left can be nearer than what was found.
+    """
+    out = []
+    lows, highs = np.array([x[1] for x in b]), np.array([x[2] for x in b])
+    for points, low, high in a:
+        gap = np.maximum(np.maximum(lows - high, low - highs), 0)
+        bound = (gap * gap).sum(1)
+        best, own = np.full(len(points), np.inf), (points * points).sum(1)
+        for k in np.argsort(bound, kind="stable"):
+            if bound[k] >= best.max():
+                break
+            other = b[k][0]
+            d = (other * other).sum(1)[None, :] - 2 * (points @ other.T)
+            np.minimum(best, d.min(1) + own, out=best)
+        out.append(best)
+    return np.concatenate(out)
+
+
 def surface_distances(meta: DataFrame, points: DataFrame, block: int = 32) -> DataFrame:
     """id_a, id_b, hausdorff, mean_dist between the surfaces' points, in voxels; null if a surface has none.
 
-    points: mask_id, x2, y2, z2 in half voxels. Each mask's points travel as one array to each block pair.
+    points: mask_id, x2, y2, z2 in half voxels. Each mask's points travel as one array to each block pair. A point meets
+    only those blocks of near points of the other surface that may hold its nearest, so a pair's work follows its points.
     """
     lists = points.groupBy("mask_id").agg(F.collect_list(F.array(*[F.col(c).cast("int") for c in ("x2", "y2", "z2")])).alias("points"))
     rows = meta.select("mask_id").join(lists, "mask_id", "left").select("mask_id", F.flatten(F.coalesce("points", F.array().cast("array<array<int>>"))).alias("points"))
     met = _meets(rows, _blocks(meta, block))
 
-    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """For each point of a the squared distance to the nearest of b."""
-        out = np.empty(len(a))
-        for k in range(0, len(a), 1024):
-            d = a[k : k + 1024, None, :] - b[None, :, :]
-            out[k : k + 1024] = (d * d).sum(2).min(1)
-        return out
-
     def measure(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
         got = got.sort_values("mask_id")
         ids, own = got["mask_id"].to_numpy(), got["own"].to_numpy()
-        sets = [np.asarray(x, np.int64).reshape(-1, 3) for x in got["points"]]
+        sets = [point_blocks(x) if len(x) else [] for x in (np.asarray(p, np.float64).reshape(-1, 3) for p in got["points"])]
         out = []
         for i in range(len(ids)):
             for j in range(i, len(ids)):
                 if own[i] == own[j] and key[0] != key[1]:
                     continue
-                if not len(sets[i]) or not len(sets[j]):
+                if not sets[i] or not sets[j]:
                     out.append((ids[i], ids[j], None, None))
                 elif i == j:
                     out.append((ids[i], ids[j], 0.0, 0.0))
                 else:
-                    there, back = np.sqrt(near(sets[i], sets[j])) / 2, np.sqrt(near(sets[j], sets[i])) / 2
+                    there, back = np.sqrt(nearest_squares(sets[i], sets[j])) / 2, np.sqrt(nearest_squares(sets[j], sets[i])) / 2
                     out.append((ids[i], ids[j], max(there.max(), back.max()), (there.mean() + back.mean()) / 2))
         return pd.DataFrame(out, columns=["id_a", "id_b", "hausdorff", "mean_dist"])
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,19 +14,48 @@ from .masks import per_mask
 
 #: Squared distance where there is nothing to be near to.
 FAR = 1 << 40
+_FAR32 = 1 << 30
+#: Cells of a block of distances, about.
+BLOCK = 1 << 18
+
+
+def envelope(f: np.ndarray) -> np.ndarray:
+    """Of each line along the first axis, at each place p the least f[q] + (p - q)^2; FAR where all of a line are.
+
+    The parabolas' lower envelope by a stack for each line, all lines at once: linear in the cells.
+    """
+    shape, f = f.shape, np.ascontiguousarray(f).reshape(len(f), -1)
+    n, lines = f.shape
+    apex, start, top = np.zeros((n, lines), np.int64), np.zeros((n, lines), np.int64), np.full(lines, -1)
+    for u in range(n):
+        new = np.flatnonzero(f[u] < FAR)
+        left = new[top[new] >= 0]
+        while len(left):  # those whose last parabola is above the new one where it begins lose it
+            q, s = apex[top[left], left], start[top[left], left]
+            left = left[f[q, left] + (s - q) ** 2 > f[u, left] + (s - u) ** 2]
+            top[left] -= 1
+            left = left[top[left] >= 0]
+        some = top[new] >= 0
+        q = apex[np.maximum(top[new], 0), new]
+        begin = np.where(some, 1 + (u * u - q * q + f[u, new] - f[q, new]) // (2 * np.maximum(u - q, 1)), 0)
+        new, begin = new[begin < n], begin[begin < n]
+        top[new] += 1
+        apex[top[new], new], start[top[new], new] = u, begin
+    out, at, every = np.full((n, lines), FAR, np.int64), np.maximum(top, 0), np.arange(lines)
+    some = top >= 0
+    for p in range(n - 1, -1, -1):
+        q = apex[at, every]
+        out[p, some] = (f[q, every] + (p - q) ** 2)[some]
+        at -= (start[at, every] == p) & (at > 0)
+    return np.minimum(out, FAR).reshape(shape)
 
 
 def squared_distances(targets: np.ndarray) -> np.ndarray:
     """Each cell's exact squared distance to the nearest target: along one axis after the other, the least sum."""
     out = np.where(targets, 0, FAR).astype(np.int64)
-    for axis in range(3):
-        f = np.moveaxis(out, axis, 0)
-        at = np.arange(len(f))
-        best = np.full_like(f, FAR)
-        for j in range(len(f)):
-            np.minimum(best, f[j][None] + ((at - j) ** 2).reshape(-1, 1, 1), out=best)
-        out = np.moveaxis(best, 0, axis)
-    return np.minimum(out, FAR)
+    for axis in range(out.ndim):
+        out = np.moveaxis(envelope(np.moveaxis(out, axis, 0)), 0, axis)
+    return out
 
 
 def signed_squares(mask: np.ndarray) -> np.ndarray:
@@ -38,14 +68,57 @@ def signed_distances(mask: np.ndarray) -> np.ndarray:
     return np.sign(d) * np.sqrt(np.abs(d))
 
 
-def distance_fields(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
-    """mask_id, x, y, z, d2 (long): the signed squared distance of every cell."""
+def distance_blocks(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int], body: Callable[[int, np.ndarray], dict], schema: str, cells: int = BLOCK) -> DataFrame:
+    """mask_id and what body(y0, d2) gives for each block of every mask of meta: d2[x, y - y0, z] are its signed squared distances.
 
-    def body(_: int, mask: np.ndarray) -> Iterator[dict]:
-        x, y, z = np.indices(mask.shape)
-        yield {"x": x.ravel(), "y": y.ravel(), "z": z.ravel(), "d2": signed_squares(mask).ravel()}
+    Planes of x are made alone, along z and y, and dealt out again in blocks of a few y and all x, where the envelope
+    along x ends the distances. So a task holds a plane or about `cells` cells, no mask, and the field is shuffled once, as four
+    bytes a cell. A mask without voxels is FAR everywhere, one without background -FAR.
+    """
+    nx, ny, nz = shape
+    rows, together = max(1, cells // (nx * nz)), max(1, cells // (ny * nz))
+    planes = voxel.groupBy("mask_id", "x").agg(F.collect_list((F.col("y") * nz + F.col("z")).cast("int")).alias("at"))
+    every = meta.select("mask_id").distinct().select("mask_id", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("x"))
+
+    def along(planes: np.ndarray) -> np.ndarray:
+        """Squared distances in each plane [plane, y, z] to its targets."""
+        d = np.where(planes, 0, FAR).astype(np.int64)
+        return np.moveaxis(envelope(np.moveaxis(np.moveaxis(envelope(np.moveaxis(d, 2, 0)), 0, 2), 1, 0)), 0, 1)
+
+    def flat(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for start in range(0, len(frame), together):
+                part = frame.iloc[start : start + together]
+                own = np.zeros((len(part), ny * nz), bool)
+                for k, at in enumerate(part["at"]):
+                    if at is not None:
+                        own[k, at] = True
+                own = own.reshape(-1, ny, nz)
+                d = np.minimum(np.where(own, along(~own), along(own)), _FAR32)
+                d = np.where(own, -d, d).astype(np.int32)
+                for block in range(0, ny, rows):
+                    yield pd.DataFrame({"mask_id": part["mask_id"], "block": block, "x": part["x"], "d": [x.tobytes() for x in d[:, block : block + rows]]})
+
+    parts = every.join(planes, ["mask_id", "x"], "left").mapInPandas(flat, "mask_id long, block int, x int, d binary")
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
-    return per_mask(meta, voxel, shape, body, "mask_id long, x int, y int, z int, d2 long")
+    def whole(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
+        got = got.sort_values("x")
+        d = np.stack([np.frombuffer(x, np.int32) for x in got["d"]]).reshape(nx, -1, nz).astype(np.int64)
+        far = lambda v: envelope(np.where(v >= _FAR32, FAR, np.maximum(v, 0)))
+        return pd.DataFrame({"mask_id": key[0], **body(int(key[1]), np.where(d < 0, -far(-d), far(d)))})[["mask_id", *names]]
+
+    return parts.groupBy("mask_id", "block").applyInPandas(whole, f"mask_id long, {schema}")
+
+
+def distance_fields(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int], cells: int = BLOCK) -> DataFrame:
+    """mask_id, x, y, z, d2 (long): the signed squared distance of every cell, outside to the mask, inside (negative) to its outside."""
+
+    def body(y0: int, d2: np.ndarray) -> dict:
+        x, y, z = np.indices(d2.shape)
+        return {"x": x.ravel(), "y": y.ravel() + y0, "z": z.ravel(), "d2": d2.ravel()}
+
+    return distance_blocks(meta, voxel, shape, body, "x int, y int, z int, d2 long", cells)
 
 
 @lru_cache(32)
@@ -81,13 +154,24 @@ def mask_of(coefficients: np.ndarray, shape: tuple[int, int, int], order: int, s
     return np.einsum("ix,jy,kz,ijk->xyz", a, b, c, full, optimize=True) < 0
 
 
-def dct_features(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int], order: int = 16, sphere: bool = True, saturation: float | None = 5.0) -> DataFrame:
-    """mask_id, features: one array of coefficients a mask; null if it is empty or full, as there is no surface."""
+def dct_features(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int], order: int = 16, sphere: bool = True, saturation: float | None = 5.0, cells: int = BLOCK) -> DataFrame:
+    """mask_id, features: one array of coefficients a mask; null if it is empty or full, as there is no surface.
 
-    def body(_: int, mask: np.ndarray) -> Iterator[dict]:
-        yield {"features": [dct_of(mask, order, sphere, saturation).tolist() if mask.any() and not mask.all() else None]}
-
-    return per_mask(meta, voxel, shape, body, "mask_id long, features array<double>")
+    Each block of distances gives its share of every coefficient; the shares are added up.
+    """
+    a, b, c = (cosines(n, min(order, n)) for n in shape)
+    keep = spectral_mask(order, order)[: len(a), : len(b), : len(c)] if sphere else np.ones((len(a), len(b), len(c)), bool)
+
+    def body(y0: int, d2: np.ndarray) -> dict:
+        v = np.sign(d2) * np.sqrt(np.abs(d2).astype(np.float64))
+        v = saturation * np.tanh(v / saturation) if saturation else v
+        share = np.einsum("ix,jy,kz,xyz->ijk", a, b[:, y0 : y0 + d2.shape[1]], c, v, optimize=True)[keep]
+        return {"share": [share.tolist() if abs(int(d2.flat[0])) < FAR else None]}
+
+    shares = distance_blocks(meta, voxel, shape, body, "share array<double>", cells)
+    sums = shares.select("mask_id", F.posexplode_outer("share").alias("at", "v")).groupBy("mask_id", "at").agg(F.sum("v").alias("v"))
+    lists = sums.groupBy("mask_id").agg(F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "v")))).alias("c"))
+    return lists.select("mask_id", F.when(F.size("c") > 0, F.col("c.v")).alias("features"))
 
 
 def coefficients(spark: SparkSession, order: int, sphere: bool = True) -> DataFrame:

@@ -294,34 +294,41 @@ def normalize_resample(spark, sf_dir):
 
 # Distances and transforms
 
-_EDT = f"""{_FEW}, cell AS (SELECT g.mask_id, g.x, g.y, g.z, v.x IS NOT NULL AS own FROM (SELECT mask_id, gx.x::INT AS x, gy.y::INT AS y, gz.z::INT AS z FROM par, range(16) gx(x), range(16) gy(y), range(16) gz(z)) g
+def _edt(voxels: str) -> str:
+    """Distances by three minima, axis by axis: s to the mask, t to its outside; a cell of the mask has s = 0."""
+    least = lambda u: ", ".join(f"min({c} + ({u} - n) * ({u} - n)) AS {c}" for c in "st")
+    return f"""{voxels}, cell AS (SELECT g.mask_id, g.x, g.y, g.z, CASE WHEN v.x IS NULL THEN 1000000 ELSE 0 END AS s, CASE WHEN v.x IS NULL THEN 0 ELSE 1000000 END AS t
+  FROM (SELECT mask_id, gx.x::INT AS x, gy.y::INT AS y, gz.z::INT AS z FROM par, range(16) gx(x), range(16) gy(y), range(16) gz(z)) g
   LEFT JOIN voxel v ON v.mask_id = g.mask_id AND v.x = g.x AND v.y = g.y AND v.z = g.z),
-e1 AS (SELECT mask_id, own, u AS x, y, z, min((u - x) * (u - x)) AS f FROM cell, range(16) gu(u) GROUP BY mask_id, own, u, y, z),
-e2 AS (SELECT mask_id, own, x, u AS y, z, min(f + (u - y) * (u - y)) AS f FROM e1, range(16) gu(u) GROUP BY mask_id, own, x, u, z),
-e3 AS (SELECT mask_id, own, x, y, u AS z, min(f + (u - z) * (u - z)) AS f FROM e2, range(16) gu(u) GROUP BY mask_id, own, x, y, u),
-sdf AS (SELECT c.mask_id, c.x, c.y, c.z, (CASE WHEN c.own THEN -f ELSE f END)::BIGINT AS d2 FROM cell c JOIN e3 ON e3.mask_id = c.mask_id AND e3.x = c.x AND e3.y = c.y AND e3.z = c.z AND e3.own != c.own)"""
+e1 AS (SELECT mask_id, n::INT AS x, y, z, {least('x')} FROM cell, range(16) g(n) GROUP BY mask_id, n, y, z),
+e2 AS (SELECT mask_id, x, n::INT AS y, z, {least('y')} FROM e1, range(16) g(n) GROUP BY mask_id, x, n, z),
+e3 AS (SELECT mask_id, x, y, n::INT AS z, {least('z')} FROM e2, range(16) g(n) GROUP BY mask_id, x, y, n),
+sdf AS (SELECT mask_id, x, y, z, (CASE WHEN s = 0 THEN -t ELSE s END)::BIGINT AS d2 FROM e3)"""
 
 
-@query(f"{_EDT} SELECT mask_id, x, y, z, d2 FROM sdf")
+_EDT, _EDT_MANY = _edt(_FEW), _edt(_MANY)
+
+
+@query(f"{_EDT_MANY} SELECT mask_id, x, y, z, d2 FROM sdf")
 def edt_sdf(spark, sf_dir):
-    return transforms.distance_fields(*cohorts.masks(spark, sf_dir, "nation"), SHAPE)
+    return transforms.distance_fields(*cohorts.masks(spark, sf_dir, "supplier"), SHAPE)
 
 
 def _root(d2: Column) -> Column:
     return F.signum(d2) * F.sqrt(F.abs(d2).cast("double"))
 
 
-@query(f"{_EDT} SELECT mask_id, x, y, z, {r('5e0 * tanh(sign(d2) * sqrt(abs(d2)) / 5e0)')} AS v FROM sdf")
+@query(f"{_EDT_MANY} SELECT mask_id, x, y, z, {r('5e0 * tanh(sign(d2) * sqrt(abs(d2)) / 5e0)')} AS v FROM sdf")
 def sdf_saturated(spark, sf_dir):
-    fields = transforms.distance_fields(*cohorts.masks(spark, sf_dir, "nation"), SHAPE)
+    fields = transforms.distance_fields(*cohorts.masks(spark, sf_dir, "supplier"), SHAPE)
     return rounded(fields.select("mask_id", "x", "y", "z", (5.0 * F.tanh(_root(F.col("d2")) / 5.0)).alias("v")), 6, "v")
 
 
-@query(f"""{_EDT} SELECT mask_id, count(*) FILTER (WHERE abs(d2) < 4) AS boundary, count(*) FILTER (WHERE d2 < -4) AS inside,
+@query(f"""{_EDT_MANY} SELECT mask_id, count(*) FILTER (WHERE abs(d2) < 4) AS boundary, count(*) FILTER (WHERE d2 < -4) AS inside,
 count(*) FILTER (WHERE d2 > 4) AS outside, count(*) FILTER (WHERE abs(d2) = 4) AS none FROM sdf GROUP BY mask_id""")
 def narrow_band_counts(spark, sf_dir):
     d = _root(F.col("d2"))
-    fields = transforms.distance_fields(*cohorts.masks(spark, sf_dir, "nation"), SHAPE)
+    fields = transforms.distance_fields(*cohorts.masks(spark, sf_dir, "supplier"), SHAPE)
     bands = {"boundary": F.abs(d) < 2, "inside": d < -2, "outside": d > 2, "none": F.abs(d) == 2}
     return fields.groupBy("mask_id").agg(*[F.count_if(c).alias(k) for k, c in bands.items()])
 

@@ -1,8 +1,9 @@
 import duckdb
 import pytest
 
+import formlens.plans.shape_fields
 import formlens.plans.shape_inverse
-import formlens.plans.shape_models  # noqa: F401 (both add queries)
+import formlens.plans.shape_models  # noqa: F401 (all add queries)
 from formlens.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
