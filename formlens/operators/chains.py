@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from . import fields, inverse
 
 
@@ -19,21 +17,11 @@ def smooth_points(voxel: DataFrame, shape: tuple[int, int, int], subdivisions: i
     return inverse.point_voxels(points, shape, subdivisions, samples, seed)
 
 
-def vertex_sizes(vertices: DataFrame) -> DataFrame:
-    """mask_id, centroid (the mean vertex), most (the greatest distance of a vertex from it)."""
-    return inverse.ball_sizes(vertices)
-
-
-def blurred_vectors(voxel: DataFrame, shape: tuple[int, int, int], lmax: int = 20, sigma: float = 1.0, level: float = 0.5, iterations: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Coefficients of vector harmonics (mask_id, l, m, cx, cy, cz) of the blurred surfaces, which are scaled by the sizes (mask_id, centroid, most)."""
-    vertices, faces = fields.level_mesh(voxel, shape, sigma, level)
-    sizes = vertex_sizes(vertices)
-    unit = vertices.join(sizes, "mask_id").select("mask_id", "vid", *[((F.col(c) - F.col("centroid")[i]) / F.col("most")).alias(c) for i, c in enumerate("xyz")])
-    angles = inverse.inflated(unit, faces, iterations).select("mask_id", "vid", "polar", "azimuth")
-    return inverse.vector_harmonics(unit.join(angles, ["mask_id", "vid"]), lmax), sizes
+def blurred_vectors(voxel: DataFrame, shape: tuple[int, int, int], lmax: int = 20, sigma: float = 1.0, level: float = 0.5, iterations: int = 100) -> DataFrame:
+    """mask_id, centroid, most, l, m, cx, cy, cz: vector harmonics of the blurred surfaces about their mean vertex, over their greatest radius."""
+    return inverse.vector_fit(*fields.level_mesh(voxel, shape, sigma, level), lmax, iterations)
 
 
 def smooth_vectors(voxel: DataFrame, shape: tuple[int, int, int], lmax: int = 20, iterations: int = 100, density: int = 4) -> DataFrame:
     """mask_id, x, y, z: the masks after a round trip through their vector harmonics."""
-    coefficients, sizes = blurred_vectors(voxel, shape, lmax, iterations=iterations)
-    return inverse.vector_voxels(coefficients, sizes, shape, lmax, density)
+    return inverse.vector_voxels(blurred_vectors(voxel, shape, lmax, iterations=iterations), None, shape, lmax, density)

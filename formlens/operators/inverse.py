@@ -158,6 +158,34 @@ def _fresh(rows: DataFrame, *names: str) -> DataFrame:
     return rows.select("mask_id", *names).toDF("mask_id", *names)
 
 
+def inflate(at: np.ndarray, corner: np.ndarray, iterations: int) -> np.ndarray:
+    """Vertices after so many steps of inflation_step; corner: their places in each face."""
+    order = np.argsort(corner.ravel(), kind="stable")
+    uses = np.bincount(corner.ravel(), minlength=len(at))
+    own = np.flatnonzero(uses)
+    first = (np.cumsum(uses) - uses)[own]
+    for _ in range(iterations if len(at) else 0):
+        if len(own):
+            centre = at[corner].mean(1)[order // 3]
+            at = at.copy()
+            at[own] = (at[own] + np.add.reduceat(centre, first, axis=0) / uses[own, None]) / 2
+        at = at - at.mean(0)
+        at = at / (np.linalg.norm(at, axis=1, keepdims=True) + 1e-9)
+    return at
+
+
+def _mesh(v: pd.DataFrame, f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """vids in order, their vertices, and the places of each face's corners among them."""
+    v = v.sort_values("vid")
+    vid = v["vid"].to_numpy()
+    return vid, v[["x", "y", "z"]].to_numpy(float), np.searchsorted(vid, f[["i", "j", "k"]].to_numpy()) if len(f) else np.zeros((0, 3), int)
+
+
+def _per_mesh(vertices: DataFrame, faces: DataFrame, body: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    both = _fresh(vertices, "vid", "x", "y", "z").groupBy("mask_id").cogroup(_fresh(faces, "i", "j", "k").groupBy("mask_id"))
+    return both.applyInPandas(body, schema)
+
+
 def inflated(vertices: DataFrame, faces: DataFrame, iterations: int = 80) -> DataFrame:
     """mask_id, vid, x, y, z on the unit sphere, polar, azimuth: so many steps of inflation_step, a mesh in a task.
 
@@ -165,22 +193,33 @@ def inflated(vertices: DataFrame, faces: DataFrame, iterations: int = 80) -> Dat
     """
 
     def run(v: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        v = v.sort_values("vid")
-        vid, at = v["vid"].to_numpy(), v[["x", "y", "z"]].to_numpy(float)
-        corner = np.searchsorted(vid, f[["i", "j", "k"]].to_numpy()) if len(f) else np.zeros((0, 3), int)
-        uses = np.bincount(corner.ravel(), minlength=len(vid))[:, None]
-        for _ in range(iterations if len(v) else 0):
-            near = np.zeros_like(at)
-            np.add.at(near, corner, at[corner].mean(1, keepdims=True))
-            at = np.where(uses > 0, (at + near / np.maximum(uses, 1)) / 2, at)
-            at = at - at.mean(0)
-            at = at / (np.linalg.norm(at, axis=1, keepdims=True) + 1e-9)
+        vid, at, corner = _mesh(v, f)
+        at = inflate(at, corner, iterations)
         out = pd.DataFrame({"mask_id": v["mask_id"].to_numpy(), "vid": vid, "x": at[:, 0], "y": at[:, 1], "z": at[:, 2]})
         out["polar"], out["azimuth"] = np.arctan2(np.hypot(at[:, 0], at[:, 1]), at[:, 2]), np.arctan2(at[:, 1], at[:, 0]) % (2 * np.pi)
         return out
 
-    both = _fresh(vertices, "vid", "x", "y", "z").groupBy("mask_id").cogroup(_fresh(faces, "i", "j", "k").groupBy("mask_id"))
-    return both.applyInPandas(run, "mask_id long, vid long, x double, y double, z double, polar double, azimuth double")
+    return _per_mesh(vertices, faces, run, "mask_id long, vid long, x double, y double, z double, polar double, azimuth double")
+
+
+def looked_up(at: np.ndarray, ball: np.ndarray, corner: np.ndarray, ways: np.ndarray, together: int = 1 << 20) -> np.ndarray:
+    """For each way from the origin the point of the mesh whose face in the ball it meets, or the vertex nearest to it there."""
+    a, b, c = (ball[corner[:, n]] for n in range(3))
+    sides, volume = np.stack([np.cross(b, c), np.cross(c, a), np.cross(a, b)]), (a * np.cross(b, c)).sum(1)
+    ok = np.abs(volume) > 1e-15
+    sides, corner = sides[:, ok] / volume[ok, None], corner[ok]
+    out, step = np.empty((len(ways), 3)), max(1, together // max(1, len(corner)))
+    for k in range(0, len(ways), step):
+        way = ways[k : k + step]
+        weight = sides @ way.T  # [corner, face, way]
+        least = weight.min(0) if len(corner) else np.full((1, len(way)), -1.0)
+        best = least.argmax(0)
+        every = np.arange(len(way))
+        met = least[best, every] >= -1e-9
+        w = weight[:, best, every][:, met] if len(corner) else np.zeros((3, 0))
+        out[k : k + step][met] = np.einsum("cn,ncd->nd", w / w.sum(0), at[corner[best[met]]]) if len(corner) else 0
+        out[k : k + step][~met] = at[(ball @ way[~met].T).argmax(0)]
+    return out
 
 
 def point_distribution(vertices: DataFrame, faces: DataFrame, subdivisions: int = 3, iterations: int = 80) -> DataFrame:
@@ -188,36 +227,19 @@ def point_distribution(vertices: DataFrame, faces: DataFrame, subdivisions: int
 
     A direction is looked up in the inflated mesh, on the sphere itself, so there is no seam and no pole: the point has
     its weights in the face that it meets, or that of the nearest vertex where it meets none. Of several faces it is the
-    one met the farthest inside its sides.
+    one met the farthest inside its sides. Both tables are read once, and a mesh is in one task.
     """
-    mean = vertices.groupBy("mask_id").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
-    centred = vertices.join(mean, "mask_id").select("mask_id", "vid", *[(F.col(c) - F.col(f"m{c}")).alias(c) for c in "xyz"])
-    ball = inflated(centred, faces, iterations).select("mask_id", "vid", *[F.col(c).alias(f"s{c}") for c in "xyz"])
-    rows = centred.join(ball, ["mask_id", "vid"])
     ways = meshes.icosphere(subdivisions)[0]
 
     def look(v: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        v = v.sort_values("vid")
-        at, ball = v[["x", "y", "z"]].to_numpy(), v[["sx", "sy", "sz"]].to_numpy()
-        out = np.empty((len(ways), 3)) if len(v) else np.empty((0, 3))
-        corner = np.searchsorted(v["vid"].to_numpy(), f[["i", "j", "k"]].to_numpy()) if len(f) else np.zeros((0, 3), int)
-        a, b, c = (ball[corner[:, n]] for n in range(3))
-        sides, volume = np.stack([np.cross(b, c), np.cross(c, a), np.cross(a, b)]), (a * np.cross(b, c)).sum(1)
-        ok = np.abs(volume) > 1e-15
-        sides, corner = sides[:, ok] / volume[ok, None], corner[ok]
-        for n, way in enumerate(ways[: len(out)]):
-            weight = sides @ way  # of the three corners, for each face
-            least = weight.min(0) if len(corner) else np.array([-1.0])
-            best = int(least.argmax())
-            if least[best] >= -1e-9:
-                w = weight[:, best]
-                out[n] = w / w.sum() @ at[corner[best]]
-            else:
-                out[n] = at[int((ball @ way).argmax())]
-        return pd.DataFrame({"mask_id": v["mask_id"].iloc[0] if len(v) else 0, "vid": np.arange(len(out)), "x": out[:, 0], "y": out[:, 1], "z": out[:, 2]})
-
-    both = _fresh(rows, "vid", "x", "y", "z", "sx", "sy", "sz").groupBy("mask_id").cogroup(_fresh(faces, "i", "j", "k").groupBy("mask_id"))
-    return both.applyInPandas(look, "mask_id long, vid long, x double, y double, z double")
+        _, at, corner = _mesh(v, f)
+        if not len(at):
+            return pd.DataFrame({"mask_id": [], "vid": [], "x": [], "y": [], "z": []})
+        at = at - at.mean(0)
+        out = looked_up(at, inflate(at, corner, iterations), corner, ways)
+        return pd.DataFrame({"mask_id": v["mask_id"].iloc[0], "vid": np.arange(len(out)), "x": out[:, 0], "y": out[:, 1], "z": out[:, 2]})
+
+    return _per_mesh(vertices, faces, look, "mask_id long, vid long, x double, y double, z double")
 
 
 def point_voxels(points: DataFrame, shape: tuple[int, int, int], subdivisions: int = 3, samples: int = 50_000, seed: int = 0) -> DataFrame:
@@ -254,8 +276,32 @@ def vector_harmonics(mapped: DataFrame, lmax: int) -> DataFrame:
     return mapped.groupBy("mask_id").applyInPandas(fit, "mask_id long, l int, m int, cx double, cy double, cz double")
 
 
-def vector_points(coefficients: DataFrame, lmax: int, density: int = 4) -> DataFrame:
-    """mask_id, t, p, x, y, z: the surface at density * lmax polar angles and twice as many azimuths, ends included."""
+def vector_fit(vertices: DataFrame, faces: DataFrame, lmax: int, iterations: int = 100) -> DataFrame:
+    """mask_id, centroid, most, l, m, cx, cy, cz: vector_harmonics of a mesh about its mean vertex, scaled by its farthest one, at the angles of its inflation.
+
+    Each row carries its mesh's size, so coefficients and sizes come from one pass. A mesh of one place has `most` 0 and no rows.
+    """
+    degree = [(n, m) for n in range(lmax + 1) for m in range(-n, n + 1)]
+
+    def fit(v: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        _, at, corner = _mesh(v, f)
+        centroid = at.mean(0) if len(at) else np.zeros(3)
+        most = float(np.linalg.norm(at - centroid, axis=1).max(initial=0))
+        n, m = np.array(degree if most else []).reshape(-1, 2).T
+        c = np.zeros((len(n), 3))
+        if most:
+            unit = (at - centroid) / most
+            x, y, z = inflate(unit, corner, iterations).T
+            basis = harmonics.real_harmonics(lmax, np.arctan2(np.hypot(x, y), z), np.arctan2(y, x) % (2 * np.pi))
+            c = np.linalg.lstsq(basis, unit, rcond=None)[0]
+        out = {"mask_id": v["mask_id"].iloc[0] if len(v) else 0, "centroid": [centroid.tolist()] * len(n), "most": most, "l": n, "m": m, "cx": c[:, 0], "cy": c[:, 1], "cz": c[:, 2]}
+        return pd.DataFrame(out, index=range(len(n)))
+
+    return _per_mesh(vertices, faces, fit, "mask_id long, centroid array<double>, most double, l int, m int, cx double, cy double, cz double")
+
+
+def vector_points(coefficients: DataFrame, lmax: int, density: int = 4, sized: bool = False) -> DataFrame:
+    """mask_id, t, p, x, y, z: the surface at density * lmax polar angles and twice as many azimuths, ends included; sized: with the coefficients' centroid and most."""
     n = density * lmax
 
     def shape(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,15 +310,18 @@ def vector_points(coefficients: DataFrame, lmax: int, density: int = 4) -> DataF
         for part in parts:
             for row in part.itertuples(index=False):
                 basis = y[:, row.l * row.l + row.l + row.m]
-                yield pd.DataFrame({"mask_id": row.mask_id, "t": t, "p": p} | {c: basis @ getattr(row, f"c{c}") for c in "xyz"})
+                size = {"centroid": [row.centroid] * len(t), "most": row.most} if sized else {}
+                yield pd.DataFrame({"mask_id": row.mask_id, "t": t, "p": p} | {c: basis @ getattr(row, f"c{c}") for c in "xyz"} | size)
 
     got = _gathered(coefficients.filter(F.col("l") <= lmax), ["l", "m"], "cx", "cy", "cz")
-    return got.mapInPandas(shape, "mask_id long, t int, p int, x double, y double, z double")
+    return got.mapInPandas(shape, "mask_id long, t int, p int, x double, y double, z double" + (", centroid array<double>, most double" if sized else ""))
 
 
-def vector_voxels(coefficients: DataFrame, sizes: DataFrame, shape: tuple[int, int, int], lmax: int, density: int = 4) -> DataFrame:
-    """Masks from coefficients of vertices that were scaled by sizes (mask_id, centroid, most)."""
-    rows = vector_points(coefficients, lmax, density).join(sizes.select("mask_id", "centroid", "most"), "mask_id")
+def vector_voxels(coefficients: DataFrame, sizes: DataFrame | None, shape: tuple[int, int, int], lmax: int, density: int = 4) -> DataFrame:
+    """Masks from coefficients of vertices that were scaled by sizes (mask_id, centroid, most), which may be columns of the coefficients instead."""
+    if sizes is not None:
+        coefficients = coefficients.join(sizes.select("mask_id", "centroid", "most"), "mask_id")
+    rows = vector_points(coefficients, lmax, density, sized=True)
     return thick(rows.select("mask_id", *[(F.col(c) * F.col("most") + F.col("centroid")[i]).alias(c) for i, c in enumerate("xyz")]), shape)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Masks of a block, and words of a part, in the Gram strategy.
 BLOCK, PART = 128, 4096
 #: Points of a block of near points.
-POINTS = 256
+POINTS = 512
 
 
 def _blocks(meta: DataFrame, block: int) -> int:
@@ -79,42 +79,61 @@ def dice_gram(meta: DataFrame, sizes: DataFrame, words: DataFrame, block: int =
     return _dice(meta, sizes, sums.groupBy("id_a", "id_b").agg(F.sum("n").alias("both")), None)
 
 
-def point_blocks(points: np.ndarray, most: int = POINTS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Points in blocks of at most so many near ones, by halving at the median of the longest side: points, least, greatest corner."""
+class Near(NamedTuple):
+    """A block of near points: their box, and two matrices; left @ right' of two blocks are the squared distances."""
+
+    points: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+
+def point_blocks(points: np.ndarray, most: int = POINTS) -> list[Near]:
+    """Points, of whole numbers, in blocks of at most so many near ones, by halving at the median of the longest side."""
     todo, out = [points], []
+    # Squared distances of such points fit the digits of a float32.
+    kind = np.float32 if np.abs(points).max(initial=0) <= 1000 else np.float64
     while todo:
         part = todo.pop()
         low, high = part.min(0), part.max(0)
-        if len(part) <= most:
-            out.append((part, low, high))
-        else:
+        if len(part) > most:
             axis, half = int((high - low).argmax()), len(part) // 2
             order = np.argpartition(part[:, axis], half)
             todo += [part[order[:half]], part[order[half:]]]
+            continue
+        square, one = (part * part).sum(1)[:, None], np.ones((len(part), 1))
+        out.append(Near(part, low, high, np.hstack([part, square, one]).astype(kind), np.hstack([-2 * part, one, square]).astype(kind)))
     return out
 
 
-def nearest_squares(a: list, b: list) -> np.ndarray:
+def nearest_squares(a: list[Near], b: list[Near]) -> np.ndarray:
     """For each point of the blocks a, in their order, the squared distance to the nearest of the blocks b.
 
     A block of a meets b's blocks from the nearest box on, until none that is left can be nearer than what was found.
     """
     out = []
-    lows, highs = np.array([x[1] for x in b]), np.array([x[2] for x in b])
-    for points, low, high in a:
-        gap = np.maximum(np.maximum(lows - high, low - highs), 0)
+    lows, highs = np.array([x.low for x in b]), np.array([x.high for x in b])
+    for x in a:
+        gap = np.maximum(np.maximum(lows - x.high, x.low - highs), 0)
         bound = (gap * gap).sum(1)
-        best, own = np.full(len(points), np.inf), (points * points).sum(1)
+        best = np.full(len(x.points), np.inf)
         for k in np.argsort(bound, kind="stable"):
             if bound[k] >= best.max():
                 break
-            other = b[k][0]
-            d = (other * other).sum(1)[None, :] - 2 * (points @ other.T)
-            np.minimum(best, d.min(1) + own, out=best)
+            np.minimum(best, (x.left @ b[k].right.T).min(1), out=best)
         out.append(best)
     return np.concatenate(out)
 
 
+def both_nearest(a: list[Near], b: list[Near]) -> tuple[np.ndarray, np.ndarray]:
+    """nearest_squares there and back; of two single blocks from the same products."""
+    if len(a) == len(b) == 1:
+        d = a[0].left @ b[0].right.T
+        return d.min(1).astype(float), d.min(0).astype(float)
+    return nearest_squares(a, b), nearest_squares(b, a)
+
+
 def surface_distances(meta: DataFrame, points: DataFrame, block: int = 32) -> DataFrame:
     """id_a, id_b, hausdorff, mean_dist between the surfaces' points, in voxels; null if a surface has none.
 
@@ -139,7 +158,7 @@ def surface_distances(meta: DataFrame, points: DataFrame, block: int = 32) -> Da
                 elif i == j:
                     out.append((ids[i], ids[j], 0.0, 0.0))
                 else:
-                    there, back = np.sqrt(nearest_squares(sets[i], sets[j])) / 2, np.sqrt(nearest_squares(sets[j], sets[i])) / 2
+                    there, back = (np.sqrt(d) / 2 for d in both_nearest(sets[i], sets[j]))
                     out.append((ids[i], ids[j], max(there.max(), back.max()), (there.mean() + back.mean()) / 2))
         return pd.DataFrame(out, columns=["id_a", "id_b", "hausdorff", "mean_dist"])
 

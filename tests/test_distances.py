@@ -55,7 +55,7 @@ def test_nearest_in_blocks_as_all_pairs():
 def test_far_blocks_are_left_out():
     """Two long sheets: each block of one meets a few blocks of the other, not all."""
     g = np.stack(np.meshgrid(np.arange(400.0), np.arange(40.0), [0.0], indexing="ij"), -1).reshape(-1, 3)
-    a, b = overlap.point_blocks(g), overlap.point_blocks(g + [0.0, 0.0, 3.0])
+    a, b = overlap.point_blocks(g, 256), overlap.point_blocks(g + [0.0, 0.0, 3.0], 256)
     met = []
 
     class Counted(np.ndarray):
@@ -63,5 +63,5 @@ def test_far_blocks_are_left_out():
             met.append(1)
             return np.asarray(self) @ np.asarray(other)
 
-    got = overlap.nearest_squares([(p.view(Counted), low, high) for p, low, high in a], b)
+    got = overlap.nearest_squares([x._replace(left=x.left.view(Counted)) for x in a], b)
     assert (got == 9).all() and len(met) < 6 * len(a) < len(a) * len(b) / 8
