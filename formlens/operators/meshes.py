@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import sparse
+
 
 def icosphere(subdivisions: int) -> tuple[np.ndarray, np.ndarray]:
     """Vertices on the unit sphere, 10 * 4**s + 2, and faces, 20 * 4**s."""
@@ -179,14 +181,17 @@ def cotangent_laplacian(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return w.select("mask_id", "i", "j", (-F.col("w")).alias("w")).unionByName(diagonal)
 
 
+def laplacian_rows(got: pd.DataFrame) -> tuple[np.ndarray, sparse.Rows]:
+    """The vids of a mesh's Laplacian (i, j, w), in order, and its rows."""
+    ids, back = np.unique(np.concatenate([got["i"], got["j"]]), return_inverse=True)
+    return ids, sparse.Rows(len(ids), back[: len(got)], back[len(got) :], got["w"].to_numpy())
+
+
 def spectrum(laplacian: DataFrame, k: int) -> DataFrame:
-    """mask_id, eigenvalues (the k smallest), modes (k arrays over the vertices in order of vid), by a dense solve a mesh."""
+    """mask_id, eigenvalues (the k smallest), modes (k arrays over the vertices in order of vid), by a sparse solve a mesh."""
     def solve(got: pd.DataFrame) -> pd.DataFrame:
-        ids, back = np.unique(np.concatenate([got["i"], got["j"]]), return_inverse=True)
-        a = np.zeros((len(ids), len(ids)))
-        np.add.at(a, (back[: len(got)], back[len(got) :]), got["w"].to_numpy())
-        values, vectors = np.linalg.eigh((a + a.T) / 2)
-        return pd.DataFrame({"mask_id": got["mask_id"].iloc[:1], "eigenvalues": [values[:k].tolist()], "modes": [vectors[:, :k].T.tolist()]})
+        values, vectors = sparse.smallest(laplacian_rows(got)[1], k)
+        return pd.DataFrame({"mask_id": got["mask_id"].iloc[:1], "eigenvalues": [values.tolist()], "modes": [vectors.T.tolist()]})
 
     return laplacian.groupBy("mask_id").applyInPandas(solve, "mask_id long, eigenvalues array<double>, modes array<array<double>>")
 

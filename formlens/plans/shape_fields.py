@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import chains, fields, masks, overlap
+from pyspark.sql import functions as F
+
+from ..operators import chains, decimation, fields, masks, mesh_modes, meshes, overlap
 from ..sources import cohorts
 from .catalogue import _MANY, SHAPE, query, r, rounded
 
@@ -50,3 +52,34 @@ def surface_distances_cohort(spark, sf_dir):
     """Both distances of all pairs of suppliers' masks; hausdorff_matrix and mean_surface_distance are the same with SQL, over fewer masks."""
     meta, voxel = cohorts.masks(spark, sf_dir, "supplier")
     return overlap.surface_distances(meta, masks.surface_points(voxel, SHAPE).distinct(), block=64)
+
+
+@query("SELECT s_suppkey::BIGINT AS mask_id, k::INT AS k, true AS solved, k = 0 AS constant FROM supplier, range(8) g(k)")
+def surface_modes_residual(spark, sf_dir):
+    """The modes of the masks' surfaces, put back into the Laplacian by a join; only the first eigenvalue is 0."""
+    laplacian = meshes.cotangent_laplacian(*fields.level_mesh(cohorts.masks(spark, sf_dir, "supplier")[1], SHAPE, 0.0))
+    left = mesh_modes.residuals(laplacian, mesh_modes.modes(laplacian, 8))
+    return left.select("mask_id", "k", (F.col("residual") < 1e-8).alias("solved"), (F.abs("eigenvalue") < 1e-8).alias("constant"))
+
+
+@query(f"{_MANY} SELECT par.mask_id, 60::BIGINT AS points, 2::BIGINT AS euler, 0::BIGINT AS open_edges, true AS near FROM par")
+def decimated_surface(spark, sf_dir):
+    """Surfaces of 60 vertices: as many as asked for, closed, of one piece without handles, with the volume of the voxels within a tenth."""
+    voxel = cohorts.masks(spark, sf_dir, "supplier")[1]
+    vertices, faces = decimation.decimated(*fields.level_mesh(voxel, SHAPE, 0.0), 60)
+    got = meshes.measures(vertices, faces).join(vertices.groupBy("mask_id").agg(F.count("*").alias("points")), "mask_id")
+    got = got.join(voxel.groupBy("mask_id").agg(F.count("*").alias("n")), "mask_id")
+    return got.select("mask_id", "points", "euler", "open_edges", (F.abs(F.col("volume") / F.col("n") - 1) < 0.1).alias("near"))
+
+
+@query()
+def mask_spectra(spark, sf_dir):
+    """Normalised eigenvalues of the masks' surfaces; tested on a ball, whose are l (l + 1)."""
+    rows = chains.mask_spectra(cohorts.masks(spark, sf_dir, "supplier")[1], SHAPE, 10, normalise=True)
+    return rows.select("mask_id", F.posexplode("eigenvalues").alias("k", "eigenvalue"))
+
+
+@query()
+def laplace_chain(spark, sf_dir):
+    """Modes of the decimated surfaces in their frames; tested as a round trip."""
+    return chains.laplace_chain(cohorts.masks(spark, sf_dir, "supplier")[1], SHAPE, 12, 100)
