@@ -8,8 +8,9 @@ longer repeated string is the union of such strings. What they cover is removed:
 
 - Outside marked articles (article, main or that role) each block that is covered for four fifths, and in any block what
   half of the host's pages repeat.
-- In a marked article only what half of the host's pages repeat and starts or ends a block: a share line, 'read also', a
-  licence notice. Passages that some articles share are main text.
+- In a marked article only what starts or ends a block in the text of nearly all of the host's pages, of which there must
+  be a few: a share line, 'read also', a licence notice. Passages that some articles share are main text, on hosts of few
+  pages those that all share too, and so is what stands in other pages' adverts or menus.
 - A block whose name may mean anything (related, share, social, toc, login ...) if half of it is covered.
 
 A string counts if it is on `distinct_pages` pages or more, and on `share` of the host's. Then blocks that markup names
@@ -67,6 +68,8 @@ ATTRIBUTES = 4096
 
 #: A page's own text is this share of its tokens at least.
 OWN = 0.1
+#: In marked articles strings are cut that stand in the text of this share of the host's pages, if it has so many.
+FIRM, FIRM_PAGES = 0.9, 5
 #: Characters of pages whose tokens are made together.
 AT_ONCE = 1 << 20
 #: Between blocks, as a word of the token stream.
@@ -103,7 +106,7 @@ def main_text(pages: DataFrame, run: int = 8, distinct_pages: int = 3, share: fl
     found = stage(_found(hits, hosts, distinct_pages, share), "found")
     cuts = stage(hits.select("host", "page", "gram", "touches").join(small(found, 32), ["host", "gram"]), "cuts")
     # Only pages from whose text they may be cut need them.
-    touched = stage(cuts.groupBy("host", "page").agg(F.count("*").alias("n_repeated"), F.bool_or((F.col("touches") > 1) | (F.col("touches") > 0) & F.col("wide")).alias("touched")), "touched")
+    touched = stage(cuts.groupBy("host", "page").agg(F.count("*").alias("n_repeated"), F.bool_or((F.col("touches") > 1) | (F.col("touches") > 0) & (F.col("wide") > 1)).alias("touched")), "touched")
     lists = cuts.join(small(touched.filter("touched").select("host", "page"), 24), ["host", "page"]).groupBy("host", "page").agg(F.collect_list(F.struct("gram", "wide")).alias("grams"))
     cuts = touched.drop("touched").join(sized(stage(lists, "lists"), "grams", 12), ["host", "page"], "left")
     cuts = sized(stage(cuts, "page_cuts"), "grams", 12)
@@ -113,7 +116,7 @@ def main_text(pages: DataFrame, run: int = 8, distinct_pages: int = 3, share: fl
 
 
 def _found(hits: DataFrame, hosts: DataFrame, distinct_pages: int, share: float) -> DataFrame:
-    """host, gram, wide (on half of the host's pages) of the strings that are frequent, by distinct pages. hits: host, page, gram, inner, within (how many start in what may be text, in all and of this one)."""
+    """host, gram, wide (1 on half of the host's pages, 2 in the text of nearly all, of which there are a few) of the strings that are frequent, by distinct pages. hits: host, page, gram, inner, within (how many start in what may be text, in all and of this one)."""
     often = stage(hits.groupBy("host", "gram").agg(F.count("*").alias("n")).filter(F.col("n") >= distinct_pages), "often")
     known = hits.join(small(often, 32), ["host", "gram"])
     inner = F.sum("within").alias("covered")
@@ -124,9 +127,12 @@ def _found(hits: DataFrame, hosts: DataFrame, distinct_pages: int, share: float)
     # Pages without a repeated string are distinct too.
     less = kinds.groupBy("host").agg((F.count("*") - F.count_distinct("kind")).alias("less"))
     all_ = stage(hosts.join(less, "host", "left").select("host", (F.col("pages") - F.coalesce("less", F.lit(0))).alias("all")), "distinct_pages")
-    n = known.select("host", "page", "gram").join(small(kinds.select("host", "page", "kind"), 32), ["host", "page"]).groupBy("host", "gram", "kind").count().groupBy("host", "gram").agg(F.count("*").alias("n"))
+    each = known.select("host", "page", "gram", "within").join(small(kinds.select("host", "page", "kind"), 32), ["host", "page"])
+    each = each.groupBy("host", "gram", "kind").agg(F.max("within").alias("within"))
+    n = each.groupBy("host", "gram").agg(F.count("*").alias("n"), F.count_if(F.col("within") > 0).alias("inside"))
     n = n.join(small(all_, 24), "host").filter((F.col("n") >= distinct_pages) & (F.col("n") >= share * F.col("all")))
-    return n.select("host", "gram", (2 * F.col("n") >= F.col("all")).alias("wide"))
+    firm = (F.col("all") >= FIRM_PAGES) & (F.col("inside") >= FIRM * F.col("all"))
+    return n.select("host", "gram", F.when(firm, 2).when(2 * F.col("n") >= F.col("all"), 1).otherwise(0).alias("wide"))
 
 
 def _tags(markup: str) -> Iterator[tuple[str, str, str, str]]:
@@ -289,7 +295,7 @@ def _tokens(blocks: list[Block]) -> np.ndarray:
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Pages together: the first one's row, all tokens (32 bits of each), where each page's begin and end in them, and whether each is in what may be text: 1 if only wide strings are cut there, else 2."""
+    """Pages together: the first one's row, all tokens (32 bits of each), where each page's begin and end in them, and whether each is in what may be text: 1 if only the widest strings are cut there, else 2."""
     held, first, size = [], 0, 0
     for row, x in enumerate(column):
         markup = x.as_py() or ""
@@ -427,8 +433,8 @@ def _covered(runs: np.ndarray, found: np.ndarray, block: np.ndarray, run: int) -
     return cover(at[block[at] == block[at + run - 1]]) | whole[block]
 
 
-def without_repeats(blocks: list[Block], found: dict[int, bool], run: int) -> list[str]:
-    """The page's text as blocks. found: the host's repeated runs, and whether half of its pages have them."""
+def without_repeats(blocks: list[Block], found: dict[int, int], run: int) -> list[str]:
+    """The page's text as blocks. found: the host's repeated runs, and how wide they are."""
     may = _may(blocks)
     starts = _starts(blocks)
     n = int(starts[-1]) + 1
@@ -437,12 +443,12 @@ def without_repeats(blocks: list[Block], found: dict[int, bool], run: int) -> li
     apart = 2 * block
     apart[starts] += 1  # the marks
     some = _covered(runs, np.array(list(found), np.int64), apart, run)
-    wide = _covered(runs, np.array([k for k, x in found.items() if x], np.int64), apart, run)
-    gone, rough = np.zeros(n, bool), np.zeros(n, bool)  # by strings of half of the pages; by others too
+    wide, firm = (_covered(runs, np.array([k for k, x in found.items() if x >= least], np.int64), apart, run) for least in (1, 2))
+    gone, rough = np.zeros(n, bool), np.zeros(n, bool)  # by strings of half of the pages or more; by others too
     keep = may.copy()
     for i, (_, kind, within) in enumerate(blocks):
         lo, hi = int(starts[i]) + 1, int(starts[i + 1])
-        w = wide[lo:hi]
+        w = (firm if within else wide)[lo:hi]
         if within:
             ahead, behind = int(np.argmin(w)) if not w.all() else len(w), int(np.argmin(w[::-1])) if not w.all() else len(w)
             gone[lo : lo + ahead] = gone[hi - behind : hi] = True

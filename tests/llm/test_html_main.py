@@ -1,3 +1,4 @@
+import html
 import random
 import re
 import time
@@ -10,6 +11,7 @@ import pytest
 
 from formlens.llm import html_main
 from formlens.llm.html_main import main_text, suffix_order
+from formlens.llm.queries import op4_html_extraction
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></ul></nav><!-- <p>no</p> --><div class="ad">Buy</div>
@@ -31,13 +33,27 @@ def test_blocks():
     assert blocks_of("<p>1 < 2 & 3 > 2</p>")[1] == ["1 < 2 & 3 > 2"]
 
 
-def test_generated_pages():
-    for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist():
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_generated_pages(spark, sf):
+    """The query gives each page's article, whole, and nothing else."""
+    want = {}
+    for r in pq.read_table(f"/root/testdata/{sf}/pages.parquet").to_pylist():
         inner = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
-        import html
-
-        want = [" ".join(html.unescape(re.sub(r"<br>|</?b>", " " if "br" in x else "", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner.replace("<br>", " ")) if x.strip()]
-        assert blocks_of(r["html"])[1] == [x for x in want if x]
+        blocks = [" ".join(html.unescape(re.sub(r"<br>|</?b>", " " if "br" in x else "", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner.replace("<br>", " ")) if x.strip()]
+        want[r["page_id"]] = [x for x in blocks if x]
+        assert blocks_of(r["html"])[1] == want[r["page_id"]]
+    got = {r.page_id: r.text for r in op4_html_extraction(spark, f"/root/testdata/{sf}").collect()}
+    assert [k for k in want if got[k] != "\n\n".join(want[k])] == [] and len(got) == len(want)
+
+
+def test_articles_of_small_hosts_stay_whole(spark):
+    """A sentence in three of three articles, in another page's advert, or at the beginning of half of a host's articles is text."""
+    line = "the same opening sentence of eight words or more stands here"
+    rows = [("s.com", f"<article><h1>{line}</h1><p>{own(i)}</p></article>") for i in range(3)]
+    rows += [("a.com", f"<article><p>{line}</p><p>{own(10 + i)}</p></article>" if i < 4 else f'<div class="ad">{line}</div><article><p>{own(10 + i)}</p></article>') for i in range(8)]
+    rows += [("h.com", f"<article><p>{line * (i % 2)}</p><p>{own(30 + i)}</p></article>") for i in range(12)]
+    want = [f"{line}\n\n{own(i)}" for i in range(3)] + [f"{line}\n\n{own(10 + i)}" if i < 4 else own(10 + i) for i in range(8)]
+    assert texts(spark, rows) == want + [f"{line}\n\n{own(30 + i)}" if i % 2 else own(30 + i) for i in range(12)]
 
 
 def test_runs_of_a_host_are_cut(spark):
