@@ -44,6 +44,8 @@ RULES = (
     UrlRule("net", "/es/", "block"),
     UrlRule("net", "/fr/", "block"),
 )
+#: The purity that other hosts' labels can give at most.
+PRIOR = 0.5
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _RESULT = ("host", "path", "rule", "verdict")
 
@@ -119,31 +121,34 @@ def merged(tree: DataFrame, by: list[str], z: float) -> DataFrame:
     rows = rows.join(measured(stage(branch, "branches")), [*by, "depth", "parent", "side"], "left")
     alike = F.coalesce(~_apart(F.col("blocked"), n, F.try_divide("b", F.col("a") + F.col("b")), z), F.lit(False))
     counts = [F.when(alike, F.col(x)).otherwise(F.col(own)).alias(own) for x, own in (("a", "allowed"), ("b", "blocked"))]
-    return rows.select(*by, "depth", "node", *counts)
+    return rows.select(*[c for c in tree.columns if c not in ("parent", "allowed", "blocked")], *counts)
 
 
 def verdicts(shapes: DataFrame, levels: int, fan_out: int, least_share: float, smoothing: float, z: float, purity: float) -> DataFrame:
     """host, shape, blocks for staged rows host, shape (array), n, allowed, blocked."""
     flat = templates(shapes, levels, fan_out, least_share)
-    kinds = flat.groupBy("host", "template").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"))
+    kinds = flat.groupBy("host", "template").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"), F.sum("n").alias("n"))
     nodes = kinds.select("*", F.explode(F.sequence(F.lit(0), F.size("template"))).alias("depth"))
     cut = lambda d: F.array_join(F.slice("template", 1, d), "/")
     nodes = stage(nodes.withColumn("node", cut(F.col("depth"))).withColumn("parent", F.when(F.col("depth") > 0, cut(F.col("depth") - 1))), "nodes")
     counts = [F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")]
-    own = stage(nodes.groupBy("host", "depth", "node", "parent").agg(*counts), "own_counts")
+    own = stage(nodes.groupBy("host", "depth", "node", "parent").agg(*counts, (F.sum("n") - F.sum("allowed") - F.sum("blocked")).alias("open")), "own_counts")
     of_all = stage(own.groupBy("depth", "node", "parent").agg(*counts), "all_counts")
     own, of_all = stage(merged(own, ["host"], z), "own_branches"), stage(merged(of_all, [], z), "all_branches")
     keys = nodes.select("host", "template", "depth", "node")
-    both = keys.join(measured(of_all), ["depth", "node"]).withColumn("own", F.lit(0))
+    both = keys.join(measured(of_all), ["depth", "node"]).withColumn("own", F.lit(0)).withColumn("open", F.lit(0).cast("long"))
     both = both.unionByName(keys.join(measured(own), ["host", "depth", "node"]).withColumn("own", F.lit(1)))
-    chain = F.sort_array(F.collect_list(F.struct("depth", "own", "allowed", "blocked")))
+    chain = F.sort_array(F.collect_list(F.struct("own", "depth", "allowed", "blocked", "open")))
     told = both.groupBy("host", "template").agg(chain.alias("chain"))
 
     def down(p: Column, x: Column) -> Column:
         n = (x["allowed"] + x["blocked"]).cast("double")
-        return F.when((n > 0) & _apart(x["blocked"], n, p, z), (x["blocked"] + smoothing * p) / (n + smoothing)).otherwise(p)
+        held = x["open"] + F.lit(float(smoothing))
+        return F.when((n > 0) & _apart(x["blocked"], n, p, z), (x["blocked"] + held * p) / (n + held)).otherwise(p)
 
-    told = told.select("host", "template", (F.aggregate("chain", F.lit(0.5), down) >= purity).alias("blocks"))
+    prior = F.least(F.lit(PRIOR), F.aggregate(F.filter("chain", lambda x: x["own"] == 0), F.lit(0.5), down))
+    purity_of = F.aggregate(F.filter("chain", lambda x: x["own"] == 1), prior, down)
+    told = told.select("host", "template", (purity_of >= purity).alias("blocks"))
     return flat.join(measured(stage(told, "purities")), ["host", "template"]).select("host", "shape", "blocks")
 
 
@@ -156,6 +161,11 @@ g{i} AS (SELECT g.host, g.shape, g.n, g.a, g.b, CASE WHEN len(g.shape) < {i} THE
   FROM g{i - 1} g LEFT JOIN w{i} w ON g.host = w.host AND array_to_string(g.t, '/') = w.parent AND g.shape[{i}] = w.name),""" for i in range(1, levels + 1))
     apart = lambda b, n, p: f"abs({b} / {n} - {p}) >= 1.96e0 * sqrt(greatest({p} * (1 - {p}), 1e-4) / {n})"
 
+    def down(chain: str, first: str) -> str:
+        share = "(y.b + (10e0 + y.u) * x.p) / (y.a + y.b + 10e0 + y.u)"
+        step = f"CASE WHEN y.a + y.b > 0 AND {apart('y.b', '(y.a + y.b)', 'x.p')} THEN {share} ELSE x.p END"
+        return f"list_reduce({chain}, lambda x, y: {{'a': y.a, 'b': y.b, 'u': y.u, 'p': {step}}}, {{'a': 0e0, 'b': 0e0, 'u': 0e0, 'p': {first}}}).p"
+
     def branches(name: str, tree: str, host: str) -> str:
         on = lambda x, y: f"{x}.host = {y}.host AND " if host else ""
         own = f"{host}, " if host else ""
@@ -181,15 +191,15 @@ r AS (SELECT page_id, host, path, rule, CASE WHEN len(s) <= {levels} THEN s ELSE
   rule IN ('example.com/en/', 'net/es/', 'net/fr/') AS bad FROM p),
 g0 AS (SELECT host, shape, count(*) AS n, count(*) FILTER (WHERE NOT bad) AS a, count(*) FILTER (WHERE bad) AS b, []::VARCHAR[] AS t
   FROM (SELECT DISTINCT host, path, shape, bad FROM r) GROUP BY host, shape),{steps}
-k AS (SELECT host, t, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM g{levels} GROUP BY ALL),
+k AS (SELECT host, t, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b, sum(n)::DOUBLE AS n FROM g{levels} GROUP BY ALL),
 nd AS (SELECT *, array_to_string(t[:d], '/') AS node, CASE WHEN d > 0 THEN array_to_string(t[:d - 1], '/') END AS parent FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM k)),
-ow AS (SELECT host, d, node, parent, sum(a) AS a, sum(b) AS b FROM nd GROUP BY ALL),
+ow AS (SELECT host, d, node, parent, sum(a) AS a, sum(b) AS b, sum(n) - sum(a) - sum(b) AS open FROM nd GROUP BY ALL),
 al AS (SELECT d, node, parent, sum(a) AS a, sum(b) AS b FROM ow GROUP BY ALL),{branches("o1", "ow", "host")}{branches("a1", "al", "")}
-bo AS (SELECT nd.host, nd.t, 0 AS o, nd.d, x.a, x.b FROM nd JOIN a1 x ON x.d = nd.d AND x.node = nd.node
-  UNION ALL SELECT nd.host, nd.t, 1, nd.d, x.a, x.b FROM nd JOIN o1 x ON x.host = nd.host AND x.d = nd.d AND x.node = nd.node),
-cn AS (SELECT host, t, list({{'a': a, 'b': b, 'p': 0.5e0}} ORDER BY d, o) AS chain FROM bo GROUP BY host, t),
-pu AS (SELECT host, t, list_reduce(chain, lambda x, y: {{'a': y.a, 'b': y.b, 'p': CASE WHEN y.a + y.b > 0 AND
-  {apart("y.b", "(y.a + y.b)", "x.p")} THEN (y.b + 10e0 * x.p) / (y.a + y.b + 10e0) ELSE x.p END}}, {{'a': 0e0, 'b': 0e0, 'p': 0.5e0}}).p AS p FROM cn)
+bo AS (SELECT nd.host, nd.t, 0 AS o, nd.d, x.a, x.b, 0e0 AS open FROM nd JOIN a1 x ON x.d = nd.d AND x.node = nd.node
+  UNION ALL SELECT nd.host, nd.t, 1, nd.d, x.a, x.b, x.open FROM nd JOIN o1 x ON x.host = nd.host AND x.d = nd.d AND x.node = nd.node),
+cn AS (SELECT host, t, list({{'a': a, 'b': b, 'u': open, 'p': 0.5e0}} ORDER BY d) FILTER (o = 0) AS others, list({{'a': a, 'b': b, 'u': open, 'p': 0.5e0}} ORDER BY d) FILTER (o = 1) AS own FROM bo GROUP BY host, t),
+pr AS (SELECT host, t, own, least({PRIOR}e0, {down("others", "0.5e0")}) AS p FROM cn),
+pu AS (SELECT host, t, {down("own", "pr.p")} AS p FROM pr)
 SELECT r.page_id, r.host, r.path, r.rule, CASE WHEN r.rule IS NOT NULL THEN CASE WHEN r.bad THEN 'block' ELSE 'allow' END
   WHEN pu.p >= 0.7e0 THEN 'block' ELSE 'allow' END AS verdict
 FROM r JOIN g{levels} g ON r.host = g.host AND r.shape = g.shape JOIN pu ON g.host = pu.host AND g.t = pu.t

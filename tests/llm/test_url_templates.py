@@ -1,6 +1,7 @@
 import duckdb
 
 from formlens.llm import url_templates
+from formlens.llm.queries import op9_url_templates
 from formlens.llm.url_templates import UrlRule, judge, merged, templates
 
 
@@ -44,7 +45,24 @@ def test_copies_have_no_weight(spark):
         pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls * times)], "page_id long, url string")
         told.append({r.url: r.verdict for r in judge(pages).collect()})
     assert told[0] == told[1] == told[2]
-    assert told[0]["http://a.net/de/one"] == "allow"  # as on the other hosts, though all that is labelled on this one is blocked
+    assert told[0]["http://a.net/de/one"] == "allow"  # though all that is labelled on this host is blocked
+
+
+def test_other_hosts_never_block(spark):
+    """A template that is blocked on many hosts stays allowed on one without labels; on a labelled one its own labels decide."""
+    rules = (UrlRule("bad.net", "/ads/", "block"), UrlRule("own.org", "/ads/x", "block"), UrlRule("good.com", "/", "allow"))
+    urls = [f"http://{h}/ads/{'x' if k % 2 else 'y'}{k}" for h in ("a.bad.net", "b.bad.net", "c.bad.net", "own.org", "free.org") for k in range(60)]
+    urls += [f"http://good.com/{d}/{k}" for d in ("news", "about") for k in range(60)] + [f"http://own.org/news/{k}" for k in range(60)]
+    got = {r.url: r.verdict for r in judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    for url, verdict in got.items():
+        assert verdict == ("block" if "bad.net" in url or "own.org/ads" in url else "allow"), url
+
+
+def test_generated_hosts_without_labels_are_allowed(spark):
+    got = op9_url_templates(spark, "/root/testdata/sf0.01").collect()
+    labelled = {r.host for r in got if r.rule}
+    free = [r for r in got if r.host not in labelled]
+    assert len(free) > 20 and {r.verdict for r in free} == {"allow"}
 
 
 def test_what_follows_a_wildcard_is_generalised_together(spark):
