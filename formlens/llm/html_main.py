@@ -30,7 +30,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 from itertools import groupby
 
 import numpy as np
@@ -151,17 +151,20 @@ def _tags(markup: str) -> Iterator[tuple[str, str, str, str]]:
             missing.add(what)
         return k
 
-    text = 0
+    text, open_at, plain_at = 0, markup.find, _PLAIN.match
     while True:
-        at = find("<", at)
+        at = open_at("<", at)
         if at < 0 or at + 1 >= n:
             yield markup[text : at if 0 <= at else n], "", "", ""
             return
-        plain = _PLAIN.match(markup, at)
-        if plain and plain[2].lower() not in RAW:
-            yield markup[text:at], "end" if plain[1] else "start", plain[2].lower(), ""
-            at = text = plain.end()
-            continue
+        plain = plain_at(markup, at)
+        if plain:
+            slash, name = plain.groups()
+            name = name.lower()
+            if name not in RAW:
+                yield markup[text:at], "end" if slash else "start", name, ""
+                at = text = plain.end()
+                continue
         c = markup[at + 1]
         if c in "!?":
             comment = markup.startswith("<!--", at)
@@ -216,8 +219,12 @@ def blocks_of(markup: str) -> list[Block]:
     kind, within = TEXT, False
 
     def end_block() -> None:
+        if not parts:
+            return
         text = "".join(parts)
         parts.clear()
+        if not text or text.isspace():
+            return
         if "&" in text:
             text = html.unescape(text)
         text = " ".join(text.replace(MARK, " ").split())
@@ -226,11 +233,14 @@ def blocks_of(markup: str) -> list[Block]:
 
     def close(k: int) -> None:
         nonlocal kind, within
-        if any(x[0] in BLOCK or x[1] != (open_[k - 1][1] if k else TEXT) for x in open_[k:]):
+        above = open_[k - 1][1] if k else TEXT
+        ends = False
+        while len(open_) > k:
+            name, own, _ = open_.pop()
+            ends |= own != above or name in BLOCK
+            count[name] -= 1
+        if ends:
             end_block()
-        for x in open_[k:]:
-            count[x[0]] -= 1
-        del open_[k:]
         _, kind, within = open_[-1] if open_ else ("", TEXT, False)
 
     def close_one(names: set[str] | frozenset[str], stops: set[str] | frozenset[str]) -> None:
@@ -244,12 +254,16 @@ def blocks_of(markup: str) -> list[Block]:
                 return
 
     for text, what, name, said in _tags(markup):
-        parts.append(text)
+        if text:
+            parts.append(text)
         if what == "raw":
             parts.append(" ")
         elif what == "end":
             if count.get(name):
-                close(next(k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == name))
+                k = len(open_) - 1
+                while open_[k][0] != name:
+                    k -= 1
+                close(k)
             elif name in BLOCK:
                 parts.append(" ")
         elif what == "start":
@@ -263,7 +277,7 @@ def blocks_of(markup: str) -> list[Block]:
                 parts.append(" ")
             if name in VOID or said.endswith("/") and (count.get("svg") or count.get("math")):
                 continue
-            told = {k.lower(): a or b or c for k, a, b, c in _SAID.findall(said)} if said else {}
+            told = _attributes(said) if said else {}
             own = CHROME if name in HIDDEN or name == "header" and not within else _kind(name, told)
             own = max(kind, own)
             here = within or own == TEXT and (name in ("article", "main") or told.get("role", "").lower() in ("main", "article"))
@@ -276,6 +290,12 @@ def blocks_of(markup: str) -> list[Block]:
     return out
 
 
+@lru_cache(1 << 12)
+def _attributes(said: str) -> dict[str, str]:
+    """What a tag says of the names in _SAID."""
+    return {k.lower(): a or b or c for k, a, b, c in _SAID.findall(said)}
+
+
 def _kind(name: str, said: dict[str, str]) -> int:
     if not said:
         return TEXT
