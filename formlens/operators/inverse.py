@@ -326,7 +326,7 @@ def vector_voxels(coefficients: DataFrame, sizes: DataFrame | None, shape: tuple
 
 
 def band_samples(field: DataFrame, samples: int = 50_000, seed: int = 0, parts: int = 16) -> DataFrame:
-    """mask_id, x, y, z, d2, band of cells of a distance field (mask_id, x, y, z, d2): half of the samples nearer than 2 to the surface, a quarter farther inside, a quarter farther outside.
+    """The columns of a distance field (mask_id, x, y, z, d2, ...) and band of some of its cells: half of the samples nearer than 2 to the surface, a quarter farther inside, a quarter farther outside.
 
     Without repeats; a band with fewer cells gives all. Cells are ordered by md5, first within parts of a band, so that
     no task orders a whole grid.
@@ -338,7 +338,7 @@ def band_samples(field: DataFrame, samples: int = 50_000, seed: int = 0, parts:
     rows = rows.withColumn("part", F.pmod(F.hash("at"), F.lit(parts)))
     for keys in (["mask_id", "band", "part"], ["mask_id", "band"]):
         rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("at", "x", "y", "z"))).filter(F.col("n") <= most)
-    return rows.select("mask_id", "x", "y", "z", "d2", "band")
+    return rows.select(*field.columns, "band")
 
 
 def repeated_samples(voxel: DataFrame, n: int, seed: int = 0) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .masks import per_mask
@@ -68,8 +68,10 @@ def signed_distances(mask: np.ndarray) -> np.ndarray:
     return np.sign(d) * np.sqrt(np.abs(d))
 
 
-def distance_blocks(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int], body: Callable[[int, np.ndarray], dict], schema: str, cells: int = BLOCK) -> DataFrame:
-    """mask_id and what body(y0, d2) gives for each block of every mask of meta: d2[x, y - y0, z] are its signed squared distances.
+def distance_blocks(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int], body: Callable[..., dict], schema: str, cells: int = BLOCK, known: tuple[str, ...] = ()) -> DataFrame:
+    """mask_id and what body(y0, d2, **known) gives for each block of every mask of meta: d2[x, y - y0, z] are its signed squared distances.
+
+    known: columns of meta, one value a mask, that travel with its planes.
 
     Planes of x are made alone, along z and y, and dealt out again in blocks of a few y and all x, where the envelope
     along x ends the distances. So a task holds a plane or about `cells` cells, no mask, and the field is shuffled once, as four
@@ -78,7 +80,7 @@ def distance_blocks(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, in
     nx, ny, nz = shape
     rows, together = max(1, cells // (nx * nz)), max(1, cells // (ny * nz))
     planes = voxel.groupBy("mask_id", "x").agg(F.collect_list((F.col("y") * nz + F.col("z")).cast("int")).alias("at"))
-    every = meta.select("mask_id").distinct().select("mask_id", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("x"))
+    every = meta.select("mask_id", *known).dropDuplicates(["mask_id"]).select("mask_id", *known, F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("x"))
 
     def along(planes: np.ndarray) -> np.ndarray:
         """Squared distances in each plane [plane, y, z] to its targets."""
@@ -97,28 +99,29 @@ def distance_blocks(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, in
                 d = np.minimum(np.where(own, along(~own), along(own)), _FAR32)
                 d = np.where(own, -d, d).astype(np.int32)
                 for block in range(0, ny, rows):
-                    yield pd.DataFrame({"mask_id": part["mask_id"], "block": block, "x": part["x"], "d": [x.tobytes() for x in d[:, block : block + rows]]})
+                    yield pd.DataFrame({"mask_id": part["mask_id"], **{c: part[c] for c in known}, "block": block, "x": part["x"], "d": [x.tobytes() for x in d[:, block : block + rows]]})
 
-    parts = every.join(planes, ["mask_id", "x"], "left").mapInPandas(flat, "mask_id long, block int, x int, d binary")
+    parts = every.join(planes, ["mask_id", "x"], "left").mapInPandas(flat, ", ".join(["mask_id long", *[f"{c} {meta.schema[c].dataType.simpleString()}" for c in known], "block int, x int, d binary"]))
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def whole(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
         got = got.sort_values("x")
         d = np.stack([np.frombuffer(x, np.int32) for x in got["d"]]).reshape(nx, -1, nz).astype(np.int64)
         far = lambda v: envelope(np.where(v >= _FAR32, FAR, np.maximum(v, 0)))
-        return pd.DataFrame({"mask_id": key[0], **body(int(key[1]), np.where(d < 0, -far(-d), far(d)))})[["mask_id", *names]]
+        return pd.DataFrame({"mask_id": key[0], **body(int(key[1]), np.where(d < 0, -far(-d), far(d)), **{c: got[c].iloc[0] for c in known})})[["mask_id", *names]]
 
     return parts.groupBy("mask_id", "block").applyInPandas(whole, f"mask_id long, {schema}")
 
 
-def distance_fields(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int], cells: int = BLOCK) -> DataFrame:
-    """mask_id, x, y, z, d2 (long): the signed squared distance of every cell, outside to the mask, inside (negative) to its outside."""
+def distance_fields(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int], cells: int = BLOCK, known: tuple[str, ...] = ()) -> DataFrame:
+    """mask_id, x, y, z, d2 (long), and meta's known columns: the signed squared distance of every cell, outside to the mask, inside (negative) to its outside."""
 
-    def body(y0: int, d2: np.ndarray) -> dict:
+    def body(y0: int, d2: np.ndarray, **row: object) -> dict:
         x, y, z = np.indices(d2.shape)
-        return {"x": x.ravel(), "y": y.ravel() + y0, "z": z.ravel(), "d2": d2.ravel()}
+        return {"x": x.ravel(), "y": y.ravel() + y0, "z": z.ravel(), "d2": d2.ravel()} | {c: [v] * d2.size for c, v in row.items()}
 
-    return distance_blocks(meta, voxel, shape, body, "x int, y int, z int, d2 long", cells)
+    kinds = [f"{c} {meta.schema[c].dataType.simpleString()}" for c in known]
+    return distance_blocks(meta, voxel, shape, body, ", ".join(["x int, y int, z int, d2 long", *kinds]), cells, known)
 
 
 @lru_cache(32)
@@ -174,14 +177,12 @@ def dct_features(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int],
     return lists.select("mask_id", F.when(F.size("c") > 0, F.col("c.v")).alias("features"))
 
 
-def coefficients(spark: SparkSession, order: int, sphere: bool = True) -> DataFrame:
-    """at, i, j, k: the place of each coefficient in the features."""
-    axes = [F.explode(F.sequence(F.lit(0), F.lit(order - 1))).alias(c) for c in "ijk"]
-    rows = spark.range(1).select(axes[0]).select("i", axes[1]).select("i", "j", axes[2])
-    if sphere:
-        rows = rows.filter(F.expr(f"i*i + j*j + k*k <= {order * order}"))
-    n = F.expr(f"(i * {order} + j) * {order} + k").alias("n")
-    return rows.select("i", "j", "k", n)
+def with_coefficients(rows: DataFrame, order: int, radius: Column | None = None) -> DataFrame:
+    """rows with i, j, k and n, the place in a cube of `order`, of each cosine coefficient; those within the radius (order, if none) of each row."""
+    for c in "ijk":
+        rows = rows.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(order - 1))))
+    most = F.lit(order) if radius is None else radius
+    return rows.filter(F.expr("i*i + j*j + k*k") <= most * most).withColumn("n", F.expr(f"(i * {order} + j) * {order} + k"))
 
 
 def long_features(features: DataFrame, order: int, sphere: bool = True) -> DataFrame:
@@ -207,15 +208,21 @@ def total_degree(order: int) -> np.ndarray:
     return np.array([(i, j, k) for i in range(order + 1) for j in range(order + 1 - i) for k in range(order + 1 - i - j)])
 
 
-def basis_terms(spark: SparkSession, order: int) -> DataFrame:
-    """i, j, k, idx: the terms of a total-degree basis and their places."""
-    rows = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(order))).alias("i"))
+def with_terms(rows: DataFrame, order: int) -> DataFrame:
+    """rows with i, j, k and idx: the terms of a total-degree basis and their places."""
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(order))))
     rows = rows.withColumn("j", F.explode(F.expr(f"sequence(0, {order} - i)"))).withColumn("k", F.explode(F.expr(f"sequence(0, {order} - i - j)")))
     # Terms before (i, j, k): whole tetrahedra of smaller i, then whole triangles of smaller j, then k.
     left, rest = f"({order} - i)", f"({order} - i - j)"
     tetra = lambda n: f"(({n} + 1) * ({n} + 2) * ({n} + 3) div 6)"
     tri = lambda n: f"(({n} + 1) * ({n} + 2) div 2)"
-    return rows.select("i", "j", "k", F.expr(f"cast({tetra(order)} - {tetra(left)} + {tri(left)} - {tri(rest)} + k as int)").alias("idx"))
+    return rows.withColumn("idx", F.expr(f"cast({tetra(order)} - {tetra(left)} + {tri(left)} - {tri(rest)} + k as int)"))
+
+
+def chebyshev_values(x: Column, order: int) -> Column:
+    """The Chebyshev polynomials up to the order (1 at least) at x as an array, by the recurrence."""
+    step = lambda a, n: F.array_append(a, 2.0 * x * F.get(a, n - 1) - F.get(a, n - 2))
+    return F.aggregate(F.sequence(F.lit(2), F.lit(order)), F.array(F.lit(1.0), x), step) if order > 1 else F.array(F.lit(1.0), x)
 
 
 def chebyshev(x: np.ndarray, order: int) -> np.ndarray:
@@ -268,12 +275,78 @@ def polynomial_mask(c: np.ndarray, shape: tuple[int, int, int], order: int, cheb
     return out
 
 
-def polynomial_features(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int], order: int, cheby: bool, alpha: float, whole: bool = False) -> DataFrame:
-    """mask_id, features, centre, scale of masks that aren't empty."""
+def frames_of(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int], cheby: bool) -> DataFrame:
+    """mask_id, centre, scale of masks that aren't empty: for Chebyshev polynomials those of the grid, for monomials those of the mask's box."""
+    box = voxel.groupBy("mask_id").agg(*[f(c).alias(f"{name}{c}") for c in "xyz" for f, name in ((F.min, "a"), (F.max, "b"))])
+    if cheby:
+        centre, scale = F.array(*[F.lit(n / 2) for n in shape]), F.lit(max(shape) / 2)
+    else:
+        centre = F.array(*[(F.col(f"a{c}") + F.col(f"b{c}")) / 2 for c in "xyz"])
+        scale = F.greatest(F.lit(1.0), F.greatest(*[F.col(f"b{c}") - F.col(f"a{c}") for c in "xyz"]) / 2 * 1.1)
+    return meta.select("mask_id").distinct().join(box, "mask_id").select("mask_id", centre.alias("centre"), scale.alias("scale"))
 
-    def body(_: int, mask: np.ndarray) -> Iterator[dict]:
-        if mask.any():
-            c, centre, scale = polynomial_fit(mask, order, cheby, alpha, whole=whole)
-            yield {"features": [c.tolist()], "centre": [centre.tolist()], "scale": [float(scale)]}
 
-    return per_mask(meta, voxel, shape, body, "mask_id long, features array<double>, centre array<double>, scale double")
+def normal_sums(rows: DataFrame, order: int, cheby: bool, held: int = 16) -> DataFrame:
+    """mask_id, centre, scale, at, v: the sums of a least-squares fit over rows mask_id, x, y, z, d2, centre, scale, in one array by place.
+
+    They are 1, y, the terms, the terms times y, and the products of the terms (row major). A task adds up what it reads,
+    `held` masks at most at a time, so rows need not be sorted, sampled or brought together; then tasks' sums are added.
+    """
+
+    def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, list] = {}
+
+        def told(some: list[int]) -> pd.DataFrame:
+            got = [(m, *sums.pop(m)) for m in some]
+            return pd.DataFrame({"mask_id": [g[0] for g in got], "centre": [g[1] for g in got], "scale": [g[2] for g in got], "v": [g[3].tolist() for g in got]})
+
+        for frame in frames:
+            for mask_id, part in frame.groupby("mask_id", sort=False):
+                centre, scale = part["centre"].iloc[0], float(part["scale"].iloc[0])
+                unit = (part[["x", "y", "z"]].to_numpy() - np.asarray(centre)) / scale
+                ok = (np.abs(unit) <= 1).all(1)
+                d2 = part["d2"].to_numpy()[ok].astype(np.float64)
+                y, a = np.sign(d2) * np.sqrt(np.abs(d2)) / scale, _design(unit[ok], order, cheby)
+                new = np.concatenate([[len(y), y.sum()], a.sum(0), a.T @ y, (a.T @ a).ravel()])
+                if mask_id in sums:
+                    sums[mask_id][2] += new
+                else:
+                    sums[mask_id] = [list(centre), scale, new]
+            if len(sums) > held:
+                yield told(list(sums)[:-1])
+        yield told(list(sums))
+
+    parts = rows.mapInPandas(summed, "mask_id long, centre array<double>, scale double, v array<double>")
+    each = parts.select("mask_id", "centre", "scale", F.posexplode("v").alias("at", "v"))
+    return each.groupBy("mask_id", "centre", "scale", "at").agg(F.sum("v").alias("v"))
+
+
+def solved(sums: DataFrame, order: int, cheby: bool, alpha: float, whole: bool = False) -> DataFrame:
+    """mask_id, features, centre, scale: the ridge coefficients of normal_sums; the intercept of monomials as in polynomial_fit."""
+    t = len(total_degree(order))
+
+    def solve(got: pd.DataFrame) -> pd.DataFrame:
+        v = np.zeros(2 + 2 * t + t * t)
+        v[got["at"]] = got["v"]
+        n, level, means, ay, aa = max(v[0], 1.0), v[1], v[2 : 2 + t], v[2 + t : 2 + 2 * t], v[2 + 2 * t :].reshape(t, t)
+        if cheby:
+            c = np.linalg.solve(aa + alpha * np.eye(t), ay)
+        else:
+            means, level = means / n, level / n
+            c = np.linalg.solve(aa - n * np.outer(means, means) + alpha * np.eye(t), ay - n * means * level)
+            if whole:
+                c[0] += level - means @ c
+        return pd.DataFrame({"mask_id": got["mask_id"].iloc[:1], "features": [c.tolist()], "centre": [list(got["centre"].iloc[0])], "scale": got["scale"].iloc[:1]})
+
+    return sums.groupBy("mask_id").applyInPandas(solve, "mask_id long, features array<double>, centre array<double>, scale double")
+
+
+def polynomial_features(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int], order: int, cheby: bool, alpha: float, whole: bool = False, samples: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """mask_id, features, centre, scale of masks that aren't empty, fitted to the signed distances of all cells.
+
+    samples: what of the field (mask_id, x, y, z, d2, centre, scale) is fitted instead, such as inverse.band_samples.
+    The normal equations are sums over cells, so no mask is whole in a task.
+    """
+    known = frames_of(meta, voxel, shape, cheby)
+    field = distance_fields(known, voxel, shape, known=("centre", "scale"))
+    return solved(normal_sums(samples(field) if samples else field, order, cheby), order, cheby, alpha, whole)

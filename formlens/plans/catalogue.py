@@ -371,28 +371,39 @@ def dct_cube_smooth_mask(spark, sf_dir):
     return transforms.smoothed(*cohorts.masks(spark, sf_dir, "nation"), SHAPE, order=4, sphere=False, saturation=None)
 
 
-@query("SELECT i::INT AS i, j::INT AS j, k::INT AS k, ((i * 16 + j) * 16 + k)::INT AS n FROM range(16) gi(i), range(16) gj(j), range(16) gk(k) WHERE i*i + j*j + k*k <= 256")
+@query(f"""{_MANY} SELECT mask_id, i::INT AS i, j::INT AS j, k::INT AS k, ((i * 6 + j) * 6 + k)::INT AS n FROM par, range(6) gi(i), range(6) gj(j), range(6) gk(k)
+WHERE i*i + j*j + k*k <= a * a""")
 def spectral_mask(spark, sf_dir):
-    return transforms.coefficients(spark, 16)
+    """The cosine coefficients of a cube of 6 that a mask keeps whose radius is its first half axis."""
+    rows = cohorts.ellipsoids(spark, sf_dir, "supplier").select("mask_id", "a")
+    return transforms.with_coefficients(rows, 6, F.col("a")).drop("a")
 
 
 def _terms_sql(order: int) -> str:
     return f"(SELECT i::INT AS i, j::INT AS j, k::INT AS k, (row_number() OVER (ORDER BY i, j, k) - 1)::INT AS idx FROM range({order + 1}) gi(i), range({order + 1}) gj(j), range({order + 1}) gk(k) WHERE i + j + k <= {order})"
 
 
-@query(f"SELECT i, j, k, idx, pow(2e0, i) * pow(3e0, j) * pow(0.5e0, k) AS value FROM {_terms_sql(8)}")
+def _centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mask_id, u, v, w: the masks' centres and sizes between -1 and 1."""
+    return cohorts.ellipsoids(spark, sf_dir, "supplier").select("mask_id", ((F.col("cx") - 8) / 9).alias("u"), ((F.col("cz") - 8) / 9).alias("v"), ((F.col("a") - 8) / 9).alias("w"))
+
+
+_CENTRES = f"{_MANY}, pos AS (SELECT mask_id, (cx - 8) / 9e0 AS u, (cz - 8) / 9e0 AS v, (a - 8) / 9e0 AS w FROM par)"
+
+
+@query(f"{_CENTRES} SELECT mask_id, i, j, k, idx, {r('pow(w, i) * pow(v, j) * pow(u, k)', 9)} AS value FROM pos, {_terms_sql(8)}")
 def monomial_basis(spark, sf_dir):
-    """The terms of order 8 and their values at (0.5, 3, 2)."""
-    return transforms.basis_terms(spark, 8).withColumn("value", F.pow(F.lit(2.0), "i") * F.pow(F.lit(3.0), "j") * F.pow(F.lit(0.5), "k"))
+    """The terms of order 8 and their values at each mask's centre; the first exponent is that of the last axis."""
+    rows = transforms.with_terms(_centres(spark, sf_dir), 8)
+    return rounded(rows.select("mask_id", "i", "j", "k", "idx", (F.pow("w", "i") * F.pow("v", "j") * F.pow("u", "k")).alias("value")), 9, "value")
 
 
-@query(f"SELECT i, j, k, idx, {r('cos(i * acos(0.3e0)) * cos(j * acos(-0.7e0)) * cos(k * acos(0.9e0))')} AS value FROM {_terms_sql(15)}")
+@query(f"{_CENTRES} SELECT mask_id, i, j, k, idx, {r('cos(i * acos(w)) * cos(j * acos(v)) * cos(k * acos(u))')} AS value FROM pos, {_terms_sql(6)}")
 def cheby_basis(spark, sf_dir):
-    """The terms of order 15 and their values at (0.9, -0.7, 0.3), by the recurrence."""
-    at = [F.array(*[F.lit(float(v)) for v in transforms.chebyshev(np.array([x]), 15)[:, 0]]) for x in (0.3, -0.7, 0.9)]
-    terms = transforms.basis_terms(spark, 15)
-    value = at[0][F.col("i")] * at[1][F.col("j")] * at[2][F.col("k")]
-    return rounded(terms.withColumn("value", value), 6, "value")
+    """The terms of order 6 and their values at each mask's centre, by the recurrence."""
+    at = _centres(spark, sf_dir).select("mask_id", *[transforms.chebyshev_values(F.col(c), 6).alias(c) for c in "uvw"])
+    value = F.col("w")[F.col("i")] * F.col("v")[F.col("j")] * F.col("u")[F.col("k")]
+    return rounded(transforms.with_terms(at, 6).select("mask_id", "i", "j", "k", "idx", value.alias("value")), 6, "value")
 
 
 def _fit(spark: SparkSession, sf_dir: str, order: int, cheby: bool, alpha: float) -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from formlens.operators import overlap, transforms
+from formlens.operators import inverse, overlap, transforms
 
 
 def cohort(spark, *arrays):
@@ -65,3 +65,37 @@ def test_far_blocks_are_left_out():
 
     got = overlap.nearest_squares([x._replace(left=x.left.view(Counted)) for x in a], b)
     assert (got == 9).all() and len(met) < 6 * len(a) < len(a) * len(b) / 8
+
+
+def ball(n, radius):
+    return ((np.indices((n,) * 3) - (n - 1) / 2) ** 2).sum(0) <= radius**2
+
+
+@pytest.mark.parametrize(("cheby", "whole"), [(True, False), (False, False), (False, True)])
+def test_fits_by_sums_as_dense(spark, cheby, whole):
+    rng = np.random.default_rng(4)
+    shape = (9, 9, 9)
+    arrays = [ball(9, 3), rng.random(shape) < 0.5, np.zeros(shape, bool)]
+    meta, voxel = cohort(spark, *arrays)
+    got = {r.mask_id: r for r in transforms.polynomial_features(meta, voxel, shape, 3, cheby, 1e-2, whole).collect()}
+    assert set(got) == {0, 1}
+    for m, r in got.items():
+        c, centre, scale = transforms.polynomial_fit(arrays[m], 3, cheby, 1e-2, whole=whole)
+        np.testing.assert_allclose(r.features, c, atol=1e-8)
+        assert r.scale == scale and r.centre == list(centre)
+    parts = transforms.normal_sums(transforms.distance_fields(transforms.frames_of(meta, voxel, shape, cheby), voxel, shape, 1, known=("centre", "scale")).repartition(5), 3, cheby, held=1)
+    again = {r.mask_id: r.features for r in transforms.solved(parts, 3, cheby, 1e-2, whole).collect()}
+    for m, r in got.items():
+        np.testing.assert_allclose(again[m], r.features, atol=1e-8)
+
+
+def test_fits_of_samples(spark):
+    """A fit of seeded samples of the bands is near that of all cells, and gives much the same ball."""
+    meta, voxel = cohort(spark, ball(20, 6))
+    shape = (20,) * 3
+    some = lambda field: inverse.band_samples(field, 2000, seed=1)
+    fit = transforms.polynomial_features(meta, voxel, shape, 4, True, 1e-3, samples=some).first()
+    centre, scale = np.array(fit.centre), fit.scale
+    got = transforms.polynomial_mask(np.array(fit.features), shape, 4, True, centre, scale)
+    want = ball(20, 6)
+    assert 2 * (got & want).sum() / (got.sum() + want.sum()) > 0.93
