@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chains, decimation, fields, masks, mesh_modes, meshes, overlap
+from ..operators import chains, decimation, fields, masks, mesh_modes, meshes, overlap, transforms
 from ..sources import cohorts
-from .catalogue import _MANY, SHAPE, query, r, rounded
+from .catalogue import _EDT_MANY, _MANY, SHAPE, query, r, rounded
 
 #: The blur of sigma 1 as three joins with a table of weights: r.w is what cell s gives to cell t, the mirrored ones included.
 _BLUR = f"""{_MANY}, k AS (SELECT k, exp(-0.5e0 * k * k) AS e FROM range(-4, 5) g(k)),
@@ -83,3 +83,23 @@ def mask_spectra(spark, sf_dir):
 def laplace_chain(spark, sf_dir):
     """Modes of the decimated surfaces in their frames; tested as a round trip."""
     return chains.laplace_chain(cohorts.masks(spark, sf_dir, "supplier")[1], SHAPE, 12, 100)
+
+
+def _normal_sql() -> str:
+    """The sums of a Chebyshev fit of order 2 over all cells, as one list a mask."""
+    power = lambda x: ("1e0", x, f"(2 * {x} * {x} - 1)")
+    terms = [f"{power('w')[i]} * {power('v')[j]} * {power('u')[k]}" for i in range(3) for j in range(3 - i) for k in range(3 - i - j)]
+    c = [f"c{n}" for n in range(len(terms))]
+    sums = ["count(*)", "sum(f)", *[f"sum({a})" for a in c], *[f"sum({a} * f)" for a in c], *[f"sum({a} * {b})" for a in c for b in c]]
+    return f"""{_EDT_MANY}, q AS (SELECT mask_id, (x - 8) / 8e0 AS u, (y - 8) / 8e0 AS v, (z - 8) / 8e0 AS w, sign(d2) * sqrt(abs(d2)) / 8e0 AS f FROM sdf),
+c AS (SELECT mask_id, f, {', '.join(f'{t} AS {a}' for t, a in zip(terms, c, strict=True))} FROM q), s AS (SELECT mask_id, [{', '.join(sums)}] AS s FROM c GROUP BY mask_id)
+SELECT mask_id, n::INT AS at, {r('s[n + 1]', 4)} AS v FROM s, range({len(sums)}) g(n)"""
+
+
+@query(_normal_sql())
+def fit_normal_sums(spark, sf_dir):
+    """The normal equations of a Chebyshev fit of order 2 to the distances of all cells."""
+    meta, voxel = cohorts.masks(spark, sf_dir, "supplier")
+    known = transforms.frames_of(meta, voxel, SHAPE, True)
+    sums = transforms.normal_sums(transforms.distance_fields(known, voxel, SHAPE, known=("centre", "scale")), 2, True)
+    return rounded(sums.select("mask_id", "at", "v"), 4, "v")
