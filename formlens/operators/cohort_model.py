@@ -12,8 +12,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import wide_pca
+
 #: A matrix of more rows isn't brought to the driver: the covariance of the features or, where these are more, the products of the masks.
 MOST = 4096
+#: Components that are looked for where both are more and no number is given.
+WIDE = 64
 #: Features of a slice in the dual fit.
 SLICE = 4096
 
@@ -70,15 +74,18 @@ def fit(features: DataFrame, k: int | None = None, dual: bool | None = None) ->
     """Principal components of features (mask_id, features), at most k or min(N, F).
 
     By the eigenvectors of the covariance of the features or, if these are more than MOST (or dual), by those of the
-    products of the masks; one of both numbers may be larger.
+    products of the masks. If both are more, the k (or WIDE) leading ones are found on tiles; wide_pca.fit is the same
+    without bringing them to the driver.
     """
     width = features.select(F.size("features").alias("n")).first()
     if width is None:
         raise ValueError("there are no features")
-    if dual or dual is None and width.n > MOST:
+    if width.n > MOST and features.count() > MOST:
+        found = wide_pca.fit(features, k or WIDE)
+        rows, mean = found.table().toPandas().sort_values("k"), found.mean().toPandas().sort_values("i")
+        return Pca(mean["mean"].to_numpy(), np.stack(rows["component"]), found.variance, found.ratio)
+    if dual or width.n > MOST:
         return _dual(features, k)
-    if width.n > MOST:
-        raise ValueError(f"{width.n} features are more than {MOST}")
     shift = _mean(features)
     rows = sums(features, shift).toPandas()
     f, n = width.n, int(rows["n"].iloc[0])
@@ -99,8 +106,6 @@ def _signed(components: np.ndarray) -> np.ndarray:
 def _dual(features: DataFrame, k: int | None) -> Pca:
     """The features go to slices; each slice gives its part of the products of all masks, and then its part of each component."""
     n = features.count()
-    if n > MOST:
-        raise ValueError(f"{n} masks are more than {MOST}, and so are the features")
     last = F.floor((F.size("features") - 1) / SLICE)
     slices = features.select("mask_id", "features", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("slice"))
     slices = slices.select("slice", "mask_id", F.slice("features", (F.col("slice") * SLICE + 1).cast("int"), SLICE).alias("v"))
