@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions import sparse
-from . import decimation, fields, inverse, mesh_modes, meshes
+from . import decimation, fields, harmonics, inverse, masks, mesh_modes, meshes, overlap
 
 
 def blurred_points(voxel: DataFrame, shape: tuple[int, int, int], sigma: float = 1.0, level: float = 0.5, subdivisions: int = 3, iterations: int = 80) -> DataFrame:
@@ -79,3 +79,15 @@ def laplace_chain(voxel: DataFrame, shape: tuple[int, int, int], k: int = 50, ta
     kinds = {"mask_id": "long", "centroid": "array<double>", "scale": "double", "axes": "array<double>", "vertices": "array<array<double>>", "faces": "array<array<int>>", "eigenvalues": "array<double>", "coefficients": "array<array<double>>", "modes": "array<array<double>>", "residual": "double"}
     names = list(kinds)
     return inverse._per_mesh(*fields.level_mesh(voxel, shape, 0.0), run, ", ".join(f"{c} {t}" for c, t in kinds.items()))
+
+
+def smooth_harmonics(voxel: DataFrame, shape: tuple[int, int, int], lmax: int = 15, fitted: bool = False) -> DataFrame:
+    """mask_id, x, y, z: the masks after a round trip through spherical harmonics, expanded over the whole radius map or fitted to its filled cells."""
+    found = harmonics.harmonic_coefficients(voxel.select("mask_id").distinct(), voxel, shape, lmax) if fitted else harmonics.expanded_coefficients(voxel, lmax)
+    return inverse.harmonic_voxels(found, shape, lmax)
+
+
+def harmonic_diagnostics(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int], lmax: int = 15, fitted: bool = False, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """mask_id, dice, hausdorff, mean_dist of each mask with what its round trip gives; distances in the unit of spacing."""
+    back = smooth_harmonics(voxel, shape, lmax, fitted)
+    return overlap.compared(meta, voxel, back, masks.surface_points(voxel, shape).distinct(), masks.surface_points(back, shape).distinct(), spacing)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from math import factorial
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +88,39 @@ def harmonic_coefficients(meta: DataFrame, voxel: DataFrame, shape: tuple[int, i
     return per_mask(meta, voxel, shape, body, "mask_id long, l int, m int, c double, centroid array<double>, extent double")
 
 
+def ring_weights(n: int) -> np.ndarray:
+    """Weights of n rings at the polar angles pi t / n, t from 0 on, that make sums over the cosine exact up to degree n - 1."""
+    angle, odd = np.arange(n) * np.pi / n, np.arange(1, n, 2)
+    return 4 / n * np.sin(angle) * (np.sin(np.outer(angle, odd)) / odd).sum(1)
+
+
+def expanded_coefficients(voxel: DataFrame, lmax: int = 15) -> DataFrame:
+    """mask_id, l, m, c, centroid, extent: the expansion of the whole radius map by quadrature, on masks of two voxels or more.
+
+    A cell's radius stands at its ring's and column's first angle; empty cells count as radius 0, so a mask should fill
+    the map, or harmonic_coefficients, which fits the filled cells, be used. Each ring is a Fourier sum, the rings are
+    added by their weights, which is exact up to degree 31, the most that a map of 64 rings holds. Times the root of
+    4 pi these are coefficients in the norm in which degree 0 is the mean radius.
+    """
+    if not 0 <= lmax < POLAR // 2:
+        raise ValueError(f"lmax must be from 0 to {POLAR // 2 - 1}")
+    sizes = voxel.groupBy("mask_id").agg(F.count("*").alias("n"), F.array(*[F.avg(c) for c in "xyz"]).alias("centroid"),
+                                         (F.greatest(F.lit(2), *[F.max(c) - F.min(c) for c in "xyz"]) / 2.0).alias("extent")).filter("n >= 2").drop("n")
+    weighted = legendre(lmax, np.cos(np.arange(POLAR) * np.pi / POLAR)) * ring_weights(POLAR) * (2 * np.pi / AZIMUTH)
+    degree = [(n, m) for n in range(lmax + 1) for m in range(-n, n + 1)]
+
+    def expand(got: pd.DataFrame) -> pd.DataFrame:
+        grid = np.zeros((POLAR, AZIMUTH))
+        grid[got["t"], got["p"]] = got["r"] / got["extent"]
+        rings = np.fft.rfft(grid, axis=1)
+        c = [np.sqrt(2.0 if m else 1.0) * weighted[n, abs(m)] @ (-rings[:, -m].imag if m < 0 else rings[:, m].real) for n, m in degree]
+        first = got.iloc[0]
+        return pd.DataFrame({"mask_id": first["mask_id"], "l": [n for n, _ in degree], "m": [m for _, m in degree], "c": c, "centroid": [first["centroid"]] * len(c), "extent": first["extent"]})
+
+    # The map has at most 64 x 128 cells a mask.
+    return radius_map(voxel).join(sizes, "mask_id").groupBy("mask_id").applyInPandas(expand, "mask_id long, l int, m int, c double, centroid array<double>, extent double")
+
+
 def power_spectrum(coefficients: DataFrame) -> DataFrame:
     """mask_id, l, power: the root of the sum of squares of a degree's coefficients."""
     return coefficients.groupBy("mask_id", "l").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("power"))

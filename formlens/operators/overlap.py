@@ -90,10 +90,10 @@ class Near(NamedTuple):
 
 
 def point_blocks(points: np.ndarray, most: int = POINTS) -> list[Near]:
-    """Points, of whole numbers, in blocks of at most so many near ones, by halving at the median of the longest side."""
+    """Points in blocks of at most so many near ones, by halving at the median of the longest side."""
     todo, out = [points], []
-    # Squared distances of such points fit the digits of a float32.
-    kind = np.float32 if np.abs(points).max(initial=0) <= 1000 else np.float64
+    # Squared distances of small whole numbers fit the digits of a float32.
+    kind = np.float32 if np.abs(points).max(initial=0) <= 1000 and (points == np.rint(points)).all() else np.float64
     while todo:
         part = todo.pop()
         low, high = part.min(0), part.max(0)
@@ -165,6 +165,28 @@ def surface_distances(meta: DataFrame, points: DataFrame, block: int = 32) -> Da
     return met.groupBy("lo", "hi").applyInPandas(measure, "id_a long, id_b long, hausdorff double, mean_dist double")
 
 
+def compared(meta: DataFrame, a: DataFrame, b: DataFrame, points_a: DataFrame, points_b: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """mask_id, dice, hausdorff, mean_dist of each mask of meta in a with the one of its id in b; points are their surfaces, as for surface_distances.
+
+    Two empty masks have Dice 1; distances are null where a surface has no points, and in the unit of spacing.
+    """
+    both = a.select("mask_id", "x", "y", "z", F.lit(1).alias("own")).unionByName(b.select("mask_id", "x", "y", "z", F.lit(1).alias("own")))
+    cells = both.groupBy("mask_id", "x", "y", "z").agg(F.sum("own").alias("n"))
+    counts = cells.groupBy("mask_id").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 1).alias("both"))
+    dice = meta.select("mask_id").join(counts, "mask_id", "left").select("mask_id", F.coalesce(2.0 * F.col("both") / F.col("n"), F.lit(1.0)).alias("dice"))
+    step = np.asarray(spacing, np.float64)
+
+    def measure(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"mask_id": pd.Series([], dtype="int64"), "hausdorff": pd.Series([], dtype=float), "mean_dist": pd.Series([], dtype=float)})
+        sets = [point_blocks(x[["x2", "y2", "z2"]].to_numpy(np.float64) * step) for x in (left, right)]
+        there, back = (np.sqrt(np.maximum(d, 0)) / 2 for d in both_nearest(*sets))
+        return pd.DataFrame({"mask_id": [key[0]], "hausdorff": [max(there.max(), back.max())], "mean_dist": [(there.mean() + back.mean()) / 2]})
+
+    far = points_a.groupBy("mask_id").cogroup(points_b.groupBy("mask_id")).applyInPandas(measure, "mask_id long, hausdorff double, mean_dist double")
+    return dice.join(far, "mask_id", "left")
+
+
 def mirrored(measures: DataFrame) -> DataFrame:
     """The full symmetric matrix of pairs with id_a <= id_b."""
     rest = [c for c in measures.columns if c not in ("id_a", "id_b")]

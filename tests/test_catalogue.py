@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 import formlens.plans.shape_fields
+import formlens.plans.shape_frames
 import formlens.plans.shape_inverse
 import formlens.plans.shape_models  # noqa: F401 (all add queries)
 from formlens.plans.catalogue import ORACLE_SQL, QUERIES
