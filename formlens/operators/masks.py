@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.staging import cut
+
+#: Cells of a slab whose parts are labelled at once, about.
+SLAB = 1 << 21
 #: The six neighbours that share a face.
 FACES = ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))
 
@@ -123,14 +127,81 @@ def fill_holes_of(mask: np.ndarray) -> np.ndarray:
     return mask | ~np.isin(out, open_) & ~mask
 
 
-def components(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
-    """mask_id, x, y, z, component: the least C-order index of the voxel's face-connected component."""
-
-    def body(_: int, mask: np.ndarray) -> Iterator[dict]:
-        x, y, z = np.nonzero(mask)
-        yield {"x": x, "y": y, "z": z, "component": _labels(mask)[x, y, z]}
+def _slab_labels(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int], step: int, holes: bool) -> DataFrame:
+    """mask_id, x, y, z, label: the parts of each slab of `step` planes, named by their least C-order index.
 
-    return per_mask(meta, voxel, shape, body, "mask_id long, x int, y int, z int, component long")
+    With holes the background is labelled in place of the mask: parts that reach the grid's border are -1, and of those
+    only the cells of a slab's first and last plane are given. A slab beside one with voxels takes part too.
+    """
+    nx, ny, nz = shape
+    cells = voxel.select("mask_id", "x", "y", "z", F.floor(F.col("x") / step).alias("slab"))
+    cells = cells.join(meta.select("mask_id").distinct(), "mask_id", "left_semi").toDF("mask_id", "x", "y", "z", "slab")
+    slabs = cells.select("mask_id", "slab").distinct()
+    if holes:
+        slabs = slabs.select("mask_id", F.explode(F.array(F.col("slab") - 1, F.col("slab"), F.col("slab") + 1)).alias("slab")).filter(F.col("slab").between(0, (nx - 1) // step)).distinct()
+    slabs = slabs.toDF("mask_id", "slab")
+
+    def label(key: tuple, m: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        first = int(key[1]) * step
+        planes = min(step, nx - first)
+        mask = dense(v.assign(x=v["x"] - first), (planes, ny, nz))
+        if not holes:
+            out = _labels(mask)
+            keep = mask
+        elif not len(v):
+            out, keep = np.full(mask.shape, -1), np.zeros_like(mask)
+            keep[[0, -1]] = True
+        else:
+            out = _labels(~mask)
+            rim = np.zeros(mask.shape, bool)
+            rim[:, [0, -1], :] = rim[:, :, [0, -1]] = True
+            rim[0] |= first == 0
+            rim[-1] |= first + planes == nx
+            out = np.where(np.isin(out, np.unique(out[rim & ~mask])), -1, out)
+            keep = ~mask & (out >= 0)
+            keep[[0, -1]] = ~mask[[0, -1]]
+        x, y, z = np.nonzero(keep)
+        found = out[x, y, z].astype(np.int64)
+        return pd.DataFrame({"mask_id": key[0], "x": x + first, "y": y, "z": z, "label": np.where(found < 0, -1, found + first * ny * nz)})
+
+    return slabs.groupBy("mask_id", "slab").cogroup(cells.groupBy("mask_id", "slab")).applyInPandas(label, "mask_id long, x int, y int, z int, label long")
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    """mask_id, label, root: the least label that edges (mask_id, a, b) lead to, for all but the least; by large and small stars in turn."""
+    edges = cut(edges.select("mask_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
+    before = None
+    while True:
+        both = edges.unionByName(edges.select("mask_id", F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("mask_id", "a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        large = both.filter("b > a").join(least, ["mask_id", "a"]).select("mask_id", F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        least = large.groupBy("mask_id", "a").agg(F.min("b").alias("m"))
+        star = large.join(least, ["mask_id", "a"]).select("mask_id", F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = cut(star.unionByName(least.select("mask_id", "a", F.col("m").alias("b"))).filter("a != b").distinct())
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("mask_id", "a", "b").cast("decimal(20,0)"))).first()
+        if now == before:
+            return edges.select("mask_id", F.col("a").alias("label"), F.col("b").alias("root"))
+        before = now
+
+
+def _joined_labels(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int], planes: int | None, holes: bool) -> DataFrame:
+    """Slabs' labels, with `component`, the least label of what meets through the slabs' faces."""
+    step = planes or max(1, SLAB // (shape[1] * shape[2]))
+    found = _slab_labels(meta, voxel, shape, step, holes)
+    if shape[0] <= step:
+        return found.withColumn("component", F.col("label"))
+    ends = found.filter(F.col("x") % step == step - 1).select("mask_id", (F.col("x") + 1).alias("x"), "y", "z", F.col("label").alias("a"))
+    begins = found.filter(F.col("x") % step == 0).select("mask_id", "x", "y", "z", F.col("label").alias("b"))
+    roots = _roots(ends.join(begins, ["mask_id", "x", "y", "z"]).select("mask_id", "a", "b").distinct())
+    return found.join(roots, ["mask_id", "label"], "left").withColumn("component", F.coalesce("root", "label")).drop("root")
+
+
+def components(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int], planes: int | None = None) -> DataFrame:
+    """mask_id, x, y, z, component: the least C-order index of the voxel's face-connected component.
+
+    Slabs of planes are labelled by themselves and parts that meet at their faces joined, so no mask is whole in a task.
+    """
+    return _joined_labels(meta, voxel, shape, planes, False).select("mask_id", "x", "y", "z", "component")
 
 
 def preprocess(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int], min_size: int = 1000, closing_radius: int = 2) -> DataFrame:
@@ -141,9 +212,8 @@ def preprocess(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int], m
     return fill_holes(meta, close(kept, shape, closing_radius, euclidean=True), shape)
 
 
-def fill_holes(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
-    def body(_: int, mask: np.ndarray) -> Iterator[dict]:
-        x, y, z = np.nonzero(fill_holes_of(mask))
-        yield {"x": x, "y": y, "z": z}
-
-    return per_mask(meta, voxel, shape, body, "mask_id long, x int, y int, z int")
+def fill_holes(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int], planes: int | None = None) -> DataFrame:
+    """The masks of meta with the background that no path of faces joins to the grid's border, slab by slab as components."""
+    holes = _joined_labels(meta, voxel, shape, planes, True).filter("component >= 0").select("mask_id", "x", "y", "z")
+    own = voxel.join(meta.select("mask_id").distinct(), "mask_id", "left_semi").select("mask_id", "x", "y", "z").distinct()
+    return own.unionByName(holes)
