@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import inverse, meshes, transforms
+from . import harmonics, inverse, meshes, transforms
 
 Shape = tuple[int, int, int]
 
@@ -50,9 +50,23 @@ def _points_back(features: DataFrame, shape: Shape, subdivisions: int = 3, itera
     return inverse.point_voxels(rows.select("mask_id", F.col("vid").cast("long").alias("vid"), *[F.col("p")[i].alias(c) for i, c in enumerate("xyz")]), shape, subdivisions, samples)
 
 
+def _harmonics(meta: DataFrame, voxel: DataFrame, shape: Shape, lmax: int = 15, fitted: bool = False) -> DataFrame:
+    """Centroid, extent and the coefficients by degree and order."""
+    found = harmonics.harmonic_coefficients(meta, voxel, shape, lmax) if fitted else harmonics.expanded_coefficients(voxel, lmax)
+    rows = found.groupBy("mask_id").agg(F.sort_array(F.collect_list(F.struct("l", "m", "c"))).alias("c"), F.first("centroid").alias("centroid"), F.first("extent").alias("extent"))  # (lmax + 1)**2 of them
+    return rows.select("mask_id", F.concat("centroid", F.array("extent"), F.col("c")["c"]).alias("features"))
+
+
+def _harmonics_back(features: DataFrame, shape: Shape, lmax: int = 15, fitted: bool = False) -> DataFrame:
+    rows = features.select("mask_id", F.slice("features", 1, 3).alias("centroid"), F.col("features")[3].alias("extent"), F.posexplode(F.expr("slice(features, 5, size(features) - 4)")).alias("at", "c"))
+    degree = F.floor(F.sqrt(F.col("at").cast("double"))).cast("int")
+    rows = rows.select("mask_id", "centroid", "extent", degree.alias("l"), (F.col("at") - degree * degree - degree).cast("int").alias("m"), "c")
+    return inverse.harmonic_voxels(rows, shape, lmax)
+
+
 #: Encoder (meta, voxel, shape, parameters) to mask_id, features, and decoder (features, shape, parameters) to voxels.
 FEATURIZERS: dict[str, tuple[Callable[..., DataFrame], Callable[..., DataFrame]]] = {
-    "dct": (_dct, _dct_back), "cheby": (_cheby, _cheby_back), "points": (_points, _points_back)}
+    "dct": (_dct, _dct_back), "cheby": (_cheby, _cheby_back), "points": (_points, _points_back), "harmonics": (_harmonics, _harmonics_back)}
 
 
 def encode(name: str, meta: DataFrame, voxel: DataFrame, shape: Shape, **parameters: object) -> DataFrame:

@@ -3,7 +3,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from formlens.operators import chains, harmonics, hulls, masks, meshes, overlap
+from formlens.operators import chains, featurizers, harmonics, hulls, masks, meshes, overlap
 
 
 def brute(points):
@@ -121,3 +121,15 @@ def test_compared_as_all_pairs(spark):
     assert (got.hausdorff, got.mean_dist) == pytest.approx((want.hausdorff, want.mean_dist))
     sized = overlap.compared(meta, one, two, *points, spacing=(0.7, 0.7, 0.7)).first()
     assert (sized.hausdorff, sized.mean_dist) == pytest.approx((0.7 * want.hausdorff, 0.7 * want.mean_dist))
+
+
+@pytest.mark.parametrize("fitted", [False, True])
+def test_harmonics_by_name(spark, fitted):
+    """Decoded features give the mask that the chain gives; a mask without voxels has none."""
+    v, meta = voxels(spark, ball(41, 17.2)), spark.range(2).toDF("mask_id")
+    rows = featurizers.encode("harmonics", meta, v, (41,) * 3, lmax=5, fitted=fitted)
+    assert {r.mask_id: r.features and len(r.features) for r in rows.collect()} == {0: 40, 1: None}
+    got = featurizers.decode("harmonics", rows, (41,) * 3, lmax=5, fitted=fitted)
+    want = chains.smooth_harmonics(v, (41,) * 3, 5, fitted)
+    a, b = (masks.dense(x.toPandas(), (41,) * 3) for x in (got, want))
+    assert 2 * (a & b).sum() / (a.sum() + b.sum()) > 0.999
