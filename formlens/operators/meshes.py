@@ -80,12 +80,11 @@ def _triangles() -> list[np.ndarray]:
     return out
 
 
-def surface_mesh(voxel: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices and faces of the masks' surfaces, by marching tetrahedra over the cells between voxels.
+def surface_corners(voxel: DataFrame) -> DataFrame:
+    """mask_id, fid, i, j, k (long) and the corners' coordinates ax, ay, az, bx, ...: the faces of surface_mesh, beside which no vertices are needed.
 
-    A vertex is the middle between a set and an unset voxel of a tetrahedron, faces have their outside on the right hand
-    side of their order, and each surface is closed, also where a mask touches the grid's border. Each cell is a row, so
-    no mask has to be whole anywhere but for the numbers of its vertices, which are dealt in the order of x, y, z.
+    A vertex's vid is made from its place and a face's fid from its cell, in the order of x, y, z, so they take neither a
+    count nor a join; coordinates of voxels may lie between -2**18 and 2**18.
     """
     shift = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("ijk", (i, j, k), strict=True)]) for i in (0, 1) for j in (0, 1) for k in (0, 1)])).alias("s")
     cells = voxel.select("mask_id", "x", "y", "z", shift)
@@ -93,31 +92,48 @@ def surface_mesh(voxel: DataFrame) -> tuple[DataFrame, DataFrame]:
     cells = cells.select("mask_id", *[(F.col(c) - F.col(f"s.{o}")).alias(c) for c, o in zip("xyz", "ijk", strict=True)], bit.alias("bit"))
     cells = cells.groupBy("mask_id", "x", "y", "z").agg(F.bit_or("bit").alias("code")).filter("code < 255")
 
+    def number(at: np.ndarray, bits: int) -> np.ndarray:
+        at = at.astype(np.int64) + (1 << (bits - 1))
+        return (at[..., 0] << 2 * bits) + (at[..., 1] << bits) + at[..., 2]
+
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = _triangles()
+        count = np.array([len(t) for t in table])
+        start, flat = np.concatenate([[0], np.cumsum(count)[:-1]]), np.concatenate(table)
         for frame in frames:
-            code, at = frame["code"].to_numpy(), 2 * frame[["x", "y", "z"]].to_numpy()
-            n = np.array([len(table[c]) for c in code], int)
+            code, at = frame["code"].to_numpy(), frame[["x", "y", "z"]].to_numpy()
+            n = count[code]
             row = np.repeat(np.arange(len(code)), n)
-            corners = (np.concatenate([table[c] for c in code]) if len(code) else np.zeros((0, 3, 3), int)) + at[row][:, None, :]
-            yield pd.DataFrame({"mask_id": frame["mask_id"].to_numpy()[row]} | {f"{c}{a}": corners[:, i, j] for i, c in enumerate("abc") for j, a in enumerate("xyz")})
-
-    names = [f"{c}{a}" for c in "abc" for a in "xyz"]
-    faces = cells.mapInPandas(cut, "mask_id long, " + ", ".join(f"{n} int" for n in names))
-    each = F.explode(F.array(*[F.struct(*[F.col(c + a).alias(a) for a in "xyz"]) for c in "abc"])).alias("v")
-    vertices = faces.select("mask_id", each).select("mask_id", "v.*").distinct()
-    vid = (F.row_number().over(Window.partitionBy("mask_id").orderBy("x", "y", "z")) - 1).alias("vid")
-    vertices = vertices.select("mask_id", vid, *[(F.col(a) / 2).alias(a) for a in "xyz"])
-    for corner, c in zip("ijk", "abc", strict=True):
-        v = vertices.select("mask_id", F.col("vid").alias(corner), *[(F.col(a) * 2).cast("int").alias(c + a) for a in "xyz"])
-        faces = faces.join(v, ["mask_id", *[c + a for a in "xyz"]])
-    fid = (F.row_number().over(Window.partitionBy("mask_id").orderBy("i", "j", "k")) - 1).alias("fid")
-    return vertices, faces.select("mask_id", fid, "i", "j", "k")
+            within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            half = flat[start[code[row]] + within] + 2 * at[row][:, None, :]
+            vid = number(half, 21)
+            yield pd.DataFrame(
+                {"mask_id": frame["mask_id"].to_numpy()[row], "fid": number(at[row], 19) * 16 + within}
+                | {c: vid[:, n] for n, c in enumerate("ijk")}
+                | {c + x: half[:, n, m] / 2 for n, c in enumerate("abc") for m, x in enumerate("xyz")})
+
+    return cells.mapInPandas(cut, "mask_id long, fid long, i long, j long, k long, " + ", ".join(f"{c}{x} double" for c in "abc" for x in "xyz"))
+
+
+def surface_mesh(voxel: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices and faces of the masks' surfaces, by marching tetrahedra over the cells between voxels.
+
+    A vertex is the middle between a set and an unset voxel of a tetrahedron, faces have their outside on the right hand
+    side of their order, and each surface is closed, also where a mask touches the grid's border. Each cell is a row, so
+    no mask has to be whole anywhere. Numbers are those of surface_corners: in order, but with gaps.
+    """
+    faces = surface_corners(voxel)
+    each = F.explode(F.array(*[F.struct(F.col(n).alias("vid"), *[F.col(c + x).alias(x) for x in "xyz"]) for n, c in zip("ijk", "abc", strict=True)])).alias("v")
+    vertices = faces.select("mask_id", each).select("mask_id", "v.*").dropDuplicates(["mask_id", "vid"])
+    return vertices, faces.select("mask_id", "fid", "i", "j", "k")
 
 
 def measures(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """mask_id, volume (signed, by the divergence theorem), area, euler (vertices - edges + faces), open_edges (those of one face)."""
-    rows = _corners(vertices, faces)
+    """mask_id, volume (signed, by the divergence theorem), area, euler (vertices - edges + faces), open_edges (those of one face).
+
+    Here and in inside_mesh, faces may be those of surface_corners, which need no join with vertices.
+    """
+    rows = faces if "ax" in faces.columns else _corners(vertices, faces)
     a, b, c = ([F.col(p + x) for x in "xyz"] for p in "abc")
     cross = lambda u, v: [u[(i + 1) % 3] * v[(i + 2) % 3] - u[(i + 2) % 3] * v[(i + 1) % 3] for i in range(3)]
     volume = sum(x * y for x, y in zip(a, cross(b, c), strict=True)) / 6
@@ -136,7 +152,7 @@ def inside_mesh(vertices: DataFrame, faces: DataFrame, shape: tuple[int, int, in
     The ray is moved aside by a small amount, so it meets no edge of a mesh with vertices on half voxels.
     """
     off = (1e-3, 1.7e-3)
-    rows = _corners(vertices, faces)
+    rows = faces if "ax" in faces.columns else _corners(vertices, faces)
     least = {x: F.least(*[F.col(c + x) for c in "abc"]) for x in "xy"}
     most = {x: F.greatest(*[F.col(c + x) for c in "abc"]) for x in "xy"}
     for x, n, o in zip("xy", shape, off, strict=False):

@@ -577,14 +577,16 @@ _TETS = ", ".join(f"({n}, {c[0]}, {c[1]}, {c[2]})" for n, tet in enumerate(meshe
 SELECT mask_id, {r('sum(CASE inside WHEN 1 THEN 0.125e0 WHEN 2 THEN 0.5e0 WHEN 3 THEN 0.875e0 ELSE 1e0 END) / 6')} AS volume, 2::BIGINT AS euler, 0::BIGINT AS open_edges FROM h GROUP BY mask_id""")
 def mask_surface_mesh(spark, sf_dir):
     """The volume within the surface is that of the tetrahedra's parts inside; an ellipsoid's surface is closed and in one piece."""
-    out = meshes.measures(*meshes.surface_mesh(cohorts.masks(spark, sf_dir, "supplier")[1]))
+    voxel = cohorts.masks(spark, sf_dir, "supplier")[1]
+    out = meshes.measures(meshes.surface_mesh(voxel)[0], meshes.surface_corners(voxel))
     return rounded(out.select("mask_id", "volume", "euler", "open_edges"), 6, "volume")
 
 
 @query(f"{_MANY} SELECT mask_id, x, y, z FROM voxel")
 def mesh_to_mask(spark, sf_dir):
     """The cells within the masks' surfaces are the masks again."""
-    return meshes.inside_mesh(*meshes.surface_mesh(cohorts.masks(spark, sf_dir, "supplier")[1]), SHAPE)
+    voxel = cohorts.masks(spark, sf_dir, "supplier")[1]
+    return meshes.inside_mesh(meshes.surface_mesh(voxel)[0], meshes.surface_corners(voxel), SHAPE)
 
 
 # Meshes, one unit sphere for each nation, of two subdivisions

@@ -4,7 +4,8 @@ import pytest
 import formlens.plans.shape_fields
 import formlens.plans.shape_frames
 import formlens.plans.shape_inverse
-import formlens.plans.shape_models  # noqa: F401 (all add queries)
+import formlens.plans.shape_models
+import formlens.plans.shape_plane  # noqa: F401 (all add queries)
 from formlens.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"

@@ -130,6 +130,18 @@ def test_surface_meshes(spark, cohort):
     assert abs(told[0].volume - told[1].volume) < 1e-9 and told[3].volume < 1  # the same cube; one voxel
     back = {tuple(r) for r in meshes.inside_mesh(vertices, faces, SHAPE).select("mask_id", "x", "y", "z").collect()}
     assert back == {tuple(r) for r in voxel.select("mask_id", "x", "y", "z").collect()}
+    corners = meshes.surface_corners(voxel)
+    again = {r.mask_id: r for r in meshes.measures(vertices, corners).collect()}
+    assert all(np.allclose(tuple(again[m]), tuple(r)) for m, r in told.items())
+    at = {(r.mask_id, r.vid): (r.x, r.y, r.z) for r in vertices.collect()}
+    faced = corners.collect()
+    assert all(at[r.mask_id, v] == p for r in faced for v, p in ((r.i, (r.ax, r.ay, r.az)), (r.j, (r.bx, r.by, r.bz)), (r.k, (r.cx, r.cy, r.cz))))
+    assert len({(r.mask_id, r.fid) for r in faced}) == len(faced) and len(set(at)) == vertices.count()
+    order = sorted((v, p) for (m, v), p in at.items() if m == 0)
+    assert [p for _, p in order] == sorted(p for _, p in order)  # numbers are in the order of x, y, z
+    moved = meshes.surface_corners(voxel.select("mask_id", *[(voxel[c] - 40).alias(c) for c in "xyz"]))
+    assert moved.agg({"ax": "min"}).first()[0] == corners.agg({"ax": "min"}).first()[0] - 40 and moved.select("fid").distinct().count() == corners.select("fid").distinct().count()
+    assert meshes.surface_mesh(voxel.limit(0))[0].count() == 0
 
 
 def test_sparse_dice_is_that_of_words(spark):
