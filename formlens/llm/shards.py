@@ -6,6 +6,7 @@ dealt by hash into cells that are differenced on their own; a cell's result is a
 cells' partitions are differenced in the same way, cell by cell, until one is left. A group that fills a shard by
 itself gets one: no partition is more even. Other groups of an eighth of a shard or more, at most eight times as many
 as shards, are differenced first; each cell then starts from its share of their partition, so it fills what they leave.
+Cells' partitions are then joined with parts changing places only among shards that hold equally much of such groups.
 """
 
 from __future__ import annotations
@@ -66,6 +67,7 @@ def partition(weights: DataFrame, shards: int, cell: int = CELL) -> DataFrame:
     k = shards - len(alone)
     large = weights.filter(F.col("weight") * (HEAVY * k) >= total).filter(~F.col("item").isin(alone) if alone else F.lit(True)).collect()
     parts, taken = differenced([[r.weight] for r in large], k)
+    kinds = np.unique(taken, return_inverse=True)[1] if large else None
     own = [(bytes(x), k + i) for i, x in enumerate(alone)] + [(bytes(r.item), p[0]) for r, p in zip(large, parts, strict=True)]
     own = weights.sparkSession.createDataFrame(own, "item binary, shard int")
     items = weights.join(F.broadcast(own), "item", "left_anti").select("item", F.array("weight").alias("sums"))
@@ -74,10 +76,10 @@ def partition(weights: DataFrame, shards: int, cell: int = CELL) -> DataFrame:
         cells = max(1, -(-n // cell))
         dealt = items.withColumn("cell", F.pmod(F.xxhash64("item", F.lit(len(levels))), F.lit(cells)))
         joined = dealt.select("cell", "item", "sums").repartition(cells, "cell").sortWithinPartitions("cell")
-        beside = [x / max(1, total - sum(taken)) for x in taken] if large else None
-        level = stage(joined.mapInArrow(partial(_difference, k=k, beside=beside), "cell long, item binary, parts array<int>, sums array<long>"), "level")
+        beside = [x / max(1, total - sum(taken)) for x in taken] if large and not levels else None
+        level = stage(joined.mapInArrow(partial(_difference, k=k, beside=beside, kinds=kinds if levels else None), "cell long, item binary, parts array<int>, sums array<long>"), "level")
         levels.append(level.select("cell", "item", "parts"))
-        if cells == 1 or large:
+        if cells == 1:
             break
         items, n = level.filter("sums is not null").select(F.encode(F.col("cell").cast("string"), "utf-8").alias("item"), "sums"), cells
     # Down again: where the parts of a cell have gone.
@@ -89,47 +91,58 @@ def partition(weights: DataFrame, shards: int, cell: int = CELL) -> DataFrame:
     return stage(where.select("item", F.get("parts", F.lit(0)).alias("shard")).unionByName(own), "shards")
 
 
-def _difference(batches: Iterator[pa.RecordBatch], k: int, beside: list[float] | None) -> Iterator[pa.RecordBatch]:
+def _difference(batches: Iterator[pa.RecordBatch], k: int, beside: list[float] | None, kinds: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Columns: cell, item, sums, sorted by cell. For each item the cell's part that each of its parts went to; the cell's sums once.
 
-    beside: what the shards hold already, each as a share of all that the cells hold; parts are then those shards.
+    beside: what the shards hold already, each as a share of all that the cells hold; parts are then those shards, and the sums without it. kinds: see differenced.
     """
     for table in whole_groups(batches, 0, 1):
         sums = table.column(2).to_pylist()
         if beside:
             whole = sum(x[0] for x in sums)
-            parts, total = differenced([[round(whole * x) for x in beside], *sums], k)
+            held = [round(whole * x) for x in beside]
+            parts, total = differenced([held, *sums], k)
             shard_of = {p: i for i, p in enumerate(parts[0])}
+            total = [total[p] - x for p, x in zip(parts[0], held, strict=True)]
             parts = [[shard_of[p] for p in x] for x in parts[1:]]
         else:
-            parts, total = differenced(sums, k)
+            parts, total = differenced(sums, k, kinds)
         rows = len(parts)
         told = [total, *[None] * (rows - 1)]
         yield pa.RecordBatch.from_arrays([table.column(0).combine_chunks(), table.column(1).combine_chunks(), pa.array(parts, pa.list_(pa.int32())), pa.array(told, pa.list_(pa.int64()))], ["cell", "item", "parts", "sums"])
 
 
-def differenced(items: list[list[int]], k: int) -> tuple[list[list[int]], list[int]]:
-    """For each item (sums of up to k parts), the part of the whole that each of its parts goes to; and the whole's sums."""
-    # A node: sums, largest first; its children, and for each place the places in them.
+def differenced(items: list[list[int]], k: int, kinds: np.ndarray | None = None) -> tuple[list[list[int]], list[int]]:
+    """For each item (sums of up to k parts), the part of the whole that each of its parts goes to; and the whole's sums.
+
+    With kinds, one number for each part, items have k parts and each goes to a part of its own kind.
+    """
+    kinds = np.zeros(k, int) if kinds is None else kinds
+    spots = np.argsort(kinds, kind="stable")  # places lie kind by kind
+    of = kinds[spots]
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    last = np.append(first[1:], k)
+    back = np.concatenate([np.arange(a, b)[::-1] for a, b in zip(first, last, strict=True)])
+    # A node: sums, largest first in each kind; its children, and for each place the places in them.
     sums, below = [], []
     for x in items:
         full = np.zeros(k, np.int64)
         full[: len(x)] = x
-        order = np.argsort(-full, kind="stable")
+        order = np.lexsort((-full, kinds))
         sums.append(full[order])
         below.append((-1, order, -1, order))
-    heap = [(int(s[-1] - s[0]), i) for i, s in enumerate(sums)]
+    spread = lambda s: int((s[first] - s[last - 1]).max())
+    heap = [(-spread(s), i) for i, s in enumerate(sums)]
     heapq.heapify(heap)
-    back = np.arange(k)[::-1]
     while len(heap) > 1:
         _, a = heapq.heappop(heap)
         _, b = heapq.heappop(heap)
-        both = sums[a] + sums[b][::-1]
-        order = np.argsort(-both, kind="stable")
+        both = sums[a] + sums[b][back]
+        order = np.lexsort((-both, of))
         sums.append(both[order])
         below.append((a, order, b, back[order]))
-        heapq.heappush(heap, (int(both.min() - both.max()), len(sums) - 1))
-    to = {len(sums) - 1: np.arange(k)} if sums else {}
+        heapq.heappush(heap, (-spread(sums[-1]), len(sums) - 1))
+    to = {len(sums) - 1: spots} if sums else {}
     parts: list[list[int]] = [[] for _ in items]
     for node in range(len(sums) - 1, -1, -1):
         own = to.pop(node)
@@ -142,4 +155,7 @@ def differenced(items: list[list[int]], k: int) -> tuple[list[list[int]], list[i
             to[a], to[b] = np.empty(k, np.int64), np.empty(k, np.int64)
             to[a][in_a] = own
             to[b][in_b] = own
-    return parts, sums[-1].tolist() if sums else []
+    whole = np.zeros(k, np.int64)
+    if sums:
+        whole[spots] = sums[-1]
+    return parts, whole.tolist() if sums else []
