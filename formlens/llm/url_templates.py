@@ -92,15 +92,18 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, column: str = "u
 
 
 def templates(shapes: DataFrame, levels: int, fan_out: int, least_share: float) -> DataFrame:
-    """Staged shapes (host, shape, n, ...) with `template`: the shape with its variable segments as wildcards."""
+    """Staged shapes (host, shape, n, ...) with `template`: the shape with its variable segments as wildcards.
+
+    A level is staged once. How its joins are made is left to Spark, which knows the sizes of what was staged or
+    shuffled: it broadcasts small sides and splits hot keys.
+    """
     rows = shapes.withColumn("template", F.array().cast("array<string>"))
     for i in range(1, levels + 1):
         rows = rows.withColumn("parent", F.array_join("template", "/")).withColumn("name", F.get("shape", F.lit(i - 1)))
-        children = stage(rows.filter("name is not null").groupBy("host", "parent", "name").agg(F.sum("n").alias("n")), "children")
+        children = rows.filter("name is not null").groupBy("host", "parent", "name").agg(F.sum("n").alias("n"))
         wide = children.groupBy("host", "parent").agg(F.count("*").alias("children"), F.sum("n").alias("all")).filter(F.col("children") > fan_out)
-        stars = children.join(measured(stage(wide, "wide")), ["host", "parent"]).filter(F.col("n") < least_share * F.col("all"))
-        stars = stage(stars.select("host", "parent", "name", F.lit("*").alias("star")), "stars")
-        rows = rows.join(measured(stars), ["host", "parent", "name"], "left")
+        stars = children.join(wide, ["host", "parent"]).filter(F.col("n") < least_share * F.col("all")).select("host", "parent", "name", F.lit("*").alias("star"))
+        rows = rows.join(stars, ["host", "parent", "name"], "left")
         rows = rows.withColumn("template", F.when(F.col("name").isNull(), F.col("template")).otherwise(F.array_append("template", F.coalesce("star", "name"))))
         rows = stage(rows.drop("parent", "name", "star"), "generalised")
     return rows
@@ -111,14 +114,14 @@ def _apart(blocked: Column, n: Column, share: Column, z: float) -> Column:
 
 
 def merged(tree: DataFrame, by: list[str], z: float) -> DataFrame:
-    """The tree (by, depth, node, parent, allowed, blocked) with each merged branch's counts in place of a node's own."""
+    """The staged tree (by, depth, node, parent, allowed, blocked) with each merged branch's counts in place of a node's own."""
     up = tree.select(*by, (F.col("depth") + 1).alias("depth"), F.col("node").alias("parent"), F.col("allowed").alias("up_allowed"), F.col("blocked").alias("up_blocked"))
     n, above = F.col("allowed") + F.col("blocked"), F.col("up_allowed") + F.col("up_blocked")
     share = F.try_divide("up_blocked", above)
     side = F.when((n > 0) & (above > 0) & _apart(F.col("blocked"), n, share, z), F.signum(F.try_divide("blocked", n) - share)).otherwise(0.0)
-    rows = stage(tree.join(measured(stage(up, "parents")), [*by, "depth", "parent"], "left").withColumn("side", side.cast("int")).drop("up_allowed", "up_blocked"), "sides")
+    rows = tree.join(up, [*by, "depth", "parent"], "left").withColumn("side", side.cast("int")).drop("up_allowed", "up_blocked")
     branch = rows.filter("side != 0").groupBy(*by, "depth", "parent", "side").agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b"))
-    rows = rows.join(measured(stage(branch, "branches")), [*by, "depth", "parent", "side"], "left")
+    rows = rows.join(branch, [*by, "depth", "parent", "side"], "left")
     alike = F.coalesce(~_apart(F.col("blocked"), n, F.try_divide("b", F.col("a") + F.col("b")), z), F.lit(False))
     counts = [F.when(alike, F.col(x)).otherwise(F.col(own)).alias(own) for x, own in (("a", "allowed"), ("b", "blocked"))]
     return rows.select(*[c for c in tree.columns if c not in ("parent", "allowed", "blocked")], *counts)
@@ -134,10 +137,10 @@ def verdicts(shapes: DataFrame, levels: int, fan_out: int, least_share: float, s
     counts = [F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")]
     own = stage(nodes.groupBy("host", "depth", "node", "parent").agg(*counts, (F.sum("n") - F.sum("allowed") - F.sum("blocked")).alias("open")), "own_counts")
     of_all = stage(own.groupBy("depth", "node", "parent").agg(*counts), "all_counts")
-    own, of_all = stage(merged(own, ["host"], z), "own_branches"), stage(merged(of_all, [], z), "all_branches")
+    own, of_all = merged(own, ["host"], z), merged(of_all, [], z)
     keys = nodes.select("host", "template", "depth", "node")
-    both = keys.join(measured(of_all), ["depth", "node"]).withColumn("own", F.lit(0)).withColumn("open", F.lit(0).cast("long"))
-    both = both.unionByName(keys.join(measured(own), ["host", "depth", "node"]).withColumn("own", F.lit(1)))
+    both = keys.join(of_all, ["depth", "node"]).withColumn("own", F.lit(0)).withColumn("open", F.lit(0).cast("long"))
+    both = both.unionByName(keys.join(own, ["host", "depth", "node"]).withColumn("own", F.lit(1)))
     chain = F.sort_array(F.collect_list(F.struct("own", "depth", "allowed", "blocked", "open")))
     told = both.groupBy("host", "template").agg(chain.alias("chain"))
 
@@ -149,7 +152,7 @@ def verdicts(shapes: DataFrame, levels: int, fan_out: int, least_share: float, s
     prior = F.least(F.lit(PRIOR), F.aggregate(F.filter("chain", lambda x: x["own"] == 0), F.lit(0.5), down))
     purity_of = F.aggregate(F.filter("chain", lambda x: x["own"] == 1), prior, down)
     told = told.select("host", "template", (purity_of >= purity).alias("blocks"))
-    return flat.join(measured(stage(told, "purities")), ["host", "template"]).select("host", "shape", "blocks")
+    return flat.join(told, ["host", "template"]).select("host", "shape", "blocks")
 
 
 def _oracle(levels: int = 5) -> str:
