@@ -172,6 +172,23 @@ def word_marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return mixed(sums), np.searchsorted(at, offsets)
 
 
+def short_word_marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As word_marks, faster for rows of few bytes in all: a word's sum is a difference of running sums, with the power of its start divided out."""
+    if len(data) > len(_ALL_POWERS):
+        return word_marks(data, offsets)
+    inner = _WORD_BYTE[data] != 0
+    starts, ends = inner.copy(), inner.copy()
+    starts[1:] &= ~inner[:-1]
+    ends[:-1] &= ~inner[1:]
+    edges = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]  # words end where rows do
+    starts[edges] |= inner[edges]
+    ends[edges - 1] |= inner[edges - 1]
+    at, last = np.flatnonzero(starts), np.flatnonzero(ends)
+    terms = _WORD_BYTE[data] * _ALL_POWERS[: len(data)]
+    sums = np.cumsum(terms)
+    return mixed((sums[last] - sums[at] + terms[at]) * _UNPOWERS[at]), np.searchsorted(at, offsets)
+
+
 def _powers_of(n: int) -> np.ndarray:
     steps = np.full(n, _M1, np.uint64)
     steps[0] = 1
@@ -182,6 +199,15 @@ def _powers_of(n: int) -> np.ndarray:
 _POWERS = _powers_of(1024)
 
 
+#: The marks of bytes, those of blanks zero, and for short_word_marks powers of _M1 and their inverses.
+_WORD_BYTE = _BYTE.copy()
+_WORD_BYTE[[32, *range(9, 14)]] = 0
+_ALL_POWERS = _powers_of(1 << 19)
+_UNPOWERS = np.full(len(_ALL_POWERS), pow(int(_M1), -1, 1 << 64), np.uint64)
+_UNPOWERS[0] = 1
+_UNPOWERS = np.cumprod(_UNPOWERS)
+
+
 def _powers(n: int) -> np.ndarray:
     return _POWERS if n <= len(_POWERS) else _powers_of(n)
 

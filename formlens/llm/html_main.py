@@ -23,6 +23,8 @@ own, and such pages count as one where they are alike in their least frequent st
 A host with many pages is dealt into cells of about `cell` pages, each with a suffix array of its own. A string on `share`
 of a host's pages is on `share` of some cell's, so each cell gives the strings that are so frequent in it, and these are
 counted exactly on all pages. So no host is one task, and the result doesn't depend on how pages are dealt.
+
+Markup is read once. The blocks of all pages are staged, as streams, and every later pass reads these.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import joined, mixed, released, sized, small, stage, whole_groups, word_marks
+from ._common import chunks, flat, joined, mixed, released, short_word_marks, sized, small, stage, whole_groups
 
 #: Elements by what they do to the text.
 HIDDEN = frozenset("nav footer aside form button select dialog menu datalist audio video canvas head".split())
@@ -70,33 +72,38 @@ ATTRIBUTES = 4096
 OWN = 0.1
 #: In marked articles strings are cut that stand in the text of this share of the host's pages, if it has so many.
 FIRM, FIRM_PAGES = 0.9, 5
-#: Characters of pages whose tokens are made together.
-AT_ONCE = 1 << 20
+#: Bytes of pages whose tokens are made together.
+AT_ONCE = 1 << 18
 #: Between blocks, as a word of the token stream.
 MARK = "\x1e"
 
 Block = tuple[str, int, bool]  # text, kind, in a marked article
 TEXT, MAYBE, CHROME = 0, 1, 2
+WITHIN = 4
 
 
-def main_text(pages: DataFrame, run: int = 8, distinct_pages: int = 3, share: float = 0.01, cell: int = 512, url: str = "url", markup: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, run: int = 8, distinct_pages: int = 3, share: float = 0.01, cell: int = 512, url: str = "url", markup: str = "html", with_markup: bool = True) -> DataFrame:
     """pages with `text` (blocks joined by an empty line, empty if none), `n_chars` (its code points, long) and `n_repeated` (strings of `run` tokens of the page, in its text or beside it, that the host repeats, long).
 
     Null html is empty; a null url's pages are one host. A page cut off anywhere, or with unclosed or stray tags, is
     read as far as it goes. Repeated rows count as one page where pages are counted. An empty table gives an empty
-    table. Columns of pages that are named as a result column are replaced.
+    table. Columns of pages that are named as a result column are replaced. Without with_markup the markup's column isn't
+    given back. The columns given back are staged with the pages' blocks, so Parquet has to hold them.
     """
-    own = [c for c in pages.columns if c.lower() not in ("text", "n_chars", "n_repeated")]
+    own = [c for c in pages.columns if c.lower() not in ("text", "n_chars", "n_repeated") and (with_markup or c.lower() != markup.lower())]
     row = F.struct(*[F.col(f"`{c}`") for c in own])
     host = F.xxhash64(F.lower(F.coalesce(F.regexp_extract(F.col(url), r"://([^/?#]*)", 1), F.lit(""))))
     rows = pages.select(row.alias("row"), host.alias("host"), F.col(markup).cast("string").alias("html"))
-    rows = rows.withColumn("page", F.xxhash64(F.md5(F.coalesce("html", F.lit("")))))
-    read = rows.select("host", "page", "html")
+    rows = rows.select("row", "host", F.xxhash64(F.md5(F.coalesce("html", F.lit("")))).alias("page"), "html")
+    kind = rows.schema["row"].dataType.simpleString()
+    # Markup is read once; what follows works on the streams of blocks.
+    rows = stage(rows.mapInArrow(_read, f"row {kind}, host long, page long, stream string, kinds binary"), "streams")
+    read = rows.select("host", "page", "stream", "kinds")
     hosts = read.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     hosts = stage(hosts.withColumn("cells", F.ceil(F.col("pages") / cell).cast("int")), "hosts")
 
     dealt = read.join(small(hosts, 32), "host").withColumn("cell", F.pmod("page", "cells"))
-    streams = dealt.select("host", "cell", "cells", "page", "html").mapInArrow(_streams, "key long, host long, page long, cells int, tokens binary")
+    streams = dealt.select("host", "cell", "cells", "page", "stream").mapInArrow(_packed, "key long, host long, page long, cells int, stream binary")
     streams = streams.repartition("key").sortWithinPartitions("key", "page")
     strings = stage(streams.mapInArrow(partial(_repeated, run=run, distinct_pages=distinct_pages, share=share), "host long, gram long").distinct(), "strings")
 
@@ -110,8 +117,8 @@ def main_text(pages: DataFrame, run: int = 8, distinct_pages: int = 3, share: fl
     lists = cuts.join(small(touched.filter("touched").select("host", "page"), 24), ["host", "page"]).groupBy("host", "page").agg(F.collect_list(F.struct("gram", "wide")).alias("grams"))
     cuts = touched.drop("touched").join(sized(stage(lists, "lists"), "grams", 12), ["host", "page"], "left")
     cuts = sized(stage(cuts, "page_cuts"), "grams", 12)
-    kind = rows.schema["row"].dataType.simpleString()
-    out = rows.join(cuts, ["host", "page"], "left").select("row", "html", "grams", F.coalesce("n_repeated", F.lit(0)).alias("n_repeated")).mapInArrow(partial(_texts, run=run), f"row {kind}, text string, n_chars long, n_repeated long")
+    out = rows.join(cuts, ["host", "page"], "left").select("row", "stream", "kinds", "grams", F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"))
+    out = out.mapInArrow(partial(_texts, run=run), f"row {kind}, text string, n_chars long, n_repeated long")
     return out.select(*[F.col("row").getField(c).alias(c) for c in own], "text", "n_chars", "n_repeated")
 
 
@@ -308,31 +315,27 @@ def _kind(name: str, said: dict[str, str]) -> int:
     return MAYBE if any(map(OPEN_NAMED.search, names)) else TEXT
 
 
-def _tokens(blocks: list[Block]) -> np.ndarray:
-    """Fingerprints of all tokens, with a mark before each block and one behind the last."""
-    data = np.frombuffer("".join([MARK, *(f" {b[0]} {MARK}" for b in blocks)]).encode(), np.uint8)
-    return word_marks(data, np.array([0, len(data)]))[0]
-
-
-def _chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Pages together: the first one's row, all tokens (32 bits of each), where each page's begin and end in them, and whether each is in what may be text: 1 if only the widest strings are cut there, else 2."""
-    held, first, size = [], 0, 0
-    for row, x in enumerate(column):
-        markup = x.as_py() or ""
-        held.append(blocks_of(markup))
-        size += len(markup)
-        if size > AT_ONCE or row + 1 == len(column):
-            texts = ["".join([MARK, *(f" {b[0]} {MARK}" for b in blocks)]).encode() for blocks in held]
-            tokens, at = word_marks(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
-            n, may = [], []
-            for blocks in held:
-                n.append(1)
-                may.append(0)
-                for b, ok in zip(blocks, _may(blocks), strict=True):
-                    n += (b[0].count(" ") + 1, 1)
-                    may += ((1 if b[2] and b[1] == TEXT else 2) if ok else 0, 0)
-            yield first, tokens.astype(np.uint32), at, np.repeat(np.array(may, np.int8), n)
-            held, first, size = [], row + 1, 0
+def _stream(blocks: list[Block]) -> tuple[str, bytes]:
+    """The blocks' words with a mark before each block and one behind the last, and each block's kind, plus WITHIN in a marked article."""
+    return "".join([MARK, *(f" {b[0]} {MARK}" for b in blocks)]), bytes([b[1] | WITHIN * b[2] for b in blocks])
+
+
+def _blocks(stream: str, kinds: bytes) -> list[Block]:
+    """The blocks that _stream was given."""
+    texts = stream[2:-2].split(f" {MARK} ") if kinds else []
+    return [(x, k & ~WITHIN, k >= WITHIN) for x, k in zip(texts, kinds, strict=True)]
+
+
+@released
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns: row, host, page, html."""
+    for batch in batches:
+        streams, kinds = [], []
+        for x in batch.column(3):
+            stream, own = _stream(blocks_of(x.as_py() or ""))
+            streams.append(stream)
+            kinds.append(own)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(streams, pa.string()), pa.array(kinds, pa.binary())], ["row", "host", "page", "stream", "kinds"])
 
 
 def _starts(blocks: list[Block]) -> np.ndarray:
@@ -340,29 +343,37 @@ def _starts(blocks: list[Block]) -> np.ndarray:
     return np.cumsum([0, *(b[0].count(" ") + 2 for b in blocks)])
 
 
-def _may(blocks: list[Block]) -> np.ndarray:
+def _may(blocks: list[Block]) -> list[bool]:
     """Which blocks may be in the text."""
     marked = any(b[2] for b in blocks)
-    return np.array([b[1] != CHROME and (b[2] or not marked) for b in blocks], bool)
+    return [b[1] != CHROME and (b[2] or not marked) for b in blocks]
 
 
 def _run_marks(tokens: np.ndarray, run: int) -> np.ndarray:
-    """The fingerprint of the `run` tokens that start at each place."""
-    out = tokens[: max(0, len(tokens) - run + 1)]
-    for k in range(1, run):
-        out = joined(out, tokens[k : k + len(out)])
-    return mixed(out).view(np.int64) if len(out) else out.view(np.int64)
+    """The fingerprint of the `run` tokens that start at each place, each time that of half as many and that of those behind them; the last two may overlap."""
+    out, n = tokens.astype(np.uint64), 1
+    while n < run:
+        step = min(n, run - n)
+        out, n = joined(out[: max(0, len(out) - step)], out[step:]), n + step
+    return mixed(out).view(np.int64)
 
 
 @released
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pages' tokens, of which 32 bits are enough to compare runs of them. Columns: host, cell, cells, page, html."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns: host, cell, cells, page, stream."""
     packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         host, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        tokens = [packer.compress(all_[a:b].tobytes()) for _, all_, at, _ in _chunks(batch.column(4)) for a, b in zip(at[:-1], at[1:], strict=True)]
         key = mixed(host.view(np.uint64) ^ mixed(cell.astype(np.uint64) + np.uint64(1))).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), batch.column(3), batch.column(2), pa.array(tokens, pa.binary())], ["key", "host", "page", "cells", "tokens"])
+        data, offsets = flat(batch.column(4))
+        packed = [packer.compress(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), batch.column(3), batch.column(2), pa.array(packed, pa.binary())], ["key", "host", "page", "cells", "stream"])
+
+
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the streams' tokens, 32 bits of each, which are enough to compare runs of them, and where each stream's begin."""
+    marks, at = short_word_marks(data, offsets)
+    return marks.astype(np.uint32), at
 
 
 def suffix_order(streams: list[np.ndarray], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -371,24 +382,33 @@ def suffix_order(streams: list[np.ndarray], run: int) -> tuple[np.ndarray, np.nd
     By doubling: the rank of up to 2h tokens is that of the pair of ranks of h tokens, here and later. A stream's end is a
     token of its own, so no prefix of `run` tokens that two streams share goes over it.
     """
-    size = np.array([len(x) + 1 for x in streams])
+    size = np.array([len(x) + 1 for x in streams], np.int64)
     stream, ends = np.repeat(np.arange(len(streams)), size), np.cumsum(size) - 1
-    names = np.concatenate([np.append(x.astype(np.uint64), np.uint64(0)) for x in streams]) if streams else np.zeros(0, np.uint64)
-    names[ends] = (np.uint64(1) << np.uint64(33)) + np.arange(len(streams), dtype=np.uint64)
-    rank, h = np.unique(names, return_inverse=True)[1].astype(np.int64), 1
+    names = np.concatenate([np.append(x.astype(np.int64), 0) for x in streams]) if streams else np.zeros(0, np.int64)
+    names[ends] = (1 << 33) + np.arange(len(streams))
+    rank, h = _ranks(names), 1
     while h < run:
         step = min(h, run - h)  # the last pairs overlap
         later = np.full(len(rank), -1, np.int64)
         later[: len(rank) - step] = rank[step:]
-        rank = np.unique(rank * (len(rank) + 1) + later + 1, return_inverse=True)[1].astype(np.int64)
+        rank = _ranks(rank * (len(rank) + 1) + later + 1)
         h += step
-    order = np.lexsort((stream, rank))
+    order = np.sort((rank << 32) | np.arange(len(rank))) & ((1 << 32) - 1)  # equal prefixes by place
     return order, stream, rank
 
 
+def _ranks(names: np.ndarray) -> np.ndarray:
+    """Each name's place among the different ones, in order."""
+    order = np.argsort(names)
+    names = names[order]
+    rank = np.empty(len(names), np.int64)
+    rank[order] = np.cumsum(np.concatenate([[False], names[1:] != names[:-1]])[: len(names)])
+    return rank
+
+
 @released
 def _repeated(batches: Iterator[pa.RecordBatch], run: int, distinct_pages: int, share: float) -> Iterator[pa.RecordBatch]:
-    """host, gram: strings that are frequent in a cell. Columns: key, host, page, cells, tokens, sorted by key and page."""
+    """host, gram: strings that are frequent in a cell. Columns: key, host, page, cells, stream, sorted by key and page."""
     unpacker = zstandard.ZstdDecompressor()
     for table in whole_groups(batches, 0, 1):
         hosts, grams = [], []
@@ -399,36 +419,50 @@ def _repeated(batches: Iterator[pa.RecordBatch], run: int, distinct_pages: int,
             least = max(distinct_pages if whole else 2, int(np.ceil(share * len(own) - 1e-9)))
             if len(own) < least:
                 continue
-            streams = [np.frombuffer(unpacker.decompress(table.column(4)[i].as_py()), np.uint32) for i in own]
+            streams = []
+            for _, _, data, offsets in chunks(pa.array([unpacker.decompress(table.column(4)[i].as_py()) for i in own], pa.binary()), AT_ONCE):
+                tokens, at = _tokens(data, offsets)
+                streams += np.split(tokens, at[1:-1])
             order, stream, rank = suffix_order(streams, run)
-            first = np.concatenate([[True], (rank[order][1:] != rank[order][:-1]) | (stream[order][1:] != stream[order][:-1])])
-            pages = np.bincount(rank[order][first], minlength=int(rank.max()) + 1)  # distinct ones, of each prefix
-            some = np.flatnonzero(pages >= least)
-            at = np.empty(len(pages), np.int64)
-            at[rank] = np.arange(len(rank))
-            flat_tokens = np.concatenate([np.append(x, np.uint32(0)) for x in streams]).astype(np.uint64)
-            at = at[some]
+            sorted_, of = rank[order], stream[order]
+            starts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+            first = np.concatenate([[True], of[1:] != of[:-1]])
+            first[starts] = True
+            pages = np.add.reduceat(first, starts, dtype=np.int64)  # distinct ones, of each prefix
+            at = order[starts[pages >= least]]
+            flat_tokens = np.concatenate([np.append(x, np.uint32(0)) for x in streams])
             at = at[at + run <= len(flat_tokens)]
-            found = flat_tokens[at]
-            for k in range(1, run):
-                found = joined(found, flat_tokens[at + k])
-            grams.append(mixed(found).view(np.int64))
+            grams.append(_run_marks(flat_tokens[at[:, None] + np.arange(run)].ravel(), run)[::run])
             hosts.append(np.full(len(at), table.column(1)[own[0]].as_py(), np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*hosts, np.zeros(0, np.int64)])), pa.array(np.concatenate([*grams, np.zeros(0, np.int64)]))], ["host", "gram"])
 
 
-def _page_runs(blocks: list[Block], run: int) -> np.ndarray:
-    return _run_marks(_tokens(blocks).astype(np.uint32).astype(np.uint64), run)
+def _may_tokens(kinds: pa.Array, marks: np.ndarray) -> np.ndarray:
+    """Whether each token is in what may be text: 1 if only the widest strings are cut there, else 2. marks: which tokens stand before a block or at a stream's end."""
+    kind, ends = flat(kinds)
+    n = np.diff(ends)
+    page = np.repeat(np.arange(len(n)), n)
+    within = kind >= WITHIN
+    marked = np.bincount(page[within], minlength=len(n)) > 0
+    kind = kind & ~np.uint8(WITHIN)
+    may = np.where((kind != CHROME) & (within | ~marked[page]), np.where(within & (kind == TEXT), 1, 2), 0).astype(np.int8)
+    may = np.insert(may, ends[1:], 0)  # a stream's last mark
+    out = may[np.cumsum(marks) - 1]
+    out[marks] = 0
+    return out
 
 
 @released
 def _grams(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
-    """Each page's runs of tokens, whether each starts in what may be text, how many do, and what each touches (as in _chunks). Columns: host, page, html."""
+    """Each page's runs of tokens, whether each starts in what may be text, how many do, and what each touches: 1 what only the widest strings are cut from, 2 other text. Columns: host, page, stream, kinds."""
+    mark = short_word_marks(np.frombuffer(MARK.encode(), np.uint8), np.array([0, 1]))[0].astype(np.uint32)[0]
     for batch in batches:
-        for first, tokens, at, may in _chunks(batch.column(2)):
+        for first, end, data, offsets in chunks(batch.column(2), AT_ONCE):
+            tokens, at = _tokens(data, offsets)
+            may = _may_tokens(batch.column(3).slice(first, end - first), tokens == mark)
             n = np.maximum(0, np.diff(at) - run + 1)
             start = np.repeat(at[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            runs = _run_marks(tokens.astype(np.uint64), run)
+            runs = _run_marks(tokens, run)
             before, soft = (np.concatenate([[0], np.cumsum(x)]) for x in (may > 0, may > 1))
             within = may[start] > 0
             touches = ((before[start + run] > before[start]).astype(np.int8) + (soft[start + run] > soft[start])).astype(np.int8)
@@ -455,10 +489,11 @@ def _covered(runs: np.ndarray, found: np.ndarray, block: np.ndarray, run: int) -
 
 def without_repeats(blocks: list[Block], found: dict[int, int], run: int) -> list[str]:
     """The page's text as blocks. found: the host's repeated runs, and how wide they are."""
-    may = _may(blocks)
+    may = np.array(_may(blocks), bool)
     starts = _starts(blocks)
     n = int(starts[-1]) + 1
-    runs = _page_runs(blocks, run)
+    data = np.frombuffer(_stream(blocks)[0].encode(), np.uint8)
+    runs = _run_marks(_tokens(data, np.array([0, len(data)]))[0], run)
     block = np.searchsorted(starts, np.arange(n), "right") - 1
     apart = 2 * block
     apart[starts] += 1  # the marks
@@ -497,12 +532,12 @@ def without_repeats(blocks: list[Block], found: dict[int, int], run: int) -> lis
 
 @released
 def _texts(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
-    """Columns: row, html, grams, n_repeated."""
+    """Columns: row, stream, kinds, grams, n_repeated."""
     for batch in batches:
         texts = []
-        for x, found in zip(batch.column(1), batch.column(2), strict=True):
-            blocks = blocks_of(x.as_py() or "")
+        for x, kinds, found in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+            blocks = _blocks(x.as_py(), kinds.as_py())
             grams = found.as_py()
             own = without_repeats(blocks, {g["gram"]: g["wide"] for g in grams}, run) if grams else [b[0] for b, ok in zip(blocks, _may(blocks), strict=True) if ok]
             texts.append("\n\n".join(own))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), batch.column(3)], ["row", "text", "n_chars", "n_repeated"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), batch.column(4)], ["row", "text", "n_chars", "n_repeated"])

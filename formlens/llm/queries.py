@@ -35,7 +35,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_main.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_repeated")
+    return html_main.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), with_markup=False).select("page_id", "url", "text", "n_chars", "n_repeated")
 
 
 def op5_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from formlens.llm import html_main
+from formlens.llm._common import short_word_marks, word_marks
 from formlens.llm.html_main import main_text, suffix_order
 from formlens.llm.queries import op4_html_extraction
 
@@ -168,3 +169,40 @@ def test_odd_rows(spark):
     out = main_text(spark.createDataFrame(rows, "page_id long, url string, html string, TEXT string, host int"))
     assert out.columns == ["page_id", "url", "html", "host", "text", "n_chars", "n_repeated"]
     assert sorted(r.n_chars for r in out.collect()) == [3, 3, 300_000 * 5 - 1]
+
+
+def test_markup_is_read_once(monkeypatch):
+    """All passes over a page's blocks work on what the one reading of its markup gave."""
+    calls, read = [], html_main.blocks_of
+    monkeypatch.setattr(html_main, "blocks_of", lambda x: calls.append(x) or read(x))
+    pages = [PAGE, "", None, "plain", '<p class="ad">x y</p>', f"<div>{own(0)}</div><div>{own(1)}</div>"]
+    n = len(pages)
+    longs = pa.array(range(n), pa.int64())
+    [got] = html_main._read(iter([pa.record_batch([longs, longs, longs, pa.array(pages)], ["row", "host", "page", "html"])]))
+    stream, kinds = got.column(3), got.column(4)
+    assert [html_main._blocks(x, k) for x, k in zip(stream.to_pylist(), kinds.to_pylist(), strict=True)] == [read(x or "") for x in pages]
+    ones = pa.array([1] * n, pa.int32())
+    [packed] = html_main._packed(iter([pa.record_batch([pa.array([0] * n, pa.int64()), ones, ones, longs, stream], ["host", "cell", "cells", "page", "stream"])]))
+    assert [x.num_rows for x in html_main._repeated(iter([packed]), 8, 3, 0.01)] == [0]
+    grams = pa.concat_tables([pa.Table.from_batches([x]) for x in html_main._grams(iter([pa.record_batch([longs, longs, stream, kinds], ["host", "page", "stream", "kinds"])]), 8)])
+    assert grams.column("page").to_pylist() == list(range(n)) and len(grams.column("grams")[5]) == 2 * 40 + 3 - 7
+    assert grams.column("within")[5].as_py() == [i not in (0, 41) for i in range(76)] and set(grams.column("touches")[0].as_py()) == {0, 1}
+    assert not any(any(x) for x in grams.column("touches").to_pylist()[1:5])  # too short for a run
+    found = pa.array([None] * n, pa.list_(pa.struct([("gram", pa.int64()), ("wide", pa.int32())])))
+    [out] = html_main._texts(iter([pa.record_batch([longs, stream, kinds, found, longs], ["row", "stream", "kinds", "grams", "n_repeated"])]), 8)
+    assert out.column("text").to_pylist() == ["\n\n".join(blocks_of(x or "")[1]) for x in pages]
+    assert len(calls) == 2 * n  # n here, and n in the line above
+
+
+def test_short_word_marks():
+    rng = random.Random(3)
+    for size in (0, 1, 7, 300, 1 << 19, (1 << 19) + 1):
+        data = np.array([rng.choice(b" \t\n\x0b\x0c\rab\x1e\xc3") for _ in range(size)], np.uint8)
+        offsets = np.array(sorted([0, size, *(rng.randint(0, size) for _ in range(9))]))
+        for a, b in zip(word_marks(data, offsets), short_word_marks(data, offsets), strict=True):
+            assert a.tolist() == b.tolist()
+
+
+def test_without_the_markup_column(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/1", "<p>x y</p>")], "page_id long, url string, html string")
+    assert [tuple(r) for r in main_text(pages, with_markup=False).collect()] == [(1, "http://a.b/1", "x y", 3, 0)]
