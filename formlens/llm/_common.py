@@ -174,8 +174,9 @@ def word_marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def short_word_marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As word_marks, faster for rows of few bytes in all: a word's sum is a difference of running sums, with the power of its start divided out."""
-    if len(data) > len(_ALL_POWERS):
+    if len(data) > SHORT:
         return word_marks(data, offsets)
+    powers, inverse = _short_powers()
     inner = _WORD_BYTE[data] != 0
     starts, ends = inner.copy(), inner.copy()
     starts[1:] &= ~inner[:-1]
@@ -184,13 +185,13 @@ def short_word_marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     starts[edges] |= inner[edges]
     ends[edges - 1] |= inner[edges - 1]
     at, last = np.flatnonzero(starts), np.flatnonzero(ends)
-    terms = _WORD_BYTE[data] * _ALL_POWERS[: len(data)]
+    terms = _WORD_BYTE[data] * powers[: len(data)]
     sums = np.cumsum(terms)
-    return mixed((sums[last] - sums[at] + terms[at]) * _UNPOWERS[at]), np.searchsorted(at, offsets)
+    return mixed((sums[last] - sums[at] + terms[at]) * inverse[at]), np.searchsorted(at, offsets)
 
 
-def _powers_of(n: int) -> np.ndarray:
-    steps = np.full(n, _M1, np.uint64)
+def _powers_of(n: int, base: np.uint64 = _M1) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
     steps[0] = 1
     return np.cumprod(steps)
 
@@ -199,13 +200,17 @@ def _powers_of(n: int) -> np.ndarray:
 _POWERS = _powers_of(1024)
 
 
-#: The marks of bytes, those of blanks zero, and for short_word_marks powers of _M1 and their inverses.
+#: Bytes that short_word_marks takes together at most.
+SHORT = 1 << 19
+#: The marks of bytes, those of blanks zero.
 _WORD_BYTE = _BYTE.copy()
 _WORD_BYTE[[32, *range(9, 14)]] = 0
-_ALL_POWERS = _powers_of(1 << 19)
-_UNPOWERS = np.full(len(_ALL_POWERS), pow(int(_M1), -1, 1 << 64), np.uint64)
-_UNPOWERS[0] = 1
-_UNPOWERS = np.cumprod(_UNPOWERS)
+
+
+@functools.cache
+def _short_powers() -> tuple[np.ndarray, np.ndarray]:
+    """The powers of _M1 and of its inverse; only workers that need them hold them."""
+    return _powers_of(SHORT), _powers_of(SHORT, np.uint64(pow(int(_M1), -1, 1 << 64)))
 
 
 def _powers(n: int) -> np.ndarray:
