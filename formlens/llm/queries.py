@@ -25,9 +25,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = suffix_dedup.remove_repeats(docs)
-    # Beyond the contract: the text that stays, as documents have it.
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept_text").alias("text"), F.length("kept_text").cast("long").alias("n_chars"))
+    out = suffix_dedup.remove_repeats(docs, words=51, apart=True)
+    # Beyond the contract: the text, as documents have it, that stays when repeated passages of over 50 words go as well.
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept_text").alias("text"), F.length("kept_text").cast("long").alias("n_chars"), "n_passage_bytes")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
