@@ -77,9 +77,9 @@ s AS (SELECT *, sqrt(u * u + v * v + w * w) AS len, atan2(v, u) AS p FROM c), a
 
 
 def _coefficients(spark: SparkSession, sf_dir: str, names: tuple[str, ...], rows: tuple[tuple[str, ...], ...]) -> DataFrame:
-    each = F.explode(F.array(*[F.struct(*[F.expr(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows])).alias("c")
+    each = F.array(*[F.struct(*[F.expr(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows])[F.col("at")].alias("c")
     size = [F.array(*[F.lit(x) for x in (7.5, 8.0, 7.5)]).alias("centroid"), F.lit(8.0).alias("extent")]
-    return _keys(spark, sf_dir).select("mask_id", each).select("mask_id", "c.*", *size)
+    return cohorts.each(cohorts.dealt(_keys(spark, sf_dir)), "at", len(rows)).select("mask_id", each).select("mask_id", "c.*", *size)
 
 
 @query(f"""WITH {_CELLS}, g AS (SELECT *, floor(acos(ct) / pi() * 6) * pi() / 6 AS tt, floor((CASE WHEN p < 0 THEN p + 2 * pi() ELSE p END) / (2 * pi()) * 6) * pi() / 3 AS pp FROM a)
@@ -115,7 +115,8 @@ def _octahedra(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     points = F.array(*[F.struct(F.lit(v).cast("long").alias("vid"), *[F.expr(e).alias(c) for c, e in at.items()]) for v, at in ends])
     sides = [(x, y, z) if (x + y + z) % 2 == 0 else (x, z, y) for x in (0, 1) for y in (2, 3) for z in (4, 5)]
     faces = F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for c, v in zip(("fid", "i", "j", "k"), (n, *t), strict=True)]) for n, t in enumerate(sides)])
-    return tuple(_keys(spark, sf_dir).select("mask_id", F.explode(e).alias("e")).select("mask_id", "e.*") for e in (points, faces))
+    keys = cohorts.dealt(_keys(spark, sf_dir))
+    return tuple(cohorts.each(keys, "at", n).select("mask_id", e[F.col("at")].alias("e")).select("mask_id", "e.*") for e, n in ((points, len(ends)), (faces, len(sides))))
 
 
 @query(f"""SELECT mask_id, (2 * axis + h)::BIGINT AS vid, CASE WHEN axis = 0 THEN 1e0 - 2 * h ELSE 0e0 END AS x, CASE WHEN axis = 1 THEN 1e0 - 2 * h ELSE 0e0 END AS y,
@@ -144,7 +145,7 @@ def pdm_voxels(spark, sf_dir):
 
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _keys(spark, sf_dir).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(6)))).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(8))))
+    rows = cohorts.each(cohorts.each(cohorts.dealt(_keys(spark, sf_dir)), "t", 7), "p", 9)
     rows = rows.select("mask_id", F.expr("(t + 0.5D) * pi() / 7").alias("polar"), F.expr("p * 2 * pi() / 9").alias("azimuth"))
     x, y, z = "(1 + mask_id % 4) * sin(polar) * cos(azimuth)", "(2 + mask_id % 3) * sin(polar) * sin(azimuth)", "3 * cos(polar) + mask_id % 5"
     return rows.select("*", F.expr(x).alias("x"), F.expr(y).alias("y"), F.expr(z).alias("z"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import mesh_modes, meshes
+from ..sources import cohorts
 from .catalogue import query, r, rounded
 
 # Isosceles triangles: half base p, height q. Their Laplacian has the modes (2, -1, -1) for 3p / 2q and (0, 1, -1) for q / 2p.
@@ -17,12 +18,12 @@ o AS (SELECT *, (row_number() OVER (PARTITION BY mask_id ORDER BY e) - 1)::INT A
 
 def _triangles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     key = F.col("s_suppkey").cast("long")
-    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(key.alias("mask_id"), (1.0 + key % 5).alias("p"), (2.0 + key % 7).alias("q"))
+    rows = cohorts.dealt(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(key.alias("mask_id"), (1.0 + key % 5).alias("p"), (2.0 + key % 7).alias("q")))
     zero = F.lit(0.0)
     corners = ((zero, F.col("q")), (-F.col("p"), zero), (F.col("p"), zero))
-    points = F.explode(F.array(*[F.struct(F.lit(n).cast("long").alias("vid"), x.alias("x"), y.alias("y"), zero.alias("z")) for n, (x, y) in enumerate(corners)])).alias("v")
+    points = F.array(*[F.struct(F.lit(n).cast("long").alias("vid"), x.alias("x"), y.alias("y"), zero.alias("z")) for n, (x, y) in enumerate(corners)])
     faces = rows.select("mask_id", *[F.lit(n).cast("long").alias(c) for n, c in enumerate(("fid", "j", "k"))], F.lit(0).cast("long").alias("i"))
-    return rows.select("mask_id", points).select("mask_id", "v.*"), faces.select("mask_id", "fid", "i", "j", "k")
+    return cohorts.each(rows, "at", len(corners)).select("mask_id", points[F.col("at")].alias("v")).select("mask_id", "v.*"), faces.select("mask_id", "fid", "i", "j", "k")
 
 
 def _modes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -65,12 +66,18 @@ f AS (SELECT s_suppkey::BIGINT AS mask_id, 2 * (i * 5 + j) + h AS fid, CASE h WH
 
 
 def _patches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("mask_id"))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    points = keys.withColumn("i", each(6)).withColumn("j", each(6))
+    keys = cohorts.dealt(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("mask_id")))
+
+    def grid(**sizes: int) -> DataFrame:
+        rows = keys
+        for name, n in sizes.items():
+            rows = cohorts.each(rows, name, n).withColumn(name, F.col(name).cast("long"))
+        return rows
+
+    points = grid(i=6, j=6)
     points = points.select("mask_id", F.expr("i * 6 + j").alias("vid"), F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"),
                            F.expr("(i * (1 + mask_id % 3) + j * (1 + mask_id % 4)) % 5 / 2D").alias("z"))
-    faces = keys.withColumn("p", each(5)).withColumn("q", each(5)).withColumn("h", each(2)).withColumn("v", F.expr("6 * p + q"))
+    faces = grid(p=5, q=5, h=2).withColumn("v", F.expr("6 * p + q"))
     return points, faces.select("mask_id", F.expr("2 * (p * 5 + q) + h").alias("fid"), F.expr("v + 6 * h").alias("i"), F.expr("v + 6 + h").alias("j"), F.expr("v + 1").alias("k"))
 
 

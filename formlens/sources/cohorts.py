@@ -20,11 +20,26 @@ def ellipsoids(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
         (6 + k % 3).cast("int").alias("cx"), F.lit(8).alias("cy"), (7 + n % 2).cast("int").alias("cz"))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows by mask over as many tasks as a shuffle has: a table of keys is one small file, the cells made of it are not."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mask_id")
+
+
+def each(rows: DataFrame, name: str, n: int) -> DataFrame:
+    """Each row with the whole numbers below n as column name.
+
+    By a join with a range: Spark takes a table after an explode to be as small as before, and then broadcasts it where
+    it is joined; the size of a join it takes to be the product, so only what is counted as small is broadcast.
+    """
+    return rows.crossJoin(F.broadcast(rows.sparkSession.range(n).select(F.col("id").cast("int").alias(name))))
+
+
 def masks(spark: SparkSession, sf_dir: str, table: str) -> tuple[DataFrame, DataFrame]:
     """mask_meta (mask_id, label, side) and voxel (mask_id, x, y, z)."""
     shapes = ellipsoids(spark, sf_dir, table)
-    axis = lambda c, r: F.explode(F.sequence(F.col(c) - F.col(r), F.col(c) + F.col(r)))
-    cells = shapes.withColumn("x", axis("cx", "a")).withColumn("y", axis("cy", "b")).withColumn("z", axis("cz", "c"))
+    cells = dealt(shapes)
+    for c, r in zip("xyz", "abc", strict=True):
+        cells = each(cells, c, GRID).filter(F.col(c).between(F.col(f"c{c}") - F.col(r), F.col(f"c{c}") + F.col(r)))
     inside = F.expr("(x-cx)*(x-cx)*b*b*c*c + (y-cy)*(y-cy)*a*a*c*c + (z-cz)*(z-cz)*a*a*b*b <= a*a*b*b*c*c")
     return shapes.select("mask_id", "label", "side"), cells.filter(inside).select("mask_id", "x", "y", "z")
 
