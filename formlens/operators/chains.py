@@ -7,12 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions import sparse
-from . import decimation, fields, harmonics, inverse, masks, mesh_modes, meshes, overlap
+from . import copies, decimation, fields, harmonics, inverse, masks, mesh_modes, meshes, overlap
 
 
 def blurred_points(voxel: DataFrame, shape: tuple[int, int, int], sigma: float = 1.0, level: float = 0.5, subdivisions: int = 3, iterations: int = 80) -> DataFrame:
     """mask_id, vid, x, y, z: the point distribution of the blurred masks' surfaces."""
-    return inverse.point_distribution(*fields.level_mesh(voxel, shape, sigma, level), subdivisions, iterations)
+    return copies.once(voxel, lambda own: inverse.point_distribution(*fields.level_mesh(own, shape, sigma, level), subdivisions, iterations))
 
 
 def smooth_points(voxel: DataFrame, shape: tuple[int, int, int], subdivisions: int = 3, iterations: int = 80, samples: int = 50_000, seed: int = 0) -> DataFrame:
