@@ -28,7 +28,7 @@ def blurred_vectors(voxel: DataFrame, shape: tuple[int, int, int], lmax: int = 2
 
 def smooth_vectors(voxel: DataFrame, shape: tuple[int, int, int], lmax: int = 20, iterations: int = 100, density: int = 4) -> DataFrame:
     """mask_id, x, y, z: the masks after a round trip through their vector harmonics."""
-    return inverse.vector_voxels(blurred_vectors(voxel, shape, lmax, iterations=iterations), None, shape, lmax, density)
+    return copies.once(voxel, lambda own: inverse.vector_voxels(blurred_vectors(own, shape, lmax, iterations=iterations), None, shape, lmax, density))
 
 
 def mask_spectra(voxel: DataFrame, shape: tuple[int, int, int], k: int = 100, normalise: bool = False) -> DataFrame:
