@@ -33,7 +33,7 @@ def smooth_vectors(voxel: DataFrame, shape: tuple[int, int, int], lmax: int = 20
 
 def mask_spectra(voxel: DataFrame, shape: tuple[int, int, int], k: int = 100, normalise: bool = False) -> DataFrame:
     """mask_id, eigenvalues of the Laplacians of the masks' own surfaces; normalised as mesh_modes.spectra does."""
-    return mesh_modes.spectra(meshes.cotangent_laplacian(*fields.level_mesh(voxel, shape, 0.0)), k, normalise)
+    return copies.once(voxel, lambda own: mesh_modes.spectra(meshes.cotangent_laplacian(*fields.level_mesh(own, shape, 0.0)), k, normalise))
 
 
 def framed(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
