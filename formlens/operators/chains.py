@@ -78,7 +78,8 @@ def laplace_chain(voxel: DataFrame, shape: tuple[int, int, int], k: int = 50, ta
 
     kinds = {"mask_id": "long", "centroid": "array<double>", "scale": "double", "axes": "array<double>", "vertices": "array<array<double>>", "faces": "array<array<int>>", "eigenvalues": "array<double>", "coefficients": "array<array<double>>", "modes": "array<array<double>>", "residual": "double"}
     names = list(kinds)
-    return inverse._per_mesh(*fields.level_mesh(voxel, shape, 0.0), run, ", ".join(f"{c} {t}" for c, t in kinds.items()))
+    schema = ", ".join(f"{c} {t}" for c, t in kinds.items())
+    return copies.once(voxel, lambda own: inverse._per_mesh(*fields.level_mesh(own, shape, 0.0), run, schema))
 
 
 def smooth_harmonics(voxel: DataFrame, shape: tuple[int, int, int], lmax: int = 15, fitted: bool = False) -> DataFrame:
