@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chains, decimation, fields, masks, mesh_modes, meshes, overlap, transforms
+from ..operators import chains, copies, decimation, fields, masks, mesh_modes, meshes, overlap, transforms
 from ..sources import cohorts
 from .catalogue import _EDT_MANY, _MANY, SHAPE, query, r, rounded
 
@@ -57,9 +57,12 @@ def surface_distances_cohort(spark, sf_dir):
 @query("SELECT s_suppkey::BIGINT AS mask_id, k::INT AS k, true AS solved, k = 0 AS constant FROM supplier, range(8) g(k)")
 def surface_modes_residual(spark, sf_dir):
     """The modes of the masks' surfaces, put back into the Laplacian by a join; only the first eigenvalue is 0."""
-    laplacian = meshes.cotangent_laplacian(*fields.level_mesh(cohorts.masks(spark, sf_dir, "supplier")[1], SHAPE, 0.0))
-    left = mesh_modes.residuals(laplacian, mesh_modes.modes(laplacian, 8))
-    return left.select("mask_id", "k", (F.col("residual") < 1e-8).alias("solved"), (F.abs("eigenvalue") < 1e-8).alias("constant"))
+
+    def left(voxel):
+        laplacian = meshes.cotangent_laplacian(*fields.level_mesh(voxel, SHAPE, 0.0))
+        return mesh_modes.residuals(laplacian, mesh_modes.modes(laplacian, 8))
+
+    return copies.once(cohorts.masks(spark, sf_dir, "supplier")[1], left).select("mask_id", "k", (F.col("residual") < 1e-8).alias("solved"), (F.abs("eigenvalue") < 1e-8).alias("constant"))
 
 
 @query(f"{_MANY} SELECT par.mask_id, 60::BIGINT AS points, 2::BIGINT AS euler, 0::BIGINT AS open_edges, true AS near FROM par")
