@@ -68,11 +68,13 @@ def surface_modes_residual(spark, sf_dir):
 @query(f"{_MANY} SELECT par.mask_id, 60::BIGINT AS points, 2::BIGINT AS euler, 0::BIGINT AS open_edges, true AS near FROM par")
 def decimated_surface(spark, sf_dir):
     """Surfaces of 60 vertices: as many as asked for, closed, of one piece without handles, with the volume of the voxels within a tenth."""
-    voxel = cohorts.masks(spark, sf_dir, "supplier")[1]
-    vertices, faces = decimation.decimated(*fields.level_mesh(voxel, SHAPE, 0.0), 60)
-    got = meshes.measures(vertices, faces).join(vertices.groupBy("mask_id").agg(F.count("*").alias("points")), "mask_id")
-    got = got.join(voxel.groupBy("mask_id").agg(F.count("*").alias("n")), "mask_id")
-    return got.select("mask_id", "points", "euler", "open_edges", (F.abs(F.col("volume") / F.col("n") - 1) < 0.1).alias("near"))
+
+    def measured(voxel):
+        vertices, faces = decimation.decimated(*fields.level_mesh(voxel, SHAPE, 0.0), 60)
+        got = meshes.measures(vertices, faces).join(vertices.groupBy("mask_id").agg(F.count("*").alias("points")), "mask_id")
+        return got.join(voxel.groupBy("mask_id").agg(F.count("*").alias("n")), "mask_id")
+
+    return copies.once(cohorts.masks(spark, sf_dir, "supplier")[1], measured).select("mask_id", "points", "euler", "open_edges", (F.abs(F.col("volume") / F.col("n") - 1) < 0.1).alias("near"))
 
 
 @query()
