@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chains, harmonics, hulls, masks, resample, wide_pca
+from ..operators import chains, copies, harmonics, hulls, masks, resample, wide_pca
 from ..sources import cohorts
 from .catalogue import _MANY, SHAPE, query, r, rounded, vectors
 from .shape_inverse import _radii
@@ -48,7 +48,7 @@ def reference_turns(spark, sf_dir):
     """The turn, in steps of 45 degrees, at which each mask meets the first one best."""
     meta, voxel = cohorts.masks(spark, sf_dir, "supplier")
     first = voxel.join(meta.agg(F.min("mask_id").alias("mask_id")), "mask_id")
-    return resample.best_turns(voxel, first, SHAPE, step=45)
+    return copies.once(voxel, lambda own: resample.best_turns(own, first, SHAPE, step=45))
 
 
 #: Real harmonics up to degree 3 of a unit vector: root of the factor over pi, and the polynomial.
