@@ -84,7 +84,10 @@ def harmonic_diagnostics(spark, sf_dir):
 FROM voxel, range(-2, 3) a(i), range(-2, 3) b(j), range(-2, 3) c(k) GROUP BY ALL""")
 def hull_reach(spark, sf_dir):
     """How far the corners of each mask's hull reach in 125 directions, which is as far as its voxels do."""
-    voxel = cohorts.masks(spark, sf_dir, "supplier")[1]
+    return copies.once(cohorts.masks(spark, sf_dir, "supplier")[1], _reach)
+
+
+def _reach(voxel):
     points = voxel.select("mask_id", ((F.col("x") * SHAPE[1] + F.col("y")) * SHAPE[2] + F.col("z")).cast("long").alias("vid"), "x", "y", "z")
     corners = hulls.convex_hulls(points).select("mask_id", F.explode(F.array("i", "j", "k")).alias("vid")).distinct()
     way = lambda c: F.explode(F.sequence(F.lit(-2), F.lit(2))).alias(c)
