@@ -98,8 +98,7 @@ def _reach(voxel):
 @query()
 def hull_surface(spark, sf_dir):
     """Faces of the hulls of the surfaces that harmonics give."""
-    found = harmonics.expanded_coefficients(cohorts.masks(spark, sf_dir, "supplier")[1], 8)
-    return hulls.harmonic_surface(found)[1]
+    return copies.once(cohorts.masks(spark, sf_dir, "supplier")[1], lambda own: hulls.harmonic_surface(harmonics.expanded_coefficients(own, 8))[1])
 
 
 @query()
