@@ -69,7 +69,7 @@ SELECT mask_id, l::INT AS l, m::INT AS m, {r('c[i]')} AS c FROM c, names"""
 @query(_EXPANSION)
 def sh_expansion_values(spark, sf_dir):
     """Coefficients of degrees 0 to 3 of the radius maps, by quadrature."""
-    found = harmonics.expanded_coefficients(cohorts.masks(spark, sf_dir, "supplier")[1], 3)
+    found = copies.once(cohorts.masks(spark, sf_dir, "supplier")[1], lambda own: harmonics.expanded_coefficients(own, 3))
     return rounded(found.select("mask_id", "l", "m", "c"), 6, "c")
 
 
