@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import sparse
 from . import copies, decimation, fields, harmonics, inverse, masks, mesh_modes, meshes, overlap
@@ -90,5 +91,11 @@ def smooth_harmonics(voxel: DataFrame, shape: tuple[int, int, int], lmax: int =
 
 def harmonic_diagnostics(meta: DataFrame, voxel: DataFrame, shape: tuple[int, int, int], lmax: int = 15, fitted: bool = False, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """mask_id, dice, hausdorff, mean_dist of each mask with what its round trip gives; distances in the unit of spacing."""
-    back = smooth_harmonics(voxel, shape, lmax, fitted)
-    return overlap.compared(meta, voxel, back, masks.surface_points(voxel, shape).distinct(), masks.surface_points(back, shape).distinct(), spacing)
+
+    def measured(own: DataFrame) -> DataFrame:
+        back = smooth_harmonics(own, shape, lmax, fitted)
+        return overlap.compared(own.select("mask_id").distinct(), own, back, masks.surface_points(own, shape).distinct(), masks.surface_points(back, shape).distinct(), spacing)
+
+    # A mask without voxels has none after the round trip either.
+    rows = meta.select("mask_id").join(copies.once(voxel, measured), "mask_id", "left")
+    return rows.withColumn("dice", F.coalesce("dice", F.lit(1.0)))
