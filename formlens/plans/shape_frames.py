@@ -33,8 +33,8 @@ def resampled_values(spark, sf_dir):
 def normalized_cohort(spark, sf_dir):
     """Masks in their canonical frames with the same volume, from voxels of unequal size; tested against dense code and on one shape in two voxel sizes."""
     meta, voxel = cohorts.masks(spark, sf_dir, "supplier")
-    size = (1 + F.col("mask_id") % 3 * 0.25).alias("dz")
-    return resample.normalised(masks.flip_left(meta, voxel, SHAPE[0]), meta.select("mask_id", size), 25, 400.0)
+    size = meta.select("mask_id", (1 + F.col("mask_id") % 3 * 0.25).alias("dz"))
+    return copies.once(masks.flip_left(meta, voxel, SHAPE[0]), lambda own: resample.normalised(own, size, 25, 400.0), size)
 
 
 @query(f"""{_MANY}, a AS (SELECT angle, round(cos(radians(angle)), 15) AS co, round(sin(radians(angle)), 15) AS si FROM range(0, 360, 45) h(angle)),
