@@ -26,7 +26,7 @@ def resampled_values(spark, sf_dir):
     size = F.array(F.lit(1.0), 1.25 + F.col("mask_id") % 2 * 0.25, F.lit(0.75))
     frames = meta.select("mask_id", size.alias("spacing"), axes.alias("axes"), (1 + F.col("mask_id") % 3 * 0.25).alias("scale"))
     frames = frames.withColumn("centre", F.zip_with("spacing", F.array(*[F.lit(x) for x in (7.0, 8.0, 7.0)]), lambda a, b: a * b))
-    return rounded(resample.resampled(voxel, frames, 18, level=0.3), 6, "value")
+    return rounded(copies.once(voxel, lambda own: resample.resampled(own, frames, 18, level=0.3), frames), 6, "value")
 
 
 @query()
