@@ -161,9 +161,7 @@ def dice_sparse_supplier_parts(spark, sf_dir):
 FROM p JOIN par a ON a.mask_id = id_a JOIN par b ON b.mask_id = id_b GROUP BY ALL""")
 def label_pair_dice_summary(spark, sf_dir):
     meta, sizes, words = _packed(spark, sf_dir)
-    dice = overlap.dice_gram(meta, sizes, words)
-    for side in "ab":
-        dice = dice.join(meta.select(F.col("mask_id").alias(f"id_{side}"), F.col("label").alias(f"label_{side}")), f"id_{side}")
+    dice = overlap.dice_gram(meta, sizes, words, also=("label",))
     out = dice.groupBy("label_a", "label_b").agg(F.count("*").alias("pairs"), F.avg("dice").alias("mean_dice"), F.min("dice").alias("min_dice"))
     return rounded(out, 6, "mean_dice")
 
