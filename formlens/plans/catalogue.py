@@ -169,11 +169,7 @@ def label_pair_dice_summary(spark, sf_dir):
 @query(f"""{_MANY}{_COO}, m AS (SELECT id_a, id_b, 2e0 * i / (na + nb) AS dice FROM p WHERE id_a < id_b UNION ALL SELECT id_b, id_a, 2e0 * i / (na + nb) FROM p WHERE id_a < id_b)
 SELECT id_a, id_b, dice, rank FROM (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY dice DESC, id_b)::INT AS rank FROM m) WHERE rank <= 3""")
 def nearest_mask_topk(spark, sf_dir):
-    from pyspark.sql import Window
-
-    both = overlap.mirrored(overlap.dice_gram(*_packed(spark, sf_dir))).filter("id_a != id_b")
-    rank = F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("dice"), "id_b"))
-    return both.withColumn("rank", rank).filter("rank <= 3")
+    return overlap.nearest_gram(*_packed(spark, sf_dir), 3)
 
 
 _NEAR = """, near AS (SELECT a.mask_id AS id_a, b.mask_id AS id_b, a.x2, a.y2, a.z2, min((a.x2-b.x2)*(a.x2-b.x2) + (a.y2-b.y2)*(a.y2-b.y2) + (a.z2-b.z2)*(a.z2-b.z2)) AS d2 FROM sp a, sp b GROUP BY ALL),
