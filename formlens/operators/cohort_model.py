@@ -197,7 +197,7 @@ def clusters(features: DataFrame, k: int = 2, seed: int = 0, n_init: int = 10) -
     return out
 
 
-def cosine_pairs(features: DataFrame, block: int = 512) -> DataFrame:
+def cosine_pairs(features: DataFrame, block: int = 1024) -> DataFrame:
     """id_a < id_b, cosine of all pairs, by matrix products of blocks; null if a vector is zero."""
     n = max(1, -(-features.count() // block))
     own = F.pmod(F.xxhash64("mask_id"), F.lit(n)).cast("int")
@@ -208,11 +208,11 @@ def cosine_pairs(features: DataFrame, block: int = 512) -> DataFrame:
         got = got.sort_values("mask_id")
         x, ids, own = _matrix(got["features"]), got["mask_id"].to_numpy(), got["own"].to_numpy()
         norm = np.linalg.norm(x, axis=1)
+        left, right = own == key[0], own == key[1]
         with np.errstate(invalid="ignore", divide="ignore"):
-            cosine = x @ x.T / np.outer(norm, norm)
-        a, b = np.triu_indices(len(ids), 1)
-        ok = (own[a] != own[b]) | (key[0] == key[1])
-        a, b = a[ok], b[ok]
-        return pd.DataFrame({"id_a": ids[a], "id_b": ids[b], "cosine": [None if np.isnan(v) else v for v in cosine[a, b]]})
+            cosine = x[left] @ x[right].T / np.outer(norm[left], norm[right])
+        a, b = np.triu_indices(left.sum(), 1) if key[0] == key[1] else (n.ravel() for n in np.indices(cosine.shape))
+        i, j = ids[left][a], ids[right][b]
+        return pd.DataFrame({"id_a": np.minimum(i, j), "id_b": np.maximum(i, j), "cosine": cosine[a, b]})  # NaN becomes null
 
     return rows.groupBy("lo", "hi").applyInPandas(products, "id_a long, id_b long, cosine double")
